@@ -6,14 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_rules, secret_scan, sentencepiece_codec, simhash, url_rules
+from . import line_rules, quality_mil, secret_scan, sentencepiece_codec, simhash, toxicity, url_rules
 from .common import table
 
 
+def op1_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_mil.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages")).drop("url")
 
@@ -31,7 +39,7 @@ def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_secret_scan, op5_url_rules, op7_sentencepiece, op8_simhash, op10_line_rules)
+    f.__name__: f for f in (op1_quality_mil, op2_secret_scan, op4_toxicity, op5_url_rules, op7_sentencepiece, op8_simhash, op10_line_rules)
 }
 
 WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"

@@ -1,12 +1,12 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax.
 
-A word is the mean of the vectors of its character 3- to 5-grams (with word ends) and of the word
+A word is the mean of the vectors of its character 3- to 6-grams (with word ends) and of the word
 itself, all hashed into one table, so an unseen misspelling shares most of its vectors with the word it
 comes from. A passage of PASSAGE words is the average of its words (padded with zeros), a linear
 softmax gives its log-odds, and a text's log-odds are the log-sum-exp over its passages, so one
 passage decides in a text of any length. Table and softmax are trained jointly in numpy
 from at most TRAIN_DOCS labelled documents, by Adam, from a start at which the first dimension holds
-how far the words of a bucket exceed chance in texts of label 1.
+how far a bucket exceeds chance in texts of label 1.
 """
 
 from __future__ import annotations
@@ -25,20 +25,20 @@ from .common import short_batches, text_of
 from .labelled import remainder, sample
 
 BUCKETS, WIDTH, PASSAGE = 1 << 17, 4, 16
-TRAIN_DOCS, STEPS, RATE, DECAY = 3000, 40, 0.05, 1e-5
-#: Standard deviations by which a word's texts must exceed chance to give its vectors a start.
+TRAIN_DOCS, STEPS, RATE, DECAY = 3000, 40, 0.4, 1e-5
+#: Standard deviations by which a bucket's texts must exceed chance to give it a start.
 START = 3.0
-#: Words of fewer training texts are left out of training; they would only be learnt by heart.
-LEAST_TEXTS = 2
+#: Buckets of fewer training texts stay at zero; they would only be learnt by heart.
+LEAST_TEXTS = 12
 THRESHOLD = 0.3
 #: Words whose value a worker remembers before it starts afresh, and bytes of text handled at once.
 REMEMBERED, CHUNK = 400_000, 4_000_000
 
 
 def grams(word: str) -> list[int]:
-    """Buckets of the word, without punctuation at its ends, and of its character 3- to 5-grams."""
+    """Buckets of the word, without punctuation at its ends, and of its character 3- to 6-grams."""
     w = f"<{word.strip(punctuation)}>"
-    parts = [w[i : i + n] for n in (3, 4, 5) for i in range(len(w) - n + 1)]
+    parts = [w[i : i + n] for n in (3, 4, 5, 6) for i in range(len(w) - n + 1)]
     return [crc32(p.encode("utf-8", "replace")) & (BUCKETS - 1) for p in (w, *parts)]
 
 
@@ -92,15 +92,22 @@ def train(texts: list[str], labels: np.ndarray, steps: int = STEPS, rate: float
     if not len(y) or y.min() == y.max():
         return Bag(np.zeros(BUCKETS), prior)
     words, at, offsets = split(pa.array(texts, pa.string()))
-    text = np.repeat(np.arange(len(texts)), np.diff(offsets))
-    seen = np.unique(at.astype(np.int64) * len(texts) + text)
-    pairs = seen // len(texts)
-    common = np.bincount(pairs, minlength=len(words)) >= least
-    ids = [grams(w) if w and c else [] for w, c in zip(words, common, strict=True)]
+    ids = [grams(w) if w else [] for w in words]
     size = np.fromiter(map(len, ids), np.int64, len(ids))
+    begin = np.cumsum(size) - size
     flat = np.fromiter((g for i in ids for g in i), np.int32, int(size.sum()))
+    #: In how many texts, and in how many of label 1, each bucket occurs.
+    held, toxic = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for label, a, b in zip(y, offsets[:-1], offsets[1:], strict=True):
+        own = np.unique(at[a:b])
+        n = size[own]
+        got = np.unique(flat[np.repeat(begin[own] - np.cumsum(n) + n, n) + np.arange(n.sum())])
+        held[got] += 1
+        toxic[got] += label
     owner = np.repeat(np.arange(len(ids)), size)
     part = (1.0 / np.maximum(size, 1)).astype(np.float32)
+    enough = held[flat] >= least
+    flat, owner = flat[enough], owner[enough]
     starts, first = passages(offsets)
     n_passages = np.diff(np.append(first, len(starts)))
     widths = np.diff(np.append(starts, len(at)))
@@ -108,12 +115,8 @@ def train(texts: list[str], labels: np.ndarray, steps: int = STEPS, rate: float
     rng = np.random.default_rng(seed)
     table = (rng.standard_normal((BUCKETS, WIDTH)) * 0.01).astype(np.float32)
     soft = np.concatenate([[[-0.5, 0.5]], rng.standard_normal((WIDTH - 1, 2)) * 0.1]).astype(np.float32)
-    held = np.bincount(pairs, minlength=len(words))
-    toxic = np.bincount(pairs, y[seen % len(texts)], len(words))
     excess = (toxic - share * held) / np.sqrt(share * held + 1)
-    excess = np.sign(excess) * np.maximum(np.abs(excess) - START, 0)
-    count = np.bincount(flat, held[owner].astype(float), BUCKETS)
-    start = np.bincount(flat, (held * excess)[owner], BUCKETS) / np.maximum(count, 1)
+    start = np.sign(excess) * np.maximum(np.abs(excess) - START, 0)
     unit = np.add.reduceat((np.bincount(owner, start[flat], len(ids)) * part)[at], starts) / PASSAGE
     scale, offset = min(
         ((k, b) for k in (0.25, 0.5, 1, 2, 4, 8, 16, 32) for b in np.arange(-14.0, 0.0)),
