@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_rules, quality_mil, secret_scan, sentencepiece_codec, simhash, toxicity, url_rules
+from . import decontam, line_rules, quality_mil, secret_scan, sentencepiece_codec, simhash, toxicity, url_rules
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
+def op3_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -39,7 +43,7 @@ def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_mil, op2_secret_scan, op4_toxicity, op5_url_rules, op7_sentencepiece, op8_simhash, op10_line_rules)
+    f.__name__: f for f in (op1_quality_mil, op2_secret_scan, op3_decontam, op4_toxicity, op5_url_rules, op7_sentencepiece, op8_simhash, op10_line_rules)
 }
 
 WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
