@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html_gbt, line_rules, quality_mil, secret_scan, sentencepiece_codec, simhash, toxicity, url_rules
+from . import decontam, html_gbt, line_rules, phrases, quality_mil, secret_scan, sentencepiece_codec, simhash, toxicity, url_rules
 from .common import table
 
 
@@ -42,12 +42,16 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
 
+def op9_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.digest(phrases.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.quality_rules(table(spark, sf_dir, "documents")).drop("tk")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_mil, op2_secret_scan, op3_decontam, op4_toxicity, op5_url_rules, op6_html_gbt, op7_sentencepiece, op8_simhash, op10_line_rules)
+    f.__name__: f for f in (op1_quality_mil, op2_secret_scan, op3_decontam, op4_toxicity, op5_url_rules, op6_html_gbt, op7_sentencepiece, op8_simhash, op9_phrases, op10_line_rules)
 }
 
 WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"

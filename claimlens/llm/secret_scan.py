@@ -171,7 +171,7 @@ def digest(scanned: DataFrame) -> DataFrame:
 
 
 def redact(documents: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """documents with the text of every span replaced by mark; overlapping spans give one mark."""
+    """documents with each span replaced by mark, overlapping ones by one; n_chars, if there, follows the text."""
     scanned = scan(documents)
     text = text_of("text")
 
@@ -187,4 +187,7 @@ def redact(documents: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         return F.aggregate(spans, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
 
     clean = F.when(F.size("found") > 0, cut(F.col("found"))).otherwise(F.col("text"))
-    return scanned.withColumn("text", clean).select(*documents.columns)
+    out = scanned.withColumn("text", clean)
+    if "n_chars" in documents.columns:
+        out = out.withColumn("n_chars", F.when(F.size("found") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*documents.columns)
