@@ -73,8 +73,8 @@ def words(texts: pa.Array, plain: bool = False) -> Words:
     first = np.cumsum(length) - length
     place = np.arange(int(length.sum())) - np.repeat(first, length)
     value = _BYTE[data[solid]] * _PLACE[place & 1023]
-    if length.max() > 1024:
-        value = value + mix(value + (place >> 10).astype(np.uint64))
+    far = np.flatnonzero(place > 1023)
+    value[far] = mix(value[far] + (place[far] >> 10).astype(np.uint64))
     value = np.add.reduceat(value ^ (value >> np.uint64(31)), first)
     return Words(data, begin, end, text, mix(value + length.astype(np.uint64)), edge)
 
