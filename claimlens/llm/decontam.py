@@ -2,8 +2,8 @@
 
 Documents are cut into passages of two units of UNIT words, one unit apart. A passage is a TF-IDF
 vector over the benchmark's words; the inverse document frequencies count all documents. A
-randomised SVD, whose range sketch is summed over the passages of all documents and the
-benchmark items themselves, gives the latent space. Items are compared with every passage by cosine
+randomised SVD gives the latent space: the range of RANK random combinations of the passages of all
+documents, and of the block's items themselves. Items are compared with every passage by cosine
 there; what reaches COSINE is checked in the text around it by the longest common subsequence of words,
 and, where the item is only partly there (a paraphrase), by its answer, the last sentence.
 
@@ -26,9 +26,7 @@ from pyspark.sql import functions as F
 from .common import short_batches, text_of
 from .wordhash import Words, pieces, words
 
-UNIT, RANK, BLOCK = 12, 320, 256
-#: Energy of the items in the range sketch, as a multiple of that of all passages.
-ITEM_WEIGHT = 4.0
+UNIT, RANK, BLOCK = 12, 48, 256
 #: Words in more than this share of the documents are left out of the vectors.
 COMMON = 0.1
 COSINE = 0.35
@@ -129,10 +127,10 @@ def document_frequency(texts: DataFrame, items: Items) -> tuple[np.ndarray, int]
 
 
 def latent_space(texts: DataFrame, items: Items, idf: np.ndarray, rank: int = RANK, seed: int = 5) -> np.ndarray:
-    """Right singular vectors (vocabulary x rank) by a randomised range finder.
+    """An orthonormal basis (vocabulary x up to rank + items) by a randomised range finder.
 
-    Y = A'(A Omega) is summed over the passages of all documents, one partial sum a task, and over
-    the items; the vectors are an orthonormal basis of Y.
+    Y = A'(A Omega) is summed over the passages of all documents, one partial sum a task; the items'
+    own vectors are further columns, so that what the items say is not lost among the passages.
     """
     size = len(items.vocabulary)
     rank = min(rank, size)
@@ -149,7 +147,10 @@ def latent_space(texts: DataFrame, items: Items, idf: np.ndarray, rank: int = RA
         total = seen[unit[at]] * weight
         before = np.flatnonzero((unit[at] > 0) & (of[np.maximum(unit[at] - 1, 0)] == of[unit[at]]))
         total[before] += seen[unit[at][before] - 1] * weight[before]
-        np.add.at(y, place, total)
+        order = np.argsort(place, kind="stable")
+        begin = np.flatnonzero(np.diff(place[order], prepend=-1))
+        if len(begin):
+            y[place[order][begin]] += np.add.reduceat(total[order], begin)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, scale = shared.value
@@ -165,12 +166,13 @@ def latent_space(texts: DataFrame, items: Items, idf: np.ndarray, rank: int = RA
     y = np.zeros((size, rank))
     for place, row in zip(total["place"], total["y"], strict=True):
         y[place] = row
-    own = np.zeros((size, rank))
-    for item in items.words:
+    own = np.zeros((size, len(items.words)))
+    for k, item in enumerate(items.words):
         place = np.searchsorted(items.vocabulary, item)
-        np.add.at(own, place, idf[place][:, None] * (idf[place] @ omega[place])[None, :])
-    scale = ITEM_WEIGHT * max(np.linalg.norm(y), 1e-9) / max(np.linalg.norm(own), 1e-9)
-    return np.linalg.qr(y + scale * own)[0].astype(np.float32)
+        np.add.at(own[:, k], place, idf[place])
+    long = lambda m: m / np.maximum(np.linalg.norm(m, axis=0), 1e-9)
+    left, value, _ = np.linalg.svd(np.hstack([long(own), long(y)]), full_matrices=False)
+    return left[:, value > 1e-6].astype(np.float32)
 
 
 def _leaks(items: Items, k: int, w: Words, lo: int, hi: int) -> tuple[int, bool] | None:

@@ -38,8 +38,8 @@ def test_recall_of_the_latent_search_against_exact_cosines():
     idf = np.ones(len(items.vocabulary), np.float32)
     rng = np.random.default_rng(1)
     size = len(items.vocabulary)
-    y = sum(np.outer(np.bincount(np.searchsorted(items.vocabulary, w), minlength=size), rng.standard_normal(decontam.RANK)) for w in items.words)
-    space = np.linalg.qr(y)[0]
+    own = np.stack([np.bincount(np.searchsorted(items.vocabulary, w), minlength=size) for w in items.words], 1)
+    space = np.linalg.qr(np.hstack([own, rng.standard_normal((size, decontam.RANK))]))[0]
     hit = found = 0
     for w in items.words:
         q = np.bincount(np.searchsorted(items.vocabulary, w), minlength=size) * idf
