@@ -30,3 +30,6 @@ def query(sql: str | None = None):
 def risk_label_summary(spark, sf_dir):
     """How many claims fall in each cell of anomaly, risk level and audit result."""
     return C.claims(spark, sf_dir).groupBy("label", "risk_level", "audit_result").agg(F.count("*").alias("n_cases"))
+
+
+from . import queries_data  # noqa: E402, F401  (registers its queries)

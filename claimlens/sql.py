@@ -86,3 +86,20 @@ b0 AS (
     WHEN risk_level IN ('high', 'medium') THEN 'manual_review' ELSE 'pass' END AS audit_result FROM risked
 )
 """
+
+SPLITS = f"""{CLAIMS}, sw(split, pos, w) AS (VALUES ('train', 0, 30000), ('val_in_template', 1, 2000), ('val_unseen_template', 2, 1000), ('test_clean', 3, 2000),
+  ('test_robust', 4, 2000), ('test_unseen_template', 5, 2000), ('test_hard_negative', 6, 2000)),
+s0 AS (SELECT split, pos, w, n * w // 41000 AS base, n * w % 41000 AS frac, n FROM sw, total),
+s1 AS (SELECT split, pos, base + CASE WHEN row_number() OVER (ORDER BY frac DESC, w DESC, pos) <= n - sum(base) OVER () THEN 1 ELSE 0 END AS quota FROM s0),
+able AS (SELECT *, label IN ('amount_mismatch', 'merchant_mismatch', 'applicant_mismatch', 'order_id_mismatch') AS able FROM claims),
+r1 AS (SELECT *, able AND row_number() OVER (PARTITION BY able ORDER BY sha256('343:' || case_id), case_id) <= (SELECT quota FROM s1 WHERE split = 'test_hard_negative') AS hard FROM able),
+r2 AS (SELECT *, row_number() OVER (PARTITION BY hard ORDER BY sha256('343:' || case_id), case_id) AS r FROM r1),
+ranges AS (
+  SELECT split, sum(quota) OVER (ORDER BY pos) AS hi, sum(quota) OVER (ORDER BY pos) - quota AS lo
+  FROM (SELECT split, CASE WHEN split = 'test_hard_negative' THEN -1 ELSE pos END AS pos,
+          CASE WHEN split = 'test_hard_negative' THEN greatest(quota - (SELECT count(*) FROM able WHERE able), 0) ELSE quota END AS quota FROM s1)
+), splits AS (
+  SELECT r2.*, 'test_hard_negative' AS split FROM r2 WHERE hard
+  UNION ALL SELECT r2.*, split FROM r2 JOIN ranges ON NOT hard AND r > lo AND r <= hi
+)
+"""
