@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 SEED = 42
 
 
+def held(df):
+    """df with its columns computed here and once; later expressions are not merged into theirs."""
+    return df.select(F.inline(F.array(F.struct(*(F.col(f"`{c}`") for c in df.columns)))))
+
+
 def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 

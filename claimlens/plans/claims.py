@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.exprs import draw, reasons
+from ..functions.exprs import draw, held, reasons
 from ..operators.ranking import by_quota, global_rank, quota_table
 
 #: The anomaly labels with their shares in hundredths, in their order.
@@ -144,9 +144,9 @@ def judged(claims: DataFrame) -> DataFrame:
         .when((F.col("risk_level") == "high") & F.col("evidence_sufficient"), "reject_recommendation")
         .when(F.col("risk_level").isin("high", "medium"), "manual_review").otherwise("pass")
     )
-    return claims.withColumn("reasons", risk_reasons()).withColumn("risk_level", risk).withColumn("audit_result", result)
+    return held(claims.withColumn("reasons", risk_reasons())).withColumn("risk_level", risk).withColumn("audit_result", result)
 
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Derived, labelled, injected and judged claims."""
-    return judged(injected(labelled(base_claims(spark, sf_dir))))
+    return held(judged(held(injected(labelled(base_claims(spark, sf_dir))))))
