@@ -20,14 +20,12 @@ def _key(x: Column, *names: str) -> Column:
     return F.struct(*(_TEXT(x[n]) for n in names))
 
 
-def evidence_counts(truth: Column, pred: Column, valid: Column) -> Column:
+def evidence_counts(truth: Column, pred: Column) -> Column:
     """struct of nine counts of true evidence found again: support, value, source and boxes.
 
-    A prediction that is not valid has no evidence. Without true evidence each pair is 1 of 1 if
+    Both are array columns; a prediction that is not valid has an empty one. Without true evidence each pair is 1 of 1 if
     nothing is predicted, else 0 of 1. A box is judged on the first prediction with the same four keys.
     """
-    none = F.filter(truth, lambda x: F.lit(False))
-    pred = F.when(valid, F.coalesce(pred, none)).otherwise(none)
     full = ("source_image_id", "source_doc_type", "field", "value")
     hit = lambda t, *names: F.exists(pred, lambda p: _key(p, *names) == _key(t, *names))
     first = lambda t: F.get(F.filter(pred, lambda p: _key(p, *full) == _key(t, *full)), F.lit(0))["bbox"]
@@ -65,20 +63,23 @@ def score(pairs: DataFrame) -> DataFrame:
     t, valid = F.col("answer"), F.coalesce(F.col("schema_valid"), F.lit(False))
     p = F.col("pred")
     none = F.array().cast("array<string>")
-    names = F.map_keys(t["field_extraction"])
-    same = F.filter(names, lambda k: F.try_element_at(t["field_extraction"], k).eqNullSafe(F.try_element_at(p["field_extraction"], k)))
+    names = F.col("_names")
+    same = F.filter(names, lambda k: F.try_element_at(F.col("_tf"), k).eqNullSafe(F.try_element_at(F.col("_pf"), k)))
     checks = ["amount_consistent", "merchant_consistent", "person_consistent", "date_reasonable", "order_id_consistent", "payment_id_present", "document_complete", "duplicate_in_batch"]
     agree = sum((t["consistency_check"][c].eqNullSafe(p["consistency_check"][c]).cast("long") for c in checks), F.lit(0).cast("long"))
     zero = F.lit(0).cast("long")
-    base = pairs.withColumn("pred", F.when(valid, F.col("pred")))
-    base = held(base).select(
+    base = held(pairs.withColumn("pred", F.when(valid, F.col("pred"))))
+    #: Arrays that lambdas name are columns of their own, or each element would compute them again.
+    nothing = F.filter(t["evidence"], lambda x: F.lit(False))
+    base = held(base.select("*", t["evidence"].alias("_te"), F.coalesce(p["evidence"], nothing).alias("_pe"), t["uncertainty"]["uncertain_fields"].alias("_uf"), t["field_extraction"].alias("_tf"), p["field_extraction"].alias("_pf"), F.map_keys(t["field_extraction"]).alias("_names")))
+    base = base.select(
         "case_id", "model", F.coalesce("json_valid", F.lit(False)).alias("json_valid"), valid.alias("schema_valid"),
         t["risk_level"].alias("true_risk"), t["audit_result"].alias("true_audit"), p["risk_level"].alias("pred_risk"), p["audit_result"].alias("pred_audit"),
         F.when(valid, F.size(same).cast("long")).otherwise(zero).alias("field_correct"), F.size(names).cast("long").alias("field_total"),
         F.when(valid, agree).otherwise(zero).alias("consistency_correct"), F.lit(len(checks)).cast("long").alias("consistency_total"),
         jaccard(t["anomaly_types"], F.coalesce(p["anomaly_types"], none)).alias("anomaly_score"),
-        evidence_counts(t["evidence"], p["evidence"], valid).alias("e"),
-        F.when(valid, hallucinated(t["evidence"], p["evidence"], F.col("images"), t["uncertainty"]["uncertain_fields"])).otherwise(zero).alias("hallucinated"),
+        evidence_counts(F.col("_te"), F.col("_pe")).alias("e"),
+        F.when(valid, hallucinated(F.col("_te"), F.col("_pe"), F.col("images"), F.col("_uf"))).otherwise(zero).alias("hallucinated"),
         F.when(valid, F.size(p["evidence"]).cast("long")).otherwise(zero).alias("hallucination_total"), p["reason"].alias("_reason"),
     )
     base = held(base).select("*", "e.*").drop("e")

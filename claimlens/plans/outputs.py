@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import money_text, scaled_box
+from ..functions.exprs import held, money_text, scaled_box
 
 #: Fields of each document in the order they are printed, and the canvas in pixels.
 LAYOUT = {
@@ -83,32 +83,42 @@ def consistency_checks() -> list[Column]:
 
 def evidence(claims: DataFrame, records: DataFrame) -> DataFrame:
     """case_id, pos and the record: readable originals of the wanted fields, ordered, the first 24 of a case."""
-    pairs = [x for k, v in EVIDENCE.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]
-    wanted = F.array_except(
-        F.array_union(F.flatten(F.transform("anomaly_types", lambda a: F.coalesce(F.element_at(F.create_map(*pairs), a), F.array().cast("array<string>")))), F.array(*map(F.lit, ALWAYS))),
-        F.col("unreadable_fields"),
-    )
     usable = records.where("readable and duplicate_of_image_id is null")
-    joined = usable.join(claims.select("case_id", wanted.alias("_wanted")), "case_id").where(F.array_contains("_wanted", F.col("field"))).drop("_wanted")
+    joined = usable.join(claims.select("case_id", wanted_fields().alias("_wanted")), "case_id").where(F.array_contains("_wanted", F.col("field"))).drop("_wanted")
     order = Window.partitionBy("case_id").orderBy("doc_type", "field", "image_id")
     return joined.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= MAX_EVIDENCE).select("case_id", "pos", "image_id", "doc_type", "field", "value", "bbox")
 
 
+def wanted_fields() -> Column:
+    """Fields that a claim's anomalies call for, and those always wanted, but for unreadable ones."""
+    pairs = [x for k, v in EVIDENCE.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]
+    called = F.flatten(F.transform("anomaly_types", lambda a: F.coalesce(F.try_element_at(F.create_map(*pairs), a), F.array().cast("array<string>"))))
+    return F.array_except(F.array_union(called, F.array(*map(F.lit, ALWAYS))), F.col("unreadable_fields"))
+
+
 def answers(claims: DataFrame) -> DataFrame:
-    """case_id, answer: the nested answer of each claim, with all its parts."""
-    records = annotations(claims)
-    items = evidence(claims, records).groupBy("case_id").agg(
-        F.sort_array(F.collect_list(F.struct("pos", F.col("image_id").alias("source_image_id"), F.col("doc_type").alias("source_doc_type"), "field", "value", "bbox"))).alias("_e")
-    )
-    fields = field_extraction(claims, records).groupBy("case_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("fields"))
-    uncertain = F.size("unreadable_fields") > 0
+    """case_id, label, answer, images: the nested answer of each claim; made within the row, no shuffle."""
+    box = lambda v, k: F.array(
+        scaled_box(F.lit(LEFT), WIDTH), scaled_box(F.lit(TOP + LINE * k), HEIGHT), scaled_box(F.lit(LEFT) + F.length(v) * CHAR, WIDTH), scaled_box(F.lit(TOP + LINE * k + GLYPH), HEIGHT))
+    rows = F.array(*(
+        F.struct(F.lit(d).alias("doc_type"), F.lit(f).alias("field"), F.concat_ws("_", "case_id", F.lit(d), F.lit("00")).alias("image_id"), field_text(f, d).alias("value"), box(field_text(f, d), k).alias("bbox"))
+        for d, fields in LAYOUT.items() for k, f in enumerate(fields)
+    ))
+    texts = F.create_map(*(x for f in FIELDS for x in (F.lit(f), field_text(f))))
+    x = held(claims.select("*", rows.alias("_rows"), wanted_fields().alias("_wanted"), texts.alias("_texts")))
+    there = F.filter("_rows", lambda r: F.array_contains("documents", r["doc_type"]) & ~F.array_contains("unreadable_fields", r["field"]))
+    x = held(x.withColumn("_rows", there))
+    seen = F.transform("_rows", lambda r: r["field"])
+    items = F.slice(F.array_sort(F.filter("_rows", lambda r: F.array_contains("_wanted", r["field"]))), 1, MAX_EVIDENCE)
+    x = held(x.select("*", seen.alias("_seen"), items.alias("_items")))
+    named = F.transform("_items", lambda r: F.struct(r["image_id"].alias("source_image_id"), r["doc_type"].alias("source_doc_type"), r["field"].alias("field"), r["value"].alias("value"), r["bbox"].alias("bbox")))
+    fields = F.transform_values("_texts", lambda k, v: F.when((k == "merchant") | F.array_contains("_seen", k), v))
     reason = F.when(F.size("anomaly_types") == 0, "all documents agree").otherwise(F.concat(F.lit("found: "), F.array_join("anomaly_types", ", ")))
-    strip = F.transform(F.coalesce("_e", F.array().cast("array<struct<pos:int,source_image_id:string,source_doc_type:string,field:string,value:string,bbox:array<int>>>")), lambda x: x.dropFields("pos"))
-    return claims.join(items, "case_id", "left").join(fields, "case_id", "left").select(
+    return held(x.select(
         "case_id", "label", F.struct(
-            F.col("fields").alias("field_extraction"), F.struct(*consistency_checks()).alias("consistency_check"), "anomaly_types", "risk_level", "audit_result",
-            reason.alias("reason"), strip.alias("evidence"),
-            F.struct(uncertain.alias("has_uncertain_fields"), F.col("unreadable_fields").alias("uncertain_fields"), (F.col("audit_result") == "manual_review").alias("requires_manual_review")).alias("uncertainty"),
+            fields.alias("field_extraction"), F.struct(*consistency_checks()).alias("consistency_check"), "anomaly_types", "risk_level", "audit_result",
+            reason.alias("reason"), named.alias("evidence"),
+            F.struct((F.size("unreadable_fields") > 0).alias("has_uncertain_fields"), F.col("unreadable_fields").alias("uncertain_fields"), (F.col("audit_result") == "manual_review").alias("requires_manual_review")).alias("uncertainty"),
         ).alias("answer"),
         F.map_from_entries(F.transform("documents", lambda d: F.struct(F.concat_ws("_", "case_id", d, F.lit("00")), d))).alias("images"),
-    )
+    ))

@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import draw
+from ..functions.exprs import SEED, held
 
 #: Modes 0 to 3 are right; the others by what is wrong with them.
 MODES = 11
 NOT_JSON, NOT_SCHEMA, WRONG_AUDIT, MISSED, NO_EVIDENCE, MOVED_BOX, GHOST = range(4, 11)
 
 
-def predictions(answers: DataFrame, model: str) -> DataFrame:
-    """answers with model, mode, json_valid, schema_valid and pred."""
+def predictions(answers: DataFrame, models: list[str]) -> DataFrame:
+    """answers, once for each model, with model, mode, json_valid, schema_valid and pred."""
+    tag = F.concat(F.col("case_id"), F.lit(":mode-"), F.col("model"))
+    draw_of = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{SEED}:"), tag), 256), 1, 8), 16, 10).cast("bigint")
+    answers = held(answers.withColumn("model", F.explode(F.array(*map(F.lit, models)))).withColumn("mode", F.pmod(draw_of, F.lit(MODES)).cast("int")))
     mode, a = F.col("mode"), F.col("answer")
     wrong = F.when(a["audit_result"] == "pass", "manual_review").otherwise("pass")
     items = a["evidence"]
@@ -28,6 +31,5 @@ def predictions(answers: DataFrame, model: str) -> DataFrame:
         .withField("evidence", F.when(mode == NO_EVIDENCE, none).when(mode == MOVED_BOX, moved).when(mode == GHOST, ghost).otherwise(items))
         .withField("field_extraction", F.when(mode == GHOST, fields).otherwise(a["field_extraction"]))
     )
-    return answers.withColumns({"model": F.lit(model), "mode": F.pmod(draw("case_id", f"mode-{model}"), F.lit(MODES)).cast("int")}).withColumns({
-        "json_valid": mode != NOT_JSON, "schema_valid": ~mode.isin(NOT_JSON, NOT_SCHEMA), "pred": F.when(~mode.isin(NOT_JSON, NOT_SCHEMA), pred),
-    })
+    broken = mode.isin(NOT_JSON, NOT_SCHEMA)
+    return answers.withColumns({"json_valid": mode != NOT_JSON, "schema_valid": ~broken, "pred": F.when(~broken, pred)})

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +18,7 @@ MODELS = ("base", "cand")
 
 
 def scores(spark, sf_dir, models=MODELS) -> DataFrame:
-    answers = O.answers(C.claims(spark, sf_dir))
-    return scoring.score(reduce(DataFrame.unionByName, (P.predictions(answers, m) for m in models)))
+    return scoring.score(P.predictions(O.answers(C.claims(spark, sf_dir)), list(models)))
 
 
 def _iou(a: str, b: str) -> str:
