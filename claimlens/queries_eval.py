@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .entry import query
+from .entry import query, slow
 from .functions.exprs import draw
 from .operators import gates, scoring
 from .plans import claims as C
@@ -89,13 +89,13 @@ def evaluation_metrics(spark, sf_dir):
     return scoring.metrics(scores(spark, sf_dir), "model")
 
 
-@query(f"{SCORES} SELECT case_id, model, array_to_string(issues, ',') AS issues, true_risk, pred_risk, true_audit, pred_audit FROM scores WHERE len(issues) > 0")
+@slow(f"{SCORES} SELECT case_id, model, array_to_string(issues, ',') AS issues, true_risk, pred_risk, true_audit, pred_audit FROM scores WHERE len(issues) > 0")
 def error_cases(spark, sf_dir):
     """Predictions with at least one issue."""
     return scores(spark, sf_dir).where(F.size("issues") > 0).select("case_id", "model", F.array_join("issues", ",").alias("issues"), "true_risk", "pred_risk", "true_audit", "pred_audit")
 
 
-@query(f"{SCORES} SELECT model, true_audit || ' -> ' || coalesce(pred_audit, 'None') AS transition, count(*) AS n FROM scores GROUP BY ALL")
+@slow(f"{SCORES} SELECT model, true_audit || ' -> ' || coalesce(pred_audit, 'None') AS transition, count(*) AS n FROM scores GROUP BY ALL")
 def audit_transitions(spark, sf_dir):
     """True to predicted audit result, with counts."""
     t = F.concat_ws(" -> ", "true_audit", F.coalesce("pred_audit", F.lit("None")))
@@ -108,14 +108,14 @@ def _paired(spark, sf_dir) -> DataFrame:
     return side("base").join(side("cand"), "case_id")
 
 
-@query(f"""{SCORES}, two AS (SELECT case_id, bool_or(audit_correct) FILTER (model = 'base') AS b, bool_or(audit_correct) FILTER (model = 'cand') AS c FROM scores GROUP BY 1)
+@slow(f"""{SCORES}, two AS (SELECT case_id, bool_or(audit_correct) FILTER (model = 'base') AS b, bool_or(audit_correct) FILTER (model = 'cand') AS c FROM scores GROUP BY 1)
 SELECT CASE WHEN b AND c THEN 'both_correct' WHEN b THEN 'baseline_correct_candidate_wrong' WHEN c THEN 'baseline_wrong_candidate_correct' ELSE 'both_wrong' END AS transition, count(*) AS n FROM two GROUP BY 1""")
 def error_migration(spark, sf_dir):
     """How cases move between right and wrong from one model to the other."""
     return _paired(spark, sf_dir).groupBy(scoring.transition("base_ok", "cand_ok").alias("transition")).agg(F.count("*").alias("n"))
 
 
-@query(f"""{SCORES}, i AS (SELECT model, unnest(issues) AS issue FROM scores UNION ALL SELECT model, 'risk_mismatch' FROM scores WHERE schema_valid AND NOT risk_correct)
+@slow(f"""{SCORES}, i AS (SELECT model, unnest(issues) AS issue FROM scores UNION ALL SELECT model, 'risk_mismatch' FROM scores WHERE schema_valid AND NOT risk_correct)
 SELECT issue, sum(CASE WHEN model = 'cand' THEN 1 ELSE -1 END)::BIGINT AS delta FROM i GROUP BY 1""")
 def issue_delta(spark, sf_dir):
     """Change of each issue's count from one model to the other."""
@@ -123,7 +123,7 @@ def issue_delta(spark, sf_dir):
     return s.groupBy("issue").agg(F.sum(F.when(F.col("model") == "cand", 1).otherwise(-1)).alias("delta"))
 
 
-@query(f"""{SCORES}, two AS (SELECT case_id, bool_or(len(issues) > 0) FILTER (model = 'base') AS b, bool_or(len(issues) > 0) FILTER (model = 'cand') AS c FROM scores GROUP BY 1)
+@slow(f"""{SCORES}, two AS (SELECT case_id, bool_or(len(issues) > 0) FILTER (model = 'base') AS b, bool_or(len(issues) > 0) FILTER (model = 'cand') AS c FROM scores GROUP BY 1)
 SELECT case_id, CASE WHEN b THEN 'fixed' ELSE 'introduced' END AS change FROM two WHERE b <> c""")
 def fixed_introduced(spark, sf_dir):
     """Cases whose errors the second model fixed or introduced."""
@@ -146,14 +146,14 @@ ATTRIBUTED = f"""{SCORES}, at AS (
 )"""
 
 
-@query(f"{ATTRIBUTED} SELECT model, tags[1] AS primary_error_source, classes[1] AS primary_problem_class, count(*) AS n, count(*) FILTER (candidate) AS n_candidates FROM attributed GROUP BY ALL")
+@slow(f"{ATTRIBUTED} SELECT model, tags[1] AS primary_error_source, classes[1] AS primary_problem_class, count(*) AS n, count(*) FILTER (candidate) AS n_candidates FROM attributed GROUP BY ALL")
 def error_attribution(spark, sf_dir):
     """Predictions by primary error source and problem class."""
     a = scoring.attributed(scores(spark, sf_dir))
     return a.groupBy("model", "primary_error_source", "primary_problem_class").agg(F.count("*").alias("n"), F.count_if("decision_candidate").alias("n_candidates"))
 
 
-@query(f"{ATTRIBUTED} SELECT model, c AS problem_class, count(*) AS n, array_to_string(list_sort(list(case_id))[1:10], ' ') AS examples FROM (SELECT model, case_id, unnest(classes) AS c FROM attributed) GROUP BY ALL")
+@slow(f"{ATTRIBUTED} SELECT model, c AS problem_class, count(*) AS n, array_to_string(list_sort(list(case_id))[1:10], ' ') AS examples FROM (SELECT model, case_id, unnest(classes) AS c FROM attributed) GROUP BY ALL")
 def problem_classes(spark, sf_dir):
     """Predictions by problem class, with the first ten cases of each."""
     from pyspark.sql import Window
@@ -169,7 +169,7 @@ GATE_ROWS = lambda name, limits: ", ".join(
 )
 
 
-@query(f"""{SCORES}, m AS ({METRICS}), g AS (
+@slow(f"""{SCORES}, m AS ({METRICS}), g AS (
   SELECT x.* FROM (SELECT * FROM m WHERE model = 'base') b, (SELECT * FROM m WHERE model = 'cand') c, LATERAL (VALUES {GATE_ROWS('repair_fast_gate', gates.FAST)}, {GATE_ROWS('repair_main_gate', gates.MAIN)}) AS x(gate, "check", passed)
 ) SELECT * FROM g UNION ALL SELECT gate, 'all', bool_and(passed) FROM g GROUP BY gate""")
 def metric_gates(spark, sf_dir):
@@ -177,10 +177,11 @@ def metric_gates(spark, sf_dir):
     m = scoring.metrics(scores(spark, sf_dir), "model")
     row = F.struct(*[c for c in m.columns if c != "model"])
     pair = m.agg(F.first(F.when(F.col("model") == "base", row), ignorenulls=True).alias("base"), F.first(F.when(F.col("model") == "cand", row), ignorenulls=True).alias("cand"))
+    pair = pair.persist()  # one row, read by both gates
     return gates.repair_gate(pair, gates.FAST, "repair_fast_gate").union(gates.repair_gate(pair, gates.MAIN, "repair_main_gate"))
 
 
-@query(f"""{ATTRIBUTED}, s AS (SELECT model, count(*) AS total_rows, count(*) FILTER (len(tags) > 0 OR len(classes) > 0) AS residual_error_cases, count(*) FILTER (candidate) AS decision_candidates,
+@slow(f"""{ATTRIBUTED}, s AS (SELECT model, count(*) AS total_rows, count(*) FILTER (len(tags) > 0 OR len(classes) > 0) AS residual_error_cases, count(*) FILTER (candidate) AS decision_candidates,
   count(*) FILTER (tags[1] = 'decision_error') AS decision_primary FROM attributed GROUP BY 1)
 SELECT *, decision_candidates / residual_error_cases AS decision_candidate_ratio, decision_primary / residual_error_cases AS decision_primary_ratio FROM s""")
 def attribution_summary(spark, sf_dir):
