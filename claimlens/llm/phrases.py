@@ -8,7 +8,7 @@ windows have equal anchors and only anchors, about a fifth of all positions, are
 2. Each document's recurring anchors give segments: the words that the windows over the anchor cover.
    Equal segments of an anchor are one row with their smallest doc_id, so a passage in any
    number of documents is one row.
-3. Segments are sorted by anchor; a worker compiles each few thousand of them, words written as single
+3. Segments are sorted by anchor; a worker compiles each few hundred of them, words written as single
    characters, into an Aho-Corasick automaton of their windows with the smallest doc_id of
    each, and streams the segments through it, which locates every occurrence.
 4. Occurrences go back to the documents, which are read once more to remove the words.
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +34,8 @@ from .wordhash import Words, pieces, runs, words
 WINDOW, ANCHOR = 13, 5
 #: Anchor hashes keep this many bits; equal ones by chance cost work, not results.
 BITS = 48
-#: Segments that share an automaton; an anchor's segments stay together.
-SEGMENTS = 20_000
+#: Segments that share an automaton, few enough for it to stay in the processor's cache; an anchor's segments stay together.
+SEGMENTS = 300
 NO_ID = (1 << 63) - 1
 
 
@@ -141,7 +142,13 @@ def located(distinct: DataFrame) -> DataFrame:
         held: list[tuple] = []
 
         def flush(rows: list[tuple]) -> pa.RecordBatch:
-            got = locate([r[2].split(" ") for r in rows], [r[3] for r in rows])
+            split = [r[2].split(" ") for r in rows]
+            #: An anchor with one segment only has one smallest doc_id for all its windows.
+            alone = [(k == 0 or rows[k - 1][0] != r[0]) and (k + 1 == len(rows) or rows[k + 1][0] != r[0]) for k, r in enumerate(rows)]
+            some = [k for k, a in enumerate(alone) if not a]
+            got = [[r[3]] * (len(w) - WINDOW + 1) for r, w in zip(rows, split, strict=True)]
+            for k, firsts in zip(some, locate([split[k] for k in some], [rows[k][3] for k in some]), strict=True):
+                got[k] = firsts
             return pa.RecordBatch.from_pydict({"h": [r[0] for r in rows], "sid": [r[1] for r in rows], "firsts": pa.array(got, pa.list_(pa.int64()))})
 
         for b in batches:
@@ -161,8 +168,10 @@ def located(distinct: DataFrame) -> DataFrame:
 
 def _freed(spark) -> None:
     """Let Spark delete the shuffle files of plans that are done with."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def repeats(docs: DataFrame) -> DataFrame:
