@@ -33,7 +33,7 @@ from .wordhash import Words, pieces, runs, words
 
 WINDOW, ANCHOR = 13, 5
 #: Anchor hashes keep this many bits; equal ones by chance cost work, not results.
-BITS = 48
+BITS = 44
 #: Segments that share an automaton, few enough for it to stay in the processor's cache; an anchor's segments stay together.
 SEGMENTS = 300
 NO_ID = (1 << 63) - 1
@@ -208,7 +208,8 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     """
     spark = documents.sparkSession
     short_batches(spark)
-    docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), text_of("text").alias("text")).withColumn("tk", F.xxhash64("text"))
+    docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), text_of("text").alias("text"))
+    docs = docs.withColumn("tk", F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)))  # parts rows with one doc_id and different texts
     marked = docs.join(repeats(docs), ["id", "tk"], "left").select("id", "text", F.col("marks.start").alias("starts"), F.col("marks.bits").alias("bits"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
