@@ -11,6 +11,7 @@ how far a bucket exceeds chance in texts of label 1.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from string import punctuation
 from zlib import crc32
@@ -25,7 +26,7 @@ from .common import short_batches, text_of
 from .labelled import remainder, sample
 
 BUCKETS, WIDTH, PASSAGE = 1 << 17, 4, 16
-TRAIN_DOCS, STEPS, RATE, DECAY = 3000, 40, 0.4, 1e-5
+TRAIN_DOCS, STEPS, RATE, DECAY = 2500, 40, 0.4, 1e-5
 #: Standard deviations by which a bucket's texts must exceed chance to give it a start.
 START = 3.0
 #: Buckets of fewer training texts stay at zero; they would only be learnt by heart.
@@ -92,10 +93,15 @@ def train(texts: list[str], labels: np.ndarray, steps: int = STEPS, rate: float
     if not len(y) or y.min() == y.max():
         return Bag(np.zeros(BUCKETS), prior)
     words, at, offsets = split(pa.array(texts, pa.string()))
-    ids = [grams(w) if w else [] for w in words]
-    size = np.fromiter(map(len, ids), np.int64, len(ids))
-    begin = np.cumsum(size) - size
-    flat = np.fromiter((g for i in ids for g in i), np.int32, int(size.sum()))
+    n_words, size, every = len(words), np.zeros(len(words), np.int32), array("i")
+    for k, word in enumerate(words):
+        if word:
+            found = grams(word)
+            size[k] = len(found)
+            every.extend(found)
+    del words
+    flat = np.frombuffer(every, np.int32) if every else np.zeros(0, np.int32)
+    begin = np.cumsum(size, dtype=np.int64) - size
     #: In how many texts, and in how many of label 1, each bucket occurs.
     held, toxic = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for label, a, b in zip(y, offsets[:-1], offsets[1:], strict=True):
@@ -104,10 +110,11 @@ def train(texts: list[str], labels: np.ndarray, steps: int = STEPS, rate: float
         got = np.unique(flat[np.repeat(begin[own] - np.cumsum(n) + n, n) + np.arange(n.sum())])
         held[got] += 1
         toxic[got] += label
-    owner = np.repeat(np.arange(len(ids)), size)
+    owner = np.repeat(np.arange(n_words, dtype=np.int32), size)
     part = (1.0 / np.maximum(size, 1)).astype(np.float32)
     enough = held[flat] >= least
     flat, owner = flat[enough], owner[enough]
+    del every, enough
     starts, first = passages(offsets)
     n_passages = np.diff(np.append(first, len(starts)))
     widths = np.diff(np.append(starts, len(at)))
@@ -117,7 +124,7 @@ def train(texts: list[str], labels: np.ndarray, steps: int = STEPS, rate: float
     soft = np.concatenate([[[-0.5, 0.5]], rng.standard_normal((WIDTH - 1, 2)) * 0.1]).astype(np.float32)
     excess = (toxic - share * held) / np.sqrt(share * held + 1)
     start = np.sign(excess) * np.maximum(np.abs(excess) - START, 0)
-    unit = np.add.reduceat((np.bincount(owner, start[flat], len(ids)) * part)[at], starts) / PASSAGE
+    unit = np.add.reduceat((np.bincount(owner, start[flat], n_words) * part)[at], starts) / PASSAGE
     scale, offset = min(
         ((k, b) for k in (0.25, 0.5, 1, 2, 4, 8, 16, 32) for b in np.arange(-14.0, 0.0)),
         key=lambda kb: np.logaddexp(0, np.where(y > 0, -1, 1) * pooled(kb[0] * unit + kb[1], first)[0]).sum(),
@@ -126,17 +133,17 @@ def train(texts: list[str], labels: np.ndarray, steps: int = STEPS, rate: float
     bias = np.array([0.0, offset], np.float32)
     state = [(p, np.zeros_like(p), np.zeros_like(p)) for p in (table, soft, bias)]
     for step in range(1, steps + 1):
-        vectors = np.stack([np.bincount(owner, table[flat, d], len(ids)) for d in range(WIDTH)], 1) * part[:, None]
-        mean = np.stack([np.add.reduceat(vectors[at, d], starts) for d in range(WIDTH)], 1) / PASSAGE
+        mean = np.stack([np.add.reduceat((np.bincount(owner, table[flat, d], n_words) * part)[at], starts) for d in range(WIDTH)], 1) / PASSAGE
         both = mean @ soft + bias
         logit, weight = pooled(both[:, 1] - both[:, 0], first)
         error = (1 / (1 + np.exp(-logit)) - y) / len(y)
         d_odds = np.repeat(error, n_passages) * weight
         d_both = np.stack([-d_odds, d_odds], 1)
         d_mean = (d_both @ soft.T) / PASSAGE
-        spread = np.repeat(d_mean, widths, 0)
-        d_words = np.stack([np.bincount(at, spread[:, d], len(ids)) for d in range(WIDTH)], 1) * part[:, None]
-        d_table = np.stack([np.bincount(flat, d_words[owner, d], BUCKETS) for d in range(WIDTH)], 1) + DECAY * table
+        d_table = DECAY * table
+        for d in range(WIDTH):
+            d_word = np.bincount(at, np.repeat(d_mean[:, d], widths), n_words) * part
+            d_table[:, d] += np.bincount(flat, d_word[owner], BUCKETS)
         for (p, m, v), g in zip(state, (d_table, mean.T @ d_both, d_both.sum(0)), strict=True):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
