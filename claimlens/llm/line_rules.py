@@ -3,8 +3,8 @@
 Lines are normalised and hashed; for each host (the column source) the documents that hold a line
 are counted, and lines above the host's limit are removed. Documents that lose most of their words
 so and keep too few are rejected. Copies of a document are one document in that count: a document
-is known by the smallest hash among its other lines, so a group of copies, however large, does not
-push its own lines over the limit.
+is known by a hash of all its normalised lines in order, so a group of copies, however large, does
+not push its own lines over the limit, while different documents count apart whatever lines they share.
 """
 
 from __future__ import annotations
@@ -78,17 +78,8 @@ def _lines(docs: DataFrame) -> DataFrame:
         F.filter(F.split(F.col("text"), "\n"), lambda x: trimmed(x) != ""),
         lambda x: F.struct(line_hash(x).alias("h"), F.size(F.split(trimmed(x), SPACE_RUN)).alias("words")),
     )
-    few = let(
-        found,
-        lambda x: F.struct(
-            x.alias("lines"),
-            let(F.array_min(x["h"]), lambda a: F.struct(
-                a.alias("a"), F.coalesce(F.array_min(F.filter(x["h"], lambda h: h > a)), a).alias("b"))).alias("two"),
-        ),
-    )
-    return docs.select("doc_id", "tk", "host", few.alias("x")).select(
-        "doc_id", "tk", "host", F.col("x.two").alias("two"), F.inline("x.lines")
-    ).select("doc_id", "tk", "host", "h", "words", F.when(F.col("h") == F.col("two.a"), F.col("two.b")).otherwise(F.col("two.a")).alias("key"))
+    whole = let(found, lambda x: F.struct(x.alias("lines"), F.xxhash64(x["h"]).alias("key")))
+    return docs.select("doc_id", "tk", "host", whole.alias("x")).select("doc_id", "tk", "host", F.col("x.key").alias("key"), F.inline("x.lines"))
 
 
 def frequent_lines(docs: DataFrame, line_docs: int, line_share: float) -> DataFrame:

@@ -46,3 +46,14 @@ def test_kept_documents_keeps_columns_and_copies(spark):
     kept = line_rules.kept_documents(docs)
     assert kept.columns == docs.columns
     assert Counter(r.doc_id for r in kept.collect()) == Counter({1: 1, 2: 2, None: 1, 9: 1, 10: 1, 12: 1})
+
+
+def test_documents_that_share_two_template_lines_count_apart(spark):
+    """40 different documents hold a header and a footer, which both go; 40 copies with other case and spaces are one."""
+    header, footer = prose(60, 25), prose(61, 25)
+    rows = [(k, f"{header}\n{prose(2000 + k, 40)}\n{footer}", "s") for k in range(40)] + [(900, f"{header}\nshort own words\n{footer}", "s")]
+    copy = prose(62, 50) + "\n" + prose(63, 50)
+    rows += [(1000 + k, copy.upper().replace(" ", "  ") if k % 2 else copy, "s") for k in range(40)]
+    got = {r.doc_id: r for r in line_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(r.n_line_words == (50 if d <= 900 else 0) for d, r in got.items())
+    assert not got[900].kept and all(r.kept for d, r in got.items() if d != 900)
