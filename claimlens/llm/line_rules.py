@@ -94,15 +94,8 @@ def frequent_lines(docs: DataFrame, line_docs: int, line_share: float) -> DataFr
     )
 
 
-def quality_rules(
-    documents: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, lost_share: float = LOST_SHARE
-) -> DataFrame:
-    """doc_id, the base counts, base_failed, n_line_words (words in removed lines) and kept.
-
-    One result row for each row of documents, repeated rows included. A null text counts as empty
-    and fails the base rule; a null source is a host of its own; a null doc_id stays null. Other
-    columns are dropped. An empty table gives an empty result.
-    """
+def _judged(documents: DataFrame, line_docs: int, line_share: float, lost_share: float) -> DataFrame:
+    """The columns of quality_rules, tk, copies and gone_lines (hashes), one row for each doc_id and tk."""
     docs = documents.select(
         F.col("doc_id"), text_of("text").alias("text"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host")
     ).withColumn("tk", F.xxhash64("text", "host"))
@@ -115,7 +108,7 @@ def quality_rules(
     gone = (
         _lines(docs).join(frequent_lines(docs, line_docs, line_share), ["host", "h"])
         .groupBy(F.col("doc_id").alias("gone_id"), F.col("tk").alias("gone_tk"))
-        .agg(F.sum("words").alias("gone"))
+        .agg(F.sum("words").alias("gone"), F.collect_set("h").alias("gone_lines"))
     )
     both = base.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("tk") == F.col("gone_tk")), "left")
     lost = F.coalesce(F.expr("gone div copies"), F.lit(0)).cast("long")
@@ -124,15 +117,42 @@ def quality_rules(
         both.withColumns({"n_line_words": lost, "base_failed": failed})
         .withColumn("kept", ~F.col("base_failed") & ~(
             (F.col("n_line_words") >= F.col("n_words") * lost_share) & (F.col("n_words") - F.col("n_line_words") < MIN_WORDS)))
+    )
+
+
+def quality_rules(
+    documents: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, lost_share: float = LOST_SHARE
+) -> DataFrame:
+    """doc_id, the base counts, base_failed, n_line_words (words in removed lines) and kept.
+
+    One result row for each row of documents, repeated rows included. A null text counts as empty
+    and fails the base rule; a null source is a host of its own; a null doc_id stays null. Other
+    columns are dropped. An empty table gives an empty result.
+    """
+    return (
+        _judged(documents, line_docs, line_share, lost_share)
         .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_line_words", "kept", "tk", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy"))
         .drop("_copy")
     )
 
 
-def kept_documents(documents: DataFrame) -> DataFrame:
-    """The rows of documents that the rules keep, with all their columns."""
-    verdicts = quality_rules(documents).where("kept").select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk")).distinct()
+def kept_documents(
+    documents: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, lost_share: float = LOST_SHARE
+) -> DataFrame:
+    """The rows of documents that the rules keep, with all their columns, less the lines above the limits.
+
+    Where lines go, n_chars (if there is such a column) is the length of what is left; other texts
+    stay as they are, to the byte.
+    """
+    verdicts = _judged(documents, line_docs, line_share, lost_share).where("kept").select(
+        F.col("doc_id").alias("_id"), F.col("tk").alias("_tk"), F.col("gone_lines").alias("_gone"))
     tk = F.xxhash64(text_of("text"), F.coalesce(F.col("source").cast("string"), F.lit("")))
-    return documents.withColumn("_key", tk).join(
-        verdicts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_tk")), "left_semi"
-    ).drop("_key")
+    left = F.array_join(F.filter(
+        F.split(text_of("text"), "\n"), lambda x: (trimmed(x) == "") | ~F.array_contains(F.col("_gone"), line_hash(x))
+    ), "\n")
+    kept = documents.withColumn("_key", tk).join(verdicts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_tk")))
+    kept = kept.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left))
+    if "n_chars" in documents.columns:
+        n = F.length("text").cast(documents.schema["n_chars"].dataType)
+        kept = kept.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(n))
+    return kept.select(*documents.columns)

@@ -13,7 +13,7 @@ from claimlens.llm.common import stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go, and so do lines above the limits in the others."""
     return line_rules.kept_documents(docs)
 
 

@@ -57,3 +57,16 @@ def test_documents_that_share_two_template_lines_count_apart(spark):
     got = {r.doc_id: r for r in line_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert all(r.n_line_words == (50 if d <= 900 else 0) for d, r in got.items())
     assert not got[900].kept and all(r.kept for d, r in got.items() if d != 900)
+
+
+def test_kept_documents_lose_the_lines_above_the_limits(spark):
+    """Header and footer go from texts and n_chars; other texts, blank lines included, stay to the byte."""
+    header, footer = prose(70, 9), prose(71, 8)
+    own = {k: f"{prose(3000 + k, 30)}\n \n{prose(4000 + k, 30)}" for k in range(40)}
+    rows = [(k, f"{header.upper()}\n{t}\n  {footer}", "s", 1) for k, t in own.items()]
+    rows += [(5, rows[5][1], "s", 1), (None, rows[6][1], "s", 1), (100, f"{header}\n\n{prose(72, 40)}\n", "other", 7), (101, f"{header}\n{footer}\nfew", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int")
+    want = Counter((k, t, "s", len(t)) for k, t in own.items())
+    want.update([(5, own[5], "s", len(own[5])), (None, own[6], "s", len(own[6])), rows[-2]])
+    kept = line_rules.kept_documents(docs)
+    assert kept.schema == docs.schema and Counter(map(tuple, kept.collect())) == want
