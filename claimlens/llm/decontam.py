@@ -4,11 +4,12 @@ Documents are cut into passages of two units of UNIT words, one unit apart. A pa
 vector over the benchmark's words; the inverse document frequencies count all documents. A
 randomised SVD gives the latent space: the range of RANK random combinations of the passages of all
 documents, and of the block's items themselves. Items are compared with every passage by cosine
-there; what reaches COSINE is checked in the text around it by the longest common subsequence of words,
+there, an item of over LONG words also by each of its own passages, cut like those of documents, as
+a passage holds too little of it to be like the whole; what reaches COSINE is checked in the text around it by the longest common subsequence of words,
 and, where the item is only partly there (a paraphrase), by its answer, the last sentence.
 
-The benchmark is a stated query set: it is checked in blocks of BLOCK items, each against all
-documents, so what is sent to workers is bounded by the block.
+The benchmark is a stated query set: it is checked in blocks of BLOCK items and passages of items,
+each against all documents, so what is sent to workers is bounded by the block (an item is in one block).
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from .common import short_batches, text_of
 from .wordhash import Words, pieces, words
 
 UNIT, RANK, BLOCK = 12, 48, 256
+#: Items of more words are searched by their passages too: up to here one passage holds two fifths or more of a copy.
+LONG = 5 * UNIT
 #: Words in more than this share of the documents are left out of the vectors.
 COMMON = 0.1
 COSINE = 0.35
@@ -53,15 +56,23 @@ def common_words(item: np.ndarray, text: np.ndarray) -> int:
     return len(item) - v.bit_count()
 
 
+def n_queries(n: int) -> int:
+    """Vectors by which an item of n words is searched: the whole, and its passages if it is long."""
+    return 1 + (len(range(0, n - UNIT, UNIT)) if n > LONG else 0)
+
+
 @dataclass
 class Items:
-    """A block of the benchmark: ids, word hashes, answers' hashes, and the vocabulary of the block."""
+    """A block of the benchmark: ids, word hashes, answers' hashes, the vocabulary of the block, and what
+    is searched for: word hashes of items and their passages (queries), and the item of each (owner)."""
 
     ids: list[int]
     words: list[np.ndarray]
     answers: list[np.ndarray]
     vocabulary: np.ndarray
     may: np.ndarray
+    queries: list[np.ndarray]
+    owner: np.ndarray
 
     @classmethod
     def of(cls, rows: pd.DataFrame) -> Items:
@@ -71,7 +82,10 @@ class Items:
         vocabulary = np.unique(np.concatenate([*split(texts), np.zeros(0, np.uint64)]))
         may = np.zeros(1 << 16, bool)
         may[(vocabulary >> np.uint64(48)).astype(np.int64)] = True
-        return cls(rows["item_id"].tolist(), split(texts), split(last), vocabulary, may)
+        own = split(texts)
+        queries = own + [w[a : a + 2 * UNIT] for w in own if len(w) > LONG for a in range(0, len(w) - UNIT, UNIT)]
+        owner = np.append(np.arange(len(own)), np.repeat(np.arange(len(own)), [n_queries(len(w)) - 1 for w in own])).astype(np.int64)
+        return cls(rows["item_id"].tolist(), own, split(last), vocabulary, may, queries, owner)
 
     def find(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
         """Positions of words in the vocabulary, and their places in it."""
@@ -166,8 +180,8 @@ def latent_space(texts: DataFrame, items: Items, idf: np.ndarray, rank: int = RA
     y = np.zeros((size, rank))
     for place, row in zip(total["place"], total["y"], strict=True):
         y[place] = row
-    own = np.zeros((size, len(items.words)))
-    for k, item in enumerate(items.words):
+    own = np.zeros((size, len(items.queries)))
+    for k, item in enumerate(items.queries):
         place = np.searchsorted(items.vocabulary, item)
         np.add.at(own[:, k], place, idf[place])
     long = lambda m: m / np.maximum(np.linalg.norm(m, axis=0), 1e-9)
@@ -187,8 +201,8 @@ def _leaks(items: Items, k: int, w: Words, lo: int, hi: int) -> tuple[int, bool]
 
 def search(texts: DataFrame, items: Items, idf: np.ndarray, space: np.ndarray, cosine: float) -> DataFrame:
     """PAIRS of the documents and items of which a passage passes the cosine and the text checks."""
-    q = np.stack([idf[np.searchsorted(items.vocabulary, x)] @ space[np.searchsorted(items.vocabulary, x)] if len(x) else np.zeros(space.shape[1]) for x in items.words])
-    size = np.array([np.sqrt((idf[np.unique(np.searchsorted(items.vocabulary, x))] ** 2).sum()) if len(x) else 0 for x in items.words])
+    q = np.stack([idf[np.searchsorted(items.vocabulary, x)] @ space[np.searchsorted(items.vocabulary, x)] if len(x) else np.zeros(space.shape[1]) for x in items.queries])
+    size = np.array([np.sqrt((idf[np.unique(np.searchsorted(items.vocabulary, x))] ** 2).sum()) if len(x) else 0 for x in items.queries])
     q = (q / np.maximum(size, 1e-9)[:, None]).astype(np.float32)
     other = float((idf[idf > 0] ** 2).mean()) if (idf > 0).any() else 1.0
     shared = texts.sparkSession.sparkContext.broadcast((items, (space * idf[:, None]).astype(np.float32), idf, q))
@@ -217,7 +231,7 @@ def search(texts: DataFrame, items: Items, idf: np.ndarray, space: np.ndarray, c
         like = (both[some] @ query.T) / np.sqrt(whole[some])[:, None]
         hit, item = np.nonzero(like >= cosine)
         found: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        for h, k in zip(hit.tolist(), item.tolist(), strict=True):
+        for h, k in zip(hit.tolist(), own.owner[item].tolist(), strict=True):
             u = int(some[h])
             found.setdefault((int(of[u]), k), []).append((u, float(like[h, k])))
         for (text, k), seen in sorted(found.items()):
@@ -263,12 +277,14 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, rank: int = RANK, c
     texts = documents.select(F.col("doc_id").cast("long"), text_of("text").alias("text"))
     rows = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long"), text_of("text").alias("text"))
     out = None
-    held: list[pd.DataFrame] = []
+    held: list[tuple[int, str]] = []
+    wanted = 0
 
     def flush() -> None:
-        nonlocal out
+        nonlocal out, wanted
         items = Items.of(pd.DataFrame(held, columns=["item_id", "text"]))
         held.clear()
+        wanted = 0
         if len(items.vocabulary):
             seen, n = document_frequency(texts, items)
             idf = np.log((n + 1) / (seen + 1)).astype(np.float32) + np.float32(0.1)
@@ -283,7 +299,8 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, rank: int = RANK, c
 
     for row in rows.toLocalIterator():
         held.append((row["item_id"], row["text"]))
-        if len(held) >= block:
+        wanted += n_queries(len(_of([row["text"]]).hash))
+        if wanted >= block:
             flush()
     if held:
         flush()

@@ -71,3 +71,21 @@ def test_awkward_rows(spark):
     assert decontam.contaminated(docs, items.limit(0)).count() == 0
     assert decontam.contaminated(empty_frame(spark), items).count() == 0
     assert decontam.clean_documents(docs, items).columns == docs.columns
+
+
+def test_long_items_are_found(spark):
+    """Items of 300, 600 and 1200 words, word for word or with every sixth word changed, at any offset; half of one is no leak."""
+    sizes = {1: 300, 2: 600, 3: 1200, 4: 61}
+    items = [(k, prose(8000 + k, n), 1.0) for k, n in sizes.items()]
+    rows = []
+    for k, text, _ in items:
+        w = text.split()
+        rows += [(100 * k + j, f"{prose(9000 + 10 * k + j, 30 + j)} {text} {prose(9500 + 10 * k + j, 50)}") for j in range(0, 12, 3)]
+        rows.append((100 * k + 50, prose(9700 + k, 37) + " " + " ".join("xx" if i % 6 == 3 else x for i, x in enumerate(w))))
+        rows.append((100 * k + 60, prose(9800 + k, 37) + " " + " ".join(w[: len(w) * 2 // 5])))
+    docs = spark.createDataFrame(rows + [(9000 + k, prose(7000 + k, 300)) for k in range(200)], "doc_id long, text string")
+    want = {(100 * k + j, k) for k in sizes for j in (0, 3, 6, 9, 50)}
+    for block in (256, 20):
+        got = decontam.contaminated(docs, spark.createDataFrame(items, BENCH), block=block).collect()
+        assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
+        assert all(r.share == 1 and r.item_words == sizes[r.item_id] for r in got if r.doc_id % 100 != 50)
