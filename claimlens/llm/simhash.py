@@ -45,8 +45,8 @@ def fingerprint(text: str, size: int = SHINGLE) -> int:
     return int(np.packbits(most, bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(documents: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (long), one row for each row of documents."""
+def fingerprints(documents: DataFrame, size: int = SHINGLE, *more: Column) -> DataFrame:
+    """doc_id, fp (long) and more, one row for each row of documents."""
     short_batches(documents.sparkSession)
 
     @F.pandas_udf("long")
@@ -54,7 +54,7 @@ def fingerprints(documents: DataFrame, size: int = SHINGLE) -> DataFrame:
         for b in batches:
             yield pd.Series([fingerprint(t, size) for t in b], dtype="int64")
 
-    return documents.select(F.col("doc_id").cast("long"), fp(text_of("text")).alias("fp"))
+    return documents.select(F.col("doc_id").cast("long"), fp(text_of("text")).alias("fp"), *more)
 
 
 def _masks() -> list[int]:
@@ -98,6 +98,17 @@ def links(nodes: DataFrame, group: int = GROUP) -> DataFrame:
     return small.union(star)
 
 
+def _roots(prints: DataFrame, group: int) -> DataFrame:
+    """fp, root (the smallest fingerprint of its component), component_id; one row for each fingerprint."""
+    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    roots = components(links(nodes, group))
+    joined = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    least = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    of = stored(joined.join(least, "root").select("fp", "root", "component_id"))
+    drop_stored(nodes)
+    return of
+
+
 def near_duplicates(documents: DataFrame, size: int = SHINGLE, group: int = GROUP) -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id reachable over links, itself included).
 
@@ -107,13 +118,7 @@ def near_duplicates(documents: DataFrame, size: int = SHINGLE, group: int = GROU
     repeat share their component. An empty table gives an empty result.
     """
     prints = stored(fingerprints(documents, size))
-    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = components(links(nodes, group))
-    joined = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    least = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of = stored(joined.join(least, "root").select("fp", "component_id"))
-    drop_stored(nodes)
-    return prints.join(of, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(_roots(prints, group), "fp").select("doc_id", "fp", "component_id")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -122,11 +127,18 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def one_of_each(documents: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """The documents that have the smallest doc_id of their component, one row each.
+    """One row of each component: of those with the smallest doc_id, the text with the smallest hash.
 
-    Rows without a doc_id stay if their component has no doc_id at all.
+    Rows without a doc_id come after all others, so one stays if its component has no doc_id at all.
+    A doc_id that stands for texts of several components can stay once in each of them.
     """
-    found = near_duplicates(documents, size)
-    firsts = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
-    kept = documents.join(firsts, F.col("doc_id").cast("long").eqNullSafe(F.col("_first")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    text = F.xxhash64(text_of("text"))
+    prints = stored(fingerprints(documents, size, text.alias("th")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first")
+    firsts = (
+        prints.groupBy("fp").agg(first).join(_roots(prints, GROUP), "fp").groupBy("root").agg(F.min("first").alias("first"))
+        .select(F.col("first.doc_id").alias("_first"), F.col("first.th").alias("_th"))
+    )
+    kept = documents.withColumn("_text", text).join(
+        firsts, F.col("doc_id").cast("long").eqNullSafe(F.col("_first")) & (F.col("_text") == F.col("_th")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_text"]).drop("_text")

@@ -80,3 +80,11 @@ def test_one_of_each_and_empty(spark):
     ids = Counter(r.doc_id for r in kept.collect())
     assert ids[1] == 1 and 2 not in ids and ids[3] == 1 and 4 not in ids and max(ids.values()) == 1
     assert simhash.near_duplicates(empty_frame(spark)).count() == 0
+
+
+def test_one_of_each_component_stays_whatever_its_ids(spark):
+    """Null ids, one id with two texts, and copies of both: one row of each component, with its own text."""
+    a, b, c, d, e = (prose(70 + k, 60) for k in range(5))
+    rows = [(None, a), (None, a), (None, b), (None, c), (4, c), (3, c), (5, d), (5, e), (5, e), (6, d), (None, d)]
+    got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, got)) == Counter([(None, a), (None, b), (3, c), (5, d), (5, e)])
