@@ -45,7 +45,7 @@ STAGES = [
     ("sentencepiece", tokenise),
 ]
 
-#: SQL can't express the stages; tests/llm hold them against brute force.
+#: SQL can't express the stages; tests/llm test their operators, and no test runs the pipeline as a whole.
 ORACLE_SQL = None
 
 
