@@ -1,4 +1,4 @@
-"""Metric gates: candidate against baseline, the decision after it, checkpoint choice, means."""
+"""Metric gates: candidate against baseline, checkpoint choice; of the decision after it only the limits."""
 
 from __future__ import annotations
 
