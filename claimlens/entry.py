@@ -26,24 +26,10 @@ def query(sql: str | None = None):
     return add
 
 
-#: Queries whose plans are still too slow to be registered, with their SQL.
-SLOW: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
-
-
-def slow(sql: str):
-    """Keep a query with its SQL, but do not register it."""
-
-    def add(f):
-        SLOW[f.__name__] = (f, sql)
-        return f
-
-    return add
-
-
 @query(f"{CLAIMS} SELECT label, risk_level, audit_result, count(*) AS n_cases FROM claims GROUP BY ALL")
 def risk_label_summary(spark, sf_dir):
     """How many claims fall in each cell of anomaly, risk level and audit result."""
     return C.claims(spark, sf_dir).groupBy("label", "risk_level", "audit_result").agg(F.count("*").alias("n_cases"))
 
 
-from . import queries_data, queries_eval, queries_ops  # noqa: E402, F401  (they register their queries)
+from . import queries_data, queries_eval, queries_ops, queries_pairs  # noqa: E402, F401  (they register their queries)

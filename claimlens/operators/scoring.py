@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import held, jaccard, rate, reasons, relaxed_match, strict_match
+from ..plans.outputs import CHECKS, FIELDS
 
 RISKS = ["low", "medium", "high"]
 #: Thresholds of error attribution, and the order in which its tags and classes count.
@@ -16,73 +17,96 @@ CLASSES = ["schema_contract_failure", "model_missed_high_risk", "recognized_risk
 _TEXT = lambda x: F.coalesce(x.cast("string"), F.lit("None"))
 
 
-def _key(x: Column, *names: str) -> Column:
-    return F.struct(*(_TEXT(x[n]) for n in names))
+FULL = ("source_image_id", "source_doc_type", "field", "value")
+NOTHING = "array<struct<source_image_id:string,source_doc_type:string,field:string,value:string,bbox:array<int>,evidence_text:string>>"
 
 
-def evidence_counts(truth: Column, pred: Column) -> Column:
-    """struct of nine counts of true evidence found again: support, value, source and boxes.
+def keys(items: Column, *names: str) -> Column:
+    """One text for each item, of the named parts; null reads as the word None."""
+    return F.transform(items, lambda x: F.concat_ws("\x01", *(_TEXT(x[n]) for n in names)))
 
-    Both are array columns; a prediction that is not valid has an empty one. Without true evidence each pair is 1 of 1 if
-    nothing is predicted, else 0 of 1. A box is judged on the first prediction with the same four keys.
+
+def with_evidence_keys(rows: DataFrame, truth: Column, pred: Column, images: Column, uncertain: Column) -> DataFrame:
+    """rows with what evidence is compared by: key texts, boxes and known images, each made once for a row.
+
+    Items are compared as texts by array_contains and array_position, which search inside the engine; no lambda
+    runs inside another.
+    """
+    none = F.array().cast(NOTHING)
+    x = held(rows.withColumns({"_te": F.coalesce(truth, none), "_pe": F.coalesce(pred, none), "_uf": F.coalesce(uncertain, F.array().cast("array<string>"))}))
+    return held(x.withColumns({
+        **{f"_{s}{n}": keys(F.col(f"_{s}e"), *names) for s in "tp" for n, names in ((4, FULL), (3, FULL[:3]), (2, FULL[2:]))},
+        "_known": F.transform(images, lambda i: F.concat_ws("\x01", i["image_id"], i["doc_type"])), "_tb": F.col("_te.bbox"), "_pb": F.col("_pe.bbox"),
+    }))
+
+
+WORK = ["_te", "_pe", "_uf", "_known", "_tb", "_pb", *(f"_{s}{n}" for s in "tp" for n in (2, 3, 4))]
+
+
+def evidence_counts() -> Column:
+    """struct of nine counts of true evidence found again: support, value, source and boxes; after with_evidence_keys.
+
+    A prediction that is not valid has no evidence. Without true evidence each pair is 1 of 1 if nothing is
+    predicted, else 0 of 1. A box is judged on the first prediction with the same four keys.
     """
-    full = ("source_image_id", "source_doc_type", "field", "value")
-    hit = lambda t, *names: F.exists(pred, lambda p: _key(p, *names) == _key(t, *names))
-    first = lambda t: F.get(F.filter(pred, lambda p: _key(p, *full) == _key(t, *full)), F.lit(0))["bbox"]
-    count = lambda test: F.size(F.filter(truth, test)).cast("long")
-    empty, n = F.size(truth) == 0, F.size(truth).cast("long")
-    alone = (F.size(pred) == 0).cast("long")
-    each = {
-        "support_correct": count(lambda t: hit(t, *full)), "value_correct": count(lambda t: hit(t, "field", "value")),
-        "source_correct": count(lambda t: hit(t, "source_image_id", "source_doc_type", "field")),
-        "bbox_strict_correct": count(lambda t: strict_match(first(t), t["bbox"])), "bbox_relaxed_correct": count(lambda t: relaxed_match(first(t), t["bbox"])),
-    }
+    again = lambda n: F.size(F.filter(f"_t{n}", lambda k: F.array_contains(F.col(f"_p{n}"), k))).cast("long")
+    first = F.transform("_t4", lambda k: F.get(F.col("_pb"), (F.array_position(F.col("_p4"), k) - 1).cast("int")))
+    boxes = lambda match: F.size(F.filter(F.zip_with(first, "_tb", match), lambda ok: ok)).cast("long")
+    empty, n = F.size("_te") == 0, F.size("_te").cast("long")
+    alone = (F.size("_pe") == 0).cast("long")
+    each = {"support_correct": again(4), "value_correct": again(2), "source_correct": again(3), "bbox_strict_correct": boxes(strict_match), "bbox_relaxed_correct": boxes(relaxed_match)}
     total = F.when(empty, F.lit(1).cast("long")).otherwise(n)
     return F.struct(*(F.when(empty, alone).otherwise(v).alias(k) for k, v in each.items()), *(total.alias(f"{k}_total") for k in ("support", "value", "source", "bbox")))
 
 
-def hallucinated(truth: Column, pred: Column, images: Column, uncertain: Column) -> Column:
-    """Predicted evidence of an unknown image, a wrong document, an unreadable field, or that is not true."""
-    full = ("source_image_id", "source_doc_type", "field", "value")
-    wrong = lambda p: (
-        ~F.coalesce(F.map_contains_key(images, F.coalesce(p["source_image_id"], F.lit(""))), F.lit(False))
-        | ~F.coalesce(F.try_element_at(images, p["source_image_id"]) == p["source_doc_type"], F.lit(False))
-        | F.array_contains(uncertain, F.coalesce(p["field"], F.lit("None")))
-        | ~F.exists(truth, lambda t: _key(t, *full) == _key(p, *full))
-    )
-    return F.size(F.filter(pred, wrong)).cast("long")
+def hallucinated() -> Column:
+    """Predicted evidence of an unknown image, a wrong document, an unreadable field, or that is not true; after with_evidence_keys."""
+    wrong = F.zip_with("_p4", "_pe", lambda k, p: (
+        ~F.array_contains(F.col("_t4"), k) | ~F.array_contains(F.col("_known"), F.concat_ws("\x01", _TEXT(p["source_image_id"]), _TEXT(p["source_doc_type"])))
+        | F.array_contains(F.col("_uf"), _TEXT(p["field"]))
+    ))
+    return F.size(F.filter(wrong, lambda w: w)).cast("long")
+
+
+def fields_correct(truth: Column, pred: Column) -> Column:
+    """How many of the twenty fields are as they should be; two nulls are equal."""
+    return sum((truth[f].eqNullSafe(pred[f]).cast("long") for f in FIELDS), F.lit(0).cast("long"))
+
 
+def checks_correct(truth: Column, pred: Column) -> Column:
+    return sum((truth[c].eqNullSafe(pred[c]).cast("long") for c in CHECKS), F.lit(0).cast("long"))
 
-def score(pairs: DataFrame) -> DataFrame:
-    """Case scores of rows (case_id, model, answer, images, json_valid, schema_valid, pred).
+
+def last_prediction(truth: DataFrame, predictions: DataFrame, by: list[str], order: str) -> DataFrame:
+    """truth with the columns of its last prediction (of the highest order); no prediction leaves them null, others are ignored."""
+    rest = [c for c in predictions.columns if c not in by]
+    last = predictions.groupBy(*by).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_last"))
+    return truth.join(last, by, "left").select(*truth.columns, *(F.col(f"_last.{c}").alias(c) for c in rest if c != order and c not in truth.columns))
+
+
+def score(pairs: DataFrame, *keep: str) -> DataFrame:
+    """Case scores of rows (case_id, model, answer, images, json_valid, schema_valid, pred), and the columns to keep.
 
     answer and pred are nested answers; pred counts only where schema_valid. Numerators of other rows
     are 0, denominators those of the truth; a missing prediction is one with both flags false.
     """
-    pairs = held(pairs)
-    t, valid = F.col("answer"), F.coalesce(F.col("schema_valid"), F.lit(False))
-    p = F.col("pred")
-    none = F.array().cast("array<string>")
-    names = F.col("_names")
-    same = F.filter(names, lambda k: F.try_element_at(F.col("_tf"), k).eqNullSafe(F.try_element_at(F.col("_pf"), k)))
-    checks = ["amount_consistent", "merchant_consistent", "person_consistent", "date_reasonable", "order_id_consistent", "payment_id_present", "document_complete", "duplicate_in_batch"]
-    agree = sum((t["consistency_check"][c].eqNullSafe(p["consistency_check"][c]).cast("long") for c in checks), F.lit(0).cast("long"))
-    zero = F.lit(0).cast("long")
-    base = held(pairs.withColumn("pred", F.when(valid, F.col("pred"))))
-    #: Arrays that lambdas name are columns of their own, or each element would compute them again.
-    nothing = F.filter(t["evidence"], lambda x: F.lit(False))
-    base = held(base.select("*", t["evidence"].alias("_te"), F.coalesce(p["evidence"], nothing).alias("_pe"), t["uncertainty"]["uncertain_fields"].alias("_uf"), t["field_extraction"].alias("_tf"), p["field_extraction"].alias("_pf"), F.map_keys(t["field_extraction"]).alias("_names")))
+    valid = F.coalesce(F.col("schema_valid"), F.lit(False))
+    none, zero = F.array().cast("array<string>"), F.lit(0).cast("long")
+    base = pairs.select(
+        "case_id", "model", *keep, F.col("answer").alias("_true"), F.col("images").alias("_images"), F.coalesce("json_valid", F.lit(False)).alias("json_valid"), valid.alias("schema_valid"),
+        F.when(valid, F.col("pred")).alias("_said"),
+    )
+    t, p = F.col("_true"), F.col("_said")
+    base = with_evidence_keys(held(base), t["evidence"], p["evidence"], F.col("_images"), t["uncertainty"]["uncertain_fields"])
+    valid = F.col("schema_valid")
     base = base.select(
-        "case_id", "model", F.coalesce("json_valid", F.lit(False)).alias("json_valid"), valid.alias("schema_valid"),
+        "case_id", "model", *keep, "json_valid", "schema_valid", t["anomaly_types"].alias("true_anomalies"), p["anomaly_types"].alias("pred_anomalies"),
         t["risk_level"].alias("true_risk"), t["audit_result"].alias("true_audit"), p["risk_level"].alias("pred_risk"), p["audit_result"].alias("pred_audit"),
-        F.when(valid, F.size(same).cast("long")).otherwise(zero).alias("field_correct"), F.size(names).cast("long").alias("field_total"),
-        F.when(valid, agree).otherwise(zero).alias("consistency_correct"), F.lit(len(checks)).cast("long").alias("consistency_total"),
-        jaccard(t["anomaly_types"], F.coalesce(p["anomaly_types"], none)).alias("anomaly_score"),
-        evidence_counts(F.col("_te"), F.col("_pe")).alias("e"),
-        F.when(valid, hallucinated(F.col("_te"), F.col("_pe"), F.col("images"), F.col("_uf"))).otherwise(zero).alias("hallucinated"),
-        F.when(valid, F.size(p["evidence"]).cast("long")).otherwise(zero).alias("hallucination_total"), p["reason"].alias("_reason"),
+        F.when(valid, fields_correct(t["field_extraction"], p["field_extraction"])).otherwise(zero).alias("field_correct"), F.lit(len(FIELDS)).cast("long").alias("field_total"),
+        F.when(valid, checks_correct(t["consistency_check"], p["consistency_check"])).otherwise(zero).alias("consistency_correct"), F.lit(len(CHECKS)).cast("long").alias("consistency_total"),
+        evidence_counts().alias("e"), F.when(valid, hallucinated()).otherwise(zero).alias("hallucinated"), F.size("_pe").cast("long").alias("hallucination_total"), p["reason"].alias("_reason"),
     )
-    base = held(base).select("*", "e.*").drop("e")
+    base = held(base).select("*", "e.*", jaccard(F.col("true_anomalies"), F.coalesce("pred_anomalies", none)).alias("anomaly_score")).drop("e")
     high, seen = F.col("true_risk") == "high", F.col("schema_valid")
     missed = ~F.coalesce(F.col("pred_risk") == "high", F.lit(False)) | F.coalesce(F.col("pred_audit") == "pass", F.lit(False))
     right = F.coalesce(F.col("pred_audit") == F.col("true_audit"), F.lit(False))

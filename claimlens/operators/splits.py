@@ -26,23 +26,28 @@ def template_group(split: str = "split"):
     return F.element_at(F.create_map(*pairs), F.col(split))
 
 
-def assign_splits(claims: DataFrame, weights: dict[str, int] = SPLITS, salt: int | str = SALT) -> DataFrame:
-    """claims with split: hard labels fill the hard split up to its quota, then the rest is cut in order.
+def assign_splits(labels: DataFrame, weights: dict[str, int] = SPLITS, salt: int | str = SALT, rows: int | None = None) -> DataFrame:
+    """case_id, label and split of rows (case_id, label): hard labels fill the hard split up to its quota, then the rest is cut in order.
 
-    Too few hard labels are made up from the head of the rest. Quotas follow largest remainders.
+    Too few hard labels are made up from the head of the rest. Quotas follow largest remainders. One ranking does: with r a
+    row's rank and h the hard labels up to it, the first `quota` hard labels are picked, and the rank among the rest is r
+    less the picked ones before it, the lesser of h and the quota.
     """
-    quotas = quota_table(claims.agg(F.count("*").alias("n")), weights)
+    rows = labels.count() if rows is None else rows
+    n_hard = labels.agg(F.count_if(F.col("label").isin(HARD_LABELS)).alias("_got"))
+    quotas = quota_table(labels.sparkSession.range(1).select(F.lit(rows).cast("bigint").alias("n")), weights)
     hard = F.broadcast(quotas.where(F.col("label") == HARD_SPLIT).select(F.col("quota").alias("_hard_quota")))
-    ranked = global_rank(claims.withColumn("_able", F.col("label").isin(HARD_LABELS)), "case_id", salt, ["_able"], "_r1").crossJoin(hard)
-    picked = ranked.withColumn("_hard", F.col("_able") & (F.col("_r1") <= F.col("_hard_quota")))
-    rest = global_rank(picked, "case_id", salt, ["_hard"], "_r2")
-    got = claims.where(F.col("label").isin(HARD_LABELS)).agg(F.count("*").alias("_got"))
-    each = quotas.crossJoin(F.broadcast(got)).select(
+    slim = labels.select("case_id", "label")
+    able = F.coalesce(F.col("label").isin(HARD_LABELS), F.lit(False))
+    ranked = global_rank(slim, "case_id", salt, name="_r", flag=able, rows=rows).crossJoin(hard)
+    picked = able & (F.col("_r_flagged") <= F.col("_hard_quota"))
+    ranked = ranked.withColumn("_at", F.when(picked, F.lit(-1)).otherwise(F.col("_r") - F.least("_r_flagged", "_hard_quota")))
+    each = quotas.crossJoin(F.broadcast(n_hard)).select(
         "label", F.when(F.col("label") == HARD_SPLIT, -1).otherwise(F.col("pos")).alias("pos"),
         F.when(F.col("label") == HARD_SPLIT, F.greatest(F.col("quota") - F.col("_got"), F.lit(0))).otherwise(F.col("quota")).alias("quota"),
     )
     upto = Window.partitionBy(F.lit(0)).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     ranges = each.withColumn("hi", F.sum("quota").over(upto)).select(F.col("label").alias("split"), (F.col("hi") - F.col("quota")).alias("lo"), "hi")
-    cut = rest.where(~F.col("_hard")).join(F.broadcast(ranges), (F.col("_r2") > F.col("lo")) & (F.col("_r2") <= F.col("hi"))).drop("lo", "hi")
-    both = cut.unionByName(rest.where("_hard").withColumn("split", F.lit(HARD_SPLIT)))
-    return both.drop("_able", "_r1", "_hard_quota", "_hard", "_r2")
+    taken = labels.sparkSession.createDataFrame([(HARD_SPLIT, -2, -1)], "split string, lo bigint, hi bigint")
+    cuts = F.broadcast(ranges.union(taken))
+    return ranked.join(cuts, (F.col("_at") > F.col("lo")) & (F.col("_at") <= F.col("hi"))).select("case_id", "label", "split")

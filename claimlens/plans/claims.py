@@ -26,9 +26,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def base_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One consistent claim for each order."""
-    orders, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+def case_id(key: Column) -> Column:
+    return F.concat(F.lit("MV_ORD_"), F.lpad(key.cast("string"), 9, "0"))
+
+
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders with case_id and the anomaly label that its hash rank falls to; orders are read alone, before any join."""
+    orders = table(spark, sf_dir, "orders").withColumn("case_id", case_id(F.col("o_orderkey")))
+    n = orders.count()
+    ranked = global_rank(orders, "case_id", LABEL_SALT, name="label_rank", counted=orders.select("case_id"), rows=n)
+    return by_quota(ranked, quota_table(spark.range(1).select(F.lit(n).cast("bigint").alias("n")), SHARES), "label_rank")
+
+
+def base_claims(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
+    """One consistent claim for each order; label and label_rank are kept if the orders have them."""
+    orders = table(spark, sf_dir, "orders") if orders is None else orders
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey").join(
         F.broadcast(table(spark, sf_dir, "nation").select("n_nationkey", "n_name")), F.col("s_nationkey") == F.col("n_nationkey")
     )
@@ -42,10 +55,11 @@ def base_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = lambda d, tag, m: F.date_add(d, F.pmod(draw(id_, tag), F.lit(m)).cast("int"))
     x = x.withColumns({"order_date": F.to_date("o_orderdate"), "amount": (F.round(F.col("o_totalprice").cast("decimal(20,6)"), 2) * 100).cast("bigint")})
     x = x.withColumn("payment_date", day(F.col("order_date"), "payment", 4))
-    x = x.withColumn("invoice_date", day(F.col("payment_date"), "invoice", 6)).withColumn("application_date", day(F.col("payment_date"), "application", 15))
+    x = x.withColumn("invoice_date", day(F.col("payment_date"), "invoice", 6))
+    x = x.withColumn("application_date", day(F.col("invoice_date"), "application", 15))
     tail = F.concat(F.date_format("order_date", "yyyyMMdd"), F.lpad((id_ % 1_000_000).cast("string"), 6, "0"))
     return x.select(
-        id_.alias("id"), F.concat(F.lit("MV_ORD_"), F.lpad(id_.cast("string"), 9, "0")).alias("case_id"),
+        id_.alias("id"), case_id(id_).alias("case_id"), *(c for c in ("label", "label_rank") if c in orders.columns),
         *(F.col("c_name").alias(c) for c in ("applicant", "payer", "order_user")),
         *(F.col("s_name").alias(c) for c in ("merchant", "invoice_merchant", "payment_merchant", "order_merchant")),
         F.array(F.concat(F.col("s_name"), F.lit(" "), F.col("n_name"))).alias("aliases"), F.col("o_orderpriority").alias("expense_type"),
@@ -55,13 +69,6 @@ def base_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def labelled(claims: DataFrame) -> DataFrame:
-    """claims with the anomaly label that their hash rank falls to."""
-    ranked = global_rank(claims, "case_id", LABEL_SALT, name="label_rank")
-    quotas = quota_table(claims.agg(F.count("*").alias("n")), SHARES)
-    return by_quota(ranked, quotas, "label_rank")
-
-
 def delta(amount: Column, small: Column) -> Column:
     """Cents by which an amount is off: 3 % within 1 to 80, or 12 % and at least 150."""
     return F.when(small, F.greatest(F.lit(100), F.least(F.lit(8000), F.expr("(invoice_amount * 3 + 50) div 100")))).otherwise(
@@ -149,4 +156,4 @@ def judged(claims: DataFrame) -> DataFrame:
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Derived, labelled, injected and judged claims."""
-    return held(judged(held(injected(labelled(base_claims(spark, sf_dir))))))
+    return held(judged(held(injected(base_claims(spark, sf_dir, labels(spark, sf_dir))))))

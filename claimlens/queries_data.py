@@ -52,7 +52,7 @@ def risk_reason_counts(spark, sf_dir):
 @query(f"{CLAIMS} SELECT q.label, q.quota::BIGINT AS quota, count(claims.case_id) AS n FROM quotas q LEFT JOIN claims USING (label) GROUP BY ALL")
 def anomaly_allocation(spark, sf_dir):
     """Quota of each label by largest remainder, and the claims that got it."""
-    c = C.labelled(C.base_claims(spark, sf_dir))
+    c = C.labels(spark, sf_dir)
     q = ranking.quota_table(C.table(spark, sf_dir, "orders").agg(F.count("*").alias("n")), C.SHARES)
     return q.join(c.groupBy("label").agg(F.count("*").alias("n")), "label", "left").select("label", "quota", F.coalesce("n", F.lit(0)).alias("n"))
 
@@ -60,20 +60,20 @@ def anomaly_allocation(spark, sf_dir):
 @query(f"{SPLITS} SELECT case_id, split FROM splits")
 def split_assignment(spark, sf_dir):
     """The split of every claim."""
-    return splits.assign_splits(C.claims(spark, sf_dir)).select("case_id", "split")
+    return splits.assign_splits(C.labels(spark, sf_dir)).select("case_id", "split")
 
 
 @query(f"{SPLITS} SELECT split, label, risk_level, count(*) AS n FROM splits GROUP BY GROUPING SETS ((split), (split, label), (split, risk_level), ())")
 def split_distribution(spark, sf_dir):
     """Counts by split, by split and label, by split and risk, and over all."""
-    x = splits.assign_splits(C.claims(spark, sf_dir))
+    x = splits.assign_splits(C.labels(spark, sf_dir)).join(C.claims(spark, sf_dir).select("case_id", "risk_level"), "case_id")
     every = [F.col("split"), F.col("label"), F.col("risk_level")]
     return x.groupingSets([[every[0]], every[:2], [every[0], every[2]], []], *every).agg(F.count("*").alias("n")).select("split", "label", "risk_level", "n")
 
 
 @query(f"""{CLAIMS}, sizes AS (SELECT risk_level, audit_result, count(*) AS size FROM claims GROUP BY ALL),
 quota AS (SELECT *, 200 * size // sum(size) OVER () AS base, 200 * size % sum(size) OVER () AS frac FROM sizes),
-full_quota AS (SELECT risk_level, audit_result, base + CASE WHEN row_number() OVER (ORDER BY frac DESC, size DESC, risk_level, audit_result) <= 200 - sum(base) OVER () THEN 1 ELSE 0 END AS quota FROM quota),
+full_quota AS (SELECT risk_level, audit_result, base + CASE WHEN row_number() OVER (ORDER BY frac DESC, risk_level DESC, audit_result DESC) <= 200 - sum(base) OVER () THEN 1 ELSE 0 END AS quota FROM quota),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY risk_level, audit_result ORDER BY sha256('7:' || case_id), case_id) AS rank FROM claims)
 SELECT case_id, risk_level, audit_result FROM ranked JOIN full_quota USING (risk_level, audit_result) WHERE rank <= quota""")
 def stratified_manifest(spark, sf_dir):
@@ -138,12 +138,14 @@ def image_inventory(spark, sf_dir):
     return a.groupBy("doc_type").agg(F.count_distinct("image_id").alias("n_images"), F.count_distinct(F.when(F.col("duplicate_of_image_id").isNotNull(), F.col("image_id"))).alias("n_copies"), F.count_distinct("case_id").alias("n_cases"))
 
 
-@query(f"""{ANNOTATIONS}, found AS (SELECT case_id, field, bool_or(readable) AS ok, min(value) FILTER (doc_type <> 'order' OR field <> 'order_id') AS v FROM annotations GROUP BY ALL),
+CELLS = f"""{ANNOTATIONS}, found AS (SELECT case_id, field, bool_or(readable) AS ok, min(value) FILTER (doc_type <> 'order' OR field <> 'order_id') AS v FROM annotations GROUP BY ALL),
 cells AS (
   SELECT c.case_id, f.field, CASE WHEN f.field = 'merchant' THEN c.merchant WHEN found.ok AND NOT list_contains(c.unreadable_fields, f.field) THEN CASE WHEN f.field = 'order_id' THEN c.order_id ELSE found.v END END AS value
   FROM claims c, (SELECT unnest([{', '.join(f"'{f}'" for f in O.FIELDS)}]) AS field) f LEFT JOIN found ON found.case_id = c.case_id AND found.field = f.field
-)
-SELECT field, count(*) AS n, count(value) AS n_values, count(DISTINCT value) AS n_distinct, min(value) AS least, max(value) AS most FROM cells GROUP BY ALL""")
+)"""
+
+
+@query(f"{CELLS} SELECT field, count(*) AS n, count(value) AS n_values, count(DISTINCT value) AS n_distinct, min(value) AS least, max(value) AS most FROM cells GROUP BY ALL")
 def field_extraction(spark, sf_dir):
     """The twenty extracted fields: how many claims have them, and their values' range."""
     c = C.claims(spark, sf_dir)
@@ -159,28 +161,29 @@ def consistency_flags(spark, sf_dir):
     return C.claims(spark, sf_dir).select("case_id", *O.consistency_checks())
 
 
-EVIDENCE = f"""{ANNOTATIONS}, wanted(label, field) AS (VALUES {', '.join(f"('{k}', '{f}')" for k, v in O.EVIDENCE.items() for f in v)}),
+WANTED = f"""wanted(label, field) AS (VALUES {', '.join(f"('{k}', '{f}')" for k, v in O.EVIDENCE.items() for f in v)}),
 evidence AS (
   SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY doc_type, field, image_id) AS pos, image_id, doc_type, field, value, b0, b1, b2, b3 FROM boxed b
   WHERE readable AND copy = 0 AND (field IN ({', '.join(f"'{f}'" for f in O.ALWAYS)}) OR EXISTS (SELECT 1 FROM wanted w WHERE list_contains(b.anomaly_types, w.label) AND w.field = b.field))
   QUALIFY pos <= 24
 )"""
+EVIDENCE = f"{ANNOTATIONS}, {WANTED}"
 
 
 @query(f"{EVIDENCE} SELECT case_id, pos, image_id, field, value, b0 + 1001 * b1 AS p, b2 + 1001 * b3 AS q FROM evidence")
 def evidence_topk(spark, sf_dir):
-    """The evidence records of every claim, in order, up to 24."""
-    c = C.claims(spark, sf_dir)
-    b = lambda k: F.get("bbox", F.lit(k))
-    return O.evidence(c, O.annotations(c)).select("case_id", "pos", "image_id", "field", "value", (b(0) + 1001 * b(1)).alias("p"), (b(2) + 1001 * b(3)).alias("q"))
+    """The evidence records of every claim, in order, up to 24; laid out within the row, so no record is shuffled or sorted."""
+    e = O.answers(C.claims(spark, sf_dir)).select("case_id", F.posexplode("answer.evidence").alias("pos", "e"))
+    b = lambda k: F.get("e.bbox", F.lit(k))
+    return e.select("case_id", (F.col("pos") + 1).alias("pos"), F.col("e.source_image_id").alias("image_id"), "e.field", "e.value", (b(0) + 1001 * b(1)).alias("p"), (b(2) + 1001 * b(3)).alias("q"))
 
 
-@query(f"""{CLAIMS} SELECT case_id, 100 * (risk_level = 'high')::INT + 50 * (label IN ('order_id_mismatch', 'over_reimbursement', 'duplicate_in_batch'))::INT + 20 * (audit_result <> 'pass')::INT AS score
+@query(f"""{CLAIMS} SELECT case_id, 100 * (risk_level = 'high')::INT + 50 * (label IN ('over_reimbursement', 'merchant_mismatch', 'applicant_mismatch', 'order_id_mismatch', 'missing_document', 'unreadable_image'))::INT + 20 * (audit_result <> 'pass')::INT AS score
 FROM claims ORDER BY score DESC, case_id LIMIT 100""")
 def grpo_priority_topn(spark, sf_dir):
     """The 100 claims of the highest training priority."""
     flag = lambda c, n: c.cast("int") * n
-    score = flag(F.col("risk_level") == "high", 100) + flag(F.col("label").isin("order_id_mismatch", "over_reimbursement", "duplicate_in_batch"), 50) + flag(F.col("audit_result") != "pass", 20)
+    score = flag(F.col("risk_level") == "high", 100) + flag(F.arrays_overlap("anomaly_types", F.array(*map(F.lit, O.PRIORITY))), 50) + flag(F.col("audit_result") != "pass", 20)
     return C.claims(spark, sf_dir).select("case_id", score.alias("score")).orderBy(F.desc("score"), "case_id").limit(100)
 
 
@@ -190,7 +193,7 @@ SELECT conv_id, turn, sha256(coalesce(role, '') || ': ' || coalesce(text, '')) A
 def sft_examples(spark, sf_dir):
     """Every conversation turn with a task by position and a validation cut."""
     t = C.table(spark, sf_dir, "conversations").withColumn("key", F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string")))
-    r = ranking.global_rank(t, "key", 11, name="rank").crossJoin(F.broadcast(t.agg(F.count("*").alias("n")))).withColumn("pos", F.col("rank") - 1)
+    r = ranking.global_rank(t, "key", 11, name="rank", counted=t.select("key")).crossJoin(F.broadcast(t.agg(F.count("*").alias("n")))).withColumn("pos", F.col("rank") - 1)
     part = F.col("pos") * 100
     task = F.when(part < F.col("n") * 60, "full_audit").when(part < F.col("n") * 85, "field_extraction").otherwise("consistency_check")
     message = F.sha2(F.concat(F.coalesce("role", F.lit("")), F.lit(": "), F.coalesce("text", F.lit(""))), 256)
@@ -205,3 +208,56 @@ def few_shot_prefix(spark, sf_dir):
     first = t.select(hash_order("key", 12).alias("h"), "key", F.concat("role", F.lit(": "), "text").alias("line")).orderBy("h", "key").limit(4)
     rows = F.sort_array(F.collect_list(F.struct("h", "key", "line")))
     return first.agg(F.array_join(F.transform(rows, lambda x: x["line"]), "\n").alias("prefix"), F.count("*").alias("n"))
+
+
+def _texts(spark, sf_dir):
+    """Claims with their answers, images and prompts."""
+    return O.answers(C.claims(spark, sf_dir)).withColumn("prompt", O.prompt())
+
+
+NAMES_SQL = "CASE d " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in O.DOCUMENT_NAMES.items()) + " ELSE d END"
+MISSING_SQL = "list_filter(['invoice', 'payment', 'reimbursement_form', 'order'], lambda d: NOT list_contains(documents, d))[1]"
+PROMPTS = f"""{CLAIMS}, reasons_of AS (
+  SELECT *, CASE WHEN len(anomaly_types) = 0 THEN '{O.ALL_AGREE}'
+    WHEN label = 'missing_document' THEN '{O.REASON_MISSING[0]}' || (SELECT {NAMES_SQL} FROM (SELECT {MISSING_SQL} AS d)) || '{O.REASON_MISSING[1]}'
+    WHEN label = 'unreadable_image' THEN '{O.REASON_UNREADABLE[0]}' || array_to_string(unreadable_fields, '、') || '{O.REASON_UNREADABLE[1]}'
+    ELSE '{O.REASON_FOUND[0]}' || array_to_string(anomaly_types, '、') || '{O.REASON_FOUND[1]}' || risk_level || '{O.REASON_FOUND[2]}' || audit_result || '{O.REASON_FOUND[3]}' END AS reason FROM claims
+), lines AS (
+  SELECT case_id, d, k, pos FROM (SELECT case_id, unnest(documents) AS d, '00' AS k, unnest(range(len(documents))) AS pos FROM claims)
+  UNION ALL SELECT case_id, duplicate_document, '01', 9 FROM claims WHERE duplicate_document IS NOT NULL
+), images AS (
+  SELECT case_id, string_agg('- ' || case_id || '_' || d || '_' || k || ': ' || {NAMES_SQL} || ' (' || d || '), path=images/' || case_id || '_' || d || '_' || k || '.png', chr(10) ORDER BY pos) AS lines FROM lines GROUP BY 1
+)"""
+_HEAD_SQL = "'" + O.PROMPT_HEAD.replace("\n", "' || chr(10) || '") + "'"
+
+
+@query(f"""{PROMPTS} SELECT case_id, reason, len(unreadable_fields) > 0 OR NOT evidence_sufficient AS has_uncertain_fields, audit_result IN ('manual_review', 'missing_info') AS requires_manual_review,
+  sha256({_HEAD_SQL} || lines || chr(10) || chr(10) || '任务：{O.TASK}' || chr(10) || 'case_id=' || case_id) AS prompt_sha256 FROM reasons_of JOIN images USING (case_id)""")
+def audit_answers(spark, sf_dir):
+    """Reason, uncertainty and prompt of every claim's answer."""
+    x = _texts(spark, sf_dir)
+    return x.select("case_id", "answer.reason", "answer.uncertainty.has_uncertain_fields", "answer.uncertainty.requires_manual_review", F.sha2("prompt", 256).alias("prompt_sha256"))
+
+
+@query(f"""{CLAIMS}, t AS (SELECT *, row_number() OVER (ORDER BY 100 * (risk_level = 'high')::INT + 50 * list_has_any(anomaly_types, [{', '.join(f"'{a}'" for a in O.PRIORITY)}])::INT + 20 * (audit_result <> 'pass')::INT DESC, case_id) AS r FROM claims)
+SELECT case_id || '_grpo' AS id, risk_level = 'high' AS high_risk, list_has_any(anomaly_types, [{', '.join(f"'{a}'" for a in O.PRIORITY)}]) AS priority_anomaly, label = 'missing_document' AS missing_document, label = 'unreadable_image' AS unreadable_image,
+  (SELECT sum(len(f)) FROM (SELECT CASE d WHEN 'invoice' THEN range(6) WHEN 'payment' THEN range(5) WHEN 'reimbursement_form' THEN range(5) ELSE range(6) END AS f FROM (SELECT unnest(t.documents) AS d)))::INT
+  - (SELECT count(*) FROM (SELECT unnest([{', '.join(f"'{d}:{f}'" for d, fields in O.LAYOUT.items() for f in fields)}]) AS x) WHERE list_contains(t.documents, split_part(x, ':', 1)) AND list_contains(t.unreadable_fields, split_part(x, ':', 2)))::INT AS n_records
+FROM t WHERE r <= 100""")
+def grpo_prompts(spark, sf_dir):
+    """Training prompts of the 100 claims of the highest priority, with their tags and how many records back them."""
+    c = C.claims(spark, sf_dir)
+    x = O.grpo_prompts(c, O.annotations(c), 100)
+    return x.select("id", "reward_tags.*", F.size("ground_truth.bbox_records").alias("n_records"))
+
+
+AUGMENTED = "('0x' || substr(sha256(case_id), 1, 8))::BIGINT + 42"
+
+
+@query(f"""{SPLITS} SELECT split, CASE WHEN split = 'test_robust' THEN 'robust' WHEN split = 'train' AND ({AUGMENTED}) % 3 = 0 THEN 'light' ELSE 'none' END AS augmentation,
+  CASE WHEN split IN ('train', 'val_in_template') THEN 'train' WHEN split = 'val_unseen_template' THEN 'val' WHEN split = 'test_unseen_template' THEN 'strong_generalization_test' ELSE 'standard_test' END AS template_group,
+  count(*) AS n FROM splits GROUP BY ALL""")
+def split_augmentation(spark, sf_dir):
+    """Claims by split, template group and augmentation."""
+    x = splits.assign_splits(C.labels(spark, sf_dir))
+    return x.groupBy("split", O.augmentation("split", "case_id").alias("augmentation"), splits.template_group().alias("template_group")).agg(F.count("*").alias("n"))

@@ -5,20 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .entry import query, slow
+from .entry import query
+from .functions import contract
 from .functions.exprs import draw
-from .operators import gates, scoring
+from .operators import comparison, gates, repair, scoring
 from .plans import claims as C
 from .plans import outputs as O
 from .plans import predictions as P
-from .queries_data import EVIDENCE
+from .queries_data import CELLS, WANTED
 from .sql import u
 
 MODELS = ("base", "cand")
 
 
-def scores(spark, sf_dir, models=MODELS) -> DataFrame:
-    return scoring.score(P.predictions(O.answers(C.claims(spark, sf_dir)), list(models)))
+def pairs(spark, sf_dir, models=MODELS) -> DataFrame:
+    """Answers of all claims beside predictions of each model."""
+    return P.predictions(O.answers(C.claims(spark, sf_dir)), list(models))
+
+
+def scores(spark, sf_dir, models=MODELS, *keep: str) -> DataFrame:
+    return scoring.score(pairs(spark, sf_dir, models), *keep)
 
 
 def _iou(a: str, b: str) -> str:
@@ -28,43 +34,64 @@ def _iou(a: str, b: str) -> str:
     return f"coalesce(({w} * {h})::DOUBLE / nullif({area(a)} + {area(b)} - {w} * {h}, 0), 0)"
 
 
-SCORES = f"""{EVIDENCE}, modes AS (
-  SELECT c.*, model, ('0x' || substr(sha256('42:' || case_id || ':mode-' || model), 1, 8))::BIGINT % 11 AS mode FROM claims c, (VALUES ('base'), ('cand')) AS m(model)
-), preds AS (
-  SELECT case_id, model, mode, label, risk_level AS true_risk, audit_result AS true_audit, mode <> 4 AS json_valid, mode NOT IN (4, 5) AS schema_valid,
-    CASE WHEN mode IN (4, 5) THEN NULL WHEN mode = 7 THEN 'low' ELSE risk_level END AS pred_risk,
-    CASE WHEN mode IN (4, 5) THEN NULL WHEN mode = 7 THEN 'pass' WHEN mode = 6 THEN CASE WHEN audit_result = 'pass' THEN 'manual_review' ELSE 'pass' END ELSE audit_result END AS pred_audit,
-    CASE WHEN label = 'none' THEN 1.0 WHEN mode IN (4, 5, 7) THEN 0.0 ELSE 1.0 END AS anomaly_score
+def _fake(mode: str) -> str:
+    image, document, field, value, box, _ = P.FAKE_EVIDENCE[mode]
+    return f"SELECT case_id, model, '{image}', '{document}', '{field}', '{value}', {', '.join(map(str, box))} FROM preds WHERE mode = '{mode}'"
+
+
+def scores_sql(models=MODELS, also: str = "") -> str:
+    """Modes, predictions and scores of claims as relations: cells, checks and evidence are compared row by row."""
+    of_models = ", ".join(f"('{m}')" for m in models)
+    drawn = lambda tag: f"('0x' || substr(sha256('42:' || case_id || ':{tag}-' || model), 1, 8))::BIGINT"
+    names = ", ".join(f"'{m}'" for m in P.MODES)
+    box = ", ".join(f"CASE WHEN mode = 'wrong_bbox' AND pos = 1 THEN {v} ELSE b{k} END AS p{k}" for k, v in enumerate(P.FAKE_BOX))
+    return f"""{CELLS}, {WANTED}, drawn AS (SELECT c.*, model, [{names}][({drawn('mode')} % {len(P.MODES)} + 1)::INT] AS d, {drawn('other')} % 2 AS o FROM claims c, (VALUES {of_models}) AS m(model)
+), modes AS (
+  SELECT * EXCLUDE (d, o), CASE WHEN d = 'high_risk_pass' AND risk_level <> 'high' THEN 'wrong_bbox' WHEN d = 'false_manual_review' AND audit_result <> 'pass' THEN 'wrong_evidence_source'
+    WHEN d = 'unreadable_but_guess' AND len(unreadable_fields) = 0 THEN CASE WHEN o = 0 THEN 'wrong_evidence_source' ELSE 'hallucinated_field' END ELSE d END AS mode FROM drawn
+){also}, preds AS (
+  SELECT case_id, model, mode, label, risk_level AS true_risk, audit_result AS true_audit, anomaly_types, unreadable_fields, evidence_sufficient, mode <> 'json_invalid' AS json_valid, mode NOT IN ('json_invalid', 'schema_invalid') AS schema_valid,
+    CASE WHEN mode IN ('json_invalid', 'schema_invalid') THEN NULL WHEN mode = 'high_risk_pass' THEN 'low' ELSE risk_level END AS pred_risk,
+    CASE WHEN mode IN ('json_invalid', 'schema_invalid') THEN NULL WHEN mode = 'high_risk_pass' THEN 'pass' WHEN mode = 'false_manual_review' THEN 'manual_review' ELSE audit_result END AS pred_audit,
+    CASE WHEN label = 'none' OR mode NOT IN ('json_invalid', 'schema_invalid') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS anomaly_score,
+    [label NOT IN ('amount_mismatch', 'over_reimbursement'), label <> 'merchant_mismatch', label <> 'applicant_mismatch', label <> 'date_mismatch', label <> 'order_id_mismatch', list_contains(documents, 'payment'), label <> 'missing_document', label = 'duplicate_in_batch'] AS tc,
+    [label NOT IN ('amount_mismatch', 'over_reimbursement'), label <> 'merchant_mismatch', label <> 'applicant_mismatch', label <> 'date_mismatch', label <> 'order_id_mismatch', list_contains(documents, 'payment'),
+     label <> 'missing_document' OR mode = 'missing_doc_fake_bbox', label = 'duplicate_in_batch'] AS pc
   FROM modes
+), fc AS (
+  SELECT case_id, model, count(*) FILTER (value IS NOT DISTINCT FROM CASE WHEN mode = 'hallucinated_field' AND field = 'payment_id' THEN '{P.FAKE_PAYMENT}'
+    WHEN mode = 'unreadable_but_guess' AND list_contains(unreadable_fields, field) THEN '{P.GUESS}' ELSE value END) AS field_correct FROM preds JOIN cells USING (case_id) WHERE schema_valid GROUP BY ALL
 ), pe AS (
-  SELECT case_id, model, CASE WHEN mode = 10 AND pos = 1 THEN 'ghost' ELSE image_id END AS image_id, doc_type, field, value,
-    b0 + s AS p0, b1 + s AS p1, b2 + s AS p2, b3 + s AS p3
-  FROM evidence JOIN (SELECT case_id, model, mode, CASE WHEN mode = 9 THEN 200 ELSE 0 END AS s FROM preds WHERE mode NOT IN (4, 5, 8)) USING (case_id)
-), te AS (SELECT model, e.*, e.b0 AS t0, e.b1 AS t1, e.b2 AS t2, e.b3 AS t3 FROM evidence e, (VALUES ('base'), ('cand')) AS m(model)
+  SELECT case_id, model, CASE WHEN mode = 'wrong_evidence_source' AND pos = 1 THEN '{P.GHOST}' ELSE image_id END AS image_id, doc_type, field, value, {box} FROM evidence JOIN preds USING (case_id) WHERE schema_valid
+  UNION ALL {_fake('hallucinated_field')} UNION ALL {_fake('missing_doc_fake_bbox')}
+), te AS (SELECT model, e.*, e.b0 AS t0, e.b1 AS t1, e.b2 AS t2, e.b3 AS t3 FROM evidence e, (VALUES {of_models}) AS m(model)
 ), ev AS (
   SELECT te.case_id, te.model, count(*) AS n, count(f.case_id) AS support,
     count(*) FILTER (EXISTS (SELECT 1 FROM pe WHERE pe.case_id = te.case_id AND pe.model = te.model AND pe.field = te.field AND pe.value = te.value)) AS value_ok,
-    count(*) FILTER (EXISTS (SELECT 1 FROM pe WHERE pe.case_id = te.case_id AND pe.model = te.model AND pe.image_id = te.image_id AND pe.field = te.field)) AS source_ok,
+    count(*) FILTER (EXISTS (SELECT 1 FROM pe WHERE pe.case_id = te.case_id AND pe.model = te.model AND pe.image_id = te.image_id AND pe.doc_type = te.doc_type AND pe.field = te.field)) AS source_ok,
     count(*) FILTER (f.case_id IS NOT NULL AND {_iou('p', 't')} >= 0.5) AS strict_ok,
     count(*) FILTER (f.case_id IS NOT NULL AND ({_iou('p', 't')} >= 0.3 OR (p0 + p2) / 2.0 BETWEEN t0 AND t2 AND (p1 + p3) / 2.0 BETWEEN t1 AND t3)) AS relaxed_ok
   FROM te LEFT JOIN pe f ON f.case_id = te.case_id AND f.model = te.model AND f.image_id = te.image_id AND f.field = te.field AND f.value = te.value AND f.doc_type = te.doc_type
   GROUP BY ALL
 ), ha AS (
   SELECT pe.case_id, pe.model, count(*) AS n_pred, count(*) FILTER (te.case_id IS NULL) AS wrong
-  FROM pe LEFT JOIN te ON te.case_id = pe.case_id AND te.model = pe.model AND te.image_id = pe.image_id AND te.field = pe.field AND te.value = pe.value GROUP BY ALL
+  FROM pe LEFT JOIN te ON te.case_id = pe.case_id AND te.model = pe.model AND te.image_id = pe.image_id AND te.doc_type = pe.doc_type AND te.field = pe.field AND te.value = pe.value GROUP BY ALL
 ), sc AS (
-  SELECT p.*, CASE WHEN NOT schema_valid THEN 0 WHEN mode = 10 THEN 19 ELSE 20 END AS field_correct, 20 AS field_total, CASE WHEN schema_valid THEN 8 ELSE 0 END AS consistency_correct,
+  SELECT p.*, coalesce(fc.field_correct, 0) AS field_correct, 20 AS field_total, CASE WHEN schema_valid THEN len(list_filter(range(1, 9), lambda i: tc[i] = pc[i])) ELSE 0 END AS consistency_correct,
     ev.n, support, value_ok, source_ok, strict_ok, relaxed_ok, coalesce(n_pred, 0) AS n_pred, coalesce(wrong, 0) AS wrong,
     coalesce(pred_audit = true_audit, false) AS audit_correct, coalesce(pred_risk = true_risk, false) AS risk_correct,
     true_risk = 'high' AND (coalesce(pred_risk <> 'high', true) OR coalesce(pred_audit = 'pass', false)) AS high_risk_miss
-  FROM preds p JOIN ev USING (case_id, model) LEFT JOIN ha USING (case_id, model)
+  FROM preds p JOIN ev USING (case_id, model) LEFT JOIN ha USING (case_id, model) LEFT JOIN fc USING (case_id, model)
 ), scores AS (
   SELECT *, list_filter([CASE WHEN NOT json_valid THEN 'json_invalid' END, CASE WHEN NOT schema_valid THEN 'schema_invalid' END, CASE WHEN NOT schema_valid THEN 'business_metrics_zeroed' END,
-    CASE WHEN schema_valid AND high_risk_miss THEN 'high_risk_miss' END, CASE WHEN schema_valid AND NOT audit_correct THEN 'audit_mismatch' END, CASE WHEN wrong > 0 THEN 'hallucination' END,
-    CASE WHEN schema_valid AND support < n THEN 'unsupported_evidence' END, CASE WHEN schema_valid AND strict_ok < n THEN 'bbox_strict_error' END], lambda x: x IS NOT NULL) AS issues FROM sc
+    CASE WHEN schema_valid AND high_risk_miss THEN 'high_risk_miss' END, CASE WHEN schema_valid AND NOT audit_correct THEN 'audit_mismatch' END, CASE WHEN mode = 'unsupported_conclusion' THEN 'unsupported_conclusion' END,
+    CASE WHEN wrong > 0 THEN 'hallucination' END, CASE WHEN schema_valid AND support < n THEN 'unsupported_evidence' END, CASE WHEN schema_valid AND strict_ok < n THEN 'bbox_strict_error' END], lambda x: x IS NOT NULL) AS issues FROM sc
 )"""
 
 
+SCORES = scores_sql()
+
+
 def _rate(a: str, b: str) -> str:
     return f"CASE WHEN {b} = 0 THEN 0 ELSE ({a})::DOUBLE / ({b}) END"
 
@@ -74,13 +101,17 @@ def _f1(v: str) -> str:
     return _rate(f"2 * {tp}", f"2 * {tp} + {fp} + {fn}")
 
 
-METRICS = f"""SELECT model, count(*) AS total_cases, avg(json_valid::INT) AS json_validity, avg(schema_valid::INT) AS schema_compliance, sum(field_correct) / sum(field_total) AS field_em,
+def metrics_sql(by: str = "model") -> str:
+    return f"""SELECT {by}, count(*) AS total_cases, avg(json_valid::INT) AS json_validity, avg(schema_valid::INT) AS schema_compliance, sum(field_correct) / sum(field_total) AS field_em,
   sum(consistency_correct) / (8.0 * count(*))::DOUBLE AS consistency_em, ({' + '.join(map(_f1, scoring.RISKS))}) / 3 AS risk_type_macro_f1, avg(audit_correct::INT) AS audit_accuracy,
   {_rate("count(*) FILTER (high_risk_miss)", "count(*) FILTER (true_risk = 'high')")} AS high_risk_miss_rate,
   {_rate("count(*) FILTER (true_audit = 'pass' AND coalesce(pred_audit = 'manual_review', false))", "count(*) FILTER (true_audit = 'pass')")} AS false_manual_review_rate,
   sum(support) / sum(n) AS evidence_support_rate, sum(value_ok) / sum(n) AS evidence_value_accuracy, sum(source_ok) / sum(n) AS evidence_source_accuracy,
   sum(strict_ok) / sum(n) AS evidence_bbox_accuracy_strict, sum(relaxed_ok) / sum(n) AS evidence_bbox_accuracy_relaxed, {_rate("sum(wrong)", "sum(n_pred)")} AS hallucination_rate,
-  count(*) FILTER (len(issues) > 0) AS error_cases FROM scores GROUP BY model"""
+  count(*) FILTER (len(issues) > 0) AS error_cases FROM scores GROUP BY {by}"""
+
+
+METRICS = metrics_sql()
 
 
 @query(f"{SCORES} {METRICS}")
@@ -89,13 +120,37 @@ def evaluation_metrics(spark, sf_dir):
     return scoring.metrics(scores(spark, sf_dir), "model")
 
 
-@slow(f"{SCORES} SELECT case_id, model, array_to_string(issues, ',') AS issues, true_risk, pred_risk, true_audit, pred_audit FROM scores WHERE len(issues) > 0")
+#: Cases whose prediction is lost, and those with an earlier one that does not count.
+LOST, TWICE = 50, 40
+RAW = scores_sql(("raw",), f", modes_kept AS (SELECT * REPLACE (CASE WHEN {u('lost', 'case_id')} % {LOST} = 0 THEN CASE WHEN {u('twice', 'case_id')} % {TWICE} = 0 THEN 'schema_invalid' ELSE 'json_invalid' END ELSE mode END AS mode) FROM modes)").replace(
+    "AS pc\n  FROM modes\n", "AS pc\n  FROM modes_kept\n")
+
+
+@query(f"{RAW} {METRICS}")
+def raw_evaluation(spark, sf_dir):
+    """The metrics from raw texts: parsed, held against the contract, the last of repeated predictions, none where one is lost."""
+    made = pairs(spark, sf_dir, ["raw"])
+    said = made.select("case_id", "model", P.raw_output().alias("raw_output"), F.lit(1).alias("place")).where(draw("case_id", "lost") % LOST != 0)
+    stale = made.where(draw("case_id", "twice") % TWICE == 0).select("case_id", "model", F.lit("{}").alias("raw_output"), F.lit(0).alias("place"))
+    other = made.limit(1).select(F.lit("MV_UNKNOWN").alias("case_id"), "model", F.lit("{}").alias("raw_output"), F.lit(0).alias("place"))
+    truth = made.select("case_id", "model", "answer", "images")
+    rows = scoring.last_prediction(truth, said.unionByName(stale).unionByName(other), ["case_id", "model"], "place")
+    return scoring.metrics(scoring.score(contract.parsed(rows, made.schema["answer"].dataType.simpleString())), "model")
+
+
+@query(f"{SCORES} SELECT case_id, model, array_to_string(issues, ',') AS issues, true_risk, pred_risk, true_audit, pred_audit FROM scores WHERE len(issues) > 0")
 def error_cases(spark, sf_dir):
     """Predictions with at least one issue."""
     return scores(spark, sf_dir).where(F.size("issues") > 0).select("case_id", "model", F.array_join("issues", ",").alias("issues"), "true_risk", "pred_risk", "true_audit", "pred_audit")
 
 
-@slow(f"{SCORES} SELECT model, true_audit || ' -> ' || coalesce(pred_audit, 'None') AS transition, count(*) AS n FROM scores GROUP BY ALL")
+@query(f"{SCORES} SELECT case_id, model, wrong AS hallucinated, n_pred AS predicted, anomaly_score, field_correct, consistency_correct::BIGINT AS consistency_correct FROM scores WHERE wrong > 0")
+def hallucination(spark, sf_dir):
+    """Predictions that cite evidence which is not there."""
+    return scores(spark, sf_dir).where("hallucinated > 0").select("case_id", "model", "hallucinated", F.col("hallucination_total").alias("predicted"), "anomaly_score", "field_correct", "consistency_correct")
+
+
+@query(f"{SCORES} SELECT model, true_audit || ' -> ' || coalesce(pred_audit, 'None') AS transition, count(*) AS n FROM scores GROUP BY ALL")
 def audit_transitions(spark, sf_dir):
     """True to predicted audit result, with counts."""
     t = F.concat_ws(" -> ", "true_audit", F.coalesce("pred_audit", F.lit("None")))
@@ -104,63 +159,123 @@ def audit_transitions(spark, sf_dir):
 
 def _paired(spark, sf_dir) -> DataFrame:
     s = scores(spark, sf_dir).withColumn("compared", scoring.migration_issues())
-    side = lambda m: s.where(F.col("model") == m).select("case_id", F.col("audit_correct").alias(f"{m}_ok"), F.col("compared").alias(f"{m}_issues"))
-    return side("base").join(side("cand"), "case_id")
+    flag = lambda m: F.max(F.when(F.col("model") == m, F.col("audit_correct"))).alias(f"{m}_ok")
+    return s.groupBy("case_id").agg(flag("base"), flag("cand"))
 
 
-@slow(f"""{SCORES}, two AS (SELECT case_id, bool_or(audit_correct) FILTER (model = 'base') AS b, bool_or(audit_correct) FILTER (model = 'cand') AS c FROM scores GROUP BY 1)
+@query(f"""{SCORES}, two AS (SELECT case_id, bool_or(audit_correct) FILTER (model = 'base') AS b, bool_or(audit_correct) FILTER (model = 'cand') AS c FROM scores GROUP BY 1)
 SELECT CASE WHEN b AND c THEN 'both_correct' WHEN b THEN 'baseline_correct_candidate_wrong' WHEN c THEN 'baseline_wrong_candidate_correct' ELSE 'both_wrong' END AS transition, count(*) AS n FROM two GROUP BY 1""")
 def error_migration(spark, sf_dir):
     """How cases move between right and wrong from one model to the other."""
     return _paired(spark, sf_dir).groupBy(scoring.transition("base_ok", "cand_ok").alias("transition")).agg(F.count("*").alias("n"))
 
 
-@slow(f"""{SCORES}, i AS (SELECT model, unnest(issues) AS issue FROM scores UNION ALL SELECT model, 'risk_mismatch' FROM scores WHERE schema_valid AND NOT risk_correct)
-SELECT issue, sum(CASE WHEN model = 'cand' THEN 1 ELSE -1 END)::BIGINT AS delta FROM i GROUP BY 1""")
+@query(f"""{SCORES}, i AS (SELECT model, unnest(issues) AS issue FROM scores UNION ALL SELECT model, 'risk_mismatch' FROM scores WHERE schema_valid AND NOT risk_correct)
+SELECT issue, sum(CASE WHEN model = 'cand' THEN 1 ELSE -1 END)::BIGINT AS delta FROM i WHERE issue <> 'unsupported_conclusion' GROUP BY 1""")
 def issue_delta(spark, sf_dir):
     """Change of each issue's count from one model to the other."""
     s = scores(spark, sf_dir).select("model", F.explode(scoring.migration_issues()).alias("issue"))
     return s.groupBy("issue").agg(F.sum(F.when(F.col("model") == "cand", 1).otherwise(-1)).alias("delta"))
 
 
-@slow(f"""{SCORES}, two AS (SELECT case_id, bool_or(len(issues) > 0) FILTER (model = 'base') AS b, bool_or(len(issues) > 0) FILTER (model = 'cand') AS c FROM scores GROUP BY 1)
+@query(f"""{SCORES}, two AS (SELECT case_id, bool_or(len(issues) > 0) FILTER (model = 'base') AS b, bool_or(len(issues) > 0) FILTER (model = 'cand') AS c FROM scores GROUP BY 1)
 SELECT case_id, CASE WHEN b THEN 'fixed' ELSE 'introduced' END AS change FROM two WHERE b <> c""")
 def fixed_introduced(spark, sf_dir):
     """Cases whose errors the second model fixed or introduced."""
     bad = scores(spark, sf_dir).where(F.size("issues") > 0)
     ids = lambda m: bad.where(F.col("model") == m).select("case_id")
-    fixed = ids("base").exceptAll(ids("cand")).withColumn("change", F.lit("fixed"))
-    return fixed.union(ids("cand").exceptAll(ids("base")).withColumn("change", F.lit("introduced")))
+    return comparison.changed_ids(ids("base"), ids("cand"))
 
 
-ATTRIBUTED = f"""{SCORES}, at AS (
+ATTRIBUTE = """, facts_of AS (
   SELECT *, schema_valid AND field_correct / 20.0 >= 0.95 AS fields, anomaly_score >= 0.9 AS named, NOT audit_correct OR high_risk_miss AS bad, support < n AS weak_support FROM scores
 ), attributed AS (
-  SELECT *, list_filter([CASE WHEN NOT schema_valid THEN 'output_contract_error' END, CASE WHEN schema_valid AND NOT fields THEN 'perception_error' END, CASE WHEN fields AND NOT named THEN 'consistency_error' END,
+  SELECT *, list_filter([CASE WHEN NOT schema_valid THEN 'output_contract_error' END, CASE WHEN schema_valid AND NOT fields THEN 'perception_error' END,
+      CASE WHEN fields AND (NOT named OR consistency_correct < 8) THEN 'consistency_error' END,
       CASE WHEN fields AND named AND bad THEN 'decision_error' END, CASE WHEN audit_correct AND weak_support THEN 'evidence_error' END], lambda x: x IS NOT NULL) AS tags,
     list_filter([CASE WHEN NOT schema_valid THEN 'schema_contract_failure' END, CASE WHEN high_risk_miss THEN 'model_missed_high_risk' END,
       CASE WHEN schema_valid AND true_risk = 'high' AND pred_risk = 'high' AND true_audit = 'reject_recommendation' AND pred_audit IN ('pass', 'manual_review') THEN 'recognized_risk_but_decision_released' END,
       CASE WHEN schema_valid AND (weak_support OR relaxed_ok < n) THEN 'evidence_not_trustworthy' END], lambda x: x IS NOT NULL) AS classes,
     fields AND named AND bad AS candidate
-  FROM at
+  FROM facts_of
 )"""
+ATTRIBUTED = SCORES + ATTRIBUTE
 
 
-@slow(f"{ATTRIBUTED} SELECT model, tags[1] AS primary_error_source, classes[1] AS primary_problem_class, count(*) AS n, count(*) FILTER (candidate) AS n_candidates FROM attributed GROUP BY ALL")
+@query(f"{ATTRIBUTED} SELECT model, tags[1] AS primary_error_source, classes[1] AS primary_problem_class, count(*) AS n, count(*) FILTER (candidate) AS n_candidates FROM attributed GROUP BY ALL")
 def error_attribution(spark, sf_dir):
     """Predictions by primary error source and problem class."""
     a = scoring.attributed(scores(spark, sf_dir))
     return a.groupBy("model", "primary_error_source", "primary_problem_class").agg(F.count("*").alias("n"), F.count_if("decision_candidate").alias("n_candidates"))
 
 
-@slow(f"{ATTRIBUTED} SELECT model, c AS problem_class, count(*) AS n, array_to_string(list_sort(list(case_id))[1:10], ' ') AS examples FROM (SELECT model, case_id, unnest(classes) AS c FROM attributed) GROUP BY ALL")
+@query(f"{ATTRIBUTED} SELECT model, c AS problem_class, count(*) AS n, array_to_string(list_sort(list(case_id))[1:10], ' ') AS examples FROM (SELECT model, case_id, unnest(classes) AS c FROM attributed) GROUP BY ALL")
 def problem_classes(spark, sf_dir):
     """Predictions by problem class, with the first ten cases of each."""
-    from pyspark.sql import Window
-
     x = scoring.attributed(scores(spark, sf_dir)).select("model", "case_id", F.explode("problem_classes").alias("problem_class"))
-    r = x.withColumn("r", F.row_number().over(Window.partitionBy("model", "problem_class").orderBy("case_id")))
-    return r.groupBy("model", "problem_class").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list(F.when(F.col("r") <= 10, F.col("case_id")))), " ").alias("examples"))
+    return comparison.examples(x, ["model", "problem_class"], "case_id")
+
+
+ERRORS = f"""{SCORES}, errors AS (SELECT *, list_filter([CASE WHEN NOT schema_valid THEN 'schema_contract_failure' END, CASE WHEN high_risk_miss THEN 'model_missed_high_risk' END,
+    CASE WHEN true_risk = 'high' AND coalesce(pred_risk = 'high', false) AND true_audit IS DISTINCT FROM pred_audit THEN 'recognized_risk_but_decision_released' END,
+    CASE WHEN list_has_any(issues, ['unsupported_evidence', 'bbox_strict_error', 'hallucination']) THEN 'evidence_not_trustworthy' END, CASE WHEN list_contains(issues, 'audit_mismatch') THEN 'decision_or_risk_mismatch' END], lambda x: x IS NOT NULL) AS found
+  FROM scores WHERE len(issues) > 0)"""
+
+
+@query(f"""{ERRORS}, c AS (SELECT model, case_id, unnest(CASE WHEN len(found) = 0 THEN ['other'] ELSE found END) AS problem_class FROM errors)
+SELECT model, problem_class, count(*) AS n, array_to_string(list_sort(list(case_id))[1:10], ' ') AS examples FROM c GROUP BY ALL""")
+def error_row_classes(spark, sf_dir):
+    """Error rows by all their problem classes, by the rules of the holdout's summary."""
+    e = scores(spark, sf_dir).where(F.size("issues") > 0)
+    return comparison.examples(e.select("model", "case_id", F.explode(comparison.problem_classes()).alias("problem_class")), ["model", "problem_class"], "case_id")
+
+
+FAMILY = """CASE WHEN label IN ('amount_mismatch', 'over_reimbursement') THEN 'amount_abnormal' WHEN label = 'order_id_mismatch' THEN 'order_id_inconsistent' WHEN label IN ('missing_document', 'unreadable_image') THEN 'evidence_or_document_insufficient'
+  WHEN label = 'date_mismatch' THEN 'date_mismatch' WHEN label = 'merchant_mismatch' THEN 'merchant_mismatch' WHEN label = 'applicant_mismatch' THEN 'person_mismatch' WHEN label = 'duplicate_in_batch' THEN 'duplicate_in_batch' ELSE 'clean_or_low_risk' END"""
+
+
+@query(f"""{SCORES}, e AS (SELECT model, issues, {FAMILY} AS family, true_risk, true_audit FROM scores WHERE len(issues) > 0), c AS (
+  SELECT *, CASE WHEN list_has_any(issues, ['schema_invalid', 'json_invalid']) THEN 'schema_contract_failure' WHEN list_contains(issues, 'high_risk_miss') THEN 'model_missed_high_risk'
+    WHEN list_contains(issues, 'audit_mismatch') AND true_risk = 'high' THEN 'recognized_risk_but_decision_released' WHEN list_has_any(issues, ['unsupported_evidence', 'bbox_strict_error']) THEN 'evidence_not_trustworthy'
+    WHEN family = 'evidence_or_document_insufficient' THEN family ELSE 'other_business_error' END AS problem FROM e
+), f AS (SELECT model, family, count(*) AS n, row_number() OVER (PARTITION BY model ORDER BY count(*) DESC, family) AS r FROM c GROUP BY ALL),
+p AS (SELECT model, problem, count(*) AS n, row_number() OVER (PARTITION BY model ORDER BY count(*) DESC, problem) AS r FROM c GROUP BY ALL),
+i AS (SELECT model, issue, count(*) AS n, row_number() OVER (PARTITION BY model ORDER BY count(*) DESC, issue) AS r FROM (SELECT model, unnest(issues) AS issue FROM c) GROUP BY ALL)
+SELECT k.model, error_cases, reject_errors, top_families, top_problems, top_issues FROM (SELECT model, count(*) AS error_cases, count(*) FILTER (true_audit = 'reject_recommendation') AS reject_errors FROM c GROUP BY 1) k
+JOIN (SELECT model, string_agg(family || ':' || n, '; ' ORDER BY r) AS top_families FROM f WHERE r <= 5 GROUP BY 1) USING (model) JOIN (SELECT model, string_agg(problem || ':' || n, '; ' ORDER BY r) AS top_problems FROM p WHERE r <= 5 GROUP BY 1) USING (model)
+JOIN (SELECT model, string_agg(issue || ':' || n, '; ' ORDER BY r) AS top_issues FROM i WHERE r <= 5 GROUP BY 1) USING (model)""")
+def error_diagnosis(spark, sf_dir):
+    """Of each model's errors the five most frequent anomaly families, problem classes and issues; true answers are joined to error rows."""
+    truth = O.answers(C.claims(spark, sf_dir)).select("case_id", repair.anomaly_family(F.col("answer")).alias("family"))
+    e = scores(spark, sf_dir).where(F.size("issues") > 0).join(truth, "case_id", "left").withColumn("family", F.coalesce("family", F.lit("unknown")))
+    e = e.select("model", "issues", "true_audit", "family", comparison.problem_class(F.col("family")).alias("problem"))
+    n = e.groupBy("model").agg(F.count("*").alias("error_cases"), F.count_if(F.col("true_audit") == "reject_recommendation").alias("reject_errors"))
+    top = lambda rows, value, name: comparison.most_common(rows, ["model"], value, 5, name)
+    return n.join(top(e, "family", "top_families"), "model").join(top(e, "problem", "top_problems"), "model").join(top(e.select("model", F.explode("issues").alias("issue")), "issue", "top_issues"), "model")
+
+
+@query(f"""{SCORES}, oid AS (SELECT DISTINCT case_id, model FROM pe WHERE field = 'order_id'), e AS (SELECT s.*, oid.case_id IS NOT NULL AS cited FROM scores s LEFT JOIN oid USING (case_id, model) WHERE schema_valid AND len(issues) > 0)
+SELECT model, CASE WHEN issues = ['bbox_strict_error'] THEN 'bbox_only' WHEN NOT list_contains(issues, 'high_risk_miss') THEN 'other' WHEN NOT cited AND label = 'order_id_mismatch' THEN 'missing_order_id_evidence'
+  WHEN label = 'order_id_mismatch' THEN 'recognized_risk_but_decision_released' ELSE 'model_missed_high_risk' END AS problem_class, count(*) AS n FROM e GROUP BY ALL""")
+def prompt_guard_classes(spark, sf_dir):
+    """Parsed errors by the classes of the order id prompt: error rows with their true and predicted answers."""
+    p = pairs(spark, sf_dir)
+    e = scoring.score(p, "answer", "pred").where("schema_valid and size(issues) > 0")
+    return e.groupBy("model", comparison.prompt_guard_class(F.col("answer"), F.col("pred")).alias("problem_class")).agg(F.count("*").alias("n"))
+
+
+@query(f"""{SCORES}, wrong AS (SELECT case_id FROM scores WHERE schema_valid AND NOT audit_correct GROUP BY 1 HAVING count(*) = 2), e AS (SELECT * FROM scores JOIN wrong USING (case_id))
+SELECT model, CASE WHEN pred_risk = 'high' AND pred_audit = 'pass' THEN 'recognized_risk_but_decision_released' WHEN pred_risk = 'high' AND pred_audit <> true_audit THEN 'recognized_risk_but_wrong_decision'
+  WHEN len(anomaly_types) > 0 OR list_contains(pc, false) THEN 'recognized_some_signal_but_underestimated' ELSE 'model_missed_high_risk' END AS problem_class, sum(20 - field_correct)::BIGINT AS n_differences,
+  sum(len(list_filter(pc, lambda x: NOT x)))::BIGINT AS n_false_checks, count(*) AS n FROM e GROUP BY ALL""")
+def both_wrong(spark, sf_dir):
+    """Cases that both models judge wrong, by how each errs, with their differing fields and false flags."""
+    s = scoring.score(pairs(spark, sf_dir), "answer", "pred").where("schema_valid and not audit_correct")
+    twice = s.groupBy("case_id").agg(F.count("*").alias("_n")).where("_n = 2").select("case_id")
+    e = s.join(twice, "case_id", "left_semi")
+    t, p = F.col("answer"), F.col("pred")
+    return e.groupBy("model", comparison.both_wrong_class(t, p, O.CHECKS).alias("problem_class")).agg(
+        F.sum(F.size(comparison.field_differences(t, p, O.FIELDS))).alias("n_differences"), F.sum(F.size(comparison.false_checks(p, O.CHECKS))).alias("n_false_checks"), F.count("*").alias("n"))
 
 
 GATE_ROWS = lambda name, limits: ", ".join(
@@ -169,26 +284,100 @@ GATE_ROWS = lambda name, limits: ", ".join(
 )
 
 
-@slow(f"""{SCORES}, m AS ({METRICS}), g AS (
+def _metric_pair(m: DataFrame) -> DataFrame:
+    """One row: the metrics of both models as structs."""
+    row = F.struct(*[c for c in m.columns if c != "model"])
+    return m.agg(F.first(F.when(F.col("model") == "base", row), ignorenulls=True).alias("base"), F.first(F.when(F.col("model") == "cand", row), ignorenulls=True).alias("cand"))
+
+
+GATES = f"""m AS ({METRICS}), g AS (
   SELECT x.* FROM (SELECT * FROM m WHERE model = 'base') b, (SELECT * FROM m WHERE model = 'cand') c, LATERAL (VALUES {GATE_ROWS('repair_fast_gate', gates.FAST)}, {GATE_ROWS('repair_main_gate', gates.MAIN)}) AS x(gate, "check", passed)
-) SELECT * FROM g UNION ALL SELECT gate, 'all', bool_and(passed) FROM g GROUP BY gate""")
+)"""
+
+
+@query(f"""{SCORES}, {GATES} SELECT * FROM g UNION ALL SELECT gate, 'all', bool_and(passed) FROM g GROUP BY gate""")
 def metric_gates(spark, sf_dir):
     """The checks of both repair gates, and whether all pass."""
-    m = scoring.metrics(scores(spark, sf_dir), "model")
-    row = F.struct(*[c for c in m.columns if c != "model"])
-    pair = m.agg(F.first(F.when(F.col("model") == "base", row), ignorenulls=True).alias("base"), F.first(F.when(F.col("model") == "cand", row), ignorenulls=True).alias("cand"))
-    pair = pair.persist()  # one row, read by both gates
-    return gates.repair_gate(pair, gates.FAST, "repair_fast_gate").union(gates.repair_gate(pair, gates.MAIN, "repair_main_gate"))
+    pair = _metric_pair(scoring.metrics(scores(spark, sf_dir), "model"))
+    both = [gates.repair_gate_rows(limits, name) for limits, name in ((gates.FAST, "repair_fast_gate"), (gates.MAIN, "repair_main_gate"))]
+    return pair.select(F.inline(F.concat(*both)))
+
 
+SUMMARY = """s AS (SELECT model, count(*) AS total_rows, count(*) FILTER (len(tags) > 0 OR len(classes) > 0) AS residual_error_cases, count(*) FILTER (candidate) AS decision_candidates,
+  count(*) FILTER (tags[1] = 'decision_error') AS decision_primary FROM attributed GROUP BY 1), summary AS (
+SELECT *, decision_candidates / residual_error_cases AS decision_candidate_ratio, decision_primary / residual_error_cases AS decision_primary_ratio FROM s)"""
 
-@slow(f"""{ATTRIBUTED}, s AS (SELECT model, count(*) AS total_rows, count(*) FILTER (len(tags) > 0 OR len(classes) > 0) AS residual_error_cases, count(*) FILTER (candidate) AS decision_candidates,
-  count(*) FILTER (tags[1] = 'decision_error') AS decision_primary FROM attributed GROUP BY 1)
-SELECT *, decision_candidates / residual_error_cases AS decision_candidate_ratio, decision_primary / residual_error_cases AS decision_primary_ratio FROM s""")
+
+@query(f"{ATTRIBUTED}, {SUMMARY} SELECT * FROM summary")
 def attribution_summary(spark, sf_dir):
     """Residual errors and decision shares of both models."""
     return gates.attribution_summary(scoring.attributed(scores(spark, sf_dir)), "model")
 
 
+@query(f"""{ATTRIBUTED}, {SUMMARY}, {GATES}, d AS (SELECT x.* FROM (SELECT * FROM summary WHERE model = 'cand') s, LATERAL (VALUES ('main_gate_passed', (SELECT bool_and(passed) FROM g WHERE gate = 'repair_main_gate')),
+  ('enough_residual_errors', residual_error_cases >= 5), ('decision_candidate_ratio', decision_candidate_ratio >= 0.6), ('decision_primary_ratio', decision_primary_ratio >= 0.5)) AS x("check", passed))
+SELECT *, CASE WHEN (SELECT bool_and(passed) FROM d) THEN 'READY_FOR_RL' ELSE 'RL_NOT_RECOMMENDED' END AS status FROM d""")
+def training_decision(spark, sf_dir):
+    """Whether the candidate is ready for reinforcement: its main gate and its attribution."""
+    s = scores(spark, sf_dir)
+    gate = gates.repair_gate(_metric_pair(scoring.metrics(s, "model")), gates.MAIN, "repair_main_gate")
+    return gates.training_decision(gate, gates.attribution_summary(scoring.attributed(s.where("model = 'cand'")), "model"))
+
+
+@query(f"""{SCORES}, {GATES}, misses AS (SELECT case_id, bool_or(list_contains(issues, 'high_risk_miss')) FILTER (model = 'base') AS b, bool_or(list_contains(issues, 'high_risk_miss')) FILTER (model = 'cand') AS c FROM scores GROUP BY 1),
+k AS (SELECT count(*) FILTER (b AND NOT c) AS fixed, count(*) FILTER (c AND NOT b) AS introduced FROM misses), v AS (SELECT b.*, k.*, c.json_validity AS cj, c.schema_compliance AS cs, c.audit_accuracy AS ca, c.evidence_support_rate AS ce, c.high_risk_miss_rate AS ch, c.false_manual_review_rate AS cf, c.total_cases AS ct
+  FROM (SELECT * FROM m WHERE model = 'base') b, (SELECT * FROM m WHERE model = 'cand') c, k),
+w AS (SELECT *, cj = 1 AND cs = 1 AND round(ca - audit_accuracy, 9) >= -0.01 AND round(ce - evidence_support_rate, 9) >= -0.01 AND ch < high_risk_miss_rate AS allowed,
+  fixed >= 2 AND introduced = 0 AND cj = 1 AND cs = 1 AND round(ca - audit_accuracy, 9) >= 0 AND round(cf - false_manual_review_rate, 9) <= 1 / ct AND round(ce - evidence_support_rate, 9) >= -0.01 AS works FROM v)
+SELECT CASE WHEN allowed AND fixed >= 3 THEN 'PASS' WHEN allowed THEN 'PASS_WITH_TARGET_WARNING' ELSE 'FAIL' END AS mining, CASE WHEN works THEN 'EFFECTIVE_ALIGNMENT' ELSE 'ALIGNMENT_GATE_NOT_MET' END AS alignment, fixed, introduced FROM w""")
+def stage_gates(spark, sf_dir):
+    """The gate before mining and that after alignment, from both models' metrics and the misses that are fixed and introduced."""
+    s = scores(spark, sf_dir)
+    miss = lambda m: F.max(F.when(F.col("model") == m, F.array_contains("issues", "high_risk_miss")))
+    moved = s.groupBy("case_id").agg(miss("base").alias("b"), miss("cand").alias("c")).agg(F.count_if(F.expr("b and not c")).alias("fixed"), F.count_if(F.expr("c and not b")).alias("introduced"))
+    pair = _metric_pair(scoring.metrics(s, "model")).crossJoin(F.broadcast(moved)).withColumn("selection", F.lit("ELIGIBLE"))
+    return pair.select(gates.mining_status()[0].alias("mining"), gates.alignment_status().alias("alignment"), "fixed", "introduced")
+
+
+@query(f"""{SCORES}, m AS ({metrics_sql('model, label')}) SELECT model, count(*) AS splits, {', '.join(f'sum({f} * total_cases) / sum(total_cases) AS weighted_{f}, avg({f}) AS plain_{f}' for f in ('audit_accuracy', 'evidence_support_rate'))} FROM m GROUP BY model""")
+def metric_means(spark, sf_dir):
+    """Means of metrics over groups of claims: weighted by their cases, and each group alike."""
+    m = scoring.metrics(scores(spark, sf_dir, MODELS, "label"), "model", "label")
+    fields = ["audit_accuracy", "evidence_support_rate"]
+    weighted = comparison.means(m, fields, "model", weight="total_cases").select("model", "splits", *(F.col(f).alias(f"weighted_{f}") for f in fields))
+    return weighted.join(comparison.means(m, fields, "model").select("model", *(F.col(f).alias(f"plain_{f}") for f in fields)), "model")
+
+
+@query(f"""{SCORES}, m AS ({METRICS}) SELECT b.model AS baseline, c.model AS candidate, c.audit_accuracy - b.audit_accuracy AS audit_accuracy_delta, c.high_risk_miss_rate - b.high_risk_miss_rate AS high_risk_miss_rate_delta FROM m b, m c WHERE c.model = 'cand'""")
+def metric_deltas(spark, sf_dir):
+    """The candidate's metrics less those of every model."""
+    m = scoring.metrics(scores(spark, sf_dir), "model")
+    fields = ["audit_accuracy", "high_risk_miss_rate"]
+    return comparison.deltas(comparison.one_metric_row(m, "cand"), m, fields)
+
+
+@query()
+def bootstrap_se(spark, sf_dir):
+    """Standard errors of both models' accuracy and miss rate."""
+    s = scores(spark, sf_dir)
+    a = comparison.bootstrap_error(s, "audit_correct", "model").withColumn("metric", F.lit("audit_accuracy"))
+    return a.unionByName(comparison.bootstrap_error(s.where("true_risk = 'high'"), "high_risk_miss", "model", seed=44).withColumn("metric", F.lit("high_risk_miss_rate")))
+
+
+SAID = "CASE WHEN mode IN ('plain', 'fenced', 'in_words') THEN 'right' ELSE mode END"
+
+
+@query(f"""{SCORES}, a AS (SELECT case_id, {SAID} AS said, pred_risk, pred_audit FROM preds WHERE model = 'base' AND schema_valid), b AS (SELECT case_id, {SAID} AS said, pred_risk, pred_audit FROM preds WHERE model = 'cand' AND schema_valid),
+x AS (SELECT a.case_id IS NOT NULL AS ia, b.case_id IS NOT NULL AS ib, coalesce(a.said = b.said, false) AS same, coalesce(a.pred_audit = b.pred_audit, false) AS decision, coalesce(a.pred_risk = b.pred_risk, false) AS risk FROM a FULL JOIN b USING (case_id)),
+n AS (SELECT count(*) FILTER (ia AND ib) AS common_cases, count(*) FILTER (NOT ib) AS only_a, count(*) FILTER (NOT ia) AS only_b, count(*) FILTER (same) AS same_answers, count(*) FILTER (decision) AS d, count(*) FILTER (risk) AS r FROM x)
+SELECT common_cases, only_a, only_b, same_answers, same_answers / common_cases AS same_answer_rate, d / common_cases AS same_decision_rate, r / common_cases AS same_risk_rate FROM n""")
+def paired_diff(spark, sf_dir):
+    """Both models' raw texts compared: digests of canonical answers, decisions and risks found at their paths."""
+    made = pairs(spark, sf_dir).where("schema_valid").select("case_id", "model", contract.canonical(P.raw_output()).alias("answer"))
+    side = lambda m: made.where(F.col("model") == m).select("case_id", "answer")
+    return comparison.paired(side("base"), side("cand"))
+
+
 @query(f"""WITH l AS (SELECT doc_id, toxic::VARCHAR AS t, CASE WHEN {u('pred', 'doc_id')} % 7 = 0 THEN NULL WHEN {u('pred', 'doc_id')} % 5 = 0 THEN (1 - toxic)::VARCHAR ELSE toxic::VARCHAR END AS p FROM labels),
 f AS (SELECT v, count(*) FILTER (t = v AND coalesce(p, '') = v) AS tp, count(*) FILTER (t <> v AND coalesce(p, '') = v) AS fp, count(*) FILTER (t = v AND coalesce(p, '') <> v) AS fn FROM l, (VALUES ('0'), ('1'), ('2')) AS x(v) GROUP BY v)
 SELECT sum(CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END) / 3 AS macro_f1, (SELECT avg(coalesce((t = p)::INT, 0)) FROM l) AS accuracy FROM f""")
@@ -198,3 +387,47 @@ def macro_f1_labels(spark, sf_dir):
     p = F.when(d % 7 == 0, None).when(d % 5 == 0, (1 - F.col("toxic")).cast("string")).otherwise(t)
     x = C.table(spark, sf_dir, "labels").select(t.alias("t"), p.alias("p"))
     return x.agg(scoring.macro_f1("t", "p", ["0", "1", "2"]).alias("macro_f1"), F.avg(F.coalesce((F.col("t") == F.col("p")).cast("int"), F.lit(0))).alias("accuracy"))
+
+
+#: How a raw text is damaged, by a draw of five, and what the contract says of it.
+DAMAGE = ["as_is", "flattened", "cut_short", "broken", "extra_key"]
+
+
+def _damaged(spark, sf_dir) -> DataFrame:
+    """case_id, damage, raw_output of claims whose order ids agree."""
+    a = O.answers(C.claims(spark, sf_dir)).where("label <> 'order_id_mismatch'")
+    kind = F.element_at(F.array(*map(F.lit, DAMAGE)), (F.pmod(draw("case_id", "damage"), F.lit(len(DAMAGE))) + 1).cast("int"))
+    text = O.answer_json()
+    flat = F.to_json(F.struct("answer.case_id", "answer.field_extraction.*", *(F.col(f"answer.{c}").alias(c) for c in contract.TOP if c not in ("case_id", "field_extraction"))), {"ignoreNullFields": "false"})
+    said = (
+        F.when(kind == "flattened", flat).when(kind == "cut_short", F.substring_index(text, '"evidence":', 1)).when(kind == "broken", P.BROKEN_JSON)
+        .when(kind == "extra_key", F.concat(F.lit('{"note":1,'), F.substring(text, 2, 1 << 30))).otherwise(text)
+    )
+    return a.select("case_id", kind.alias("damage"), said.alias("raw_output"))
+
+
+DAMAGED = f"{CELLS.split(', layout(')[0]}, damaged AS (SELECT [{', '.join(f'{chr(39)}{d}{chr(39)}' for d in DAMAGE)}][({u('damage', 'case_id')} % {len(DAMAGE)} + 1)::INT] AS damage FROM claims WHERE label <> 'order_id_mismatch')"
+
+
+@query(f"""{DAMAGED} SELECT damage, count(*) AS total, count(*) FILTER (damage <> 'broken') AS json_valid_before, count(*) FILTER (damage = 'as_is') AS schema_valid_before, count(*) FILTER (damage <> 'broken') AS schema_valid_after,
+  count(*) FILTER (damage NOT IN ('as_is', 'broken')) AS changed, count(*) FILTER (damage NOT IN ('as_is', 'broken')) AS schema_repairs FROM damaged GROUP BY 1""")
+def schema_guard_report(spark, sf_dir):
+    """What the guard makes of texts that are flattened, cut short, broken or have a key too many."""
+    return contract.guard_report(contract.guard(_damaged(spark, sf_dir)), "damage")
+
+
+@query(f"""{DAMAGED} SELECT damage, CASE damage WHEN 'broken' THEN 'no object found' WHEN 'extra_key' THEN '<root>: has note' WHEN 'cut_short' THEN '<root>: lacks case_id' WHEN 'flattened' THEN '<root>: lacks field_extraction' END AS error, count(*) AS n FROM damaged GROUP BY ALL""")
+def contract_errors(spark, sf_dir):
+    """The first breach of the contract of each damaged text."""
+    judged = _damaged(spark, sf_dir).select("damage", contract.judge_text("raw_output").alias("j"))
+    return judged.groupBy("damage", F.col("j.error").alias("error")).agg(F.count("*").alias("n"))
+
+
+@query(f"""{CELLS.split(', layout(')[0]}, v AS (SELECT case_id, label, list_contains(documents, 'order') AND list_contains(documents, 'reimbursement_form') AND NOT list_contains(unreadable_fields, 'order_id') AND label IN ('order_id_mismatch', 'duplicate_in_batch') AS checked, shown_order_id <> order_id AS differ, risk_level, audit_result FROM claims)
+SELECT label, checked, checked AND differ AS changed, CASE WHEN checked AND differ THEN 'high' ELSE 'low' END AS risk_level, CASE WHEN checked AND differ THEN 'reject_recommendation' ELSE 'pass' END AS audit_result, count(*) AS n FROM v GROUP BY ALL""")
+def order_id_verifier(spark, sf_dir):
+    """Answers that say low and pass, after the decision that two different order ids make."""
+    a = O.answers(C.claims(spark, sf_dir))
+    blind = a.withColumn("answer", F.col("answer").withField("risk_level", F.lit("low")).withField("audit_result", F.lit("pass")))
+    v = contract.verify_order_ids(blind)
+    return v.groupBy("label", "checked", "changed", F.col("answer.risk_level").alias("risk_level"), F.col("answer.audit_result").alias("audit_result")).agg(F.count("*").alias("n"))

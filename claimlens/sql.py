@@ -27,7 +27,7 @@ b0 AS (
   LEFT JOIN supplier ON s_suppkey = sup.first + {u('supplier', 'o_orderkey')} % sup.n LEFT JOIN nation ON s_nationkey = n_nationkey
 ), b1 AS (SELECT *, order_date + ({small('payment', 4)})::INT AS payment_date FROM b0
 ), b2 AS (
-  SELECT *, payment_date + ({small('invoice', 6)})::INT AS invoice_date, payment_date + ({small('application', 15)})::INT AS application_date,
+  SELECT *, payment_date + ({small('invoice', 6)})::INT AS invoice_date, payment_date + ({small('invoice', 6)})::INT + ({small('application', 15)})::INT AS application_date,
     strftime(order_date, '%Y%m%d') || lpad((id % 1000000)::VARCHAR, 6, '0') AS tail,
     row_number() OVER (ORDER BY sha256('342:' || case_id), case_id) AS label_rank
   FROM b1
