@@ -47,13 +47,9 @@ def stratified_manifest(rows: DataFrame, n: int, salt: int | str, order: str = "
 
 
 def final_holdout(candidates: DataFrame, used: DataFrame, n: int, salt: int | str, strata: list[str]) -> DataFrame:
-    """n unused cases of each split, drawn by turns from its strata. Splits are few; each is one draw."""
+    """n unused cases of each split, drawn by turns from its strata; all splits in one plan."""
     fresh = candidates.join(used.select("case_id").distinct(), "case_id", "left_anti")
-    out = None
-    for split in sorted(r[0] for r in candidates.select("split").distinct().collect()):
-        part = round_robin(fresh.where(F.col("split") == split), "case_id", strata, n, salt)
-        out = part if out is None else out.unionByName(part)
-    return out
+    return round_robin(fresh, "case_id", strata, n, salt, within=["split"])
 
 
 def validation_target(complete: int) -> int:

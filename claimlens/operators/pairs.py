@@ -305,43 +305,38 @@ def escalated(answer: Column) -> Column:
     )
 
 
-def _slim(scored: DataFrame) -> DataFrame:
-    return scored.withColumns({"quality": preference_quality(), "ok": core_ok(), "failed": order_failure()})
-
-
-def best_completion(scored: DataFrame, by: list[str], order: str, *keep: str) -> DataFrame:
-    """The completion of the best quality of each group, the earliest of equals: one aggregate, no window."""
-    return scored.groupBy(*by).agg(F.max_by(F.struct(*keep), F.struct("quality", -F.col(order))).alias("_best")).select(*by, "_best.*")
-
-
 def mined_pairs(completions: DataFrame, min_gap: float = MIN_GAP, max_gap: float = MAX_GAP, expert: bool = True) -> DataFrame:
-    """case_id, bucket, sources, rewards and gap of the pairs that completions give.
+    """pair_type, sources, rewards and gap of the pairs that completions give, by case.
 
-    completions: case_id, model (any name), position, answer, images, pred, json_valid, schema_valid. An order id case pairs its best good
-    completion, or the expert's answer, with its best failing one; a low case pairs its best good completion with an escalated
-    copy; other cases give none. The gap of preference scores must be within the limits.
+    completions: case_id, model (any name), position (from 0), answer, images, pred, json_valid, schema_valid. An order id case pairs its
+    best good completion, or the expert's answer, with its best failing one (a good one never fails); a low case pairs its best good
+    completion with an escalated copy; other cases give none; the earliest of equals is the best. The gap of preference scores must be within
+    the limits. The expert's answer and the escalated copies are scored beside the completions, so the table is read once, and a
+    case's few scores meet in one aggregate.
     """
     x = held(completions.withColumn("bucket", mining_bucket(F.col("answer")))).where(F.col("bucket").isin("order_id_mismatch", "low_pass"))
-    structured = F.when(F.col("bucket") == "order_id_mismatch", structured_order_ids(F.col("answer"))).otherwise(F.col("answer"))
-    x = held(x.withColumn("answer", structured)).where("answer is not null")
-    facts = ["bucket", "position"]
-    scored = held(_slim(reward(x.where("schema_valid").withColumn("said", F.xxhash64(answer_json("pred"))), *facts, "said")))
-    good = best_completion(scored.where("ok"), ["case_id", "bucket"], "position", "quality", "reward", "said", "position")
-    chosen = good.select("case_id", "bucket", F.lit("model_generated").alias("chosen_source"), F.col("quality").alias("chosen_reward"), F.col("reward").alias("chosen_task_reward"), F.col("said").alias("chosen_said"), F.col("position").alias("chosen_position"))
-    truth = x.where("schema_valid").groupBy("case_id", "bucket").agg(F.any_value(F.struct("answer", "images")).alias("v")).select("case_id", "bucket", "v.*")
-    if expert:
-        lone = truth.where("bucket = 'order_id_mismatch'").join(chosen.select("case_id"), "case_id", "left_anti")
-        own = _slim(reward(lone.withColumns({"model": F.lit("expert"), "pred": F.col("answer"), "json_valid": F.lit(True), "schema_valid": F.lit(True), "said": F.xxhash64(answer_json())}), "bucket", "said"))
-        chosen = chosen.unionByName(own.select("case_id", "bucket", F.lit("expert_corrected_target").alias("chosen_source"), F.col("quality").alias("chosen_reward"), F.col("reward").alias("chosen_task_reward"), F.col("said").alias("chosen_said"), F.lit(None).cast("int").alias("chosen_position")))
-    failing = scored.where("failed and bucket = 'order_id_mismatch'").join(chosen.select("case_id", "chosen_said"), "case_id").where("said <> chosen_said")
-    worst = best_completion(failing, ["case_id"], "position", "quality", "reward").select("case_id", F.lit("model_generated").alias("rejected_source"), F.col("quality").alias("rejected_reward"), F.col("reward").alias("rejected_task_reward"))
-    low = x.where("bucket = 'low_pass' and schema_valid").join(good.where("bucket = 'low_pass'").select("case_id", "position"), ["case_id", "position"])
-    fake = _slim(reward(low.withColumn("pred", escalated(F.col("pred"))), "bucket")).select("case_id", F.lit("synthetic_false_escalation_calibration").alias("rejected_source"), F.col("quality").alias("rejected_reward"), F.col("reward").alias("rejected_task_reward"))
-    both = chosen.join(worst.unionByName(fake), "case_id").withColumn("reward_gap", F.col("chosen_reward") - F.col("rejected_reward"))
-    return both.where((F.col("reward_gap") + SLACK >= min_gap) & (F.col("reward_gap") - SLACK <= max_gap)).select(
-        "case_id", F.col("bucket").alias("pair_type"), "chosen_source", "rejected_source", "chosen_reward", "rejected_reward", "reward_gap", "chosen_task_reward", "rejected_task_reward",
-        _case("bucket", BUCKET_WEIGHTS).alias("final_weight"),
+    is_order = F.col("bucket") == "order_id_mismatch"
+    x = held(x.withColumn("answer", F.when(is_order, structured_order_ids(F.col("answer"))).otherwise(F.col("answer")))).where("answer is not null")
+    made = lambda kind, pred, ok: F.when(ok, F.struct(F.lit(kind).alias("kind"), pred.alias("pred")))
+    valid = F.coalesce(F.col("schema_valid"), F.lit(False))
+    variants = F.array_compact(F.array(
+        made("own", F.col("pred"), valid), made("escalated", escalated(F.col("pred")), valid & ~is_order), made("expert", F.col("answer"), is_order & (F.col("position") == 0) & F.lit(expert))))
+    x = x.withColumn("_v", F.explode(variants)).withColumns({"kind": F.col("_v.kind"), "pred": F.col("_v.pred"), "json_valid": F.lit(True), "schema_valid": F.lit(True)})
+    scored = held(reward(x, "bucket", "position", "kind").withColumns({"quality": preference_quality(), "ok": core_ok(), "failed": order_failure()}))
+    said = F.struct("quality", "reward", "position")
+    best = lambda c: F.max_by(F.when(c, said), F.when(c, F.struct("quality", -F.col("position"))))
+    own = F.col("kind") == "own"
+    cases = scored.groupBy("case_id", "bucket").agg(
+        best(own & F.col("ok")).alias("good"), best(own & F.col("failed")).alias("bad"), best(F.col("kind") == "expert").alias("expert"), F.collect_list(F.when(F.col("kind") == "escalated", said)).alias("fakes"))
+    is_order = F.col("bucket") == "order_id_mismatch"
+    fake = F.get(F.filter("fakes", lambda f: f["position"] == F.col("good.position")), F.lit(0))
+    cases = cases.withColumns({"chosen": F.coalesce("good", F.when(is_order, F.col("expert"))), "rejected": F.when(is_order, F.col("bad")).otherwise(fake)})
+    both = cases.where("chosen is not null and rejected is not null").select(
+        "case_id", F.col("bucket").alias("pair_type"), F.when(F.col("good").isNotNull(), "model_generated").otherwise("expert_corrected_target").alias("chosen_source"),
+        F.when(is_order, "model_generated").otherwise("synthetic_false_escalation_calibration").alias("rejected_source"), F.col("chosen.quality").alias("chosen_reward"), F.col("rejected.quality").alias("rejected_reward"),
+        (F.col("chosen.quality") - F.col("rejected.quality")).alias("reward_gap"), F.col("chosen.reward").alias("chosen_task_reward"), F.col("rejected.reward").alias("rejected_task_reward"), _case("bucket", BUCKET_WEIGHTS).alias("final_weight"),
     )
+    return both.where((F.col("reward_gap") + SLACK >= min_gap) & (F.col("reward_gap") - SLACK <= max_gap))
 
 
 def take_holdout(pairs: DataFrame, n: int, salt: int | str, name: str = "part") -> DataFrame:

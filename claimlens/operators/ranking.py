@@ -106,13 +106,16 @@ def equal_quotas(groups: DataFrame, within: list[str], label: str, n: int, name:
     return groups.withColumn(name, F.expr("0L") + F.floor(F.lit(n) / k) + (idx < F.pmod(F.lit(n), k)).cast("bigint"))
 
 
-def round_robin(df: DataFrame, key: str, strata: list[str], n: int, salt: int | str, name: str = "turn") -> DataFrame:
-    """The n rows drawn first if the strata, in their order, give one row each in turn, hash-ordered.
+def round_robin(df: DataFrame, key: str, strata: list[str], n: int, salt: int | str, name: str = "turn", within: list[str] | None = None) -> DataFrame:
+    """The n rows (of each group of `within`) drawn first if the strata, in their order, give one row each in turn, hash-ordered.
 
     No stratum is asked more than n times, so what is ordered together is at most n rows of each; `name` is the turn.
     """
-    ranked = global_rank(df, key, salt, strata, name).where(F.col(name) <= n)
-    return ranked.orderBy(name, *strata, key).limit(n)
+    within = within or []
+    ranked = global_rank(df, key, salt, within + strata, name).where(F.col(name) <= n)
+    if not within:
+        return ranked.orderBy(name, *strata, key).limit(n)
+    return ranked.withColumn("_p", F.row_number().over(Window.partitionBy(*within).orderBy(name, *strata, key))).where(F.col("_p") <= n).drop("_p")
 
 
 def sharded(df: DataFrame, position: str, n: int, name: str = "shard") -> DataFrame:

@@ -130,11 +130,12 @@ RAW = scores_sql(("raw",), f", modes_kept AS (SELECT * REPLACE (CASE WHEN {u('lo
 def raw_evaluation(spark, sf_dir):
     """The metrics from raw texts: parsed, held against the contract, the last of repeated predictions, none where one is lost."""
     made = pairs(spark, sf_dir, ["raw"])
-    said = made.select("case_id", "model", P.raw_output().alias("raw_output"), F.lit(1).alias("place")).where(draw("case_id", "lost") % LOST != 0)
-    stale = made.where(draw("case_id", "twice") % TWICE == 0).select("case_id", "model", F.lit("{}").alias("raw_output"), F.lit(0).alias("place"))
-    other = made.limit(1).select(F.lit("MV_UNKNOWN").alias("case_id"), "model", F.lit("{}").alias("raw_output"), F.lit(0).alias("place"))
+    row = lambda ok, text, place: F.when(ok, F.struct(text.alias("raw_output"), F.lit(place).alias("place")))
+    lines = F.array_compact(F.array(row(draw("case_id", "lost") % LOST != 0, P.raw_output(), 1), row(draw("case_id", "twice") % TWICE == 0, F.lit("{}"), 0)))
+    said = made.select("case_id", "model", F.inline(lines))
+    other = spark.range(1).select(F.lit("MV_UNKNOWN").alias("case_id"), F.lit("raw").alias("model"), F.lit("{}").alias("raw_output"), F.lit(0).alias("place"))
     truth = made.select("case_id", "model", "answer", "images")
-    rows = scoring.last_prediction(truth, said.unionByName(stale).unionByName(other), ["case_id", "model"], "place")
+    rows = scoring.last_prediction(truth, said.unionByName(other), ["case_id", "model"], "place")
     return scoring.metrics(scoring.score(contract.parsed(rows, made.schema["answer"].dataType.simpleString())), "model")
 
 
@@ -238,9 +239,9 @@ FAMILY = """CASE WHEN label IN ('amount_mismatch', 'over_reimbursement') THEN 'a
   SELECT *, CASE WHEN list_has_any(issues, ['schema_invalid', 'json_invalid']) THEN 'schema_contract_failure' WHEN list_contains(issues, 'high_risk_miss') THEN 'model_missed_high_risk'
     WHEN list_contains(issues, 'audit_mismatch') AND true_risk = 'high' THEN 'recognized_risk_but_decision_released' WHEN list_has_any(issues, ['unsupported_evidence', 'bbox_strict_error']) THEN 'evidence_not_trustworthy'
     WHEN family = 'evidence_or_document_insufficient' THEN family ELSE 'other_business_error' END AS problem FROM e
-), f AS (SELECT model, family, count(*) AS n, row_number() OVER (PARTITION BY model ORDER BY count(*) DESC, family) AS r FROM c GROUP BY ALL),
-p AS (SELECT model, problem, count(*) AS n, row_number() OVER (PARTITION BY model ORDER BY count(*) DESC, problem) AS r FROM c GROUP BY ALL),
-i AS (SELECT model, issue, count(*) AS n, row_number() OVER (PARTITION BY model ORDER BY count(*) DESC, issue) AS r FROM (SELECT model, unnest(issues) AS issue FROM c) GROUP BY ALL)
+), f AS (SELECT model, family, count(*) AS n, row_number() OVER (PARTITION BY model ORDER BY count(*) DESC, family) AS r FROM c GROUP BY model, family),
+p AS (SELECT model, problem, count(*) AS n, row_number() OVER (PARTITION BY model ORDER BY count(*) DESC, problem) AS r FROM c GROUP BY model, problem),
+i AS (SELECT model, issue, count(*) AS n, row_number() OVER (PARTITION BY model ORDER BY count(*) DESC, issue) AS r FROM (SELECT model, unnest(issues) AS issue FROM c) GROUP BY model, issue)
 SELECT k.model, error_cases, reject_errors, top_families, top_problems, top_issues FROM (SELECT model, count(*) AS error_cases, count(*) FILTER (true_audit = 'reject_recommendation') AS reject_errors FROM c GROUP BY 1) k
 JOIN (SELECT model, string_agg(family || ':' || n, '; ' ORDER BY r) AS top_families FROM f WHERE r <= 5 GROUP BY 1) USING (model) JOIN (SELECT model, string_agg(problem || ':' || n, '; ' ORDER BY r) AS top_problems FROM p WHERE r <= 5 GROUP BY 1) USING (model)
 JOIN (SELECT model, string_agg(issue || ':' || n, '; ' ORDER BY r) AS top_issues FROM i WHERE r <= 5 GROUP BY 1) USING (model)""")
@@ -250,8 +251,7 @@ def error_diagnosis(spark, sf_dir):
     e = scores(spark, sf_dir).where(F.size("issues") > 0).join(truth, "case_id", "left").withColumn("family", F.coalesce("family", F.lit("unknown")))
     e = e.select("model", "issues", "true_audit", "family", comparison.problem_class(F.col("family")).alias("problem"))
     n = e.groupBy("model").agg(F.count("*").alias("error_cases"), F.count_if(F.col("true_audit") == "reject_recommendation").alias("reject_errors"))
-    top = lambda rows, value, name: comparison.most_common(rows, ["model"], value, 5, name)
-    return n.join(top(e, "family", "top_families"), "model").join(top(e, "problem", "top_problems"), "model").join(top(e.select("model", F.explode("issues").alias("issue")), "issue", "top_issues"), "model")
+    return n.join(comparison.most_common(e, ["model"], {"top_families": F.array("family"), "top_problems": F.array("problem"), "top_issues": F.col("issues")}), "model")
 
 
 @query(f"""{SCORES}, oid AS (SELECT DISTINCT case_id, model FROM pe WHERE field = 'order_id'), e AS (SELECT s.*, oid.case_id IS NOT NULL AS cited FROM scores s LEFT JOIN oid USING (case_id, model) WHERE schema_valid AND len(issues) > 0)
