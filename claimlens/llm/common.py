@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,28 +56,75 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+#: Paths written by stored() that are still there, oldest first.
+_WRITTEN: list[str] = []
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read back, which cuts its lineage."""
     path = f"{scratch_root(df.sparkSession)}/{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+    if path in _WRITTEN:
+        _WRITTEN.remove(path)
+
+
 def drop_stored(*frames: DataFrame) -> None:
     """Delete what stored() wrote, once no later result needs it."""
     for df in frames:
-        path = getattr(df, "_scratch_path", None)
-        if path:
-            jvm = df.sparkSession._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+        if path := getattr(df, "_scratch_path", None):
+            _delete(df.sparkSession, path)
+
+
+def scratch_mark() -> frozenset[str]:
+    """The stored tables that are there now; for release()."""
+    return frozenset(_WRITTEN)
+
+
+def release(spark: SparkSession, since: frozenset[str] = frozenset(), keep: DataFrame | None = None) -> None:
+    """Delete the tables stored since a mark, but for one: to be called when the results that read them have been read or written."""
+    for path in [p for p in _WRITTEN if p not in since and p != getattr(keep, "_scratch_path", None)]:
+        _delete(spark, path)
+
+
+def short(batches: Iterator[pa.RecordBatch], rows: int = ARROW_ROWS) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in slices of few rows, whatever the session sends; nothing is copied. Spark bounds the bytes of a batch."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
+#: Keys that are joined by broadcast because many rows have them: at most so many, and only those of more rows than this.
+HOT_KEYS, HOT_ROWS = 10_000, 10_000
+
 
+def with_counted(rows: DataFrame, table: DataFrame, on: list[str], n: str = "n", least: int | None = None) -> DataFrame:
+    """rows joined with table (one row for each key, and n, how many rows have it) on columns of both, without a hot task.
 
-def short_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Keep Arrow batches of whole texts small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    The keys of most rows, up to HOT_KEYS of them, are broadcast; rows with these are not sent anywhere by their key. All other
+    rows are joined by a shuffle in which no key has more rows than the least of the broadcast ones. The result is that of the plain
+    inner join. table is read twice, so it should be stored; keys are never null.
+    """
+    more = [c for c in table.columns if c not in on]
+    hot = table.where(F.col(n) > (HOT_ROWS if least is None else least)).orderBy(F.desc(n), *on).limit(HOT_KEYS)
+    left = lambda df, tag: df.select(*(F.col(c).alias(f"_{tag}_{c}") for c in table.columns))
+    a, b = left(hot, "hot"), left(table, "all")
+    some = F.col(f"_hot_{on[0]}").isNotNull()
+    x = rows.join(F.broadcast(a), reduce(lambda p, q: p & q, (F.col(c) == F.col(f"_hot_{c}") for c in on)), "left")
+    #: A row that is served already goes to a place of its own; `served` keeps it from meeting anything there.
+    x = x.withColumn("_served", some).withColumn("_place", F.when(some, F.xxhash64(*rows.columns)).otherwise(F.xxhash64(*on)))
+    same = reduce(lambda p, q: p & q, (F.col(c) == F.col(f"_all_{c}") for c in on))
+    b = b.withColumn("_all_place", F.xxhash64(*(f"_all_{c}" for c in on)))
+    x = x.join(b, (F.col("_place") == F.col("_all_place")) & ~F.col("_served") & same, "left").where(F.col("_served") | F.col("_all_place").isNotNull())
+    return x.select(*rows.columns, *(F.when(F.col("_served"), F.col(f"_hot_{c}")).otherwise(F.col(f"_all_{c}")).alias(c) for c in more))
 
 
 def partitions(spark: SparkSession) -> int:

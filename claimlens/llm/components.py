@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, stored
+from .common import drop_stored, release, scratch_mark, stored, with_counted
 
 
 def _large(links: DataFrame) -> DataFrame:
     """Link each larger neighbour of a node to the smallest of the node and its neighbours."""
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return both.join(least, "a").where("b > a and b > m").select(F.col("m").alias("a"), "b").distinct()
+    least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n")))
+    return with_counted(both, least, ["a"]).where("b > a and b > m").select(F.col("m").alias("a"), "b").distinct()
 
 
 def _small(links: DataFrame) -> DataFrame:
     """Link each node and its smaller neighbours to the smallest of them; links are a < b."""
-    least = links.groupBy("b").agg(F.min("a").alias("m"))
-    joined = links.join(least, "b")
+    least = stored(links.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("n")))
+    joined = with_counted(links, least, ["b"])
     return joined.where("a > m").select(F.col("m").alias("a"), F.col("a").alias("b")).union(least.select(F.col("m").alias("a"), "b")).distinct()
 
 
@@ -29,14 +29,16 @@ def components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
     costs one round. Only two numbers a round come to the driver. No links give no rows.
     """
     now = stored(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
-    mark = F.struct(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum"))
-    seen = now.agg(mark.alias("m")).first()["m"]
+    told = F.struct(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum"))
+    seen = now.agg(told.alias("m")).first()["m"]
     for _ in range(max_rounds):
         if not seen["n"]:
             break
-        new = stored(_small(_large(now)))
+        mark = scratch_mark()
+        new = stored(_small(stored(_large(now))))
+        release(now.sparkSession, mark, new)
         drop_stored(now)
-        now, last, seen = new, seen, new.agg(mark.alias("m")).first()["m"]
+        now, last, seen = new, seen, new.agg(told.alias("m")).first()["m"]
         if last == seen:
             break
     else:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import short_batches, text_of
+from .common import short, text_of
 from .wordhash import Words, pieces, words
 
 UNIT, RANK, BLOCK = 12, 48, 256
@@ -124,7 +124,7 @@ def document_frequency(texts: DataFrame, items: Items) -> tuple[np.ndarray, int]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         count, n = np.zeros(len(own.vocabulary), np.int64), 0
-        for b in batches:
+        for b in short(batches):
             for x in pieces(b["text"]):
                 w = words(x, plain=True)
                 at, place = own.find(w)
@@ -169,7 +169,7 @@ def latent_space(texts: DataFrame, items: Items, idf: np.ndarray, rank: int = RA
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, scale = shared.value
         y = np.zeros((size, rank), np.float32)
-        for b in batches:
+        for b in short(batches):
             for x in pieces(b["text"]):
                 sketch(own, scale, words(x, plain=True), y)
         rows = np.flatnonzero(y.any(1))
@@ -252,7 +252,7 @@ def search(texts: DataFrame, items: Items, idf: np.ndarray, space: np.ndarray, c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in PAIRS.split(", ")]
-        for b in batches:
+        for b in short(batches):
             got, at = [], 0
             for x in pieces(b["text"]):
                 got += one(x, b["doc_id"][at : at + len(x)].to_pylist())
@@ -273,7 +273,6 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, rank: int = RANK, c
     all common (COMMON) are compared over all their words.
     """
     spark = documents.sparkSession
-    short_batches(spark)
     texts = documents.select(F.col("doc_id").cast("long"), text_of("text").alias("text"))
     rows = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long"), text_of("text").alias("text"))
     out = None
@@ -308,6 +307,10 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, rank: int = RANK, c
 
 
 def clean_documents(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark item, with all their columns; rows without doc_id stay."""
-    ids = contaminated(documents, benchmark).where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_leaks")).distinct()
-    return documents.join(ids, F.col("doc_id").cast("long") == F.col("_leaks"), "left_anti")
+    """The documents that hold no benchmark item, with all their columns, whatever their names.
+
+    All rows of a doc_id go if one of them holds an item; rows without a doc_id stay. Empty tables on either side take nothing away.
+    """
+    ids = contaminated(documents, benchmark).where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("leak")).distinct()
+    whole = documents.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
+    return whole.join(ids, F.col("id") == F.col("leak"), "left_anti").select("row.*")

@@ -11,43 +11,53 @@ from .common import table
 
 
 def op1_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learnt from the labels that are not held out."""
     return quality_mil.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document, as counts and digests."""
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
 def op3_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the benchmark items that they hold."""
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from the labels that are not held out."""
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every url."""
     return url_rules.judge(table(spark, sf_dir, "pages")).drop("url")
 
 
 def op6_html_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
     return html_gbt.extract(table(spark, sf_dir, "pages"))
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, as counts and digests."""
     return sentencepiece_codec.digest(table(spark, sf_dir, "documents"))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
 
 def op9_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without passages that an earlier one holds."""
     return phrases.digest(phrases.remove_repeats(table(spark, sf_dir, "documents")))
 
 
 def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_rules.quality_rules(table(spark, sf_dir, "documents")).drop("tk")
+    """Counts and verdict of the quality rules for every document."""
+    return line_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -85,22 +95,19 @@ WITH d AS (
 ), rep AS (
   SELECT k, count(DISTINCT i + o) AS n FROM twice, range(0, 8) AS t(o) GROUP BY k
 ), l AS (
-  SELECT k, host, unnest(string_split(text, chr(10))) AS line FROM d
+  SELECT k, host, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM d
 ), ln AS (
-  SELECT k, host, line, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS plain FROM l
+  SELECT k, host, line, pos, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS plain FROM l
   WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
 ), dup AS (
   SELECT k, count(*) - count(DISTINCT line) AS n FROM ln GROUP BY k
 ), hs AS (
-  SELECT k, host, ('0x' || substr(md5(plain), 1, 15))::BIGINT AS h, len(string_split(plain, ' ')) AS n FROM ln
-), two AS (
-  SELECT k, min(h) AS a FROM hs GROUP BY k
-), two2 AS (
-  SELECT k, a, coalesce(min(h) FILTER (h > a), a) AS b FROM hs JOIN two USING (k) GROUP BY k, a
+  SELECT k, host, pos, ('0x' || substr(md5(plain), 1, 15))::BIGINT AS h, len(string_split(plain, ' ')) AS n FROM ln
+), whole AS (
+  SELECT k, string_agg(h::VARCHAR, ',' ORDER BY pos) AS lines FROM hs GROUP BY k
 ), freq AS (
-  SELECT host, h FROM (
-    SELECT host, h, count(DISTINCT CASE WHEN h = a THEN b ELSE a END) AS n FROM hs JOIN two2 USING (k) GROUP BY host, h
-  ) JOIN (SELECT host, count(*) AS n_host FROM d GROUP BY host) USING (host) WHERE n > 30 AND n > n_host * 0.001
+  SELECT host, h FROM (SELECT host, h, count(DISTINCT lines) AS n FROM hs JOIN whole USING (k) GROUP BY host, h)
+  JOIN (SELECT host, count(*) AS n_host FROM d GROUP BY host) USING (host) WHERE n > 30 AND n > n_host * 0.001
 ), gone AS (
   SELECT k, sum(n) AS n FROM hs JOIN freq USING (host, h) GROUP BY k
 ), f AS (

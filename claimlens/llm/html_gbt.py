@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import short_batches, text_of
+from .common import short, text_of
 
 #: Kinds of HTML elements.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -409,11 +409,10 @@ def extract(pages: DataFrame) -> DataFrame:
     A null or empty html gives an empty text; a null page_id or url stays null. Other columns are
     dropped; an empty table gives an empty result. Repeated rows give repeated results.
     """
-    short_batches(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(model())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in short(batches):
             texts = main_texts(b["html"].to_pylist(), shared.value)
             yield pa.RecordBatch.from_pydict({"page_id": b["page_id"], "url": b["url"], "text": pa.array(texts, pa.string()), "n_chars": pa.array(map(len, texts), pa.int64())})
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_RUN, SPACES, let, text_of, trimmed, words
+from .common import SPACE_RUN, SPACES, let, stored, text_of, trimmed, with_counted, words
 
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 20, 8, 30
 SYMBOLS = "#*$%&|<>"
@@ -83,14 +83,14 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def frequent_lines(docs: DataFrame, line_docs: int, line_share: float) -> DataFrame:
-    """host, h of the lines above the limits."""
+    """host, h, n of the lines above the limits: n documents of the host hold the line, each different text once."""
     held = _lines(docs).groupBy("host", "h", "key").agg(F.lit(1).alias("one")).groupBy("host", "h").agg(F.count("*").alias("n"))
     hosts = docs.groupBy("host").agg(F.count("*").alias("n_host"))
     return (
         held.where(F.col("n") > line_docs)
         .join(hosts, "host")
         .where(F.col("n") > F.col("n_host") * line_share)
-        .select("host", "h")
+        .select("host", "h", "n")
     )
 
 
@@ -105,8 +105,9 @@ def _judged(documents: DataFrame, line_docs: int, line_share: float, lost_share:
         .groupBy("doc_id", "tk")
         .agg(*(F.first(c).alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), F.count("*").cast("int").alias("copies"))
     )
+    #: A frequent line is by its nature a hot key, so the most frequent ones are not joined by a shuffle.
     gone = (
-        _lines(docs).join(frequent_lines(docs, line_docs, line_share), ["host", "h"])
+        with_counted(_lines(docs), stored(frequent_lines(docs, line_docs, line_share)), ["host", "h"])
         .groupBy(F.col("doc_id").alias("gone_id"), F.col("tk").alias("gone_tk"))
         .agg(F.sum("words").alias("gone"), F.collect_set("h").alias("gone_lines"))
     )
@@ -131,8 +132,8 @@ def quality_rules(
     """
     return (
         _judged(documents, line_docs, line_share, lost_share)
-        .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_line_words", "kept", "tk", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy"))
-        .drop("_copy")
+        .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_line_words", "kept", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+        .drop("copy")
     )
 
 
@@ -142,17 +143,21 @@ def kept_documents(
     """The rows of documents that the rules keep, with all their columns, less the lines above the limits.
 
     Where lines go, n_chars (if there is such a column) is the length of what is left; other texts
-    stay as they are, to the byte.
+    stay as they are, to the byte. Rows with a null or blank text, or too few words, go; a null source is a host of
+    its own, a null doc_id stays; repeated rows stay as often as they are there. Columns of any other name pass
+    through. An empty table gives an empty one.
     """
     verdicts = _judged(documents, line_docs, line_share, lost_share).where("kept").select(
-        F.col("doc_id").alias("_id"), F.col("tk").alias("_tk"), F.col("gone_lines").alias("_gone"))
-    tk = F.xxhash64(text_of("text"), F.coalesce(F.col("source").cast("string"), F.lit("")))
+        F.col("doc_id").alias("id_of"), F.col("tk").alias("tk_of"), "gone_lines")
+    whole = documents.select(
+        F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64(text_of("text"), F.coalesce(F.col("source").cast("string"), F.lit(""))).alias("tk"))
+    kept = whole.join(verdicts, F.col("id").eqNullSafe(F.col("id_of")) & (F.col("tk") == F.col("tk_of")))
+    text, loses = F.col("row.text"), F.col("gone_lines").isNotNull()
     left = F.array_join(F.filter(
-        F.split(text_of("text"), "\n"), lambda x: (trimmed(x) == "") | ~F.array_contains(F.col("_gone"), line_hash(x))
+        F.split(text_of(text), "\n"), lambda x: (trimmed(x) == "") | ~F.array_contains(F.col("gone_lines"), line_hash(x))
     ), "\n")
-    kept = documents.withColumn("_key", tk).join(verdicts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_tk")))
-    kept = kept.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left))
+    kept = kept.select("row", "gone_lines", F.when(loses, left).otherwise(text).alias("text"))
+    change = {"text": F.col("text")}
     if "n_chars" in documents.columns:
-        n = F.length("text").cast(documents.schema["n_chars"].dataType)
-        kept = kept.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(n))
-    return kept.select(*documents.columns)
+        change["n_chars"] = F.when(loses, F.length("text").cast(documents.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return kept.select(*(change.get(c, F.col(f"row.`{c}`")).alias(c) for c in documents.columns))

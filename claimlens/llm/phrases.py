@@ -5,6 +5,7 @@ with a smaller doc_id. In each window the ANCHOR-word run with the smallest hash
 windows have equal anchors and only anchors, about a fifth of all positions, are counted.
 
 1. Anchors are counted over all documents (aggregated before the shuffle); those of two or more recur.
+   Rows of anchors that very many documents have are dealt to SALTS places each.
 2. Each document's recurring anchors give segments: the words that the windows over the anchor cover.
    Equal segments of an anchor are one row with their smallest doc_id, so a passage in any
    number of documents is one row.
@@ -13,14 +14,17 @@ windows have equal anchors and only anchors, about a fifth of all positions, are
    each, and streams the segments through it, which locates every occurrence.
 4. Occurrences go back to the documents, which are read once more to remove the words.
 
-Hashes only choose candidates in steps 1 and 2; windows are compared as words in step 3.
+An anchor in over HEAVY different segments (a common phrase in ever new surroundings) would be one task's load and one list;
+its segments are cut into their windows, which are grouped as words, wherever they are, and their smallest doc_ids go back to the segments.
+
+Hashes only choose candidates in steps 1 and 2; segments are grouped and windows compared as words in step 3. On the way back, step 4,
+a segment is known by its anchor's hash and a 64-bit hash of its own.
 """
 
 from __future__ import annotations
 
 import gc
 import hashlib
-import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, short_batches, stored, text_of
+from .common import HOT_KEYS, HOT_ROWS, drop_stored, short, stored, text_of, with_counted
 from .wordhash import Words, pieces, runs, words
 
 WINDOW, ANCHOR = 13, 5
@@ -37,6 +41,10 @@ BITS = 44
 #: Segments that share an automaton, few enough for it to stay in the processor's cache; an anchor's segments stay together.
 SEGMENTS = 300
 NO_ID = (1 << 63) - 1
+#: An anchor with more different segments than this is compared window by window.
+HEAVY = 4096
+#: The rows of an anchor in over HOT_ROWS documents, of which the first HOT_KEYS count, are dealt to so many places.
+SALTS = 64
 
 
 def anchors(w: Words, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -65,7 +73,7 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
     """h, id, tk: the anchors of each document, each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in short(batches):
             ids, keys = _columns(b, "id", "tk")
             at = 0
             for x in pieces(b["text"]):
@@ -81,7 +89,7 @@ def segment_rows(docs: DataFrame) -> DataFrame:
     """h, sid, seg, id, tk, start of documents with hs, their recurring anchors: the segments around these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in short(batches):
             ids, keys = _columns(b, "id", "tk")
             hs, offsets = b["hs"].flatten().to_numpy(), b["hs"].offsets.to_numpy() - b["hs"].offsets[0].as_py()
             at = 0
@@ -151,7 +159,7 @@ def located(distinct: DataFrame) -> DataFrame:
                 got[k] = firsts
             return pa.RecordBatch.from_pydict({"h": [r[0] for r in rows], "sid": [r[1] for r in rows], "firsts": pa.array(got, pa.list_(pa.int64()))})
 
-        for b in batches:
+        for b in short(batches):
             held += zip(*(b[c].to_pylist() for c in ("h", "sid", "seg", "first")), strict=True)
             if len(held) >= SEGMENTS:
                 cut = len(held)
@@ -168,33 +176,66 @@ def located(distinct: DataFrame) -> DataFrame:
 
 def _freed(spark) -> None:
     """Let Spark delete the shuffle files of plans that are done with."""
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.5)
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def _salted(rows: DataFrame, table: DataFrame, hot: DataFrame, more: list[str], salt) -> DataFrame:
+    """rows joined with table on h (and more); where h is hot, rows go by h and one of SALTS salts, and table has a row for each.
+
+    Hashes of anchors have BITS bits, so the salt stands above them and rows are no wider than without it.
+    """
+    few = F.broadcast(hot.select(F.col("h").alias("hot_h")))
+    unit = F.lit(1 << BITS)
+    dealt = rows.join(few, F.col("h") == F.col("hot_h"), "left")
+    dealt = dealt.withColumn("h", F.when(F.col("hot_h").isNull(), F.col("h")).otherwise(F.col("h") + (F.pmod(salt, F.lit(SALTS)) + 1) * unit)).drop("hot_h")
+    copies = F.when(F.col("hot_h").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(1), F.lit(SALTS)))
+    every = table.join(few, F.col("h") == F.col("hot_h"), "left").withColumn("copy", F.explode(copies)).withColumn("h", F.col("h") + F.col("copy") * unit).drop("hot_h", "copy")
+    return dealt.join(every, ["h", *more]).withColumn("h", F.col("h").bitwiseAND(unit - 1))
+
+
+def _by_windows(segments: DataFrame) -> DataFrame:
+    """h, sid, firsts of rows (h, sid, seg, first): the windows are grouped as words."""
+    split = F.split("seg", " ")
+    each = F.transform(F.sequence(F.lit(0), F.size(split) - WINDOW), lambda k: F.struct(k.alias("k"), F.array_join(F.slice(split, k + 1, F.lit(WINDOW)), " ").alias("window")))
+    windows = segments.select("h", "sid", "first", F.inline(each))
+    least = stored(windows.groupBy("window").agg(F.min("first").alias("least"), F.count("*").alias("n")))
+    back = with_counted(windows.select("h", "sid", "k", "window"), least, ["window"])
+    told = F.array_sort(F.collect_list(F.struct("k", "least")))
+    return back.groupBy("h", "sid").agg(F.transform(told, lambda x: x["least"]).alias("firsts"))
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """id, tk, marks (start, bits of the windows from there) of rows (id, tk, text)."""
     spark = docs.sparkSession
     rows = anchor_rows(docs)
-    recurring = rows.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h")
-    lists = stored(rows.join(recurring, "h").groupBy("id", "tk").agg(F.collect_list("h").alias("hs")))
-    del rows, recurring
+    counted = rows.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n"))
+    recurring = stored(counted.where("lo < hi").select("h", "n"))
+    hot = stored(recurring.where(F.col("n") > HOT_ROWS).orderBy(F.desc("n"), "h").limit(HOT_KEYS).select("h"))
+    of = F.xxhash64("id", "tk")
+    lists = stored(_salted(rows, recurring.select("h"), hot, [], of).groupBy("id", "tk").agg(F.collect_list("h").alias("hs")))
+    del rows, counted
+    drop_stored(recurring)
     _freed(spark)
     segments = stored(segment_rows(docs.join(lists, ["id", "tk"]).select("id", "tk", "text", "hs")))
     _freed(spark)
-    distinct = segments.groupBy("h", "sid").agg(F.min("id").alias("first"), F.first("seg").alias("seg"))
-    firsts = located(distinct.repartition("h").sortWithinPartitions("h").select("h", "sid", "seg", "first"))
+    heavy = stored(segments.select("h", "sid").distinct().groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > HEAVY).select(F.col("h").alias("heavy_h")))
+    distinct = segments.groupBy("h", "sid", "seg").agg(F.min("id").alias("first"))
+    of_heavy = F.col("h") == F.col("heavy_h")
+    light = distinct.join(heavy, of_heavy, "left_anti")
+    firsts = located(light.repartition("h").sortWithinPartitions("h").select("h", "sid", "seg", "first"))
+    some = segments.join(heavy, of_heavy, "left_semi").groupBy("h", "sid", "seg").agg(F.min("id").alias("first"))
+    firsts = firsts.unionByName(_by_windows(some))
     bits = F.aggregate(
         F.transform("firsts", lambda f, k: F.when(f < F.col("id"), F.pow(F.lit(2), k)).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x
     ).cast("int")
+    found = _salted(segments.select("h", "sid", "id", "tk", "start"), firsts, hot, ["sid"], of)
     marks = stored(
-        segments.select("h", "sid", "id", "tk", "start").join(firsts, ["h", "sid"]).select("id", "tk", "start", bits.alias("bits")).where("bits > 0")
+        found.select("id", "tk", "start", bits.alias("bits")).where("bits > 0")
         .groupBy("id", "tk").agg(F.collect_set(F.struct("start", "bits")).alias("marks"))
     )
-    drop_stored(lists, segments)
-    del segments, distinct, firsts
+    drop_stored(lists, segments, heavy, hot)
+    del segments, distinct, light, some, firsts, found
     _freed(spark)
     return marks
 
@@ -207,13 +248,12 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     fewer than WINDOW words lose nothing. Other columns are dropped; an empty table gives an empty result.
     """
     spark = documents.sparkSession
-    short_batches(spark)
     docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), text_of("text").alias("text"))
     docs = docs.withColumn("tk", F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)))  # parts rows with one doc_id and different texts
     marked = docs.join(repeats(docs), ["id", "tk"], "left").select("id", "text", F.col("marks.start").alias("starts"), F.col("marks.bits").alias("bits"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in short(batches):
             n, gone, kept = [], [], []
             for text, starts, bits in zip(b["text"].to_pylist(), b["starts"].to_pylist(), b["bits"].to_pylist(), strict=True):
                 own = text.encode().split()

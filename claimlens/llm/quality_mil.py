@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import short_batches, text_of
+from .common import short, text_of
 from .labelled import remainder, sample
 from .wordhash import pieces, runs, words
 
@@ -157,12 +157,11 @@ def train(texts: list[str], labels: np.ndarray, steps: int = STEPS) -> Network:
 
 def score(documents: DataFrame, net: Network) -> DataFrame:
     """doc_id, score (0 to 1, higher: good): one row for each row; a null text is read as empty."""
-    short_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for b in batches:
+        for b in short(batches):
             got = [own(x) for x in pieces(b["text"])]
             yield pa.RecordBatch.from_pydict({"doc_id": b["doc_id"], "score": np.concatenate(got) if got else np.zeros(0)})
 

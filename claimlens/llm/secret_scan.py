@@ -36,6 +36,20 @@ MIN_RATIO = 0.6
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
+def running(steps: Column, block: int = 128) -> Column:
+    """Sums of an array of integers up to each place. Arrays grow by copies, so sums run within blocks, and over blocks."""
+    add = lambda values, first: F.aggregate(
+        values, F.struct(first.alias("sum"), F.array().cast("array<int>").alias("all")), lambda a, v: F.struct((a["sum"] + v).alias("sum"), F.array_append(a["all"], a["sum"] + v).alias("all")), lambda a: a["all"])
+
+    def over(parts: Column) -> Column:
+        totals = F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda a, v: a + v))
+        before = let(add(totals, F.lit(0)), lambda t: F.zip_with(t, totals, lambda after, own: after - own))
+        return let(before, lambda first: F.flatten(F.transform(parts, lambda p, k: add(p, F.get(first, k)))))
+
+    starts = F.sequence(F.lit(0), F.greatest(F.size(steps) - 1, F.lit(0)), F.lit(block))
+    return let(steps, lambda s: let(F.transform(starts, lambda k: F.slice(s, k + 1, F.lit(block))), over))
+
+
 def _spans(text: Column, pattern: str, kind: int, keep) -> Column:
     """SPAN of the matches that keep(match, group 2 or match) accepts, in text order."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -45,19 +59,10 @@ def _spans(text: Column, pattern: str, kind: int, keep) -> Column:
 
     def walk(x: Column) -> Column:
         none = F.array().cast(SPAN)
-        zero = F.struct(F.lit(0).alias("at"), none.alias("spans"))
-
-        def step(acc: Column, i: Column) -> Column:
-            start = acc["at"] + F.length(F.get(x["gap"], i))
-            end = start + F.length(F.get(x["m"], i))
-            span = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))).cast(SPAN)
-            return F.struct(
-                end.alias("at"),
-                F.when(keep(F.get(x["v"], i)), F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"),
-            )
-
         n = F.size(x["m"])
-        return F.when(n > 0, F.aggregate(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), zero, step, lambda acc: acc["spans"])).otherwise(none)
+        steps = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.length(F.get(x["gap"], i)) + F.length(F.get(x["m"], i)))
+        span = lambda ends: F.transform(ends, lambda e, i: F.when(keep(F.get(x["v"], i)), F.struct((e - F.length(F.get(x["m"], i))).alias("start"), F.lit(kind).alias("kind"), e.alias("end"))))
+        return F.when(n > 0, F.array_compact(let(running(steps), span)).cast(SPAN)).otherwise(none)
 
     return let(parts, walk)
 
@@ -90,8 +95,13 @@ def random_strings(spark: SparkSession, n: int) -> DataFrame:
 
 
 def identifiers(documents: DataFrame, n_docs: int) -> DataFrame:
-    """Words, and neighbouring words in snake, kebab, camel, path and numbered style."""
-    few = documents.select(text_of("text").alias("text")).orderBy(F.xxhash64("text"), "text").limit(n_docs)
+    """Words of about n_docs documents, joined in snake, kebab, camel, path and numbered style.
+
+    A document is in the sample if its hash falls under a threshold set from the number of documents (a copy counts by its
+    own id), so the choice is made while reading and nothing is sorted or sent to one task.
+    """
+    each = max(1, documents.count() // max(n_docs, 1))
+    few = documents.select(text_of("text").alias("text"), F.col("doc_id")).where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(each)) == 0).select("text")
     plain = few.select(F.transform(words(F.col("text")), lambda w: F.regexp_replace(w, "[^A-Za-z]", "")).alias("w"))
     runs = plain.select(
         F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1)), F.lit(3)), lambda i: F.slice("w", i, F.lit(3)))).alias("r")
@@ -148,46 +158,56 @@ def _joined(spans: Column) -> Column:
 
 
 def scan(documents: DataFrame, min_ratio: float = MIN_RATIO, n_random: int = RANDOM_STRINGS, n_docs: int = IDENTIFIER_DOCS) -> DataFrame:
-    """documents with base (SPAN of the patterns) and found (SPAN with the model's), both by start.
+    """row (all columns of documents), base (SPAN of the patterns) and found (SPAN with the model's), both by start.
 
-    A null text is read as empty and has no spans. One result row for each row; all other columns
-    stay as they are. An empty table gives an empty result (the model then knows random strings
-    only). Offsets are code points, end exclusive.
+    A null text is read as empty and has no spans. One result row for each row, repeated rows included; columns of
+    documents keep any name. An empty table gives an empty result (the model then knows random strings
+    only). Offsets are code points, end exclusive. Work and memory for a text are in proportion to its length and its matches.
     """
-    text = text_of("text")
     table = ratio_table(documents, n_random, n_docs).scalar()
-    with_base = documents.withColumns({"base": base_spans(text), "_ratios": table})
-    extra = random_spans(text, F.col("_ratios"), F.col("base"), min_ratio)
-    return with_base.withColumn("found", F.sort_array(F.concat("base", extra))).drop("_ratios")
+    text = text_of("row.text")
+    with_base = documents.select(F.struct("*").alias("row"), table.alias("ratios")).select("row", "ratios", base_spans(text).alias("base"))
+    extra = random_spans(text, F.col("ratios"), F.col("base"), min_ratio)
+    return with_base.select("row", "base", F.sort_array(F.concat("base", extra)).alias("found"))
 
 
 def digest(scanned: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans."""
     count = lambda col, k: F.size(F.filter(col, lambda x: x["kind"] == k)).cast("long")
     return scanned.select(
-        "doc_id", count("base", 0).alias("n_assign"), count("base", 1).alias("n_access"), count("base", 2).alias("n_hex"),
+        "row.doc_id", count("base", 0).alias("n_assign"), count("base", 1).alias("n_access"), count("base", 2).alias("n_hex"),
         count("found", 3).alias("n_random"), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("found")).alias("spans"),
     )
 
 
 def redact(documents: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """documents with each span replaced by mark, overlapping ones by one; n_chars, if there, follows the text."""
-    scanned = scan(documents)
-    text = text_of("text")
+    """documents with each span replaced by mark, overlapping ones by one; n_chars, if there, follows the text.
 
-    def cut(spans: Column) -> Column:
-        zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    All rows and columns stay, whatever their names. A null text stays null, texts without secrets stay to the byte. An empty
+    table gives an empty one. Each span costs a walk to its place in the text.
+    """
+    scanned = scan(documents)
+    text = text_of("row.text")
+    pair = "struct<start:int,end:int>"
 
+    def merged(spans: Column) -> Column:
+        """Spans that overlap the ones before become one."""
         def step(acc: Column, x: Column) -> Column:
-            fresh = x["start"] >= acc["at"]
-            gap = F.substring(text, acc["at"] + 1, F.greatest(x["start"] - acc["at"], F.lit(0)))
-            out = F.when(fresh, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"])
-            return F.struct(F.greatest(x["end"], acc["at"]).alias("at"), out.alias("out"))
+            last = F.get(acc, F.size(acc) - 1)
+            own = F.struct(x["start"].alias("start"), x["end"].alias("end")).cast(pair)
+            grown = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end")).cast(pair)
+            return F.when(F.coalesce(x["start"] < last["end"], F.lit(False)), F.array_append(F.slice(acc, 1, F.size(acc) - 1), grown)).otherwise(F.array_append(acc, own))
+
+        return F.aggregate(spans, F.array().cast(f"array<{pair}>"), step)
 
-        return F.aggregate(spans, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    def cut(spans: Column) -> Column:
+        n = F.size(spans)
+        gap = lambda k: F.substring(text, F.coalesce(F.get(spans, k - 1)["end"], F.lit(0)) + 1, F.coalesce(F.get(spans, k)["start"], F.length(text)) - F.coalesce(F.get(spans, k - 1)["end"], F.lit(0)))
+        return F.array_join(F.transform(F.sequence(F.lit(0), n), gap), mark)
 
-    clean = F.when(F.size("found") > 0, cut(F.col("found"))).otherwise(F.col("text"))
-    out = scanned.withColumn("text", clean)
+    some = F.size("found") > 0
+    out = scanned.select("row", "found", F.when(some, let(merged(F.col("found")), cut)).otherwise(F.col("row.text")).alias("text"))
+    change = {"text": F.col("text")}
     if "n_chars" in documents.columns:
-        out = out.withColumn("n_chars", F.when(F.size("found") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*documents.columns)
+        change["n_chars"] = F.when(some, F.length("text").cast(documents.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return out.select(*(change.get(c, F.col(f"row.`{c}`")).alias(c) for c in documents.columns))

@@ -14,7 +14,6 @@ whole, which spreads them over its threads.
 from __future__ import annotations
 
 import hashlib
-import os
 import re
 import struct
 from array import array
@@ -27,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import short_batches, text_of
+from .common import short, text_of
 
 #: Where the public tokenizer files are, unless a caller names another model.
-MODEL = os.environ.get("TOKENIZER_FILES", "/opt/tokenizers") + "/piece_bpe_32k.model"
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Kinds of pieces, and kinds of models, of the protobuf.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -170,11 +169,9 @@ def codec(path: str) -> Codec:
 
 
 def _coded(documents: DataFrame, model: str, schema: str, digest: bool) -> DataFrame:
-    short_batches(documents.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)
-        for b in batches:
+        for b in short(batches):
             texts = b["text"].to_pylist()
             ids = own.encode(texts)
             ok = [own.decode(i) == t for i, t in zip(ids, texts, strict=True)]
@@ -202,7 +199,6 @@ def digest(documents: DataFrame, model: str = MODEL) -> DataFrame:
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id, text of rows (doc_id, ids); null ids give an empty text."""
-    short_batches(encoded.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = codec(model)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, let, short_batches, stored, text_of
+from .common import drop_stored, let, stored, text_of, with_counted
 from .components import components
 
 SHINGLE, SEED, MAX_BITS, BLOCKS = 3, 42, 2, 4
@@ -47,7 +47,6 @@ def fingerprint(text: str, size: int = SHINGLE) -> int:
 
 def fingerprints(documents: DataFrame, size: int = SHINGLE, *more: Column) -> DataFrame:
     """doc_id, fp (long) and more, one row for each row of documents."""
-    short_batches(documents.sparkSession)
 
     @F.pandas_udf("long")
     def fp(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -72,8 +71,8 @@ def links(nodes: DataFrame, group: int = GROUP) -> DataFrame:
     keyed = nodes.select("fp", F.explode(F.array(*(
         F.struct(F.lit(k).alias("part"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("key")) for k, m in enumerate(masks)
     ))).alias("k")).select("fp", "k.part", "k.key")
-    sizes = keyed.groupBy("part", "key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = keyed.join(sizes, ["part", "key"])
+    sizes = stored(keyed.groupBy("part", "key").agg(F.count("*").alias("n")).where("n > 1"))
+    shared = with_counted(keyed, sizes, ["part", "key"])
 
     def first_here(x: Column, part: Column) -> Column:
         """No earlier pair of blocks agrees, so the link is not made twice."""
@@ -127,18 +126,19 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def one_of_each(documents: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """One row of each component: of those with the smallest doc_id, the text with the smallest hash.
+    """One row of each component, with all columns: of those with the smallest doc_id, the text with the smallest hash.
 
     Rows without a doc_id come after all others, so one stays if its component has no doc_id at all.
-    A doc_id that stands for texts of several components can stay once in each of them.
+    A doc_id that stands for texts of several components can stay once in each of them. Of rows that have both the id and the
+    text that with the smallest hash of all its columns stays. Empty and null texts are one component. An empty table gives an empty one.
     """
     text = F.xxhash64(text_of("text"))
     prints = stored(fingerprints(documents, size, text.alias("th")))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first")
     firsts = (
         prints.groupBy("fp").agg(first).join(_roots(prints, GROUP), "fp").groupBy("root").agg(F.min("first").alias("first"))
-        .select(F.col("first.doc_id").alias("_first"), F.col("first.th").alias("_th"))
+        .select(F.col("first.doc_id").alias("id_of"), F.col("first.th").alias("th_of"))
     )
-    kept = documents.withColumn("_text", text).join(
-        firsts, F.col("doc_id").cast("long").eqNullSafe(F.col("_first")) & (F.col("_text") == F.col("_th")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_text"]).drop("_text")
+    whole = documents.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), text.alias("th"))
+    kept = whole.join(firsts, F.col("id").eqNullSafe(F.col("id_of")) & (F.col("th") == F.col("th_of")), "left_semi")
+    return kept.groupBy("id", "th").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row")).select("row.*")

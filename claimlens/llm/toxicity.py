@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import short_batches, text_of
+from .common import short, text_of
 from .labelled import remainder, sample
 
 BUCKETS, WIDTH, PASSAGE = 1 << 17, 4, 16
@@ -182,12 +182,11 @@ def pieces(texts: pa.Array, size: int = CHUNK) -> Iterator[pa.Array]:
 
 def score(documents: DataFrame, bag: Bag) -> DataFrame:
     """doc_id, score (0 to 1, higher: toxic): one row for each row; a null text is read as empty."""
-    short_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(bag)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Scorer(shared.value)
-        for b in batches:
+        for b in short(batches):
             got = [own(x) for x in pieces(b["text"])]
             yield pa.RecordBatch.from_pydict({"doc_id": b["doc_id"], "score": np.concatenate(got) if got else np.zeros(0)})
 
