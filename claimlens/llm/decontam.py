@@ -2,14 +2,18 @@
 
 Documents are cut into passages of two units of UNIT words, one unit apart. A passage is a TF-IDF
 vector over the benchmark's words; the inverse document frequencies count all documents. A
-randomised SVD gives the latent space: the range of RANK random combinations of the passages of all
-documents, and of the block's items themselves. Items are compared with every passage by cosine
-there, an item of over LONG words also by each of its own passages, cut like those of documents, as
-a passage holds too little of it to be like the whole; what reaches COSINE is checked in the text around it by the longest common subsequence of words,
-and, where the item is only partly there (a paraphrase), by its answer, the last sentence.
-
-The benchmark is a stated query set: it is checked in blocks of BLOCK items and passages of items,
-each against all documents, so what is sent to workers is bounded by the block (an item is in one block).
+distributed randomised SVD of the passages of all documents and of the benchmark, each of length one, gives a
+latent space of RANK or more dimensions: two rounds of the range finder, each one pass over the documents. The benchmark's rows
+together weigh BALANCE times what the documents' rows do, as the leading directions of the documents alone hold a tenth of an item.
+
+Items are compared with every passage by cosine in the latent space, an item of over LONG words also by each of its own passages, cut like
+those of documents, as a passage holds too little of it to be like the whole. What reaches NEAR there, which is far less than all
+pairs, is compared by its exact cosine, and what reaches COSINE is checked in the text around it by the longest
+common subsequence of words, and, where the item is only partly there (a paraphrase), by its answer, the last sentence.
+Tests hold the latent search against exact cosines of all pairs; it must find nine in ten.
+
+The benchmark is a stated query set: it is checked in blocks of BLOCK items and passages of items, each in four passes over all
+documents, so what is sent to workers is bounded by the block (an item is in one block).
 """
 
 from __future__ import annotations
@@ -27,7 +31,11 @@ from pyspark.sql import functions as F
 from .common import short, text_of
 from .wordhash import Words, pieces, words
 
-UNIT, RANK, BLOCK = 12, 48, 256
+UNIT, BLOCK = 12, 2048
+#: Dimensions of the latent space: a third of the queries of a block, within these; more are sketched and then left out.
+RANK, MOST_RANK, SPARE = 64, 256, 8
+#: Least cosine in the latent space, and how much the benchmark's rows weigh there.
+NEAR, BALANCE = 0.4, 4.0
 #: Items of more words are searched by their passages too: up to here one passage holds two fifths or more of a copy.
 LONG = 5 * UNIT
 #: Words in more than this share of the documents are left out of the vectors.
@@ -117,6 +125,44 @@ def _sums(unit: np.ndarray, rows: np.ndarray, of: np.ndarray) -> np.ndarray:
     return both
 
 
+@dataclass
+class Passages:
+    """Passages of some texts: the unit at which each begins, the words of the vocabulary in all units, squared lengths, and which passages can reach the cosine."""
+
+    of: np.ndarray
+    first: np.ndarray
+    unit: np.ndarray
+    place: np.ndarray
+    whole: np.ndarray
+    some: np.ndarray
+
+    @classmethod
+    def read(cls, items: Items, idf: np.ndarray, w: Words, cosine: float) -> Passages | None:
+        other = float((idf[idf > 0] ** 2).mean()) if (idf > 0).any() else 1.0
+        at, place = items.find(w)
+        of, first, unit = _units(w)
+        #: What the vocabulary holds counts by its weight, other words by the mean weight.
+        energy = np.full(len(w.hash), other, np.float32)
+        energy[at] = idf[place] ** 2
+        keep = idf[place] > 0
+        at, place = at[keep], place[keep]
+        if not len(at):
+            return None
+        pair = lambda x: x + np.where(np.append(of[1:] == of[:-1], False), np.append(x[1:], 0), 0)
+        whole = pair(np.bincount(unit, energy, len(of)))
+        known = pair(np.bincount(unit[at], energy[at], len(of)))
+        #: No cosine exceeds the root of the share that the vocabulary holds.
+        some = np.flatnonzero((known >= cosine * cosine * whole) & (known > 0))
+        near = np.zeros(len(of), bool)
+        near[some] = near[np.minimum(some + 1, len(of) - 1)] = True
+        keep = near[unit[at]]
+        return cls(of, first, unit[at[keep]], place[keep], whole, some)
+
+    def times(self, rows: np.ndarray) -> np.ndarray:
+        """The passages' vectors times rows (already weighted), at the unit that each begins with."""
+        return _sums(self.unit, rows[self.place], self.of)
+
+
 def document_frequency(texts: DataFrame, items: Items) -> tuple[np.ndarray, int]:
     """In how many documents each word of the vocabulary occurs, and how many documents there are."""
     shared = texts.sparkSession.sparkContext.broadcast(items)
@@ -140,53 +186,106 @@ def document_frequency(texts: DataFrame, items: Items) -> tuple[np.ndarray, int]
     return count[1:], int(count[0])
 
 
-def latent_space(texts: DataFrame, items: Items, idf: np.ndarray, rank: int = RANK, seed: int = 5) -> np.ndarray:
-    """An orthonormal basis (vocabulary x up to rank + items) by a randomised range finder.
+def _query_rows(items: Items, idf: np.ndarray) -> np.ndarray:
+    """The queries as unit vectors over the vocabulary."""
+    out = np.zeros((len(items.queries), len(items.vocabulary)), np.float32)
+    for k, x in enumerate(items.queries):
+        place = np.searchsorted(items.vocabulary, x)
+        np.add.at(out[k], place, idf[place])
+    return out / np.maximum(np.linalg.norm(out, axis=1), 1e-9)[:, None]
 
-    Y = A'(A Omega) is summed over the passages of all documents, one partial sum a task; the items'
-    own vectors are further columns, so that what the items say is not lost among the passages.
-    """
-    size = len(items.vocabulary)
-    rank = min(rank, size)
-    omega = (np.random.default_rng(seed).standard_normal((size, rank)) / np.sqrt(rank)).astype(np.float32)
-    shared = texts.sparkSession.sparkContext.broadcast((items, idf))
 
-    def sketch(items: Items, idf: np.ndarray, w: Words, y: np.ndarray) -> None:
-        at, place = items.find(w)
-        keep = idf[place] > 0
-        at, place = at[keep], place[keep]
-        of, _, unit = _units(w)
-        weight = idf[place][:, None]
-        seen = _sums(unit[at], omega[place] * weight, of)
-        total = seen[unit[at]] * weight
-        before = np.flatnonzero((unit[at] > 0) & (of[np.maximum(unit[at] - 1, 0)] == of[unit[at]]))
-        total[before] += seen[unit[at][before] - 1] * weight[before]
-        order = np.argsort(place, kind="stable")
-        begin = np.flatnonzero(np.diff(place[order], prepend=-1))
+def _query_weights(items: Items, idf: np.ndarray) -> np.ndarray:
+    """What each word adds to the cosine with each query: its weight over the length of the query's different words."""
+    out = np.zeros((len(items.queries), len(items.vocabulary)), np.float32)
+    for k, x in enumerate(items.queries):
+        place = np.searchsorted(items.vocabulary, x)
+        np.add.at(out[k], place, idf[place])
+        out[k] /= max(np.sqrt((idf[np.unique(place)] ** 2).sum()), 1e-9)
+    return out
+
+
+def gram_times(texts: DataFrame, items: Items, idf: np.ndarray, basis: np.ndarray, cosine: float = COSINE) -> tuple[np.ndarray, int]:
+    """A'A basis for the matrix A of the unit passages of all documents that can reach the cosine, and how many there are.
+
+    One pass: each task sums its share, and shares are added by word, so only vocabulary x columns numbers come to the driver.
+    """
+    size, columns = basis.shape
+    shared = texts.sparkSession.sparkContext.broadcast((items, idf, (basis * idf[:, None]).astype(np.float32)))
+    width = 32
+
+    def sketch(own: Items, idf: np.ndarray, rows: np.ndarray, w: Words, y: np.ndarray) -> int:
+        p = Passages.read(own, idf, w, cosine)
+        if p is None or not len(p.some):
+            return 0
+        seen = np.zeros((len(p.of), columns), np.float32)
+        seen[p.some] = p.times(rows)[p.some] / p.whole[p.some][:, None]
+        total = seen[p.unit]
+        before = np.flatnonzero((p.unit > 0) & (p.of[np.maximum(p.unit - 1, 0)] == p.of[p.unit]))
+        total[before] += seen[p.unit[before] - 1]
+        total *= idf[p.place][:, None]
+        order = np.argsort(p.place, kind="stable")
+        begin = np.flatnonzero(np.diff(p.place[order], prepend=-1))
         if len(begin):
-            y[place[order][begin]] += np.add.reduceat(total[order], begin)
+            y[p.place[order][begin]] += np.add.reduceat(total[order], begin)
+        return len(p.some)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, scale = shared.value
-        y = np.zeros((size, rank), np.float32)
+        own, scale, rows = shared.value
+        y, n = np.zeros((size, columns), np.float32), 0
         for b in short(batches):
             for x in pieces(b["text"]):
-                sketch(own, scale, words(x, plain=True), y)
-        rows = np.flatnonzero(y.any(1))
-        yield pa.RecordBatch.from_pydict({"place": rows, "y": pa.array(list(y[rows].astype(float)), pa.list_(pa.float64()))})
-
-    parts = texts.select("text").mapInArrow(run, "place long, y array<double>")
-    total = parts.groupBy("place").agg(F.array(*(F.sum(F.get("y", F.lit(k))) for k in range(rank))).alias("y")).toPandas()
-    y = np.zeros((size, rank))
-    for place, row in zip(total["place"], total["y"], strict=True):
-        y[place] = row
-    own = np.zeros((size, len(items.queries)))
-    for k, item in enumerate(items.queries):
-        place = np.searchsorted(items.vocabulary, item)
-        np.add.at(own[:, k], place, idf[place])
-    long = lambda m: m / np.maximum(np.linalg.norm(m, axis=0), 1e-9)
-    left, value, _ = np.linalg.svd(np.hstack([long(own), long(y)]), full_matrices=False)
-    return left[:, value > 1e-6].astype(np.float32)
+                n += sketch(own, scale, rows, words(x, plain=True), y)
+        some = np.flatnonzero(y.any(1))
+        yield pa.RecordBatch.from_pydict({"place": [-1], "part": [0], "y": pa.array([[float(n)]], pa.list_(pa.float64()))})
+        for k in range(0, columns, width):
+            part = y[some, k : k + width].astype(float)
+            yield pa.RecordBatch.from_pydict({"place": some, "part": np.full(len(some), k), "y": pa.array(list(part), pa.list_(pa.float64()))})
+
+    parts = texts.select("text").mapInArrow(run, "place long, part long, y array<double>")
+    total = parts.groupBy("place", "part").agg(F.array(*(F.sum(F.get("y", F.lit(k))) for k in range(width))).alias("y")).toPandas()
+    y, n = np.zeros((size, columns)), 0
+    for place, part, row in zip(total["place"], total["part"], total["y"], strict=True):
+        if place < 0:
+            n = int(row[0])
+        else:
+            y[place, part : part + width] = np.asarray(row, float)[: columns - part]
+    return y, n
+
+
+def latent_space(texts: DataFrame, items: Items, idf: np.ndarray, rank: int | None = None, balance: float = BALANCE, seed: int = 5) -> np.ndarray:
+    """An orthonormal basis (vocabulary x rank) of the leading right singular vectors of all unit passages and the weighted queries.
+
+    Randomised: Y = A'A Omega, its orthonormal range Q, Y = A'A Q, of which the left singular vectors are the basis.
+    """
+    size = len(items.vocabulary)
+    rank = min(size, max(RANK, min(MOST_RANK, len(items.queries) // 3)) if rank is None else rank)
+    own = _query_rows(items, idf)
+    y = np.random.default_rng(seed).standard_normal((size, min(size, rank + SPARE)))
+    for _ in range(2):
+        basis = np.linalg.qr(y)[0].astype(np.float32)
+        y, n = gram_times(texts, items, idf, basis)
+        y += balance * max(n, 1) / max(len(own), 1) * (own.T @ (own @ basis))
+    return np.linalg.svd(y, full_matrices=False)[0][:, :rank].astype(np.float32)
+
+
+def candidates(p: Passages, rows: np.ndarray, query: np.ndarray, near: float) -> tuple[np.ndarray, np.ndarray]:
+    """Passages (places in p.some) and queries whose cosine in the latent space is near or more."""
+    both = p.times(rows)[p.some]
+    both /= np.maximum(np.linalg.norm(both, axis=1), 1e-9)[:, None]
+    return np.nonzero(both @ query.T >= near)
+
+
+def exact_cosines(p: Passages, idf: np.ndarray, weight: np.ndarray, hit: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Cosines of the pairs (places in p.some, queries); weight (vocabulary x queries) has what a word adds to the product."""
+    at = np.searchsorted(p.unit, np.stack([p.some[hit], p.some[hit] + 2]))
+    last = np.searchsorted(p.unit, p.some[hit] + 1)
+    inner = (p.some[hit] + 1 < len(p.of)) & (p.of[np.minimum(p.some[hit] + 1, len(p.of) - 1)] == p.of[p.some[hit]])
+    n = np.where(inner, at[1], last) - at[0]
+    word = np.repeat(at[0] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+    pair = np.repeat(np.arange(len(hit)), n)
+    product = np.bincount(pair, weight[p.place[word], query[pair]] * idf[p.place[word]], len(hit))
+    return product / np.sqrt(p.whole[p.some[hit]])
 
 
 def _leaks(items: Items, k: int, w: Words, lo: int, hi: int) -> tuple[int, bool] | None:
@@ -199,41 +298,27 @@ def _leaks(items: Items, k: int, w: Words, lo: int, hi: int) -> tuple[int, bool]
     return (n, said) if n >= WHOLE * len(item) or said else None
 
 
-def search(texts: DataFrame, items: Items, idf: np.ndarray, space: np.ndarray, cosine: float) -> DataFrame:
-    """PAIRS of the documents and items of which a passage passes the cosine and the text checks."""
-    q = np.stack([idf[np.searchsorted(items.vocabulary, x)] @ space[np.searchsorted(items.vocabulary, x)] if len(x) else np.zeros(space.shape[1]) for x in items.queries])
-    size = np.array([np.sqrt((idf[np.unique(np.searchsorted(items.vocabulary, x))] ** 2).sum()) if len(x) else 0 for x in items.queries])
-    q = (q / np.maximum(size, 1e-9)[:, None]).astype(np.float32)
-    other = float((idf[idf > 0] ** 2).mean()) if (idf > 0).any() else 1.0
-    shared = texts.sparkSession.sparkContext.broadcast((items, (space * idf[:, None]).astype(np.float32), idf, q))
+def search(texts: DataFrame, items: Items, idf: np.ndarray, space: np.ndarray, cosine: float, near: float = NEAR) -> DataFrame:
+    """PAIRS of the documents and items of which a passage passes both cosines and the text checks."""
+    weight = np.ascontiguousarray(_query_weights(items, idf).T)
+    latent = weight.T @ space
+    latent /= np.maximum(np.linalg.norm(latent, axis=1), 1e-9)[:, None]
+    shared = texts.sparkSession.sparkContext.broadcast((items, (space * idf[:, None]).astype(np.float32), idf, latent.astype(np.float32), weight))
 
     def one(x: pa.Array, ids: list[int | None]) -> Iterator[tuple]:
-        own, rows, scale, query = shared.value
+        own, rows, scale, query, weight = shared.value
         w = words(x, plain=True)
-        at, place = own.find(w)
-        of, first, unit = _units(w)
-        #: Squared lengths of passages: what the vocabulary holds, and other words at the mean weight.
-        energy = np.full(len(w.hash), other, np.float32)
-        energy[at] = scale[place] ** 2
-        keep = scale[place] > 0
-        at, place = at[keep], place[keep]
-        if not len(at):
+        p = Passages.read(own, scale, w, cosine)
+        if p is None or not len(p.some):
             return
-        pair = lambda x: x + np.where(np.append(of[1:] == of[:-1], False), np.append(x[1:], 0), 0)
-        whole = pair(np.bincount(unit, energy, len(of)))
-        known = pair(np.bincount(unit[at], energy[at], len(of)))
-        #: No cosine exceeds the root of the share that the vocabulary holds.
-        some = np.flatnonzero((known >= cosine * cosine * whole) & (known > 0))
-        near = np.zeros(len(of), bool)
-        near[some] = near[np.minimum(some + 1, len(of) - 1)] = True
-        at, place = at[near[unit[at]]], place[near[unit[at]]]
-        both = _sums(unit[at], rows[place], of)
-        like = (both[some] @ query.T) / np.sqrt(whole[some])[:, None]
-        hit, item = np.nonzero(like >= cosine)
+        hit, item = candidates(p, rows, query, near)
+        like = exact_cosines(p, scale, weight, hit, item)
+        keep = like >= cosine
+        hit, item, like = hit[keep], item[keep], like[keep]
         found: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        for h, k in zip(hit.tolist(), own.owner[item].tolist(), strict=True):
-            u = int(some[h])
-            found.setdefault((int(of[u]), k), []).append((u, float(like[h, k])))
+        for h, k, c in zip(hit.tolist(), own.owner[item].tolist(), like.tolist(), strict=True):
+            u = int(p.some[h])
+            found.setdefault((int(p.of[u]), k), []).append((u, c))
         for (text, k), seen in sorted(found.items()):
             n = len(own.words[k])
             reach, best = n // UNIT + 2, None
@@ -242,8 +327,8 @@ def search(texts: DataFrame, items: Items, idf: np.ndarray, space: np.ndarray, c
             cuts = [0] + [j for j in range(1, len(at_u)) if at_u[j] - at_u[j - 1] > reach] + [len(at_u)]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 base = int(w.text[text])
-                lo = base + (at_u[a] - int(first[text])) * UNIT - n
-                hi = base + (at_u[b - 1] - int(first[text]) + 2) * UNIT + n
+                lo = base + (at_u[a] - int(p.first[text])) * UNIT - n
+                hi = base + (at_u[b - 1] - int(p.first[text]) + 2) * UNIT + n
                 got = _leaks(own, k, w, max(lo, base), min(hi, int(w.text[text + 1])))
                 if got and (best is None or got > best):
                     best = got
@@ -264,7 +349,7 @@ def search(texts: DataFrame, items: Items, idf: np.ndarray, space: np.ndarray, c
     return texts.mapInArrow(run, PAIRS)
 
 
-def contaminated(documents: DataFrame, benchmark: DataFrame, rank: int = RANK, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
+def contaminated(documents: DataFrame, benchmark: DataFrame, rank: int | None = None, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
     """PAIRS: each document (row) and benchmark item of which it holds most, best place only.
 
     Null texts are read as empty; items without words, or without an id, match nothing, and so do

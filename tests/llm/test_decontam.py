@@ -32,24 +32,75 @@ def test_finds_copies_and_paraphrases_and_nothing_else(spark):
     assert {(r.doc_id, r.item_id) for r in blocks} == set(want)
 
 
-def test_recall_of_the_latent_search_against_exact_cosines():
-    """Passages that reach the cosine without the SVD reach it with the SVD, nine in ten or more."""
-    items = decontam.Items.of(pd.DataFrame(bench(), columns=["item_id", "text", "score"]))
-    idf = np.ones(len(items.vocabulary), np.float32)
-    rng = np.random.default_rng(1)
-    size = len(items.vocabulary)
-    own = np.stack([np.bincount(np.searchsorted(items.vocabulary, w), minlength=size) for w in items.words], 1)
-    space = np.linalg.qr(np.hstack([own, rng.standard_normal((size, decontam.RANK))]))[0]
-    hit = found = 0
-    for w in items.words:
-        q = np.bincount(np.searchsorted(items.vocabulary, w), minlength=size) * idf
-        for at in range(0, len(w) - 12, 6):
-            p = np.bincount(np.searchsorted(items.vocabulary, w[at : at + 24]), minlength=size) * idf
-            exact = p @ q / np.linalg.norm(p) / np.linalg.norm(q)
-            latent = (p @ space) @ (q @ space) / np.linalg.norm(p) / np.linalg.norm(q)
-            if exact >= decontam.COSINE:
-                hit, found = hit + 1, found + (latent >= decontam.COSINE)
-    assert hit and found >= 0.9 * hit
+def exact_pairs(texts, items, idf):
+    """(text, passage, query) of all pairs that reach the cosine, counted word by word."""
+    weight = decontam._query_weights(items, idf)
+    other = float((idf[idf > 0] ** 2).mean())
+    at = {h: k for k, h in enumerate(items.vocabulary.tolist())}
+    out = {}
+    for t, text in enumerate(texts):
+        w = decontam._of([text]).hash.tolist()
+        starts = range(0, len(w), decontam.UNIT)
+        for u, a in enumerate(starts):
+            own = w[a : a + 2 * decontam.UNIT]
+            length = np.sqrt(sum(idf[at[h]] ** 2 if h in at else other for h in own))
+            for q in range(len(items.queries)):
+                c = sum(weight[q, at[h]] * idf[at[h]] for h in own if h in at) / length
+                if c >= decontam.COSINE:
+                    out[t, u, q] = c
+    return out
+
+
+def test_recall_of_the_latent_search_against_exact_cosines(spark):
+    """Through latent_space itself: of the pairs that reach the cosine, nine in ten or more are found in a space of far fewer dimensions."""
+    rng = np.random.default_rng(3)
+    rows = [(k, prose(5000 + k, 30) + ". " + prose(6000 + k, 8), 1.0) for k in range(120)]
+    items = decontam.Items.of(pd.DataFrame(rows, columns=["item_id", "text", "score"]))
+    texts = []
+    for k in range(150):
+        w = rows[rng.integers(len(rows))][1].split()
+        for j in range(int(rng.integers(1, 4)), len(w), int(rng.integers(3, 7))):
+            w[j] = prose(7000 + 40 * k + j, 1)
+        texts.append(f"{prose(8000 + k, 60)} {' '.join(w)} {prose(9000 + k, 60)}")
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    seen, n = decontam.document_frequency(docs, items)
+    idf = (np.log((n + 1) / (seen + 1)) + 0.1).astype(np.float32)
+    space = decontam.latent_space(docs, items, idf, rank=40)
+    assert space.shape[1] == 40 < len(items.queries) and np.allclose(space.T @ space, np.eye(40), atol=1e-3)
+    own = decontam._query_rows(items, idf)
+    assert (np.linalg.norm(own @ space, axis=1) < 0.95).mean() > 0.9, "the space leaves a part of most items out"
+    want = exact_pairs(texts, items, idf)
+    latent = own @ space
+    latent /= np.linalg.norm(latent, axis=1)[:, None]
+    got = {}
+    weight = np.ascontiguousarray(decontam._query_weights(items, idf).T)
+    for t, text in enumerate(texts):
+        p = decontam.Passages.read(items, idf, decontam._of([text]), decontam.COSINE)
+        if p is not None and len(p.some):
+            hit, q = decontam.candidates(p, (space * idf[:, None]).astype(np.float32), latent, decontam.NEAR)
+            for h, k, c in zip(hit, q, decontam.exact_cosines(p, idf, weight, hit, q), strict=True):
+                got[t, int(p.some[h]), int(k)] = c
+    assert len(want) > 150 and len(set(want) & set(got)) >= 0.9 * len(want)
+    assert all(abs(got[k] - c) < 1e-3 for k, c in want.items() if k in got)
+    assert len(got) < 0.2 * len(items.queries) * sum(len(t.split()) // decontam.UNIT + 1 for t in texts)
+
+
+def test_pairs_match_an_exhaustive_comparison(spark):
+    """Every document against every item by the longest common subsequence over the whole text, without any search."""
+    items = [(k, prose(5000 + k, 24) + ". " + prose(6000 + k, 8), 1.0) for k in range(25)]
+    rng = np.random.default_rng(11)
+    rows = []
+    for k in range(120):
+        t = items[rng.integers(25)][1].split()
+        drop = rng.random(len(t)) < rng.choice([0.0, 0.1, 0.35, 0.6])
+        rows.append((k, f"{prose(200 + k, 70)} {' '.join('zz' if d else x for x, d in zip(t, drop))} {prose(900 + k, 50)}"))
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, BENCH)).collect()}
+    every = decontam.Items.of(pd.DataFrame(items, columns=["item_id", "text", "score"]))
+    want = set()
+    for d, text in rows:
+        w = decontam._of([text])
+        want |= {(d, every.ids[k]) for k in range(25) if decontam._leaks(every, k, w, 0, len(w.hash))}
+    assert len(want) > 40 and got == want
 
 
 def test_common_words_is_the_longest_common_subsequence():
