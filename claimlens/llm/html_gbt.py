@@ -16,6 +16,7 @@ import html as entities
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from random import Random
 
 import numpy as np
 import pyarrow as pa
@@ -56,11 +57,53 @@ HINT_OF = {w: k for k, words in enumerate(HINTS.values()) for w in words}
 N_TAGS, N_HINTS = len(TAGS) + 1, len(HINTS)
 TAG_OF = {t: k for k, t in enumerate(TAGS)}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+SPECIAL = re.compile(r"[>\"']")
+#: Elements beyond which an open paragraph is not closed.
+BOUNDS = {"td", "th", "table", "button", "object"}
 ATTRIBUTE = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 
+class Ends:
+    """Where tags end. Each quote and each > is looked at once, however many tags before it fail, so a page takes linear time."""
+
+    def __init__(self, source: str):
+        self.source, self.known, self.run = source, {}, (0, -1)
+        self.last = {c: source.rfind(c) for c in ">\"'"}
+
+    def _next(self, at: int) -> int:
+        """The next > or quote from at on; -1 if there is none."""
+        lo, hi = self.run
+        if lo <= at <= hi:
+            return hi
+        if at > max(self.last.values()):
+            return -1
+        found = SPECIAL.search(self.source, at)
+        self.run = (at, found.start())
+        return found.start()
+
+    def __call__(self, at: int) -> int:
+        """The > that ends the tag whose attributes begin at `at`, outside quotes; -1 if there is none."""
+        passed: list[int] = []
+        while True:
+            k = self._next(at)
+            if k < 0 or k in self.known:
+                end = self.known.get(k, -1)
+                break
+            passed.append(k)
+            c = self.source[k]
+            if c == ">":
+                end = k
+                break
+            if k >= self.last[c]:
+                end = -1
+                break
+            at = self.source.find(c, k + 1) + 1
+        self.known.update(dict.fromkeys(passed, end))
+        return end
+
+
 class Tree:
     """Elements of a page in document order: tag, hint counts, parent; and its texts with their element."""
 
@@ -71,22 +114,25 @@ class Tree:
         #: (element, text), (element, None) where an element begins, (-element, None) where it ends.
         self.parts: list[tuple[int, str | None]] = []
         self.open = [0]
+        #: For each tag, and for blocks, the places in `open` where it stands; for each open element whether a paragraph is open in its bounds.
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.in_p = [False]
         self._read(source)
 
     def _text(self, text: str) -> None:
         if text:
             self.parts.append((self.open[-1], entities.unescape(text) if "&" in text else text))
 
+    def _nearest(self, tags: set[str]) -> int:
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
+
     def _begin(self, tag: str, attributes: str) -> None:
-        if tag in ENDS_P and "p" in self._tags():
+        if tag in ENDS_P and self.in_p[-1]:
             self._end("p")
         if tag in SAME:
-            for k in range(len(self.open) - 1, 0, -1):
-                own = self.tag[self.open[k]]
-                if own in SAME[tag]:
-                    self._close(k)
-                elif own in SCOPE[tag]:
-                    break
+            while (k := self._nearest(SAME[tag])) > self._nearest(SCOPE[tag]):
+                self._close(k)
         hints: dict[int, int] = {}
         if attributes:
             for found in ATTRIBUTE.finditer(attributes):
@@ -98,52 +144,58 @@ class Tree:
         self.parent.append(self.open[-1])
         self.parts.append((len(self.tag) - 1, None))
         if tag not in VOID:
+            self.at.setdefault(tag, []).append(len(self.open))
+            if tag in BLOCK:
+                self.blocks.append(len(self.open))
+            self.in_p.append(tag == "p" or tag not in BOUNDS and self.in_p[-1])
             self.open.append(len(self.tag) - 1)
 
-    def _tags(self) -> list[str]:
-        """Tags that are open, up to what bounds a paragraph."""
-        out = []
-        for k in reversed(self.open):
-            out.append(self.tag[k])
-            if self.tag[k] in ("td", "th", "table", "button", "object"):
-                break
-        return out
-
     def _close(self, k: int) -> None:
         for own in reversed(self.open[k:]):
             self.parts.append((-own, None))
-        del self.open[k:]
+            self.at[self.tag[own]].pop()
+            if self.tag[own] in BLOCK:
+                self.blocks.pop()
+        del self.open[k:], self.in_p[k:]
 
     def _end(self, tag: str) -> None:
-        for k in range(len(self.open) - 1, 0, -1):
-            own = self.tag[self.open[k]]
-            if own == tag:
-                return self._close(k)
-            if tag in FORMAT and own in BLOCK:
-                return None  # a stray end of formatting does not end a block
-        return None
+        k = self._nearest({tag})
+        if k > 0 and not (tag in FORMAT and self.blocks and self.blocks[-1] > k):  # a stray end of formatting does not end a block
+            self._close(k)
 
     def _read(self, source: str) -> None:
-        at = 0
+        ends, at, begin = Ends(source), 0, 0
         while True:
-            found = TOKEN.search(source, at)
-            self._text(source[at : found.start() if found else len(source)])
-            if not found:
-                return
-            at = found.end()
-            tag = (found[2] or "").lower()
+            at = source.find("<", at)
+            if at < 0:
+                return self._text(source[begin:])
+            close, tag, attributes = -1, "", ""
+            if source.startswith(("<!--", "<![CDATA["), at):
+                mark = "-->" if source[at + 2] == "-" else "]]>"
+                close = source.find(mark, at + 4)
+                close = len(source) if close < 0 else close + 3
+            elif source[at + 1 : at + 2] in ("!", "?") and at + 1 < len(source):
+                close = source.find(">", at) + 1 if at < ends.last[">"] else -1
+            elif name := NAME.match(source, at + 2 if source.startswith("/", at + 1) else at + 1):
+                close = ends(name.end()) + 1 or -1
+                tag, attributes = name[0].lower(), source[name.end() : close - 1] if close > 0 else ""
+            if close <= 0:
+                at += 1
+                continue
+            self._text(source[begin:at])
+            is_end, at, begin = source[at + 1] == "/", close, close
             if not tag:
                 continue
-            if found[1]:
+            if is_end:
                 self._end(tag)
                 continue
-            self._begin(tag, found[3] or "")
-            if tag in RAW and not (found[3] or "").endswith("/"):
-                close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
-                inside = source[at : close.start() if close else len(source)]
+            self._begin(tag, attributes)
+            if tag in RAW and not attributes.endswith("/"):
+                found = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
+                inside = source[at : found.start() if found else len(source)]
                 if tag in ("textarea", "title"):
                     self._text(inside)
-                at = close.end() if close else len(source)
+                at = begin = found.end() if found else len(source)
                 self._end(tag)
 
 
@@ -196,9 +248,9 @@ def describe(tree: Tree) -> np.ndarray:
 
 
 class Boosted:
-    """Binary gradient boosting with depth-limited regression trees on binned features."""
+    """Binary gradient boosting with depth-limited regression trees on binned features; a leaf has at least a sum of `least` of the curvature."""
 
-    def __init__(self, trees: int = 40, depth: int = 4, rate: float = 0.3, bins: int = 32, least: int = 8):
+    def __init__(self, trees: int = 80, depth: int = 5, rate: float = 0.25, bins: int = 32, least: float = 1.0):
         self.size, self.depth, self.rate, self.bins, self.least = trees, depth, rate, bins, least
         self.trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.base = 0.0
@@ -221,7 +273,7 @@ class Boosted:
                     if not len(rows):
                         continue
                     value[k] = -g[rows].sum() / (h[rows].sum() + 1)
-                    if level == self.depth or len(rows) < 2 * self.least:
+                    if level == self.depth or h[rows].sum() < 2 * self.least:
                         continue
                     best = self._split(binned[rows], g[rows], h[rows])
                     if best:
@@ -236,10 +288,10 @@ class Boosted:
         n, width = binned.shape
         at = (binned + np.arange(width) * self.bins).ravel()
         total = lambda v: np.bincount(at, np.repeat(v, width), width * self.bins).reshape(width, self.bins).cumsum(1)
-        gl, hl, nl = total(g), total(h), total(np.ones(n))
-        gr, hr, nr = gl[:, -1:] - gl, hl[:, -1:] - hl, nl[:, -1:] - nl
+        gl, hl = total(g), total(h)
+        gr, hr = gl[:, -1:] - gl, hl[:, -1:] - hl
         gain = gl**2 / (hl + 1) + gr**2 / (hr + 1) - g.sum() ** 2 / (h.sum() + 1)
-        gain[(nl < self.least) | (nr < self.least)] = -1
+        gain[(hl < self.least) | (hr < self.least)] = -1
         f, b = np.unravel_index(gain.argmax(), gain.shape)
         return (int(f), int(b)) if gain[f, b] > 1e-3 and b < len(self.edges[f]) else None
 
@@ -256,13 +308,13 @@ class Boosted:
 
 def pages_of(n: int, seed: int = 3) -> Iterator[tuple[str, str]]:
     """Labelled pages: html in which each element of the article has the attribute keep, and its text."""
-    rng = np.random.default_rng(seed)
-    pick = lambda *x: x[rng.integers(len(x))]
+    rng = Random(seed)
+    pick = lambda *x: rng.choice(x)
     syllables = "an be co da el fi go hu in ka lo mi no or pa qui re su ta un ve wo ya zu ß é ñ".split()
-    word = lambda: "".join(rng.choice(syllables, rng.integers(1, 5)))
-    say = lambda a, b: " ".join(word() for _ in range(rng.integers(a, b))).capitalize() + pick(".", ".", ",", "!", "", "&amp;", "%%%", "***")
-    prose = lambda: " ".join(say(3, 14) for _ in range(rng.integers(1, 7)))
-    links = lambda a, b, tag="li": "".join(f"<{tag}><a href='/{word()}'>{say(1, 3)}</a></{tag}>" for _ in range(rng.integers(a, b)))
+    word = lambda: "".join(rng.choices(syllables, k=rng.randrange(1, 5)))
+    say = lambda a, b: " ".join(word() for _ in range(rng.randrange(a, b))).capitalize() + pick(".", ".", ",", "!", "", "&amp;", "%%%", "***")
+    prose = lambda: " ".join(say(3, 14) for _ in range(rng.randrange(1, 7)))
+    links = lambda a, b, tag="li": "".join(f"<{tag}><a href='/{word()}'>{say(1, 3)}</a></{tag}>" for _ in range(rng.randrange(a, b)))
     attr = lambda *names: pick("", "", f' class="{pick(*names)}"', f' id="{pick(*names)}"', f' class="{word()} {pick(*names)} box"')
     surely = lambda *names: pick(f' class="{pick(*names)}"', f' id="{pick(*names)}"', f' class="{word()} {pick(*names)}"')
 
@@ -276,7 +328,7 @@ def pages_of(n: int, seed: int = 3) -> Iterator[tuple[str, str]]:
         if kind < 0.74:
             return "<h{0} {1}>{2}</h{0}>".format(pick(2, 3), k, say(1, 8))
         if kind < 0.8:
-            return f"<ul {k}>" + "".join(f"<li {k}>{say(2, 14)}</li>" for _ in range(rng.integers(2, 6))) + "</ul>"
+            return f"<ul {k}>" + "".join(f"<li {k}>{say(2, 14)}</li>" for _ in range(rng.randrange(2, 6))) + "</ul>"
         if kind < 0.84:
             return f"<blockquote {k}><p {k}>{prose()}</p></blockquote>"
         if kind < 0.88:
@@ -297,14 +349,14 @@ def pages_of(n: int, seed: int = 3) -> Iterator[tuple[str, str]]:
             (0.5, before, lambda: f'<div{surely("ad", "ads", "advert", "ad-banner", "sponsored", "promo")}>{pick(prose(), say(2, 9))}</div>'),
             (0.3, before, lambda: "<{0}{1}><p>{2}</p><button>{3}</button></{0}>".format(pick("div", "section"), surely("cookie", "cookie-notice", "consent", "notice", "alert", "gdpr"), prose(), say(1, 2))),
             (0.35, after, lambda: pick(f"<aside{attr('sidebar', 'related')}><h3>{say(1, 3)}</h3><ul>{links(2, 7)}</ul></aside>", f"<aside{attr('sidebar')}><p>{prose()}</p></aside>", f'<div{surely("sidebar", "related", "widget")}><p>{prose()}</p><ul>{links(1, 5)}</ul></div>')),
-            (0.3, after, lambda: "<{0}{1}><h2>{2}</h2>{3}</{0}>".format(pick("div", "section"), surely("comments", "comment-list", "discussion", "replies"), say(1, 3), "".join(f'<div{attr("comment", "reply")}><p>{prose()}</p></div>' for _ in range(rng.integers(1, 5))))),
+            (0.3, after, lambda: "<{0}{1}><h2>{2}</h2>{3}</{0}>".format(pick("div", "section"), surely("comments", "comment-list", "discussion", "replies"), say(1, 3), "".join(f'<div{attr("comment", "reply")}><p>{prose()}</p></div>' for _ in range(rng.randrange(1, 5))))),
             (0.3, after, lambda: pick(f"<form{attr('form', 'newsletter')}><label>{say(1, 5)}</label><input><button>{say(1, 2)}</button></form>", f'<div{surely("newsletter", "subscribe", "signup")}><p>{prose()}</p></div>', f"<form><p>{prose()}</p><textarea>{word()}</textarea></form>")),
             (0.75, after, lambda: pick(f"<footer{attr('footer')}>&copy; {say(2, 9)} &middot; {say(2, 9)}</footer>", f"<footer><p>{prose()}</p><ul>{links(1, 5)}</ul></footer>", f'<div{surely("footer", "foot", "copyright")}>&copy; {say(2, 12)}</div>')),
         ):
             if rng.random() < p:
                 side.append(what())
         k = "keep"
-        body = (f"<h1 {k}>{say(2, 9)}</h1>" if rng.random() < 0.8 else "") + "".join(paragraph() for _ in range(rng.integers(1, 14)))
+        body = (f"<h1 {k}>{say(2, 9)}</h1>" if rng.random() < 0.8 else "") + "".join(paragraph() for _ in range(rng.randrange(1, 14)))
         shell = rng.random()
         main = (
             f"<article {k}>{body}</article>" if shell < 0.5 else f"<main {k}>{body}</main>" if shell < 0.62
@@ -319,7 +371,7 @@ def pages_of(n: int, seed: int = 3) -> Iterator[tuple[str, str]]:
 
 
 @lru_cache(maxsize=1)
-def model(pages: int = 300) -> Boosted:
+def model(pages: int = 1500) -> Boosted:
     """Trees grown on `pages` made pages, as said by pages_of(); grown on the driver."""
     x, y = [], []
     for source, _ in pages_of(pages):

@@ -1,15 +1,16 @@
 """Quality by attention-based multiple-instance learning.
 
-A document is a bag of passages of PASSAGE words. Each passage is encoded by a layer over counts of
-its bytes by class, its words, and how much of it the document says more than once. Gated
-attention, tanh times sigmoid, weighs the passages; a logistic unit scores the weighted passage
-representation. All weights are learnt together from document labels, by Adam in numpy, on at most
+A document is a bag of passages of PASSAGE words. Each passage is encoded by a layer over two parts: the mean of the learnt
+vectors of its words (WORDS hashed buckets of WIDTH numbers), and counts of its bytes by class, of its words, and of how much of it the
+document says more than once. Gated attention, tanh times sigmoid, weighs the passages; a logistic unit scores the weighted passage
+representation. Word vectors and all weights are learnt together from document labels, by Adam in numpy, on at most
 TRAIN_DOCS labelled documents. Every passage of a text counts, in training and in scoring.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,7 @@ from .labelled import remainder, sample
 from .wordhash import pieces, runs, words
 
 PASSAGE, HIDDEN, GATE = 64, 16, 8
+WORDS, WIDTH = 2048, 6
 TRAIN_DOCS, STEPS, RATE, DECAY = 4000, 120, 0.02, 1e-4
 THRESHOLD = 0.3
 
@@ -34,8 +36,26 @@ N_CLASSES = len(CLASSES) + 2
 N_FEATURES = N_CLASSES + 9
 
 
-def passages(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Features of every passage, and the first passage of each text; a text has at least one."""
+@dataclass
+class Bags:
+    """Features of passages, the first passage of each text (a text has at least one), and the bucket and the passage of each word."""
+
+    x: np.ndarray
+    first: np.ndarray
+    bucket: np.ndarray
+    passage: np.ndarray
+
+    @classmethod
+    def joined(cls, parts: list[Bags]) -> Bags:
+        shift = np.cumsum([0] + [len(p.x) for p in parts])
+        return cls(
+            np.concatenate([p.x for p in parts]), np.concatenate([p.first + s for p, s in zip(parts, shift, strict=False)]),
+            np.concatenate([p.bucket for p in parts]), np.concatenate([p.passage + s for p, s in zip(parts, shift, strict=False)]),
+        )
+
+
+def passages(texts: pa.Array) -> Bags:
+    """The passages of texts as bags."""
     w = words(texts)
     n_words = np.diff(w.text)
     each = np.maximum(1, -(-n_words // PASSAGE))
@@ -81,25 +101,27 @@ def passages(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
                 out[:, N_CLASSES + 5 + k] = mean(again)
     out[:, N_CLASSES + 7] = np.log1p(n) / 5
     out[:, N_CLASSES + 8] = np.log1p(n_words[of]) / 10
-    return out, first
+    return Bags(out, first, (w.hash % np.uint64(WORDS)).astype(np.int64), passage)
 
 
 class Network:
-    """Passage encoder, gated attention and logistic score."""
+    """Word vectors, passage encoder, gated attention and logistic score."""
 
     def __init__(self, n: int, seed: int = 11):
         rng = np.random.default_rng(seed)
         draw = lambda a, b: rng.standard_normal((a, b)) / np.sqrt(a)
         self.centre, self.scale = np.zeros(n), np.ones(n)
         self.p = {
-            "encode": draw(n, HIDDEN), "encode_b": np.zeros(HIDDEN), "tanh": draw(HIDDEN, GATE), "sigmoid": draw(HIDDEN, GATE),
+            "word": rng.standard_normal((WORDS, WIDTH)) * 0.01, "encode": draw(n + WIDTH, HIDDEN), "encode_b": np.zeros(HIDDEN), "tanh": draw(HIDDEN, GATE), "sigmoid": draw(HIDDEN, GATE),
             "weigh": draw(GATE, 1), "score": draw(HIDDEN, 1), "score_b": np.zeros(1),
         }
 
-    def forward(self, x: np.ndarray, first: np.ndarray):
-        p = self.p
-        of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(x))))
-        x = (x - self.centre) / self.scale
+    def forward(self, bags: Bags):
+        p, first = self.p, bags.first
+        of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(bags.x))))
+        part = 1 / np.maximum(np.bincount(bags.passage, minlength=len(bags.x)), 1)
+        said = np.stack([np.bincount(bags.passage, p["word"][bags.bucket, d], len(bags.x)) for d in range(WIDTH)], 1) * part[:, None]
+        x = np.hstack([(bags.x - self.centre) / self.scale, said])
         h = np.tanh(x @ p["encode"] + p["encode_b"])
         t = np.tanh(h @ p["tanh"])
         s = 1 / (1 + np.exp(-(h @ p["sigmoid"])))
@@ -107,11 +129,11 @@ class Network:
         e = np.exp(e - np.maximum.reduceat(e, first)[of])
         a = e / np.add.reduceat(e, first)[of]
         z = np.add.reduceat(a[:, None] * h, first)
-        return of, x, h, t, s, a, z, (z @ p["score"] + p["score_b"])[:, 0]
+        return of, part, x, h, t, s, a, z, (z @ p["score"] + p["score_b"])[:, 0]
 
-    def gradients(self, x: np.ndarray, first: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-        p = self.p
-        of, x, h, t, s, a, z, logit = self.forward(x, first)
+    def gradients(self, bags: Bags, y: np.ndarray) -> dict[str, np.ndarray]:
+        p, first = self.p, bags.first
+        of, part, x, h, t, s, a, z, logit = self.forward(bags)
         d = ((1 / (1 + np.exp(-logit)) - y) / len(y))[:, None]
         d_z = d @ p["score"].T
         d_h = a[:, None] * d_z[of]
@@ -121,13 +143,15 @@ class Network:
         d_t, d_s = d_ts * s * (1 - t * t), d_ts * t * s * (1 - s)
         d_h = d_h + d_t @ p["tanh"].T + d_s @ p["sigmoid"].T
         d_x = d_h * (1 - h * h)
+        d_said = (d_x @ p["encode"][-WIDTH:].T) * part[:, None]
+        word = np.stack([np.bincount(bags.bucket, d_said[bags.passage, k], WORDS) for k in range(WIDTH)], 1)
         return {
-            "encode": x.T @ d_x, "encode_b": d_x.sum(0), "tanh": h.T @ d_t, "sigmoid": h.T @ d_s,
+            "word": word, "encode": x.T @ d_x, "encode_b": d_x.sum(0), "tanh": h.T @ d_t, "sigmoid": h.T @ d_s,
             "weigh": (t * s).T @ d_e, "score": z.T @ d, "score_b": d.sum(0),
         }
 
     def __call__(self, texts: pa.Array) -> np.ndarray:
-        return 1 / (1 + np.exp(-self.forward(*passages(texts))[-1]))
+        return 1 / (1 + np.exp(-self.forward(passages(texts))[-1]))
 
 
 def train(texts: list[str], labels: np.ndarray, steps: int = STEPS) -> Network:
@@ -139,14 +163,11 @@ def train(texts: list[str], labels: np.ndarray, steps: int = STEPS) -> Network:
     if not len(y) or y.min() == y.max():
         net.p["score"][:] = 0
         return net
-    parts = [passages(x) for x in pieces(pa.array(texts, pa.string()))]
-    shift = np.cumsum([0] + [len(x) for x, _ in parts])
-    x = np.concatenate([p[0] for p in parts])
-    first = np.concatenate([p[1] + s for p, s in zip(parts, shift, strict=False)])
-    net.centre, net.scale = x.mean(0), x.std(0) + 0.05
+    bags = Bags.joined([passages(x) for x in pieces(pa.array(texts, pa.string()))])
+    net.centre, net.scale = bags.x.mean(0), bags.x.std(0) + 0.05
     state = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     for step in range(1, steps + 1):
-        for k, g in net.gradients(x, first, y).items():
+        for k, g in net.gradients(bags, y).items():
             m, v = state[k]
             g = g + DECAY * net.p[k]
             m += 0.1 * (g - m)

@@ -5,7 +5,7 @@ itself, all hashed into one table, so an unseen misspelling shares most of its v
 comes from. A passage of PASSAGE words is the average of its words (padded with zeros), a linear
 softmax gives its log-odds, and a text's log-odds are the log-sum-exp over its passages, so one
 passage decides in a text of any length. Table and softmax are trained jointly in numpy
-from at most TRAIN_DOCS labelled documents, by Adam, from a start at which the first dimension holds
+from at most TRAIN_DOCS labelled documents, up to half of them toxic and weighted back to their share, by Adam, from a start at which the first dimension holds
 how far a bucket exceeds chance in texts of label 1.
 """
 
@@ -85,10 +85,11 @@ class Bag:
         return (total / np.maximum(size, 1)).astype(np.float32)
 
 
-def train(texts: list[str], labels: np.ndarray, steps: int = STEPS, rate: float = RATE, floor: float = 1e-5, least: int = LEAST_TEXTS, seed: int = 7) -> Bag:
+def train(texts: list[str], labels: np.ndarray, weight: np.ndarray | None = None, steps: int = STEPS, rate: float = RATE, floor: float = 1e-5, least: int = LEAST_TEXTS, seed: int = 7) -> Bag:
     """Fit the table and the softmax; without both labels the score is the share of label 1."""
     y = np.asarray(labels, float)
-    share = (y.sum() + 0.5) / (len(y) + 1.0)
+    worth = np.ones(len(y)) if weight is None else np.asarray(weight, float)
+    share = (y @ worth + 0.5) / (worth.sum() + 1.0)
     prior = float(np.log(share / (1 - share)))
     if not len(y) or y.min() == y.max():
         return Bag(np.zeros(BUCKETS), prior)
@@ -103,16 +104,17 @@ def train(texts: list[str], labels: np.ndarray, steps: int = STEPS, rate: float
     flat = np.frombuffer(every, np.int32) if every else np.zeros(0, np.int32)
     begin = np.cumsum(size, dtype=np.int64) - size
     #: In how many texts, and in how many of label 1, each bucket occurs.
-    held, toxic = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for label, a, b in zip(y, offsets[:-1], offsets[1:], strict=True):
+    held, toxic, seen = np.zeros(BUCKETS), np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for label, one, a, b in zip(y, worth, offsets[:-1], offsets[1:], strict=True):
         own = np.unique(at[a:b])
         n = size[own]
         got = np.unique(flat[np.repeat(begin[own] - np.cumsum(n) + n, n) + np.arange(n.sum())])
-        held[got] += 1
-        toxic[got] += label
+        held[got] += one
+        toxic[got] += one * label
+        seen[got] += 1
     owner = np.repeat(np.arange(n_words, dtype=np.int32), size)
     part = (1.0 / np.maximum(size, 1)).astype(np.float32)
-    enough = held[flat] >= least
+    enough = seen[flat] >= least
     flat, owner = flat[enough], owner[enough]
     del every, enough
     starts, first = passages(offsets)
@@ -127,7 +129,7 @@ def train(texts: list[str], labels: np.ndarray, steps: int = STEPS, rate: float
     unit = np.add.reduceat((np.bincount(owner, start[flat], n_words) * part)[at], starts) / PASSAGE
     scale, offset = min(
         ((k, b) for k in (0.25, 0.5, 1, 2, 4, 8, 16, 32) for b in np.arange(-14.0, 0.0)),
-        key=lambda kb: np.logaddexp(0, np.where(y > 0, -1, 1) * pooled(kb[0] * unit + kb[1], first)[0]).sum(),
+        key=lambda kb: np.logaddexp(0, np.where(y > 0, -1, 1) * pooled(kb[0] * unit + kb[1], first)[0]) @ worth,
     )
     table[:, 0] += scale * start
     bias = np.array([0.0, offset], np.float32)
@@ -136,7 +138,7 @@ def train(texts: list[str], labels: np.ndarray, steps: int = STEPS, rate: float
         mean = np.stack([np.add.reduceat((np.bincount(owner, table[flat, d], n_words) * part)[at], starts) for d in range(WIDTH)], 1) / PASSAGE
         both = mean @ soft + bias
         logit, weight = pooled(both[:, 1] - both[:, 0], first)
-        error = (1 / (1 + np.exp(-logit)) - y) / len(y)
+        error = (1 / (1 + np.exp(-logit)) - y) * worth / worth.sum()
         d_odds = np.repeat(error, n_passages) * weight
         d_both = np.stack([-d_odds, d_odds], 1)
         d_mean = (d_both @ soft.T) / PASSAGE
@@ -200,8 +202,8 @@ def toxicity(documents: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DO
     labels give a constant score. Other columns are dropped; an empty table gives an empty result.
     """
     held = remainder(4) == 2
-    rows = sample(documents, labels, "toxic", held, train_docs)
+    rows = sample(documents, labels, "toxic", held, train_docs, balanced=True)
     return (
-        score(documents, train(rows["text"].tolist(), rows["label"].to_numpy()))
+        score(documents, train(rows["text"].tolist(), rows["label"].to_numpy(), rows["weight"].to_numpy()))
         .select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
     )
