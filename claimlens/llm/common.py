@@ -60,12 +60,22 @@ def scratch_root(spark: SparkSession) -> str:
 _WRITTEN: list[str] = []
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read back, which cuts its lineage."""
-    path = f"{scratch_root(df.sparkSession)}/{uuid.uuid4().hex}"
+def stored(df: DataFrame, tidy: bool = False) -> DataFrame:
+    """df written to the shared folder and read back, which cuts its lineage.
+
+    With tidy, the shuffle files that writing it made are deleted at once, as nothing reads them again; by itself Spark keeps them
+    until it happens to collect the plan. If any other job runs at that time they are left to that.
+    """
+    spark = df.sparkSession
+    path = f"{scratch_root(spark)}/{uuid.uuid4().hex}"
     _WRITTEN.append(path)
+    context = spark.sparkContext._jsc.sc()
+    first = context.newShuffleId() if tidy else 0
     df.write.option("compression", "zstd").parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    if tidy and context.cleaner().isDefined() and not spark.sparkContext.statusTracker().getActiveJobsIds():
+        for k in range(first + 1, context.newShuffleId()):
+            context.cleaner().get().doCleanupShuffle(k, False)
+    out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
 

@@ -23,7 +23,6 @@ a segment is known by its anchor's hash and a 64-bit hash of its own.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -174,12 +173,6 @@ def located(distinct: DataFrame) -> DataFrame:
     return distinct.mapInArrow(run, "h long, sid long, firsts array<long>")
 
 
-def _freed(spark) -> None:
-    """Let Spark delete the shuffle files of plans that are done with."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def _salted(rows: DataFrame, table: DataFrame, hot: DataFrame, more: list[str], salt) -> DataFrame:
     """rows joined with table on h (and more); where h is hot, rows go by h and one of SALTS salts, and table has a row for each.
 
@@ -207,19 +200,17 @@ def _by_windows(segments: DataFrame) -> DataFrame:
 
 def repeats(docs: DataFrame) -> DataFrame:
     """id, tk, marks (start, bits of the windows from there) of rows (id, tk, text)."""
-    spark = docs.sparkSession
     rows = anchor_rows(docs)
     counted = rows.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n"))
-    recurring = stored(counted.where("lo < hi").select("h", "n"))
+    recurring = stored(counted.where("lo < hi").select("h", "n"), tidy=True)
     hot = stored(recurring.where(F.col("n") > HOT_ROWS).orderBy(F.desc("n"), "h").limit(HOT_KEYS).select("h"))
     of = F.xxhash64("id", "tk")
-    lists = stored(_salted(rows, recurring.select("h"), hot, [], of).groupBy("id", "tk").agg(F.collect_list("h").alias("hs")))
-    del rows, counted
-    drop_stored(recurring)
-    _freed(spark)
-    segments = stored(segment_rows(docs.join(lists, ["id", "tk"]).select("id", "tk", "text", "hs")))
-    _freed(spark)
-    heavy = stored(segments.select("h", "sid").distinct().groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > HEAVY).select(F.col("h").alias("heavy_h")))
+    lists = stored(_salted(rows, recurring.select("h"), hot, [], of).groupBy("id", "tk").agg(F.collect_list("h").alias("hs")), tidy=True)
+    segments = stored(segment_rows(docs.join(lists, ["id", "tk"]).select("id", "tk", "text", "hs")), tidy=True)
+    drop_stored(lists)
+    #: Only an anchor of many documents can have many different segments, but for what one document repeats.
+    often = segments.select("h", "sid").join(recurring.where(F.col("n") > HEAVY // 4).select("h"), "h", "left_semi").distinct()
+    heavy = stored(often.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > HEAVY).select(F.col("h").alias("heavy_h")), tidy=True)
     distinct = segments.groupBy("h", "sid", "seg").agg(F.min("id").alias("first"))
     of_heavy = F.col("h") == F.col("heavy_h")
     light = distinct.join(heavy, of_heavy, "left_anti")
@@ -232,11 +223,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     found = _salted(segments.select("h", "sid", "id", "tk", "start"), firsts, hot, ["sid"], of)
     marks = stored(
         found.select("id", "tk", "start", bits.alias("bits")).where("bits > 0")
-        .groupBy("id", "tk").agg(F.collect_set(F.struct("start", "bits")).alias("marks"))
+        .groupBy("id", "tk").agg(F.collect_set(F.struct("start", "bits")).alias("marks")), tidy=True
     )
-    drop_stored(lists, segments, heavy, hot)
-    del segments, distinct, light, some, firsts, found
-    _freed(spark)
+    drop_stored(recurring, segments, heavy, hot)
     return marks
 
 
