@@ -68,8 +68,8 @@ def _columns(b: pa.RecordBatch, *names: str) -> list[np.ndarray]:
     return [b[n].to_numpy(zero_copy_only=False) for n in names]
 
 
-def anchor_rows(docs: DataFrame) -> DataFrame:
-    """h, id, tk: the anchors of each document, each once."""
+def anchor_rows(docs: DataFrame, hot: np.ndarray | None = None) -> DataFrame:
+    """h, id, tk: the anchors of each document, each once; a hot one with a salt of the document above its BITS bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in short(batches):
@@ -78,7 +78,11 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
             for x in pieces(b["text"]):
                 _, h, text = anchors(words(x))
                 own = np.unique(np.stack([text, h]), axis=1)
-                yield pa.RecordBatch.from_pydict({"h": own[1], "id": ids[at + own[0]], "tk": keys[at + own[0]]})
+                h, id_, tk = own[1], ids[at + own[0]], keys[at + own[0]]
+                if hot is not None and len(hot):
+                    some = np.isin(h, hot)
+                    h[some] += ((id_[some] ^ tk[some]) % SALTS + 1) << BITS
+                yield pa.RecordBatch.from_pydict({"h": h, "id": id_, "tk": tk})
                 at += len(x)
 
     return docs.mapInArrow(run, "h long, id long, tk long")
@@ -173,18 +177,11 @@ def located(distinct: DataFrame) -> DataFrame:
     return distinct.mapInArrow(run, "h long, sid long, firsts array<long>")
 
 
-def _salted(rows: DataFrame, table: DataFrame, hot: DataFrame, more: list[str], salt) -> DataFrame:
-    """rows joined with table on h (and more); where h is hot, rows go by h and one of SALTS salts, and table has a row for each.
-
-    Hashes of anchors have BITS bits, so the salt stands above them and rows are no wider than without it.
-    """
+def _salted(table: DataFrame, hot: DataFrame) -> DataFrame:
+    """table with a row for each salt of its hot anchors; the salt stands above the BITS bits of the hash."""
     few = F.broadcast(hot.select(F.col("h").alias("hot_h")))
-    unit = F.lit(1 << BITS)
-    dealt = rows.join(few, F.col("h") == F.col("hot_h"), "left")
-    dealt = dealt.withColumn("h", F.when(F.col("hot_h").isNull(), F.col("h")).otherwise(F.col("h") + (F.pmod(salt, F.lit(SALTS)) + 1) * unit)).drop("hot_h")
     copies = F.when(F.col("hot_h").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(1), F.lit(SALTS)))
-    every = table.join(few, F.col("h") == F.col("hot_h"), "left").withColumn("copy", F.explode(copies)).withColumn("h", F.col("h") + F.col("copy") * unit).drop("hot_h", "copy")
-    return dealt.join(every, ["h", *more]).withColumn("h", F.col("h").bitwiseAND(unit - 1))
+    return table.join(few, F.col("h") == F.col("hot_h"), "left").withColumn("copy", F.explode(copies)).withColumn("h", F.col("h") + F.col("copy") * F.lit(1 << BITS)).drop("hot_h", "copy")
 
 
 def _by_windows(segments: DataFrame) -> DataFrame:
@@ -200,32 +197,33 @@ def _by_windows(segments: DataFrame) -> DataFrame:
 
 def repeats(docs: DataFrame) -> DataFrame:
     """id, tk, marks (start, bits of the windows from there) of rows (id, tk, text)."""
-    rows = anchor_rows(docs)
-    counted = rows.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n"))
+    counted = anchor_rows(docs).groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n"))
     recurring = stored(counted.where("lo < hi").select("h", "n"), tidy=True)
     hot = stored(recurring.where(F.col("n") > HOT_ROWS).orderBy(F.desc("n"), "h").limit(HOT_KEYS).select("h"))
-    of = F.xxhash64("id", "tk")
-    lists = stored(_salted(rows, recurring.select("h"), hot, [], of).groupBy("id", "tk").agg(F.collect_list("h").alias("hs")), tidy=True)
+    few = np.array([r["h"] for r in hot.collect()], np.int64)  # HOT_KEYS at most
+    found = anchor_rows(docs, few).join(_salted(recurring.select("h"), hot), "h").withColumn("h", F.col("h").bitwiseAND(F.lit((1 << BITS) - 1)))
+    lists = stored(found.groupBy("id", "tk").agg(F.collect_list("h").alias("hs")), tidy=True)
     segments = stored(segment_rows(docs.join(lists, ["id", "tk"]).select("id", "tk", "text", "hs")), tidy=True)
-    drop_stored(lists)
-    #: Only an anchor of many documents can have many different segments, but for what one document repeats.
-    often = segments.select("h", "sid").join(recurring.where(F.col("n") > HEAVY // 4).select("h"), "h", "left_semi").distinct()
-    heavy = stored(often.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > HEAVY).select(F.col("h").alias("heavy_h")), tidy=True)
-    distinct = segments.groupBy("h", "sid", "seg").agg(F.min("id").alias("first"))
+    drop_stored(lists, recurring)
+    distinct = stored(segments.groupBy("h", "sid", "seg").agg(F.min("id").alias("first")), tidy=True)
+    heavy = stored(distinct.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > HEAVY).select(F.col("h").alias("heavy_h")), tidy=True)
     of_heavy = F.col("h") == F.col("heavy_h")
-    light = distinct.join(heavy, of_heavy, "left_anti")
-    firsts = located(light.repartition("h").sortWithinPartitions("h").select("h", "sid", "seg", "first"))
-    some = segments.join(heavy, of_heavy, "left_semi").groupBy("h", "sid", "seg").agg(F.min("id").alias("first"))
-    firsts = firsts.unionByName(_by_windows(some))
+    light = distinct.join(heavy, of_heavy, "left_anti").repartition("h").sortWithinPartitions("h")
+    firsts = located(light.select("h", "sid", "seg", "first")).unionByName(_by_windows(distinct.join(heavy, of_heavy, "left_semi")))
+    firsts = stored(firsts, tidy=True)
+    drop_stored(distinct, heavy)
     bits = F.aggregate(
         F.transform("firsts", lambda f, k: F.when(f < F.col("id"), F.pow(F.lit(2), k)).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x
     ).cast("int")
-    found = _salted(segments.select("h", "sid", "id", "tk", "start"), firsts, hot, ["sid"], of)
+    is_hot = F.col("hot_h").isNotNull()
+    salt = (F.pmod(F.xxhash64("id", "tk"), F.lit(SALTS)) + 1) * F.lit(1 << BITS)
+    dealt = segments.select("h", "sid", "id", "tk", "start").join(F.broadcast(hot.select(F.col("h").alias("hot_h"))), F.col("h") == F.col("hot_h"), "left")
+    dealt = dealt.withColumn("h", F.when(is_hot, F.col("h") + salt).otherwise(F.col("h"))).drop("hot_h")
     marks = stored(
-        found.select("id", "tk", "start", bits.alias("bits")).where("bits > 0")
+        dealt.join(_salted(firsts, hot), ["h", "sid"]).select("id", "tk", "start", bits.alias("bits")).where("bits > 0")
         .groupBy("id", "tk").agg(F.collect_set(F.struct("start", "bits")).alias("marks")), tidy=True
     )
-    drop_stored(recurring, segments, heavy, hot)
+    drop_stored(segments, firsts, hot)
     return marks
 
 
