@@ -41,7 +41,7 @@ BITS = 44
 SEGMENTS = 300
 NO_ID = (1 << 63) - 1
 #: An anchor with more different segments than this is compared window by window.
-HEAVY = 4096
+HEAVY = 50_000
 #: The rows of an anchor in over HOT_ROWS documents, of which the first HOT_KEYS count, are dealt to so many places.
 SALTS = 64
 
@@ -195,22 +195,23 @@ def _by_windows(segments: DataFrame) -> DataFrame:
     return back.groupBy("h", "sid").agg(F.transform(told, lambda x: x["least"]).alias("firsts"))
 
 
-def repeats(docs: DataFrame) -> DataFrame:
+def repeats(docs: DataFrame, most: int = HEAVY, hot_rows: int = HOT_ROWS) -> DataFrame:
     """id, tk, marks (start, bits of the windows from there) of rows (id, tk, text)."""
     counted = anchor_rows(docs).groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n"))
     recurring = stored(counted.where("lo < hi").select("h", "n"), tidy=True)
-    hot = stored(recurring.where(F.col("n") > HOT_ROWS).orderBy(F.desc("n"), "h").limit(HOT_KEYS).select("h"))
+    hot = stored(recurring.where(F.col("n") > hot_rows).orderBy(F.desc("n"), "h").limit(HOT_KEYS).select("h"))
     few = np.array([r["h"] for r in hot.collect()], np.int64)  # HOT_KEYS at most
     found = anchor_rows(docs, few).join(_salted(recurring.select("h"), hot), "h").withColumn("h", F.col("h").bitwiseAND(F.lit((1 << BITS) - 1)))
     lists = stored(found.groupBy("id", "tk").agg(F.collect_list("h").alias("hs")), tidy=True)
     segments = stored(segment_rows(docs.join(lists, ["id", "tk"]).select("id", "tk", "text", "hs")), tidy=True)
     drop_stored(lists, recurring)
     distinct = stored(segments.groupBy("h", "sid", "seg").agg(F.min("id").alias("first")), tidy=True)
-    heavy = stored(distinct.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > HEAVY).select(F.col("h").alias("heavy_h")), tidy=True)
+    heavy = stored(distinct.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > most).select(F.col("h").alias("heavy_h")), tidy=True)
     of_heavy = F.col("h") == F.col("heavy_h")
-    light = distinct.join(heavy, of_heavy, "left_anti").repartition("h").sortWithinPartitions("h")
-    firsts = located(light.select("h", "sid", "seg", "first")).unionByName(_by_windows(distinct.join(heavy, of_heavy, "left_semi")))
-    firsts = stored(firsts, tidy=True)
+    some = bool(heavy.limit(1).count())
+    light = distinct.join(heavy, of_heavy, "left_anti") if some else distinct
+    firsts = located(light.repartition("h").sortWithinPartitions("h").select("h", "sid", "seg", "first"))
+    firsts = stored(firsts.unionByName(_by_windows(distinct.join(heavy, of_heavy, "left_semi"))) if some else firsts, tidy=True)
     drop_stored(distinct, heavy)
     bits = F.aggregate(
         F.transform("firsts", lambda f, k: F.when(f < F.col("id"), F.pow(F.lit(2), k)).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x
@@ -227,7 +228,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     return marks
 
 
-def remove_repeats(documents: DataFrame) -> DataFrame:
+def remove_repeats(documents: DataFrame, heavy: int = HEAVY, hot_rows: int = HOT_ROWS) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the kept words, joined by one space): one row for each row.
 
     A null text is read as empty. A row without a doc_id counts as later than all others and is never
@@ -237,7 +238,7 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), text_of("text").alias("text"))
     docs = docs.withColumn("tk", F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)))  # parts rows with one doc_id and different texts
-    marked = docs.join(repeats(docs), ["id", "tk"], "left").select("id", "text", F.col("marks.start").alias("starts"), F.col("marks.bits").alias("bits"))
+    marked = docs.join(repeats(docs, heavy, hot_rows), ["id", "tk"], "left").select("id", "text", F.col("marks.start").alias("starts"), F.col("marks.bits").alias("bits"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in short(batches):

@@ -34,3 +34,14 @@ def test_many_flushes_of_the_automaton(spark, monkeypatch):
 
 def test_empty(spark):
     assert phrases.remove_repeats(empty_frame(spark)).count() == 0
+
+
+def test_hot_and_heavy_anchors_change_nothing(spark):
+    """A phrase of eight words in ever new surroundings, and a passage in every document, by salts and window by window."""
+    common, licence = prose(1, 8), prose(2, 40)
+    rows = [(k, f"{prose(100 + k % 50, 12)} {common} {prose(200 + k % 40, 12)} {licence if k % 2 else ''} {prose(300 + k, 20)}") for k in range(120)]
+    want = phrases.removed_by_hand(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for heavy, hot in ((2, 5), (10**6, 5), (2, 10**6)):
+        got = phrases.digest(phrases.remove_repeats(docs, heavy, hot)).collect()
+        assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == want
