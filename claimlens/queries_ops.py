@@ -7,19 +7,18 @@ from pyspark.sql import functions as F
 from .entry import query
 from .functions.exprs import dpo_loss, draw, iou, ipo_loss, relaxed_match, scaled_box, strict_match
 from .functions.tolerant_json import extract_json
-from .operators import audits, ranking
+from .operators import audits, holdout, ranking
 from .plans.claims import table
 from .sql import u
 from .streaming import progress
 
 
-@query("""WITH ids AS (SELECT 'orders' AS source, o_custkey::VARCHAR AS id FROM orders UNION SELECT 'events', user_id::VARCHAR FROM events UNION SELECT 'customer', c_custkey::VARCHAR FROM customer)
-SELECT source, count(*) AS n, sha256(string_agg(id, chr(10) ORDER BY id) || chr(10)) AS digest FROM ids GROUP BY source""")
+@query("""WITH ids AS (SELECT 'orders' AS source, o_custkey::VARCHAR AS id FROM orders UNION SELECT 'events', user_id::VARCHAR FROM events UNION SELECT 'customer', c_custkey::VARCHAR FROM customer),
+b AS (SELECT source, substr(sha256(id), 1, 3) AS head, count(*) AS n, sha256(string_agg(id, chr(10) ORDER BY id) || chr(10)) AS digest FROM ids GROUP BY ALL)
+SELECT source, sum(n)::BIGINT AS n, sha256(string_agg(head || ' ' || digest || chr(10), '' ORDER BY head)) AS digest FROM b GROUP BY source""")
 def used_id_registry(spark, sf_dir):
-    """Distinct ids of each source, and a digest of them in order."""
-    r = _registry(spark, sf_dir)
-    text = F.concat(F.array_join(F.array_sort(F.collect_list("id")), "\n"), F.lit("\n"))
-    return r.groupBy("source").agg(F.count("*").alias("n"), F.sha2(text, 256).alias("digest"))
+    """Distinct ids of each source, and a digest of them that does not depend on their order."""
+    return holdout.id_digest(_registry(spark, sf_dir), ["source"])
 
 
 def _registry(spark, sf_dir):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -12,6 +12,47 @@ def read(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def invalid_lines(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """file, line (from 1), text of the lines that are no object of the schema; blank lines are no lines.
+
+    A line's number is how many lines its file has before it. A file may be read in several blocks: lines are counted by block,
+    which is one small row each, and numbered within their block by their order there.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
+    fields = schema if isinstance(schema, str) else ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    parsed = F.from_json("value", f"{fields}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    bad = (F.trim("value") != "") & (~F.startswith(F.trim("value"), F.lit("{")) | parsed["_bad"].isNotNull())
+    sizes = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    return lines.where(bad).join(starts, ["file", "block"]).select("file", (F.col("before") + F.col("place") - F.col("first") + 1).alias("line"), F.col("value").alias("text"))
+
+
+def read_strict(spark: SparkSession, path: str, schema: StructType | str, keep: bool = False) -> DataFrame:
+    """As read, but a bad line is an error that names its file and number. keep persists the rows for several uses."""
+    first = invalid_lines(spark, path, schema).orderBy("file", "line").first()
+    if first:
+        raise ValueError(f"{first['file']}:{first['line']}: no object of the schema: {first['text'][:80]}")
+    out = read(spark, path, schema)
+    return out.persist() if keep else out
+
+
+def read_first(spark: SparkSession, path: str, schema: StructType | str, n: int, *order: str) -> DataFrame:
+    """The first n rows by the given order, as files have none of their own."""
+    return read(spark, path, schema).orderBy(*order).limit(n)
+
+
+def read_shards(spark: SparkSession, folder: str, schema: StructType | str, key: str, shards: str = "rollouts.shard-*.jsonl", whole: str = "rollouts.jsonl") -> DataFrame:
+    """The rows of all shards in a folder, or of the one whole file if there are none; a key in two rows is an error, so is no row at all."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{shards}")
+    found = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(path)
+    rows = read(spark, f"{folder}/{shards}" if found else f"{folder}/{whole}", schema)
+    twice = rows.groupBy(key).agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") > 1).alias("twice"), F.count("*").alias("keys")).first()
+    if twice["twice"] or not twice["keys"]:
+        raise ValueError(f"{folder}: {twice['twice']} keys are there twice, {twice['keys']} in all")
+    return rows
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where)

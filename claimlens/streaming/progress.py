@@ -32,3 +32,20 @@ def first_per_key(events: DataFrame, key: str = "event_id") -> DataFrame:
         return event_time(events).dropDuplicatesWithinWatermark([key])
     order = Window.partitionBy(key).orderBy("ts", *[c for c in events.columns if c not in (key, "ts")])
     return event_time(events).withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+
+
+def running_metrics(records: DataFrame, late: str = LATE) -> DataFrame:
+    """stage, n, last_step, mean_loss of training records (ts, stage, global_step, loss): the state so far of each stage, batch or stream."""
+    return event_time(records, late).groupBy("stage").agg(F.count("*").alias("n"), F.max("global_step").alias("last_step"), F.avg("loss").alias("mean_loss"))
+
+
+def flushed(events: DataFrame, path: str, checkpoint: str, each: str = "10 seconds", once: bool = False, key: str | None = None):
+    """Writes a stream's rows as files at each interval, or all that is there once; a restart goes on where it stopped and a key is written once."""
+    rows = first_per_key(events, key) if key else events
+    out = rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+    return (out.trigger(availableNow=True) if once else out.trigger(processingTime=each)).start()
+
+
+def watched(spark, folder: str, schema, pattern: str = "*.json") -> DataFrame:
+    """A stream of the JSON lines of files as they appear in a folder."""
+    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).json(folder)

@@ -105,6 +105,12 @@ def test_gate_needs_the_drop_in_misses(spark):
         assert got["high_risk_miss_improvement"] is ok and got["all"] is ok
 
 
+def test_ancestry_of_long_chains_and_loops(spark):
+    rows = [(f"m{k}", f"m{k - 1}" if k else None) for k in range(300)] + [("a", "b"), ("b", "a"), ("x", "gone")]
+    got = {r.model_id: r.depth for r in audits.ancestry(spark.createDataFrame(rows, "model_id string, parent_model_id string")).collect()}
+    assert got == {f"m{k}": k for k in range(300)} | {"x": 0}
+
+
 def test_best_checkpoint(spark):
     s = spark.createDataFrame([(5, False, 0.3, 0.1), (10, True, 0.1, 0.0), (15, True, 0.9, 0.9)], "step int, eligible boolean, reward_gain double, order_gain double")
     assert gates.best_checkpoint(s).first().step == 10 and gates.best_checkpoint(s.where("not eligible")).first().step == 5
