@@ -2,6 +2,11 @@
 
 import random
 
+#: Columns that the operators use for themselves, as columns of a document table.
+TAKEN = (
+    "base found row ratios id tk th fp root gone_lines id_of tk_of th_of leak seg sid window least n m a b node key part copies copy kept words host doc_id_ _place _served _id _tk _key _first _th "
+    "_text _leaks _gone stack bucket bounds is_point at held_out predicted label weight text_ spans hs marks start bits first firsts"
+).split()
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, text_hash string, h long, id long"
 
 
@@ -26,3 +31,11 @@ def awkward_frame(spark):
 
 def empty_frame(spark):
     return spark.createDataFrame([], SCHEMA)
+
+
+def crowded_frame(spark):
+    """The awkward rows with a column for every name of TAKEN, which holds its name and the row's text_hash."""
+    from pyspark.sql import functions as F
+
+    df = awkward_frame(spark)
+    return df.select(*df.columns, *(F.concat(F.lit(f"{c}:"), F.col("text_hash")).alias(c) for c in TAKEN if c not in df.columns))
