@@ -10,6 +10,7 @@ from .functions import contract
 from .functions.exprs import draw
 from .operators import comparison, gates, holdout, repair, rewards, splits
 from .operators import pairs as PR
+from .operators.storing import stored
 from .operators.validation import money_errors as why_no_money
 from .plans import claims as C
 from .plans import generator
@@ -238,9 +239,10 @@ manifest AS (SELECT p.split, p.case_id, p.id, p.label, p.risk_level, p.audit_res
 
 
 def _tests(spark, sf_dir) -> DataFrame:
+    """Claims with their splits; stored, as holdouts read them many times."""
     c = C.claims(spark, sf_dir).select("id", "case_id", "risk_level", "audit_result", "documents", "anomaly_types")
     s = splits.assign_splits(C.labels(spark, sf_dir))
-    return s.join(c, "case_id")
+    return stored(s.join(c, "case_id"))
 
 
 def _manifest(tests: DataFrame) -> DataFrame:
@@ -286,11 +288,10 @@ final AS (SELECT * FROM turns QUALIFY row_number() OVER (PARTITION BY split ORDE
 
 
 def _complete(spark, sf_dir, tests: DataFrame) -> DataFrame:
-    """Claims whose images are all there, with the parts of their split key."""
-    c = C.claims(spark, sf_dir)
-    r = _records(O.answers(c))
-    s = holdout.image_status(c, r, _files(r)).where("complete").select("case_id", "image_count")
-    return tests.join(s, "case_id").withColumn("key", holdout.split_key())
+    """The tests whose images are all there, with the parts of their split key; only their answers are made."""
+    r = stored(_records(O.answers(C.claims(spark, sf_dir).join(tests.select("case_id"), "case_id", "left_semi"))))
+    s = holdout.image_status(tests, r, _files(r)).where("complete").select("case_id", "image_count")
+    return stored(tests.join(s, "case_id").withColumn("key", holdout.split_key()))
 
 
 @query(f"{FINAL} SELECT split, case_id, turn FROM final")
@@ -318,8 +319,8 @@ def holdout_overlaps(spark, sf_dir):
     """Claims that the final holdout shares with other sets."""
     every = _tests(spark, sf_dir)
     t = every.where(F.col("split").startswith("test_") & ~((F.col("split") == "test_hard_negative") & (F.col("label") == "none")))
-    m = _manifest(t)
-    f = holdout.final_holdout(_complete(spark, sf_dir, t), m, 60, 43, STRATA)
+    m = stored(_manifest(t))
+    f = stored(holdout.final_holdout(_complete(spark, sf_dir, t), m, 60, 43, STRATA))
     return holdout.overlap_counts({"train": every.where("split = 'train'"), "tests": t, "manifest": m, "final": f}, [("manifest", "final"), ("tests", "final"), ("train", "final")])
 
 
