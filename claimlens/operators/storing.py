@@ -11,20 +11,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Paths written by stored() that are still there, oldest first.
 _WRITTEN: list[str] = []
+#: Folders of applications for which spark.checkpoint.dir is unset; a running session does not let it be set.
+_OWN: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; where that is unset, one of the warehouse, or in local mode a temporary one that goes at exit."""
     if root := spark.conf.get("spark.checkpoint.dir", None):
         return root.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app in _OWN:
+        return _OWN[app]
     if spark.sparkContext.master.startswith("local"):
         folder = tempfile.mkdtemp(prefix="scratch-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        root = f"file://{folder}"
+        _OWN[app] = f"file://{folder}"
     else:
-        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+        _OWN[app] = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    return _OWN[app]
 
 
 def stored(df: DataFrame) -> DataFrame:

@@ -91,7 +91,8 @@ MINED = f"""{REWARDS}, b AS (
 
 
 def _mined(spark, sf_dir) -> DataFrame:
-    return PR.take_holdout(PR.mined_pairs(completions(spark, sf_dir)), 24, 1045)
+    """Mined pairs in parts; the pairs are few columns, which ranks and counts read again."""
+    return PR.take_holdout(stored(PR.mined_pairs(completions(spark, sf_dir))), 24, 1045)
 
 
 @query(f"{MINED} SELECT case_id, bucket AS pair_type, chosen_source, rejected_source, round(chosen_reward, 9) AS chosen_reward, round(rejected_reward, 9) AS rejected_reward, round(gap, 9) AS reward_gap, part FROM parted")
@@ -182,7 +183,7 @@ pack AS (SELECT * FROM place ORDER BY filled, CASE WHEN filled THEN 0 ELSE turn
 def _train(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Answers with their split, and ids that must not be used: other splits, and a twentieth that was used before."""
     c = C.claims(spark, sf_dir)
-    s = splits.assign_splits(C.labels(spark, sf_dir)).select("case_id", F.col("split").alias("source_split"))
+    s = stored(splits.assign_splits(C.labels(spark, sf_dir)).select("case_id", F.col("split").alias("source_split")))
     rows = O.answers(c).join(s, "case_id")
     used = repair.excluded_ids({"evaluation": s.where("source_split <> 'train'"), "used": s.where(draw("case_id", "used") % 20 == 0)})
     return rows, used
@@ -203,7 +204,7 @@ SELECT case_id, 'repair' AS role, CAST(NULL AS VARCHAR) AS bucket FROM pack UNIO
 def repair_mix(spark, sf_dir):
     """The repair pack with 60 calibration claims, two thirds of them low."""
     rows, used = _train(spark, sf_dir)
-    m = repair.repair_mix(repair.repair_pack(rows, used, 100), rows, used, 60, 44, "repair_v3", missing_info=True)
+    m = repair.repair_mix(stored(repair.repair_pack(rows, used, 100)), rows, used, 60, 44, "repair_v3", missing_info=True)
     return m.select("case_id", "repair_mix_metadata.role", "repair_mix_metadata.bucket")
 
 
@@ -212,9 +213,9 @@ def repair_mix(spark, sf_dir):
 def repair_set_audit(spark, sf_dir):
     """The repair pack's checks: repeated and invalid rows, and ids that lie in other sets."""
     rows, used = _train(spark, sf_dir)
-    ids = repair.repair_pack(rows, used, 100).select("case_id")
+    ids = stored(repair.repair_pack(rows, used, 100).select("case_id"))
     boundaries = {n: used.where(F.col("source") == n) for n in ("evaluation", "used")}
-    return repair.repair_audit(rows.join(ids, "case_id", "left_semi"), contract.answer_valid(F.col("answer")), boundaries, rows.where("source_split = 'train'"))
+    return repair.repair_audit(stored(rows.join(ids, "case_id", "left_semi")), contract.answer_valid(F.col("answer")), boundaries, rows.where("source_split = 'train'"))
 
 
 @query(f"""{SPLITS}, l AS (SELECT case_id, label, CASE WHEN {u('kind', 'case_id')} % 3 = 0 THEN 'order_rewritten' ELSE 'as_is' END AS k FROM splits WHERE label = 'order_id_mismatch')
