@@ -43,17 +43,23 @@ def let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+#: Folders of applications for which spark.checkpoint.dir is unset; a running session does not let it be set.
+_OWN: dict[str, str] = {}
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; a local one only in local mode where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app in _OWN:
+        return _OWN[app]
     if spark.sparkContext.master.startswith("local"):
-        root = f"file://{tempfile.mkdtemp(prefix='scratch-')}"
+        _OWN[app] = f"file://{tempfile.mkdtemp(prefix='scratch-')}"
     else:
-        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+        _OWN[app] = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    return _OWN[app]
 
 
 #: Paths written by stored() that are still there, oldest first.
