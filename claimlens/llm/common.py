@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import reduce
 
 import pyarrow as pa
@@ -62,53 +64,49 @@ def scratch_root(spark: SparkSession) -> str:
     return _OWN[app]
 
 
-#: Paths written by stored() that are still there, oldest first.
-_WRITTEN: list[str] = []
+#: Lists that note what stored() writes, innermost last; each thread has its own.
+_NOTES: ContextVar[tuple[list[DataFrame], ...]] = ContextVar("notes", default=())
 
 
 def stored(df: DataFrame, tidy: bool = False) -> DataFrame:
     """df written to the shared folder and read back, which cuts its lineage.
 
-    With tidy, the shuffle files that writing it made are deleted at once, as nothing reads them again; by itself Spark keeps them
-    until it happens to collect the plan. If any other job runs at that time they are left to that.
+    With tidy, the driver's JVM is asked to collect its garbage once it is written, upon which Spark deletes the shuffle files of
+    plans that nothing refers to any more; files of running jobs and of other threads stay.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
-    context = spark.sparkContext._jsc.sc()
-    first = context.newShuffleId() if tidy else 0
     df.write.option("compression", "zstd").parquet(path)
-    if tidy and context.cleaner().isDefined() and not spark.sparkContext.statusTracker().getActiveJobsIds():
-        for k in range(first + 1, context.newShuffleId()):
-            context.cleaner().get().doCleanupShuffle(k, False)
+    if tidy:
+        spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
+    for note in _NOTES.get():
+        note.append(out)
     return out
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
-    if path in _WRITTEN:
-        _WRITTEN.remove(path)
-
-
 def drop_stored(*frames: DataFrame) -> None:
     """Delete what stored() wrote, once no later result needs it."""
     for df in frames:
         if path := getattr(df, "_scratch_path", None):
-            _delete(df.sparkSession, path)
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
-def scratch_mark() -> frozenset[str]:
-    """The stored tables that are there now; for release()."""
-    return frozenset(_WRITTEN)
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """The tables that this thread stores within the block, in a list of the caller's own: drop_stored() of those deletes nobody else's.
 
-
-def release(spark: SparkSession, since: frozenset[str] = frozenset(), keep: DataFrame | None = None) -> None:
-    """Delete the tables stored since a mark, but for one: to be called when the results that read them have been read or written."""
-    for path in [p for p in _WRITTEN if p not in since and p != getattr(keep, "_scratch_path", None)]:
-        _delete(spark, path)
+    The caller decides what to delete, as results are lazy and read their tables after the block.
+    """
+    made: list[DataFrame] = []
+    mark = _NOTES.set((*_NOTES.get(), made))
+    try:
+        yield made
+    finally:
+        _NOTES.reset(mark)
 
 
 def short(batches: Iterator[pa.RecordBatch], rows: int = ARROW_ROWS) -> Iterator[pa.RecordBatch]:
@@ -118,29 +116,31 @@ def short(batches: Iterator[pa.RecordBatch], rows: int = ARROW_ROWS) -> Iterator
             yield b.slice(k, rows)
 
 
-#: Keys that are joined by broadcast because many rows have them: at most so many, and only those of more rows than this.
-HOT_KEYS, HOT_ROWS = 10_000, 10_000
+#: Rows of a key that may meet in one task; a key of more is dealt to several places.
+HOT_ROWS = 10_000
+#: Keys are known to be hot by one of so many hash buckets, which bounds what is broadcast whatever the number of hot keys.
+BUCKETS = 1 << 16
 
 
 def with_counted(rows: DataFrame, table: DataFrame, on: list[str], n: str = "n", least: int | None = None) -> DataFrame:
     """rows joined with table (one row for each key, and n, how many rows have it) on columns of both, without a hot task.
 
-    The keys of most rows, up to HOT_KEYS of them, are broadcast; rows with these are not sent anywhere by their key. All other
-    rows are joined by a shuffle in which no key has more rows than the least of the broadcast ones. The result is that of the plain
-    inner join. table is read twice, so it should be stored; keys are never null.
+    A key of more than HOT_ROWS rows (or `least`) has a copy of its row of table for each so many, and its rows are dealt to the copies by
+    their own hash. Which keys these are is told by hash bucket: at most BUCKETS numbers are broadcast, for any number of hot keys; other
+    keys of such a bucket are copied as well, which costs some rows and changes nothing. The result is that of the plain inner
+    join. table is read twice, so it should be stored; keys are never null.
     """
+    most = max(1, HOT_ROWS if least is None else least)
     more = [c for c in table.columns if c not in on]
-    hot = table.where(F.col(n) > (HOT_ROWS if least is None else least)).orderBy(F.desc(n), *on).limit(HOT_KEYS)
-    left = lambda df, tag: df.select(*(F.col(c).alias(f"_{tag}_{c}") for c in table.columns))
-    a, b = left(hot, "hot"), left(table, "all")
-    some = F.col(f"_hot_{on[0]}").isNotNull()
-    x = rows.join(F.broadcast(a), reduce(lambda p, q: p & q, (F.col(c) == F.col(f"_hot_{c}") for c in on)), "left")
-    #: A row that is served already goes to a place of its own; `served` keeps it from meeting anything there.
-    x = x.withColumn("_served", some).withColumn("_place", F.when(some, F.xxhash64(*rows.columns)).otherwise(F.xxhash64(*on)))
-    same = reduce(lambda p, q: p & q, (F.col(c) == F.col(f"_all_{c}") for c in on))
-    b = b.withColumn("_all_place", F.xxhash64(*(f"_all_{c}" for c in on)))
-    x = x.join(b, (F.col("_place") == F.col("_all_place")) & ~F.col("_served") & same, "left").where(F.col("_served") | F.col("_all_place").isNotNull())
-    return x.select(*rows.columns, *(F.when(F.col("_served"), F.col(f"_hot_{c}")).otherwise(F.col(f"_all_{c}")).alias(c) for c in more))
+    bucket = lambda cols: F.pmod(F.xxhash64(*cols), F.lit(BUCKETS))
+    hot = F.broadcast(table.where(F.col(n) > most).groupBy(bucket(on).alias("_hot")).agg(F.ceil(F.max(n) / most).cast("int").alias("_places")))
+    places = F.coalesce("_places", F.lit(1))
+    x = rows.withColumn("_bucket", bucket(on)).join(hot, F.col("_bucket") == F.col("_hot"), "left")
+    x = x.select(*rows.columns, F.pmod(F.xxhash64(*rows.columns, F.lit(1)), places).cast("int").alias("_place"))
+    y = table.withColumn("_bucket", bucket(on)).join(hot, F.col("_bucket") == F.col("_hot"), "left")
+    y = y.select(*(F.col(c).alias(f"_all_{c}") for c in table.columns), F.explode(F.sequence(F.lit(0), places - 1)).alias("_all_place"))
+    same = reduce(lambda p, q: p & q, (F.col(c) == F.col(f"_all_{c}") for c in on), F.col("_place") == F.col("_all_place"))
+    return x.join(y, same).select(*rows.columns, *(F.col(f"_all_{c}").alias(c) for c in more))
 
 
 def partitions(spark: SparkSession) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, release, scratch_mark, stored, with_counted
+from .common import drop_stored, scratch, stored, with_counted
 
 
 def _large(links: DataFrame) -> DataFrame:
@@ -34,10 +34,9 @@ def components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
     for _ in range(max_rounds):
         if not seen["n"]:
             break
-        mark = scratch_mark()
-        new = stored(_small(stored(_large(now))))
-        release(now.sparkSession, mark, new)
-        drop_stored(now)
+        with scratch() as made:
+            new = stored(_small(stored(_large(now))))
+        drop_stored(now, *(x for x in made if x is not new))
         now, last, seen = new, seen, new.agg(told.alias("m")).first()["m"]
         if last == seen:
             break

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html_gbt, line_rules, phrases, quality_mil, secret_scan, sentencepiece_codec, simhash, toxicity, url_rules
+from . import decontam, html_gbt, jaccard, line_rules, phrases, quality_mil, secret_scan, sentencepiece_codec, simhash, toxicity, url_rules
 from .common import table
 
 
@@ -60,8 +60,13 @@ def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op11_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of similar documents of every document."""
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_mil, op2_secret_scan, op3_decontam, op4_toxicity, op5_url_rules, op6_html_gbt, op7_sentencepiece, op8_simhash, op9_phrases, op10_line_rules)
+    f.__name__: f for f in (op1_quality_mil, op2_secret_scan, op3_decontam, op4_toxicity, op5_url_rules, op6_html_gbt, op7_sentencepiece, op8_simhash, op9_phrases, op10_line_rules, op11_jaccard)
 }
 
 WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -123,4 +128,22 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM v
 """
 
-SQL: dict[str, str] = {"op5_url_rules": OP5_SQL, "op10_line_rules": OP10_SQL}
+OP11_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS k, doc_id,
+         list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), s AS (
+  SELECT DISTINCT k, array_to_string(w[i : i + 3], ' ') AS g FROM d, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS t(i) WHERE len(w) > 0
+), n AS (SELECT k, count(*) AS n FROM s GROUP BY k), both_ AS (
+  SELECT a.k AS a, b.k AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.k < b.k GROUP BY 1, 2
+), link AS (
+  SELECT a, b FROM both_ JOIN n x ON x.k = a JOIN n y ON y.k = b WHERE 100 * c >= 85 * (x.n + y.n - c)
+), edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link), reach(k, to_) AS (
+  SELECT k, k FROM d UNION SELECT reach.k, edge.b FROM reach JOIN edge ON reach.to_ = edge.a
+)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(t.doc_id) AS component_id
+FROM d LEFT JOIN n USING (k) JOIN reach USING (k) JOIN d t ON t.k = reach.to_ GROUP BY d.k, d.doc_id, n.n
+"""
+
+SQL: dict[str, str] = {"op11_jaccard": OP11_SQL, "op5_url_rules": OP5_SQL, "op10_line_rules": OP10_SQL}

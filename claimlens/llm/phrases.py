@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_KEYS, HOT_ROWS, drop_stored, short, stored, text_of, with_counted
+from .common import HOT_ROWS, drop_stored, short, stored, text_of, with_counted
 from .wordhash import Words, pieces, runs, words
 
 WINDOW, ANCHOR = 13, 5
@@ -43,7 +43,7 @@ NO_ID = (1 << 63) - 1
 #: An anchor with more different segments than this is compared window by window.
 HEAVY = 50_000
 #: The rows of an anchor in over HOT_ROWS documents, of which the first HOT_KEYS count, are dealt to so many places.
-SALTS = 64
+SALTS, HOT_KEYS = 64, 10_000
 
 
 def anchors(w: Words, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -47,15 +47,20 @@ PLAIN[65:91] += 32
 PLAIN[[b for b in range(128) if not chr(b).isalnum()]] = 32
 
 
-def words(texts: pa.Array, plain: bool = False) -> Words:
-    """The maximal runs outside SPACES of each text, or its plain words."""
+#: A-Z in lower case, all else as it is.
+LOWERED = np.arange(256, dtype=np.uint8)
+LOWERED[65:91] += 32
+
+
+def words(texts: pa.Array, plain: bool = False, lower: bool = False) -> Words:
+    """The maximal runs outside SPACES of each text, with A-Z in lower case if asked, or its plain words."""
     texts = texts.cast(pa.large_string()).fill_null("")
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     edge = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[edge[0] : edge[-1]]
     edge = edge - edge[0]
-    data = PLAIN[data] if plain else data
+    data = PLAIN[data] if plain else LOWERED[data] if lower else data
     space = _SPACE[data]
     solid = ~space
     begins, ends = solid.copy(), solid.copy()

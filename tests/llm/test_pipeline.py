@@ -1,6 +1,7 @@
 """The whole pipeline on a small table against its stages done by hand, and every operator on tables whose columns have the operators' own names."""
 
 import hashlib
+import os
 import random
 
 import pandas as pd
@@ -102,11 +103,14 @@ def test_run_matches_the_stages_by_hand(spark, tables):
 
 def test_finished_stages_leave_nothing_behind(spark, tables):
     folder, *_ = tables
-    mark = common.scratch_mark()
-    corpus_pipeline.run(spark, folder).collect()
-    assert len(common.scratch_mark() - mark) == 1
-    common.release(spark, mark)
-    assert common.scratch_mark() == mark
+    there = lambda x: os.path.exists(x._scratch_path.removeprefix("file://"))
+    with common.scratch() as other:
+        theirs = common.stored(spark.range(3))
+    with common.scratch() as made:
+        corpus_pipeline.run(spark, folder).collect()
+    assert sum(map(there, made)) == 1 and there(theirs) and other == [theirs]
+    common.drop_stored(theirs, *made)
+    assert not there(theirs) and not any(map(there, made))
 
 
 def test_stages_keep_columns_of_any_name(spark, tables):
