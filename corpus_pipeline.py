@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from claimlens.llm import decontam, line_rules, secret_scan, sentencepiece_codec, simhash
-from claimlens.llm.common import drop_stored, release, scratch_mark, stored
+from claimlens.llm.common import drop_stored, scratch, stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,14 +63,13 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows; what a stage gives is written as Parquet and reread by the next.
 
-    A stage's own tables and the one that it read are deleted once its result is written; the tables behind the result stay
-    until release().
+    A stage's own tables and the one that it read are deleted once its result is written; what the last stage reads stays, as its
+    rows are made when they are read.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        mark = scratch_mark()
-        kept = stored(stage(spark, docs, sf_dir))
-        release(spark, mark, kept)
-        drop_stored(docs)
+        with scratch() as made:
+            kept = stored(stage(spark, docs, sf_dir))
+        drop_stored(docs, *(x for x in made if x is not kept))
         docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
