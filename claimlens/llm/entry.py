@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html_gbt, jaccard, line_rules, phrases, quality_mil, secret_scan, sentencepiece_codec, simhash, toxicity, url_rules
+from . import collocations, conversation_repair, decontam, html_gbt, jaccard, line_rules, phrases, quality_mil, secret_scan, sentencepiece_codec, simhash, toxicity, url_rules
 from .common import table
 
 
@@ -65,8 +65,18 @@ def op11_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every damaged conversation, and its cheapest repair."""
+    return conversation_repair.repair(table(spark, sf_dir, "conversations"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phrases of each language that hold together best."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_mil, op2_secret_scan, op3_decontam, op4_toxicity, op5_url_rules, op6_html_gbt, op7_sentencepiece, op8_simhash, op9_phrases, op10_line_rules, op11_jaccard)
+    f.__name__: f for f in (op1_quality_mil, op2_secret_scan, op3_decontam, op4_toxicity, op5_url_rules, op6_html_gbt, op7_sentencepiece, op8_simhash, op9_phrases, op10_line_rules, op11_jaccard, op12_conversation_repair, op13_collocations)
 }
 
 WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -146,4 +156,23 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(t.doc_id) AS compon
 FROM d LEFT JOIN n USING (k) JOIN reach USING (k) JOIN d t ON t.k = reach.to_ GROUP BY d.k, d.doc_id, n.n
 """
 
-SQL: dict[str, str] = {"op11_jaccard": OP11_SQL, "op5_url_rules": OP5_SQL, "op10_line_rules": OP10_SQL}
+OP13_SQL = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), p AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM d), g AS (
+  SELECT lang, m, w[i : i + m - 1] AS ws, count(*) AS f FROM p, unnest(range(1, len(w) + 1)) AS t(i), unnest(range(1, 6)) AS u(m) WHERE i + m - 1 <= len(w) GROUP BY ALL
+), freq AS (SELECT * FROM g WHERE f >= 100), n AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE m = 1 GROUP BY lang), cut AS (
+  SELECT c.lang, c.ws, c.f AS a, k, x.f AS l, y.f AS r, n.n, (1000::HUGEINT * c.f * n.n // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM freq c JOIN n USING (lang), unnest(range(1, c.m)) AS t(k), freq x, freq y
+  WHERE c.m > 1 AND x.lang = c.lang AND x.ws = c.ws[1 : k] AND y.lang = c.lang AND y.ws = c.ws[k + 1 : c.m]
+), best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, ws ORDER BY score, k) = 1), free AS (
+  SELECT * FROM best WHERE NOT EXISTS (
+    SELECT 1 FROM freq q WHERE q.lang = best.lang AND q.m > len(best.ws) AND 100 * q.f >= 100 * best.a
+    AND contains(' ' || array_to_string(q.ws, ' ') || ' ', ' ' || array_to_string(best.ws, ' ') || ' '))
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(ws, ' ')) AS rank, array_to_string(ws, ' ') AS phrase, a, l, r, n, score
+FROM free QUALIFY rank <= 2000
+"""
+
+SQL: dict[str, str] = {"op13_collocations": OP13_SQL, "op11_jaccard": OP11_SQL, "op5_url_rules": OP5_SQL, "op10_line_rules": OP10_SQL}

@@ -18,7 +18,7 @@ An anchor in over HEAVY different segments (a common phrase in ever new surround
 its segments are cut into their windows, which are grouped as words, wherever they are, and their smallest doc_ids go back to the segments.
 
 Hashes only choose candidates in steps 1 and 2; segments are grouped and windows compared as words in step 3. On the way back, step 4,
-a segment is known by its anchor's hash and a 64-bit hash of its own.
+a segment is known by its anchor's hash and a 64-bit hash of its own, a row by its doc_id, a 64-bit hash of its text and its length.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import HOT_ROWS, drop_stored, short, stored, text_of, with_counted
@@ -81,7 +81,7 @@ def anchor_rows(docs: DataFrame, hot: np.ndarray | None = None) -> DataFrame:
                 h, id_, tk = own[1], ids[at + own[0]], keys[at + own[0]]
                 if hot is not None and len(hot):
                     some = np.isin(h, hot)
-                    h[some] += ((id_[some] ^ tk[some]) % SALTS + 1) << BITS
+                    h[some] += ((id_[some] ^ tk[some] & 0xFFFFFFFF) % SALTS + 1) << BITS
                 yield pa.RecordBatch.from_pydict({"h": h, "id": id_, "tk": tk})
                 at += len(x)
 
@@ -89,11 +89,11 @@ def anchor_rows(docs: DataFrame, hot: np.ndarray | None = None) -> DataFrame:
 
 
 def segment_rows(docs: DataFrame) -> DataFrame:
-    """h, sid, seg, id, tk, start of documents with hs, their recurring anchors: the segments around these."""
+    """h, sid, seg, id, tk, tl, start of documents with hs, their recurring anchors: the segments around these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in short(batches):
-            ids, keys = _columns(b, "id", "tk")
+            ids, keys, sizes = _columns(b, "id", "tk", "tl")
             hs, offsets = b["hs"].flatten().to_numpy(), b["hs"].offsets.to_numpy() - b["hs"].offsets[0].as_py()
             at = 0
             for x in pieces(b["text"]):
@@ -109,12 +109,12 @@ def segment_rows(docs: DataFrame) -> DataFrame:
                 data = w.data.tobytes()
                 seg = [b" ".join(data[i:j].split()) for i, j in zip(w.begin[lo].tolist(), w.end[hi - 1].tolist(), strict=True)]
                 yield pa.RecordBatch.from_pydict({
-                    "h": h, "seg": pa.array(seg, pa.binary()).cast(pa.string()), "id": ids[at + text], "tk": keys[at + text],
+                    "h": h, "seg": pa.array(seg, pa.binary()).cast(pa.string()), "id": ids[at + text], "tk": keys[at + text], "tl": sizes[at + text],
                     "start": (lo - w.text[:-1][text]).astype(np.int32),
                 })
                 at += len(x)
 
-    rows = docs.mapInArrow(run, "h long, seg string, id long, tk long, start int")
+    rows = docs.mapInArrow(run, "h long, seg string, id long, tk long, tl int, start int")
     return rows.withColumn("sid", F.xxhash64("seg"))
 
 
@@ -196,14 +196,17 @@ def _by_windows(segments: DataFrame) -> DataFrame:
 
 
 def repeats(docs: DataFrame, most: int = HEAVY, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """id, tk, marks (start, bits of the windows from there) of rows (id, tk, text)."""
+    """id, tk, tl, marks (start, bits of the windows from there) of rows (id, tk, tl, text).
+
+    Rows that share id and tk by chance share a list of recurring anchors, of which each finds its own; all else is told apart by tl as well.
+    """
     counted = anchor_rows(docs).groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n"))
     recurring = stored(counted.where("lo < hi").select("h", "n"), tidy=True)
     hot = stored(recurring.where(F.col("n") > hot_rows).orderBy(F.desc("n"), "h").limit(HOT_KEYS).select("h"))
     few = np.array([r["h"] for r in hot.collect()], np.int64)  # HOT_KEYS at most
     found = anchor_rows(docs, few).join(_salted(recurring.select("h"), hot), "h").withColumn("h", F.col("h").bitwiseAND(F.lit((1 << BITS) - 1)))
     lists = stored(found.groupBy("id", "tk").agg(F.collect_list("h").alias("hs")), tidy=True)
-    segments = stored(segment_rows(docs.join(lists, ["id", "tk"]).select("id", "tk", "text", "hs")), tidy=True)
+    segments = stored(segment_rows(docs.join(lists, ["id", "tk"]).select("id", "tk", "tl", "text", "hs")), tidy=True)
     drop_stored(lists, recurring)
     distinct = stored(segments.groupBy("h", "sid", "seg").agg(F.min("id").alias("first")), tidy=True)
     heavy = stored(distinct.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > most).select(F.col("h").alias("heavy_h")), tidy=True)
@@ -218,16 +221,20 @@ def repeats(docs: DataFrame, most: int = HEAVY, hot_rows: int = HOT_ROWS) -> Dat
     ).cast("int")
     is_hot = F.col("hot_h").isNotNull()
     salt = (F.pmod(F.xxhash64("id", "tk"), F.lit(SALTS)) + 1) * F.lit(1 << BITS)
-    dealt = segments.select("h", "sid", "id", "tk", "start").join(F.broadcast(hot.select(F.col("h").alias("hot_h"))), F.col("h") == F.col("hot_h"), "left")
+    dealt = segments.select("h", "sid", "id", "tk", "tl", "start").join(F.broadcast(hot.select(F.col("h").alias("hot_h"))), F.col("h") == F.col("hot_h"), "left")
     dealt = dealt.withColumn("h", F.when(is_hot, F.col("h") + salt).otherwise(F.col("h"))).drop("hot_h")
     marks = stored(
-        dealt.join(_salted(firsts, hot), ["h", "sid"]).select("id", "tk", "start", bits.alias("bits")).where("bits > 0")
-        .groupBy("id", "tk").agg(F.collect_set(F.struct("start", "bits")).alias("marks")), tidy=True
+        dealt.join(_salted(firsts, hot), ["h", "sid"]).select("id", "tk", "tl", "start", bits.alias("bits")).where("bits > 0")
+        .groupBy("id", "tk", "tl").agg(F.collect_set(F.struct("start", "bits")).alias("marks")), tidy=True
     )
     drop_stored(segments, firsts, hot)
     return marks
 
 
+def text_key() -> Column:
+    return F.xxhash64("text")
+
+
 def remove_repeats(documents: DataFrame, heavy: int = HEAVY, hot_rows: int = HOT_ROWS) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the kept words, joined by one space): one row for each row.
 
@@ -237,8 +244,8 @@ def remove_repeats(documents: DataFrame, heavy: int = HEAVY, hot_rows: int = HOT
     """
     spark = documents.sparkSession
     docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), text_of("text").alias("text"))
-    docs = docs.withColumn("tk", F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)))  # parts rows with one doc_id and different texts
-    marked = docs.join(repeats(docs, heavy, hot_rows), ["id", "tk"], "left").select("id", "text", F.col("marks.start").alias("starts"), F.col("marks.bits").alias("bits"))
+    docs = docs.withColumns({"tk": text_key(), "tl": F.octet_length("text")})  # part rows with one doc_id and different texts
+    marked = docs.join(repeats(docs, heavy, hot_rows), ["id", "tk", "tl"], "left").select("id", "text", F.col("marks.start").alias("starts"), F.col("marks.bits").alias("bits"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in short(batches):
@@ -251,6 +258,7 @@ def remove_repeats(documents: DataFrame, heavy: int = HEAVY, hot_rows: int = HOT
                     at, mask = np.array(starts), np.array(bits)
                     for k in range(WINDOW - ANCHOR + 1):
                         hit = at[(mask >> k) & 1 == 1] + k
+                        hit = hit[hit + WINDOW <= len(own)]
                         np.add.at(edge, hit, 1)
                         np.add.at(edge, hit + WINDOW, -1)
                     stay = np.cumsum(edge[:-1]) == 0

@@ -33,17 +33,22 @@ RANDOM_STRINGS, IDENTIFIER_DOCS = 8000, 2000
 #: A candidate counts from this log-likelihood ratio per transition on.
 MIN_RATIO = 0.6
 
+#: Characters of a part of a text, from which pieces between secrets are cut.
+PART = 1024
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
-def running(steps: Column, block: int = 128) -> Column:
-    """Sums of an array of integers up to each place. Arrays grow by copies, so sums run within blocks, and over blocks."""
+def running(steps: Column, use=lambda a, b: a + b, block: int = 128) -> Column:
+    """Sums (or what `use` makes of 0 and up) of an array of integers up to each place.
+
+    Arrays grow by copies, so sums run within blocks, and over blocks.
+    """
     add = lambda values, first: F.aggregate(
-        values, F.struct(first.alias("sum"), F.array().cast("array<int>").alias("all")), lambda a, v: F.struct((a["sum"] + v).alias("sum"), F.array_append(a["all"], a["sum"] + v).alias("all")), lambda a: a["all"])
+        values, F.struct(first.alias("sum"), F.array().cast("array<int>").alias("all")), lambda a, v: let(use(a["sum"], v), lambda s: F.struct(s.alias("sum"), F.array_append(a["all"], s).alias("all"))), lambda a: a["all"])
 
     def over(parts: Column) -> Column:
-        totals = F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda a, v: a + v))
-        before = let(add(totals, F.lit(0)), lambda t: F.zip_with(t, totals, lambda after, own: after - own))
+        totals = F.transform(parts, lambda p: F.aggregate(p, F.lit(0), use))
+        before = let(add(totals, F.lit(0)), lambda t: F.concat(F.array(F.lit(0)), t))
         return let(before, lambda first: F.flatten(F.transform(parts, lambda p, k: add(p, F.get(first, k)))))
 
     starts = F.sequence(F.lit(0), F.greatest(F.size(steps) - 1, F.lit(0)), F.lit(block))
@@ -76,10 +81,10 @@ def base_spans(text: Column) -> Column:
 
 
 def _pairs(text: Column) -> Column:
-    """Codes of neighbouring characters as a * N + b."""
-    code = lambda i: F.instr(F.lit(ALPHABET), F.substring(text, i, F.lit(1)))
-    n = F.length(text)
-    return F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: code(i) * N + code(i + 1)))
+    """Codes of neighbouring characters as a * N + b; one walk over the text."""
+    codes = F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), lambda c: F.instr(F.lit(ALPHABET), c))
+    both = lambda c: F.zip_with(F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c) - 1), lambda x, y: x * N + y)
+    return F.when(F.length(text) > 1, let(codes, both))
 
 
 def random_strings(spark: SparkSession, n: int) -> DataFrame:
@@ -184,29 +189,25 @@ def redact(documents: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """documents with each span replaced by mark, overlapping ones by one; n_chars, if there, follows the text.
 
     All rows and columns stay, whatever their names. A null text stays null, texts without secrets stay to the byte. An empty
-    table gives an empty one. Each span costs a walk to its place in the text.
+    table gives an empty one. The text is cut once into parts of PART characters, so that a span costs no walk from the beginning.
     """
     scanned = scan(documents)
     text = text_of("row.text")
-    pair = "struct<start:int,end:int>"
-
-    def merged(spans: Column) -> Column:
-        """Spans that overlap the ones before become one."""
-        def step(acc: Column, x: Column) -> Column:
-            last = F.get(acc, F.size(acc) - 1)
-            own = F.struct(x["start"].alias("start"), x["end"].alias("end")).cast(pair)
-            grown = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end")).cast(pair)
-            return F.when(F.coalesce(x["start"] < last["end"], F.lit(False)), F.array_append(F.slice(acc, 1, F.size(acc) - 1), grown)).otherwise(F.array_append(acc, own))
 
-        return F.aggregate(spans, F.array().cast(f"array<{pair}>"), step)
+    def piece(parts: Column, a: Column, b: Column) -> Column:
+        """Characters a to b (exclusive) of a text in parts of PART characters."""
+        first = (a - a % PART) / PART
+        own = F.slice(parts, first.cast("int") + 1, (((b - 1) - (b - 1) % PART) / PART - first).cast("int") + 1)
+        return F.when(b > a, F.substring(F.array_join(own, ""), a % PART + 1, b - a)).otherwise("")
 
     def cut(spans: Column) -> Column:
-        n = F.size(spans)
-        gap = lambda k: F.substring(text, F.coalesce(F.get(spans, k - 1)["end"], F.lit(0)) + 1, F.coalesce(F.get(spans, k)["start"], F.length(text)) - F.coalesce(F.get(spans, k - 1)["end"], F.lit(0)))
-        return F.array_join(F.transform(F.sequence(F.lit(0), n), gap), mark)
+        """What stands before each span that overlaps none before, with a mark, and what is left at the end."""
+        x = F.struct(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PART}}}"), F.lit(0)).alias("parts"), F.concat(F.array(F.lit(0)), running(F.transform(spans, lambda s: s["end"]), F.greatest)).alias("ends"))
+        before = lambda v: F.transform(spans, lambda s, k: let(F.get(v["ends"], k), lambda e: F.when(s["start"] >= e, F.concat(piece(v["parts"], e, s["start"]), F.lit(mark))).otherwise("")))
+        return let(x, lambda v: F.concat(F.array_join(before(v), ""), let(F.element_at(v["ends"], -1), lambda e: piece(v["parts"], e, F.length(text)))))
 
     some = F.size("found") > 0
-    out = scanned.select("row", "found", F.when(some, let(merged(F.col("found")), cut)).otherwise(F.col("row.text")).alias("text"))
+    out = scanned.select("row", "found", F.when(some, let(F.col("found"), cut)).otherwise(F.col("row.text")).alias("text"))
     change = {"text": F.col("text")}
     if "n_chars" in documents.columns:
         change["n_chars"] = F.when(some, F.length("text").cast(documents.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))

@@ -45,3 +45,17 @@ def test_hot_and_heavy_anchors_change_nothing(spark):
     for heavy, hot in ((2, 5), (10**6, 5), (2, 10**6)):
         got = phrases.digest(phrases.remove_repeats(docs, heavy, hot)).collect()
         assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == want
+
+
+def test_rows_whose_text_keys_clash(spark, monkeypatch):
+    """All texts have one key: rows without an id differ by length only; no row loses another's words, and none crashes."""
+    monkeypatch.setattr(phrases, "text_key", lambda: phrases.F.lit(5).cast("long"))
+    passage = prose(8, 30)
+    rows = [(1, passage), (None, prose(9, 16) + " " + passage), (None, prose(10, 3)), (None, passage + " " + prose(11, 40)), (None, prose(12, 14))]
+    got = Counter((r.doc_id, r.n_words, r.n_removed) for r in phrases.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter([(1, 30, 0), (None, 46, 30), (None, 3, 0), (None, 70, 30), (None, 14, 0)])
+    short, long = " ".join(f"a{k}" for k in range(20)), "b" * 64 + " c"
+    assert len(short) == len(long) + 3
+    same = [(1, short), (None, short), (None, long + "ddd")]
+    got = Counter((r.doc_id, r.n_words) for r in phrases.remove_repeats(spark.createDataFrame(same, "doc_id long, text string")).collect())
+    assert got == Counter([(1, 20), (None, 20), (None, 2)])

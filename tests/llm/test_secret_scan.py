@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 from claimlens.llm import secret_scan
 
@@ -54,3 +56,34 @@ def test_redact_and_empty(spark):
     assert out[1].text == '[SECRET]" and more' and out[1].n_chars == len(out[1].text)
     assert (out[2].text, out[2].n_chars, out[3].text) == ("nothing", 7, None)
     assert secret_scan.scan(empty_frame(spark)).count() == 0
+
+
+def test_redact_many_spans_in_a_long_text(spark):
+    """Merged spans are cut out one by one here; adjacent ones stay apart, overlapping ones become one mark."""
+    rows = [(k, t, None) for k, t in enumerate([*TEXTS, " ".join(f"é{prose(k, 2)} token={HEX[:20]}{k}\n" for k in range(1500)), HEX * 40 + " \U0001f600", "AKIA" + "B" * 2000 + " token=" + "c" * 1100])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    spans = {r.row.doc_id: [(x.start, x.end) for x in r.found] for r in secret_scan.scan(docs).collect()}
+    for r in secret_scan.redact(docs).collect():
+        text, want, at = rows[r.doc_id][1], "", 0
+        merged = []
+        for a, b in spans[r.doc_id]:
+            if merged and a < merged[-1][1]:
+                merged[-1][1] = max(b, merged[-1][1])
+            else:
+                merged.append([a, b])
+        for a, b in merged:
+            want, at = want + text[at:a] + "[SECRET]", b
+        assert r.text == want + text[at:]
+
+
+def test_a_long_candidate_takes_time_in_proportion(spark):
+    rng = random.Random(4)
+    blob = "".join(rng.choices(secret_scan.ALPHABET, k=1_000_000))
+    took = []
+    for n in (250_000, 250_000, 1_000_000):
+        docs = spark.createDataFrame([(1, f"see {blob[:n]} there")], "doc_id long, text string")
+        begin = time.time()
+        found = secret_scan.digest(secret_scan.scan(docs)).first()
+        took.append(time.time() - begin)
+        assert found.spans.endswith(f"random:4:{n + 4}")
+    assert took[2] < 6 * took[1] + 5
