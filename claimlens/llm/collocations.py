@@ -8,8 +8,8 @@ words is a pair of overlapping phrases of k - 1 words, both of which must be fre
    it. Single words are the first level.
 3. Names go back to the blocks by a join of what the block has, each pair once, and replace the positions of the level below.
 
-No dictionary goes to all tasks, as it would grow with the input; what a block has is joined instead. Pairs that are certainly
-too rare are left out before the shuffle by counts in a fixed number of slots (`slots`), which are never below a pair's own count.
+No dictionary goes to all tasks, as it would grow with the input; what a block has is joined instead. Words and pairs that are certainly
+too rare are left out before the shuffle by counts in a fixed number of slots (`slots`), which are never below a count of their own.
 
 The two names under each name lead to all beginnings and ends of a phrase, so cuts are scored from counts passed up the levels, and a
 phrase lies inside a longer one with as many occurrences exactly if it is one of the two names under such a one of the next level.
@@ -28,10 +28,11 @@ from pyspark.sql import functions as F
 from .common import drop_stored, short, stored, text_of
 from .slots import PARTS, SLOTS, merged, parts, slot_of
 from .wordhash import MIX, mix
+from .wordhash import words as words_of
 
 LONGEST, LEAST, TOP = 5, 100, 2000
 #: Words of one language in a block; a longer text makes a longer block.
-BLOCK = 1_000_000
+BLOCK = 400_000
 #: What parts pieces, made a line break, and what parts words, made a space; A-Z are lower-cased.
 BYTES = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
 
@@ -93,9 +94,12 @@ def _pairs(names: np.ndarray, seq: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return at, which, np.stack([names[(keys >> 32) - 1], names[(keys & 0xFFFFFFFF) - 1]]), counts
 
 
+def _seed(lang: str) -> np.uint64:
+    return np.uint64(int.from_bytes(lang.encode()[:8], "little"))
+
+
 def _slots(lang: str, pair: np.ndarray) -> np.ndarray:
-    seed = np.uint64(int.from_bytes(lang.encode()[:8], "little"))
-    return slot_of(mix(mix(pair[0].astype(np.uint64) ^ seed) * MIX + pair[1].astype(np.uint64)))
+    return slot_of(mix(mix(pair[0].astype(np.uint64) ^ _seed(lang)) * MIX + pair[1].astype(np.uint64)))
 
 
 def _level_rows(b: pa.RecordBatch) -> Iterator[tuple[int, str, np.ndarray, np.ndarray]]:
@@ -103,28 +107,48 @@ def _level_rows(b: pa.RecordBatch) -> Iterator[tuple[int, str, np.ndarray, np.nd
         yield block, lang, names.values.to_numpy(zero_copy_only=False), np.frombuffer(seq, np.int32)
 
 
-def pairs_of(level: DataFrame, least: int) -> DataFrame:
-    """block, lang, a, b, n: the pairs of neighbouring names of each block, but for those that are certainly too rare."""
+def _common(rows: DataFrame, counted, least: int, columns: str) -> DataFrame:
+    """What counted(batch) gives, tuples of slots, counts and a record batch of as many rows, without the rows that are certainly too rare."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(SLOTS, np.int64)
         for b in short(batches, 1):
-            for _, lang, names, seq in _level_rows(b):
-                _, _, pair, n = _pairs(names, seq)
-                np.add.at(sums, _slots(lang, pair), n)
+            for slot, n, _ in counted(b):
+                np.add.at(sums, slot, n)
         yield from parts(sums)
 
-    seen = level.sparkSession.sparkContext.broadcast(merged(level.mapInArrow(count, PARTS)))
+    seen = rows.sparkSession.sparkContext.broadcast(merged(rows.mapInArrow(count, PARTS)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in short(batches, 1):
-            for block, lang, names, seq in _level_rows(b):
-                _, _, pair, n = _pairs(names, seq)
-                some = seen.value[_slots(lang, pair)] >= least
-                n, pair = n[some], pair[:, some]
-                yield pa.RecordBatch.from_pydict({"block": np.full(len(n), block), "lang": pa.array([lang] * len(n), pa.string()), "a": pair[0], "b": pair[1], "n": n})
+            for slot, _, made in counted(b):
+                yield made().filter(pa.array(seen.value[slot] >= least))
+
+    return rows.mapInArrow(run, columns)
+
+
+def words_in(own: DataFrame, least: int) -> DataFrame:
+    """block, lang, k, word, n: the words of each block with their numbers less one, but for those that are certainly too rare."""
+
+    def counted(b: pa.RecordBatch) -> Iterator[tuple]:
+        word, n = b["words"].flatten(), b["counts"].flatten().to_numpy()
+        if len(word):
+            block, lang = b["block"][0].as_py(), b["lang"][0].as_py()
+            slot = slot_of(mix(words_of(word).hash ^ _seed(lang)))
+            yield slot, n, lambda: pa.RecordBatch.from_pydict({"block": np.full(len(n), block), "lang": pa.array([lang] * len(n), pa.string()), "k": np.arange(len(n), dtype=np.int32), "word": word, "n": n})
+
+    return _common(own.select("block", "lang", "words", "counts"), counted, least, "block long, lang string, k int, word string, n long")
+
+
+def pairs_of(level: DataFrame, least: int) -> DataFrame:
+    """block, lang, a, b, n: the pairs of neighbouring names of each block, but for those that are certainly too rare."""
+
+    def counted(b: pa.RecordBatch) -> Iterator[tuple]:
+        for block, lang, names, seq in _level_rows(b):
+            _, _, pair, n = _pairs(names, seq)
+            yield _slots(lang, pair), n, lambda: pa.RecordBatch.from_pydict({"block": np.full(len(n), block), "lang": pa.array([lang] * len(n), pa.string()), "a": pair[0], "b": pair[1], "n": n})  # noqa: B023
 
-    return level.mapInArrow(run, "block long, lang string, a long, b long, n long")
+    return _common(level, counted, least, "block long, lang string, a long, b long, n long")
 
 
 def named(counted: DataFrame, least: int) -> DataFrame:
@@ -132,9 +156,8 @@ def named(counted: DataFrame, least: int) -> DataFrame:
     return stored(counted.where(F.col("f") >= least).withColumn("name", F.monotonically_increasing_id() + 1), tidy=True)
 
 
-def first_level(own: DataFrame, words: DataFrame) -> DataFrame:
-    """block, lang, names, seq of blocks, with frequent words (lang, word, name): positions of other words become 0."""
-    has = own.select("block", "lang", F.posexplode("words").alias("k", "word"))
+def first_level(own: DataFrame, has: DataFrame, words: DataFrame) -> DataFrame:
+    """block, lang, names, seq of blocks and the words they have, with frequent words (lang, word, name): positions of other words become 0."""
     back = has.join(words.select("lang", "word", "name"), ["lang", "word"]).groupBy("block").agg(F.collect_list(F.struct("k", "name")).alias("got"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,11 +204,11 @@ def phrases(documents: DataFrame, longest: int = LONGEST, least: int = LEAST, bl
     Also lang, n: the words of each language.
     """
     own = stored(blocks(documents, block), tidy=True)
-    each = own.select("lang", F.inline(F.arrays_zip("words", "counts")))
+    has = stored(words_in(own, least), tidy=True)
     totals = stored(own.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda s, c: s + c)).alias("n")))
-    words = named(each.groupBy("lang", F.col("words").alias("word")).agg(F.sum("counts").alias("f")), least)
-    level = stored(first_level(own, words), tidy=True)
-    drop_stored(own)
+    words = named(has.groupBy("lang", "word").agg(F.sum("n").alias("f")), least)
+    level = stored(first_level(own, has, words), tidy=True)
+    drop_stored(own, has)
     up = words.select("lang", "name", "f", F.col("word").alias("phrase"), F.col("word").alias("last"), F.array("f").alias("heads"), F.array("f").alias("tails"))
     levels = []
     for k in range(2, longest + 1):

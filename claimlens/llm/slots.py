@@ -45,7 +45,7 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def merged(rows: DataFrame) -> np.ndarray:
     """The sums of all PARTS rows, as unsigned 32-bit numbers (larger sums count as the largest)."""
     out = np.zeros(SLOTS, np.uint32)
-    for r in rows.repartition("slice").mapInArrow(_add, PARTS).toLocalIterator():
+    for r in rows.repartition("slice").mapInArrow(_add, PARTS).collect():  # SLOTS numbers at most
         at = np.frombuffer(r["at"], np.uint16).astype(np.int64) + r["slice"] * SLICE
         out[at] = np.minimum(np.frombuffer(r["n"], np.int64), np.iinfo(np.uint32).max)
     return out
