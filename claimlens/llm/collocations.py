@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import drop_stored, short, stored, text_of
-from .slots import PARTS, SLOTS, merged, parts, slot_of
+from .slots import PARTS, merged, parts, slot_of, zeros
 from .wordhash import MIX, mix
 from .wordhash import words as words_of
 
@@ -87,19 +87,19 @@ def blocks(documents: DataFrame, size: int = BLOCK) -> DataFrame:
     return rows.mapInArrow(run, "lang string, words array<string>, counts array<long>, seq binary").withColumn("block", F.monotonically_increasing_id())
 
 
-def _pairs(names: np.ndarray, seq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Places of pairs of neighbouring names, which different pair each is, and the two names of each and its count."""
+def _pairs(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of neighbouring names, and the two local numbers of each place in one."""
     at = np.flatnonzero((seq[:-1] > 0) & (seq[1:] > 0))
-    keys, which, counts = np.unique(seq[at].astype(np.int64) << 32 | seq[at + 1], return_inverse=True, return_counts=True)
-    return at, which, np.stack([names[(keys >> 32) - 1], names[(keys & 0xFFFFFFFF) - 1]]), counts
+    return at, seq[at].astype(np.int64) << 32 | seq[at + 1]
 
 
 def _seed(lang: str) -> np.uint64:
     return np.uint64(int.from_bytes(lang.encode()[:8], "little"))
 
 
-def _slots(lang: str, pair: np.ndarray) -> np.ndarray:
-    return slot_of(mix(mix(pair[0].astype(np.uint64) ^ _seed(lang)) * MIX + pair[1].astype(np.uint64)))
+def _slots(lang: str, names: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    a, b = (names[k - 1].astype(np.uint64) for k in (keys >> 32, keys & 0xFFFFFFFF))
+    return slot_of(mix(mix(a ^ _seed(lang)) * MIX + b))
 
 
 def _level_rows(b: pa.RecordBatch) -> Iterator[tuple[int, str, np.ndarray, np.ndarray]]:
@@ -107,48 +107,55 @@ def _level_rows(b: pa.RecordBatch) -> Iterator[tuple[int, str, np.ndarray, np.nd
         yield block, lang, names.values.to_numpy(zero_copy_only=False), np.frombuffer(seq, np.int32)
 
 
-def _common(rows: DataFrame, counted, least: int, columns: str) -> DataFrame:
-    """What counted(batch) gives, tuples of slots, counts and a record batch of as many rows, without the rows that are certainly too rare."""
+def _often(rows: DataFrame, counted, least: int) -> np.ndarray:
+    """Which slots hold `least` and more, one bit each; counted(batch) gives slots and counts (or one count for all)."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(SLOTS, np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = zeros()
         for b in short(batches, 1):
-            for slot, n, _ in counted(b):
+            for slot, n in counted(b):
                 np.add.at(sums, slot, n)
         yield from parts(sums)
 
-    seen = rows.sparkSession.sparkContext.broadcast(merged(rows.mapInArrow(count, PARTS)))
+    return np.packbits(merged(rows.mapInArrow(run, PARTS)) >= least)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in short(batches, 1):
-            for slot, _, made in counted(b):
-                yield made().filter(pa.array(seen.value[slot] >= least))
 
-    return rows.mapInArrow(run, columns)
+def _has(often: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    return (often[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool)
 
 
 def words_in(own: DataFrame, least: int) -> DataFrame:
     """block, lang, k, word, n: the words of each block with their numbers less one, but for those that are certainly too rare."""
+    rows = own.select("block", "lang", "words", "counts")
 
-    def counted(b: pa.RecordBatch) -> Iterator[tuple]:
-        word, n = b["words"].flatten(), b["counts"].flatten().to_numpy()
-        if len(word):
-            block, lang = b["block"][0].as_py(), b["lang"][0].as_py()
-            slot = slot_of(mix(words_of(word).hash ^ _seed(lang)))
-            yield slot, n, lambda: pa.RecordBatch.from_pydict({"block": np.full(len(n), block), "lang": pa.array([lang] * len(n), pa.string()), "k": np.arange(len(n), dtype=np.int32), "word": word, "n": n})
+    def slots(b: pa.RecordBatch) -> np.ndarray:
+        return slot_of(mix(words_of(b["words"].flatten()).hash ^ _seed(b["lang"][0].as_py())))
 
-    return _common(own.select("block", "lang", "words", "counts"), counted, least, "block long, lang string, k int, word string, n long")
+    often = _often(rows, lambda b: [(slots(b), b["counts"].flatten().to_numpy().astype(np.uint32))], least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in short(batches, 1):
+            k = np.flatnonzero(_has(often, slots(b)))
+            yield pa.RecordBatch.from_pydict({
+                "block": np.full(len(k), b["block"][0].as_py()), "lang": pa.array([b["lang"][0].as_py()] * len(k), pa.string()), "k": k.astype(np.int32), "word": b["words"].flatten().take(pa.array(k)),
+                "n": b["counts"].flatten().to_numpy()[k],
+            })
+
+    return rows.mapInArrow(run, "block long, lang string, k int, word string, n long")
 
 
 def pairs_of(level: DataFrame, least: int) -> DataFrame:
     """block, lang, a, b, n: the pairs of neighbouring names of each block, but for those that are certainly too rare."""
+    often = _often(level, lambda b: [(_slots(lang, names, _pairs(seq)[1]), np.uint32(1)) for _, lang, names, seq in _level_rows(b)], least)
 
-    def counted(b: pa.RecordBatch) -> Iterator[tuple]:
-        for block, lang, names, seq in _level_rows(b):
-            _, _, pair, n = _pairs(names, seq)
-            yield _slots(lang, pair), n, lambda: pa.RecordBatch.from_pydict({"block": np.full(len(n), block), "lang": pa.array([lang] * len(n), pa.string()), "a": pair[0], "b": pair[1], "n": n})  # noqa: B023
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in short(batches, 1):
+            for block, lang, names, seq in _level_rows(b):
+                keys = _pairs(seq)[1]
+                keys, n = np.unique(keys[_has(often, _slots(lang, names, keys))], return_counts=True)
+                yield pa.RecordBatch.from_pydict({"block": np.full(len(n), block), "lang": pa.array([lang] * len(n), pa.string()), "a": names[(keys >> 32) - 1], "b": names[(keys & 0xFFFFFFFF) - 1], "n": n})
 
-    return _common(level, counted, least, "block long, lang string, a long, b long, n long")
+    return level.mapInArrow(run, "block long, lang string, a long, b long, n long")
 
 
 def named(counted: DataFrame, least: int) -> DataFrame:
@@ -179,11 +186,14 @@ def next_level(level: DataFrame, pairs: DataFrame, names: DataFrame) -> DataFram
         for b in short(batches, 1):
             a, c, name = (b["got"].flatten().field(x).to_numpy() for x in ("a", "b", "name"))
             for block, lang, below, seq in _level_rows(b):
-                at, which, pair, _ = _pairs(below, seq)
-                of = dict(zip(zip(a.tolist(), c.tolist(), strict=True), range(1, len(name) + 1), strict=True))
-                local = np.fromiter((of.get(p, 0) for p in zip(*pair.tolist(), strict=True)), np.int32, pair.shape[1])
+                order = np.argsort(below)
+                local = lambda x: order[np.searchsorted(below, x, sorter=order)].astype(np.int64) + 1  # noqa: B023, E731
+                pair = local(a) << 32 | local(c)
+                by = np.argsort(pair)
+                at, keys = _pairs(seq)
+                k = np.minimum(np.searchsorted(pair, keys, sorter=by), len(pair) - 1)
                 new = np.zeros(max(len(seq), 1), np.int32)
-                new[at] = local[which]
+                new[at] = np.where(pair[by[k]] == keys, by[k] + 1, 0)
                 yield pa.RecordBatch.from_pydict({"block": [block], "lang": pa.array([lang], pa.string()), "names": pa.array([name], pa.list_(pa.int64())), "seq": [new.tobytes()]})
 
     return level.join(back, "block").mapInArrow(run, "block long, lang string, names array<long>, seq binary")

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import drop_stored, short, stored, text_of, with_counted
 from .components import components
-from .slots import PARTS, SLOTS, merged, parts, slot_of
+from .slots import PARTS, merged, parts, slot_of, zeros
 from .wordhash import MIX, mix, pieces, runs, words
 
 SIZE, PERCENT = 4, 85
@@ -52,7 +52,7 @@ def rarity(documents: DataFrame, size: int = SIZE) -> np.ndarray:
     """In how many documents the shingles of each slot are, over all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SLOTS, np.int64)
+        counts = zeros()
         for b in short(batches):
             if sets := list(shingle_sets(b["text"], size)):
                 np.add.at(counts, slot_of(np.concatenate(sets)), 1)

@@ -22,13 +22,16 @@ def slot_of(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - (SLOTS.bit_length() - 1))).astype(np.int64)
 
 
-def parts(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+def zeros() -> np.ndarray:
+    return np.zeros(SLOTS, np.uint32)
+
+
+def parts(counts: np.ndarray, rows: int = 64) -> Iterator[pa.RecordBatch]:
     """Rows of PARTS for the slots of a task that are not zero."""
-    some = np.flatnonzero(counts)
-    edge = np.searchsorted(some, np.arange(0, SLOTS + 1, SLICE))
-    rows = [(k, (some[a:b] - k * SLICE).astype(np.uint16).tobytes(), counts[some[a:b]].astype(np.int64).tobytes()) for k, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if a < b]
-    if rows:
-        yield pa.RecordBatch.from_pydict(dict(zip(("slice", "at", "n"), map(list, zip(*rows, strict=True)), strict=True)), schema=pa.schema([("slice", pa.int32()), ("at", pa.binary()), ("n", pa.binary())]))
+    for first in range(0, SLOTS, SLICE * rows):
+        some = [(k, np.flatnonzero(x), x) for k in range(first // SLICE, first // SLICE + rows) if (x := counts[k * SLICE : (k + 1) * SLICE]).any()]
+        if some:
+            yield pa.RecordBatch.from_pydict({"slice": pa.array([k for k, _, _ in some], pa.int32()), "at": [at.astype(np.uint16).tobytes() for _, at, _ in some], "n": [x[at].astype(np.int64).tobytes() for _, at, x in some]})
 
 
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
