@@ -116,6 +116,20 @@ CONTRACT = closed({
 })
 
 
+def output_schema() -> dict[str, Any]:
+    """The contract as a JSON Schema, for `schema.errors`; CONTRACT and this say the same."""
+    said, some, flags = {"type": ["string", "null"]}, {"type": "string", "minLength": 1}, {"type": "boolean"}
+    listed = lambda names: {"type": "string", "enum": names}
+    whole_of = lambda parts: {"type": "object", "additionalProperties": False, "required": list(parts), "properties": parts}
+    box = {"type": "array", "minItems": 4, "maxItems": 4, "items": {"type": "integer", "minimum": 0, "maximum": 1000}}
+    item = dict(zip(ITEM, (some, listed(list(LAYOUT)), some, {"type": "string"}, box, {"type": "string"}), strict=True))
+    parts = (
+        some, whole_of(dict.fromkeys(FIELDS, said)), whole_of(dict.fromkeys(CHECKS, flags)), {"type": "array", "items": listed(ANOMALIES), "uniqueItems": True}, listed(RISKS), listed(RESULTS), some,
+        {"type": "array", "items": whole_of(item)}, whole_of(dict(zip(UNSURE, (flags, {"type": "array", "items": some}, flags), strict=True))),
+    )
+    return whole_of(dict(zip(TOP, parts, strict=True)))
+
+
 def violations(output: Any) -> list[str]:
     """path: what is wrong, by path; empty if the output meets the contract."""
     found = sorted(CONTRACT(output, ()), key=lambda e: [(isinstance(p, str), p if isinstance(p, int) else 0, str(p)) for p in e[0]])

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.contract import answer_valid
 from ..functions.exprs import held, reasons
 from ..plans.outputs import FIELDS, answer_json
+from . import selection
 from .ranking import global_rank
 from .rewards import core_ok, order_failure, preference_quality, reward
 
@@ -69,31 +69,6 @@ def eligible_rejections() -> Column:
     )
 
 
-def least_covered(rows: DataFrame, key: str, salt: int | str, most: int | None = None, block: int = 100_000, name: str = "rejected_type") -> DataFrame:
-    """key and the kind chosen for it: of the eligible ones that with the fewest choices so far, the first of equals, in hash order.
-
-    The choice depends on all choices before, so it runs over blocks of that many neighbours in hash order, each with its own
-    counts: kinds are covered evenly in every block and so over all, and no task holds more than a block. Up to one block that is
-    the plain sequential choice. rows have key and `eligible` (array); `most` keeps the first so many in hash order.
-    """
-    ranked = global_rank(rows.select(key, "eligible"), key, salt, name="_r")
-    if most is not None:
-        ranked = ranked.where(F.col("_r") <= most)
-    kind = rows.schema[key].dataType.simpleString()
-
-    def choose(batch: pd.DataFrame) -> pd.DataFrame:
-        seen: dict[str, int] = {}
-        batch, out = batch.sort_values("_r"), []
-        for names in batch["eligible"]:
-            pick = min(names, key=lambda n: seen.get(n, 0))
-            seen[pick] = seen.get(pick, 0) + 1
-            out.append(pick)
-        return pd.DataFrame({key: batch[key].to_numpy(), name: out})
-
-    blocks = ranked.withColumn("_block", F.floor((F.col("_r") - 1) / block))
-    return blocks.groupBy("_block").applyInPandas(choose, f"{key} {kind}, {name} string")
-
-
 def rejected_answer(answer: Column, kind: Column, claim_text: dict[str, Column]) -> Column:
     """The text of an answer with one fault; claim_text has what the claim says for each field."""
     a, unsure = answer, answer["uncertainty"]["uncertain_fields"]
@@ -233,38 +208,9 @@ def quotas(n: int, shares: dict[str, int] = PAIR_SHARES) -> dict[str, int]:
     return out | {list(shares)[-1]: left}
 
 
-def chosen_greedily(rows: list[tuple[str, str, str]], wanted: dict[str, int], most: int, cap: int) -> list[str]:
-    """Keys of (key, type, anomaly) in order: each type's quota in turn, no anomaly over the cap, then a fill in order up to `most`."""
-    used: dict[str, int] = {}
-    out: dict[str, None] = {}
-    for kind in (*wanted, None):
-        taken, limit = 0, wanted.get(kind, most - len(out))
-        for key, own, anomaly in rows:
-            if taken >= limit or len(out) >= most:
-                break
-            if (kind is None or own == kind) and key not in out and used.get(anomaly, 0) < cap:
-                out[key] = None
-                used[anomaly] = used.get(anomaly, 0) + 1
-                taken += 1
-    return list(out)
-
-
 def select_pairs(pairs: DataFrame, most: int, salt: int | str, cap_percent: int = 25) -> DataFrame:
-    """pairs chosen under the quotas of their types and one cap for each anomaly, with their place.
-
-    Each choice depends on those before, so it is made by one task, on keys alone and only on those that can be chosen at all: the
-    first `most` of each type and anomaly in hash order, a number that does not grow with the table.
-    """
-    cap, wanted = max(1, most * cap_percent // 100), quotas(most)
-    slim = global_rank(pairs.select("pair_id", "pair_type", "label"), "pair_id", salt, ["pair_type", "label"], "_r").where(F.col("_r") <= most)
-    slim = slim.withColumn("_order", F.sha2(F.concat(F.lit(f"{salt}:"), F.col("pair_id")), 256))
-
-    def choose(batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values(["_order", "pair_id"])
-        got = chosen_greedily(list(zip(batch["pair_id"], batch["pair_type"], batch["label"], strict=True)), wanted, most, cap)
-        return pd.DataFrame({"pair_id": got, "place": range(1, len(got) + 1)}).astype({"pair_id": object, "place": "int64"})
-
-    got = slim.groupBy(F.lit(0).alias("_all")).applyInPandas(choose, "pair_id string, place long")
+    """pairs chosen under the quotas of their types and one cap for each anomaly, with their place: each type's quota in turn, then any up to `most`."""
+    got = selection.select(pairs, "pair_id", "pair_type", "label", quotas(most), most, max(1, most * cap_percent // 100), salt)
     return pairs.join(got, "pair_id")
 
 

@@ -5,9 +5,54 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import schema
+from ..functions.contract import ANOMALIES, RESULTS, RISKS
 from ..functions.exprs import reasons
 from ..plans.claims import DOCUMENTS
 
+#: What a case says, and how.
+PEOPLE = ["applicant", "payer", "order_user", "merchant_canonical", "invoice_merchant", "payment_merchant", "order_merchant", "expense_type"]
+AMOUNTS = ["invoice_amount", "payment_amount", "reimbursement_amount", "order_amount", "tax_amount"]
+DATES = ["order_date", "payment_date", "invoice_date", "application_date"]
+NUMBERS = {"invoice_id": "INV", "order_id": "ORD", "payment_id": "PAY"}
+MONEY, DATE, CASE_ID = r"^[0-9]+\.[0-9]{2}$", "^[0-9]{4}-[0-9]{2}-[0-9]{2}$", "^MV_[A-Za-z0-9]+_[0-9]{6,}$"
+GROUPS = ["train", "val", "standard_test", "strong_generalization_test"]
+
+
+def case_schema() -> dict:
+    """The JSON Schema of a case."""
+    some, like, one_of = {"type": "string", "minLength": 1}, lambda p: {"type": "string", "pattern": p}, lambda names: {"type": "string", "enum": names}
+    parts = {
+        "case_id": like(CASE_ID), **dict.fromkeys(PEOPLE, some), "merchant_aliases": {"type": "array", "items": some, "uniqueItems": True}, **dict.fromkeys(AMOUNTS, like(MONEY)), **dict.fromkeys(DATES, like(DATE)),
+        **{k: like(f"^{head}[0-9]{{8}}[0-9]{{6}}$") for k, head in NUMBERS.items()}, "documents": {"type": "array", "items": one_of(DOCUMENTS), "uniqueItems": True, "minItems": 1, "maxItems": 4},
+        "primary_anomaly_type": one_of(["none", *ANOMALIES]), "anomaly_types": {"type": "array", "items": one_of(ANOMALIES), "uniqueItems": True}, "evidence_sufficient": {"type": "boolean"},
+        "risk_level": one_of(RISKS), "audit_result": one_of(RESULTS),
+    }
+    more = {"split_name": some, "source": some, "template_group": one_of(GROUPS), "seed": {"type": "integer"}, "city": {"type": "string"}, "merchant_category": {"type": "string"}}
+    parts["metadata"] = {"type": "object", "additionalProperties": True, "required": list(more)[:4], "properties": more}
+    return {"type": "object", "additionalProperties": False, "required": list(parts), "properties": parts}
+
+
+def case_errors(text: str | Column, document: dict | None = None) -> Column:
+    """array<string>: what is wrong with a case given as JSON text, by path: by its schema, or else by what dates and normal cases have to keep.
+
+    A text that is no JSON (or null) has the one error `<root>: no JSON`. The rules after the schema apply only to cases that meet it.
+    """
+    v = F.try_parse_json(F.col(text) if isinstance(text, str) else text)
+    of = lambda name: F.try_variant_get(v, f"$.{name}", "string")
+    day = {d: F.try_to_date(of(d), "yyyy-MM-dd") for d in DATES}
+    normal = F.coalesce(of("primary_anomaly_type") == "none", F.lit(False))
+    same = lambda names: F.size(F.array_distinct(F.array(*map(of, names)))) > 1
+    ordered = (day["order_date"] <= day["payment_date"]) & (day["payment_date"] <= day["invoice_date"]) & (day["invoice_date"] <= day["application_date"])
+    rules = reasons(
+        *((day[d].isNull(), f"{d}: no date") for d in DATES), (normal & same(AMOUNTS[:4]), "<root>: amounts of a normal case differ"), (normal & same(PEOPLE[:3]), "<root>: persons of a normal case differ"),
+        (normal & ~F.coalesce(ordered, F.lit(True)), "<root>: dates of a normal case are out of order"),
+        (normal & (F.size(F.try_variant_get(v, "$.anomaly_types", "array<string>")) > 0), "<root>: a normal case has anomalies"), (normal & ((of("risk_level") != "low") | (of("audit_result") != "pass")), "<root>: a normal case is not low and passed"),
+        (normal & (of("evidence_sufficient") != "true"), "<root>: a normal case lacks evidence"),
+    )
+    found = schema.errors(document or case_schema())(v)
+    return F.when(v.isNull(), F.array(F.lit("<root>: no JSON"))).when(F.size(found) > 0, found).otherwise(rules)
+
 
 def repeated_keys(df: DataFrame, key: list[str]) -> DataFrame:
     """Keys with more than one row, and how many; empty if the key is one."""

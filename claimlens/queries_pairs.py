@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .entry import query
 from .functions import contract
 from .functions.exprs import draw
-from .operators import comparison, gates, holdout, repair, rewards, splits
+from .operators import comparison, coverage, gates, holdout, repair, rewards, splits
 from .operators import pairs as PR
 from .operators.storing import stored
 from .operators.validation import money_errors as why_no_money
@@ -153,17 +153,50 @@ def pair_weights(spark, sf_dir):
         F.round(F.avg("weight"), 6).alias("mean_of_weights"), F.round(rewards.weighted_mean("final_weight", "final_weight"), 6).alias("weighted_mean"))
 
 
-@query()
+def _selection_sql(most: int, salt: int, cap: int) -> str:
+    """Phase after phase: the rows of a type (or the rest) that their label's cap lets through, in order, up to the quota."""
+    parts, before = [f"c AS (SELECT *, sha256('{salt}:' || pair_id) AS h FROM (SELECT case_id || '_' || pair_type || '_' || kind AS pair_id, pair_type, label FROM weighed))", "s0 AS (SELECT *, 0 AS place FROM c LIMIT 0)"], "s0"
+    for k, (kind, quota) in enumerate([*PR.quotas(most).items(), (None, most)], 1):
+        own = f"pair_type = '{kind}'" if kind else f"pair_id NOT IN (SELECT pair_id FROM {before})"
+        parts += [
+            f"o{k} AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY h, pair_id) AS r FROM c WHERE {own})",
+            f"n{k} AS (SELECT o{k}.*, row_number() OVER (ORDER BY h, pair_id) AS p FROM o{k} LEFT JOIN (SELECT label, count(*) AS used FROM {before} GROUP BY 1) USING (label) WHERE r <= {cap} - coalesce(used, 0))",
+            f"s{k} AS (SELECT * FROM {before} UNION ALL SELECT pair_id, pair_type, label, h, p + (SELECT count(*) FROM {before}) FROM n{k} WHERE p <= least({quota}, {most} - (SELECT count(*) FROM {before})))",
+        ]
+        before = f"s{k}"
+    return f"{', '.join(parts)} SELECT pair_id, pair_type, label, place FROM {before}"
+
+
+@query(f"{PAIRS}, {_selection_sql(1000, 901, 250)}")
 def pair_selection(spark, sf_dir):
     """1000 pairs under the quotas of their types and a cap for each anomaly; each choice depends on those before."""
     return PR.select_pairs(_candidates(spark, sf_dir).select("pair_id", "pair_type", "label"), 1000, 901).select("pair_id", "pair_type", "label", "place")
 
 
+KINDS = f"""{CLAIMS.replace('WITH', 'WITH RECURSIVE', 1)}, seq AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('542:' || case_id), case_id) AS i, case_id, [1, 2, 3, 4, 5, 6, 7, 8] || CASE WHEN label = 'unreadable_image' THEN [9] ELSE [] END || CASE WHEN label = 'missing_document' THEN [10] ELSE [] END AS e FROM claims
+), step(i, case_id, pick, n) AS (
+  SELECT 0::BIGINT, NULL::VARCHAR, 0, [0, 0, 0, 0, 0, 0, 0, 0, 0, 0]
+  UNION ALL SELECT i, case_id, pick, list_transform(n, lambda c, k: c + (k = pick)::INT) FROM (
+    SELECT seq.i, seq.case_id, n, e[list_position(list_transform(e, lambda k: n[k]), list_min(list_transform(e, lambda k: n[k])))] AS pick FROM step JOIN seq ON seq.i = step.i + 1)
+)"""
+
+
+def _kinds(c: DataFrame) -> DataFrame:
+    return coverage.least_covered(c.select("case_id", PR.eligible_rejections().alias("eligible")), "case_id", 542)
+
+
+@query(f"{KINDS} SELECT case_id, [{', '.join(repr(k) for k in PR.REJECTED)}][pick] AS rejected_type FROM step WHERE i > 0")
+def rejected_kinds(spark, sf_dir):
+    """For every claim the kind of rejected answer that is least covered so far, over all claims in hash order."""
+    return _kinds(C.claims(spark, sf_dir))
+
+
 @query()
 def dpo_pairs_v1(spark, sf_dir):
-    """One rejected answer of every claim, of the kind least covered so far in its block of claims."""
+    """One rejected answer of every claim, of the kind least covered so far."""
     c = C.claims(spark, sf_dir)
-    kinds = PR.least_covered(c.select("case_id", PR.eligible_rejections().alias("eligible")), "case_id", 542)
+    kinds = _kinds(c)
     facts = c.select("case_id", *(O.field_text(f).alias(f"_{f}") for f in O.FIELDS))
     x = O.answers(c).join(kinds, "case_id").join(facts, "case_id")
     said = PR.rejected_answer(F.col("answer"), F.col("rejected_type"), {f: F.col(f"_{f}") for f in O.FIELDS})

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import struct
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ranged import chunks
+
+#: A header of more bytes is taken for a wrong size.
+MOST_HEADER = 256 << 20
+
 
 def listing(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """path, length of the files under a folder; contents are not read."""
@@ -17,10 +23,29 @@ def listing(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     return files.select("path", "length")
 
 
+def _each(files: DataFrame, use, columns: str) -> DataFrame:
+    """use(path, length) of each file, which gives the values of columns; files are dealt out by size, large and small ones mixed."""
+    names = [c.split()[0] for c in columns.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, length in zip(b["path"].to_pylist(), b["length"].to_pylist(), strict=True):
+                yield pa.RecordBatch.from_pylist([dict(zip(names, (path, *use(path, length)), strict=True))])
+
+    n = max(1, min(files.count(), files.sparkSession.sparkContext.defaultParallelism * 4))
+    return files.select("path", "length").repartition(n, F.xxhash64("path")).mapInArrow(run, columns)
+
+
+def _digest(path: str, length: int) -> tuple[int, str]:
+    sha = hashlib.sha256()
+    for c in chunks(path):
+        sha.update(c)
+    return length, sha.hexdigest()
+
+
 def digests(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """path, length, sha256 of the files under a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
-    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+    """path, length, sha256 of the files under a folder. A file is read in chunks within one task, so it may be larger than an executor's memory."""
+    return _each(listing(spark, folder, pattern), _digest, "path string, length long, sha256 string")
 
 
 def row_summary(rows: DataFrame, key: str, *order: str) -> DataFrame:
@@ -30,7 +55,7 @@ def row_summary(rows: DataFrame, key: str, *order: str) -> DataFrame:
 
 
 def write_manifest(spark: SparkSession, path: str, payload: dict) -> None:
-    """A small JSON file that is there whole or not at all: written beside its place and renamed."""
+    """A small JSON file: written beside its place and renamed over the old one, which is there until then."""
     fs_path = spark._jvm.org.apache.hadoop.fs.Path
     place, beside = fs_path(path), fs_path(f"{path}.tmp")
     fs = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
@@ -39,33 +64,31 @@ def write_manifest(spark: SparkSession, path: str, payload: dict) -> None:
         out.write(bytearray((json.dumps(payload, ensure_ascii=False, indent=2) + "\n").encode()))
     finally:
         out.close()
-    fs.delete(place, False)
-    if not fs.rename(beside, place):
-        raise OSError(f"could not write {path}")
+    rename = spark._jvm.org.apache.hadoop.fs.Options.Rename
+    over = spark.sparkContext._gateway.new_array(rename, 1)
+    over[0] = rename.OVERWRITE
+    where = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(place.toUri(), spark._jsparkSession.sessionState().newHadoopConf())
+    where.rename(beside, place, over)
 
 
-def _header_error(length: int, head: bytes) -> str | None:
-    """What is wrong with the start of a weights file: eight bytes of a size, then a JSON object of that size."""
+def _header_error(path: str, length: int) -> tuple[str | None, int]:
+    """What is wrong with the start of a weights file, eight bytes of a size, then a JSON object of that size; and how many bytes were read."""
+    head = b"".join(chunks(path, 0, 8))
     if len(head) < 8:
-        return "missing_header_size"
-    size = struct.unpack("<Q", head[:8])[0]
-    if not 0 < size <= length - 8:
-        return "invalid_header_size"
+        return "missing_header_size", len(head)
+    size = struct.unpack("<Q", head)[0]
+    if not 0 < size <= min(length - 8, MOST_HEADER):
+        return "invalid_header_size", 8
     try:
-        header = json.loads(head[8 : 8 + size].decode())
+        header = json.loads(b"".join(chunks(path, 8, 8 + size)).decode())
     except ValueError:
-        return "invalid_header"
-    return None if isinstance(header, dict) and header else "empty_header"
+        return "invalid_header", 8 + size
+    return None if isinstance(header, dict) and header else "empty_header", 8 + size
 
 
 def header_errors(files: DataFrame) -> DataFrame:
-    """path, error (null if none) of weights files (path, length, content)."""
-
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"path": b["path"], "error": [_header_error(n, bytes(c)) for n, c in zip(b["length"], b["content"], strict=True)]}).astype({"error": object})
-
-    return files.select("path", "length", "content").mapInPandas(check, "path string, error string")
+    """path, error (null if none), bytes_read of weights files (path, length): only their headers are read, and none of over MOST_HEADER bytes."""
+    return _each(files, _header_error, "path string, error string, bytes_read long")
 
 
 def lineage_audit(models: DataFrame, files: DataFrame, errors: DataFrame | None = None) -> DataFrame:

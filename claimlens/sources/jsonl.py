@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .strict_lines import StrictJsonl
+
 
 def read(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """Rows of a JSONL file or glob; a line that is no object of the schema fails the scan."""
@@ -28,12 +30,14 @@ def invalid_lines(spark: SparkSession, path: str, schema: StructType | str) -> D
     return lines.where(bad).join(starts, ["file", "block"]).select("file", (F.col("before") + F.col("place") - F.col("first") + 1).alias("line"), F.col("value").alias("text"))
 
 
-def read_strict(spark: SparkSession, path: str, schema: StructType | str, keep: bool = False) -> DataFrame:
-    """As read, but a bad line is an error that names its file and number. keep persists the rows for several uses."""
-    first = invalid_lines(spark, path, schema).orderBy("file", "line").first()
-    if first:
-        raise ValueError(f"{first['file']}:{first['line']}: no object of the schema: {first['text'][:80]}")
-    out = read(spark, path, schema)
+def read_strict(spark: SparkSession, path: str, schema: StructType | str, keep: bool = False, split: int | None = None) -> DataFrame:
+    """As read, in one scan, but a bad line is an error that names its file and number, when the rows are read. keep persists the rows for several uses.
+
+    split: bytes that a task reads at most.
+    """
+    spark.dataSource.register(StrictJsonl)
+    reader = spark.read.format("strict_jsonl").schema(schema)
+    out = (reader.option("split", str(split)) if split else reader).load(path)
     return out.persist() if keep else out
 
 
@@ -63,6 +67,12 @@ def read_if_there(spark: SparkSession, path: str, schema: StructType | str) -> D
     return read(spark, path, schema) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
+def write_one(df: DataFrame, path: str) -> None:
+    """One file with one object per line, nulls kept, that takes the place of the old one at once or not at all."""
+    df.sparkSession.dataSource.register(StrictJsonl)
+    df.write.format("strict_jsonl").mode("overwrite").save(path)
+
+
 def write(df: DataFrame, path: str, append: bool = False) -> None:
     """One object per line, nulls kept."""
     df.write.mode("append" if append else "overwrite").option("ignoreNullFields", "false").json(path)

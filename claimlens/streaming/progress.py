@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.strict_lines import StrictJsonl
+
 LATE = "1 hour"
 
 
@@ -49,3 +51,10 @@ def flushed(events: DataFrame, path: str, checkpoint: str, each: str = "10 secon
 def watched(spark, folder: str, schema, pattern: str = "*.json") -> DataFrame:
     """A stream of the JSON lines of files as they appear in a folder."""
     return spark.readStream.schema(schema).option("pathGlobFilter", pattern).json(folder)
+
+
+def followed(spark, path: str, schema, split: int | None = None) -> DataFrame:
+    """A stream of the JSON lines of files as they appear and grow; a bad line is an error that names it. A restart goes on behind the last line that was read."""
+    spark.dataSource.register(StrictJsonl)
+    reader = spark.readStream.format("strict_jsonl").schema(schema)
+    return (reader.option("split", str(split)) if split else reader).load(path)

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from claimlens.operators import comparison, holdout, pairs, ranking, repair
+from claimlens.operators import comparison, coverage, holdout, pairs, ranking, repair, selection
 from claimlens.plans import claims as C
 from claimlens.plans import outputs as O
 from claimlens.sources import files, jsonl, logs, tables
@@ -36,18 +36,81 @@ def test_greedy_choice_under_quotas_and_caps(spark):
     assert [r.pair_id for r in got] == chosen and len(chosen) == 80
 
 
-def test_least_covered_kind(spark):
+def by_loop(eligible, order):
+    seen, out = {}, {}
+    for k in order:
+        if eligible[k]:
+            out[k] = min(eligible[k], key=lambda n: seen.get(n, 0))
+            seen[out[k]] = seen.get(out[k], 0) + 1
+        else:
+            out[k] = None
+    return out
+
+
+@pytest.mark.parametrize("kind", ["rare", "random", "sparse"])
+def test_least_covered_kind(spark, kind):
+    """Equal to the plain loop for any size of a block: kinds that are rarely eligible, any subset, and rows without a kind."""
     rng = random.Random(2)
-    rows = [(f"c{k}", pairs.REJECTED[:8] + rng.choice([[], [pairs.REJECTED[8]], [pairs.REJECTED[9]]])) for k in range(200)]
+    rare = lambda: pairs.REJECTED[:8] + rng.choice([[], [], [], [pairs.REJECTED[8]], [pairs.REJECTED[9]], pairs.REJECTED[8:]])
+    some = lambda: rng.sample(pairs.REJECTED, rng.randint(1, 4))
+    few = lambda: rng.sample(pairs.REJECTED[:3], rng.randint(0, 2)) + ([] if rng.random() < 0.97 else ["never"])
+    rows = [(f"c{k}", {"rare": rare, "random": some, "sparse": few}[kind]()) for k in range(600)]
     df = spark.createDataFrame(rows, "case_id string, eligible array<string>")
-    got = {r.case_id: r.rejected_type for r in pairs.least_covered(df, "case_id", 5).collect()}
-    seen, want, eligible = {}, {}, dict(rows)
-    for k in in_hash_order(spark, eligible, 5):
-        want[k] = min(eligible[k], key=lambda n: seen.get(n, 0))
-        seen[want[k]] = seen.get(want[k], 0) + 1
-    assert got == want
-    blocks = pairs.least_covered(df, "case_id", 5, block=50)
-    assert blocks.count() == 200 and max(r["n"] for r in blocks.groupBy("rejected_type").agg(F.count("*").alias("n")).collect()) <= 30
+    want = by_loop(dict(rows), in_hash_order(spark, [k for k, _ in rows], 5))
+    for block in (100_000, 150, 40):
+        assert {r.case_id: r.rejected_type for r in coverage.least_covered(df, "case_id", 5, block=block).collect()} == want
+    first = coverage.least_covered(df, "case_id", 5, most=100, block=30).collect()
+    assert {r.case_id: r.rejected_type for r in first} == dict(list(want.items())[:100])
+    assert coverage.least_covered(df.limit(0), "case_id", 5).count() == 0
+
+
+def test_pieces_hold_for_all_starts_that_fit():
+    """A block run from another start that fits makes the same choices; one that does not fit by one is told apart."""
+    rng = random.Random(7)
+    for _ in range(200):
+        rows = [rng.sample(range(4), rng.randint(1, 4)) for _ in range(12)]
+        walk = coverage.Walk([rng.randint(0, 6) for _ in range(4)])
+        picks = [walk.choose(r) for r in rows]
+        piece = coverage.Piece(coverage.np.array(walk.start), coverage.np.array(walk.room), coverage.np.array(walk.count) - coverage.np.array(walk.start))
+        assert piece.fits(piece.start)
+        for _ in range(30):
+            start = [rng.randint(0, 8) for _ in range(4)]
+            other = coverage.Walk(start)
+            same = [other.choose(r) for r in rows] == picks
+            assert same == piece.fits(coverage.np.array(start))
+
+
+def test_rounds_are_few(spark):
+    """Counts even out within a block, so a hundred blocks take a few rounds and not a hundred."""
+    rng = random.Random(3)
+    rows = [(k, k // 50, rng.sample(range(6), 3) + ([6] if rng.random() < 0.02 else [])) for k in range(5000)]
+    df = spark.createDataFrame(rows, "_r long, _block long, _kinds array<int>")
+    starts, rounds = coverage.starts_of(df, 100, 7)
+    walk = coverage.Walk([0] * 7)
+    for k, (r, b, kinds) in enumerate(rows):
+        if r % 50 == 0:
+            assert starts[b].tolist() == walk.count
+        walk.choose(kinds)
+    assert rounds <= 8
+
+
+def test_selection_by_thresholds(spark, monkeypatch):
+    """Equal to the plain loop with small heads, tight caps, quotas beyond what there is, nulls and repeated keys."""
+    rng = random.Random(11)
+    for few, cap, most, quotas in ((5, 40, 200, {"a": 80, "b": 60, "c": 30}), (1, 7, 60, {"b": 20, "a": 20}), (3, 1000, 5000, {"a": 10, "c": 2000}), (2000, 30, 100, {"a": 100})):
+        monkeypatch.setattr(selection, "FEW", few)
+        rows = [(f"p{k}", rng.choice(["a", "b", "c", None]), rng.choice(["x", "y", "z", None, "w"])) for k in range(900)]
+        df = spark.createDataFrame([*rows, *rows[:50]], "pair_id string, kind string, label string")
+        got = selection.select(df, "pair_id", "kind", "label", quotas, most, cap, 7).orderBy("place").collect()
+        order = {k: n for n, k in enumerate(in_hash_order(spark, [r[0] for r in rows], 7))}
+        left, used, chosen = sorted(rows, key=lambda r: order[r[0]]), {}, {}
+        for kind, quota in [*quotas.items(), (None, most)]:
+            taken = 0
+            for key, own, label in left:
+                if kind in (None, own) and key not in chosen and used.get(label, 0) < cap and taken < quota and len(chosen) < most:
+                    chosen[key], used[label], taken = None, used.get(label, 0) + 1, taken + 1
+        assert [(r.pair_id, r.place) for r in got] == [(k, n) for n, k in enumerate(chosen, 1)]
+    assert selection.select(df.limit(0), "pair_id", "kind", "label", {"a": 3}, 5, 2, 7).count() == 0
 
 
 def test_quotas_round_half_even():
@@ -125,8 +188,8 @@ def test_strict_lines_name_the_bad_one(spark, tmp_path):
     (folder / "b.jsonl").write_text('{"a":1}\n[1]\n{"a":3}\n{"a":\n')
     bad = jsonl.invalid_lines(spark, f"file://{folder}", "a int").orderBy("line").collect()
     assert [(r.file.rsplit("/", 1)[1], r.line) for r in bad] == [("b.jsonl", 2), ("b.jsonl", 4)]
-    with pytest.raises(ValueError, match=r"b.jsonl:2:"):
-        jsonl.read_strict(spark, f"file://{folder}", "a int")
+    with pytest.raises(Exception, match=r"b.jsonl:2:"):
+        jsonl.read_strict(spark, f"file://{folder}", "a int").collect()
     assert [r.a for r in jsonl.read_first(spark, f"file://{folder}/a.jsonl", "a int", 1, "a").collect()] == [1]
 
 
