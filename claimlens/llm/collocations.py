@@ -6,7 +6,8 @@ words is a pair of overlapping phrases of k - 1 words, both of which must be fre
 1. Each block counts the pairs of neighbouring names of the level below, and gives them with their number.
 2. Pairs are added up over all blocks; the frequent ones get a name, and the two names they are made of stay beside
    it. Single words are the first level.
-3. Names go back to the blocks by a join of what the block has, each pair once, and replace the positions of the level below.
+3. Names go back to the blocks by a join of what the block has, each pair once, and replace the positions of the level below. What lies
+   between runs of names is left out, so blocks shrink from level to level.
 
 No dictionary goes to all tasks, as it would grow with the input; what a block has is joined instead. Words and pairs that are certainly
 too rare are left out before the shuffle by counts in a fixed number of slots (`slots`), which are never below a count of their own.
@@ -51,7 +52,7 @@ class _Block:
         tokens = text.translate(BYTES).replace(b"\n", b" \n ").split(b" ")
         run = np.fromiter(map(self.names.__getitem__, tokens), np.int32, len(tokens))
         run = run[run != 1]
-        run = run[(run > 0) | np.append(True, run[:-1] > 0)]
+        run = _compact(run)
         self.runs += [run, np.zeros(1, np.int32)]
         self.size += len(run)
         return len(run)
@@ -93,6 +94,11 @@ def _pairs(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, seq[at].astype(np.int64) << 32 | seq[at + 1]
 
 
+def _compact(seq: np.ndarray) -> np.ndarray:
+    """With one 0 between runs of names: what stands in between is of no use to longer phrases."""
+    return seq[(seq > 0) | np.append(False, seq[:-1] > 0)].astype(np.int32)
+
+
 def _seed(lang: str) -> np.uint64:
     return np.uint64(int.from_bytes(lang.encode()[:8], "little"))
 
@@ -164,7 +170,7 @@ def named(counted: DataFrame, least: int) -> DataFrame:
 
 
 def first_level(own: DataFrame, has: DataFrame, words: DataFrame) -> DataFrame:
-    """block, lang, names, seq of blocks and the words they have, with frequent words (lang, word, name): positions of other words become 0."""
+    """block, lang, names, seq of blocks and the words they have, with frequent words (lang, word, name): runs of other words become one 0."""
     back = has.join(words.select("lang", "word", "name"), ["lang", "word"]).groupBy("block").agg(F.collect_list(F.struct("k", "name")).alias("got"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,13 +179,13 @@ def first_level(own: DataFrame, has: DataFrame, words: DataFrame) -> DataFrame:
             seq = np.frombuffer(b["seq"][0].as_py(), np.int32)
             new = np.zeros(max(int(seq.max(initial=0)), int(k.max(initial=0)) + 1) + 1, np.int32)
             new[k + 1] = np.arange(1, len(k) + 1)
-            yield pa.RecordBatch.from_pydict({"block": b["block"], "lang": b["lang"], "names": pa.array([names], pa.list_(pa.int64())), "seq": [new[seq].tobytes()]})
+            yield pa.RecordBatch.from_pydict({"block": b["block"], "lang": b["lang"], "names": pa.array([names], pa.list_(pa.int64())), "seq": [_compact(new[seq]).tobytes()]})
 
     return own.select("block", "lang", "seq").join(back, "block").mapInArrow(run, "block long, lang string, names array<long>, seq binary")
 
 
 def next_level(level: DataFrame, pairs: DataFrame, names: DataFrame) -> DataFrame:
-    """block, lang, names, seq one level up: a position that begins a frequent pair gets its name, others become 0."""
+    """block, lang, names, seq one level up: a position that begins a frequent pair gets its name, runs of others become one 0."""
     back = pairs.join(names.select("lang", "a", "b", "name"), ["lang", "a", "b"]).groupBy("block").agg(F.collect_list(F.struct("a", "b", "name")).alias("got"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +200,7 @@ def next_level(level: DataFrame, pairs: DataFrame, names: DataFrame) -> DataFram
                 k = np.minimum(np.searchsorted(pair, keys, sorter=by), len(pair) - 1)
                 new = np.zeros(max(len(seq), 1), np.int32)
                 new[at] = np.where(pair[by[k]] == keys, by[k] + 1, 0)
-                yield pa.RecordBatch.from_pydict({"block": [block], "lang": pa.array([lang], pa.string()), "names": pa.array([name], pa.list_(pa.int64())), "seq": [new.tobytes()]})
+                yield pa.RecordBatch.from_pydict({"block": [block], "lang": pa.array([lang], pa.string()), "names": pa.array([name], pa.list_(pa.int64())), "seq": [_compact(new).tobytes()]})
 
     return level.join(back, "block").mapInArrow(run, "block long, lang string, names array<long>, seq binary")
 
