@@ -32,4 +32,4 @@ def risk_label_summary(spark, sf_dir):
     return C.claims(spark, sf_dir).groupBy("label", "risk_level", "audit_result").agg(F.count("*").alias("n_cases"))
 
 
-from . import queries_data, queries_eval, queries_ops, queries_pairs  # noqa: E402, F401  (they register their queries)
+from . import queries_checks, queries_data, queries_eval, queries_ops, queries_pairs  # noqa: E402, F401  (they register their queries)

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storing import stored
+
 
 def registry(sources: dict[str, DataFrame], id_col: str) -> DataFrame:
     """source, id: the distinct ids of each source."""
@@ -44,13 +46,15 @@ def orphans(models: DataFrame) -> DataFrame:
 def ancestry(models: DataFrame) -> DataFrame:
     """model_id, depth: steps to a model without a known parent; of a chain of any length. Models that are their own ancestors have none.
 
-    Each round joins every model with the ancestor reached so far and doubles the reach, so a chain of n models takes log2(n) joins.
+    Each round joins every model that has not arrived with the ancestor reached so far and doubles the reach, so chains of n models take
+    log2(n) rounds; each is written once. Rounds end when all have arrived, or none is left but circles.
     """
     own = models.select("model_id", "parent_model_id")
     known = own.select(F.col("model_id").alias("_known"))
-    up = own.join(known, F.col("parent_model_id") == F.col("_known"), "left").select("model_id", F.col("_known").alias("up"), F.when(F.col("_known").isNull(), 0).otherwise(1).alias("depth"))
-    rounds = max(1, own.count()).bit_length()
-    for _ in range(rounds):
+    up = stored(own.join(known, F.col("parent_model_id") == F.col("_known"), "left").select("model_id", F.col("_known").alias("up"), F.when(F.col("_known").isNull(), 0).otherwise(1).alias("depth")))
+    for _ in range(max(1, own.count()).bit_length()):
+        if not up.where("up is not null").limit(1).count():
+            break
         above = up.select(F.col("model_id").alias("_id"), F.col("up").alias("_up"), F.col("depth").alias("_depth"))
-        up = up.join(above, F.col("up") == F.col("_id"), "left").select("model_id", F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"))
+        up = stored(up.join(above, F.col("up") == F.col("_id"), "left").select("model_id", F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth")))
     return up.where("up is null").select("model_id", "depth")

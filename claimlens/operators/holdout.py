@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import digits_for, equal_quotas, round_robin, spread_over_two, stratified
+from .ranking import equal_quotas, round_robin, spread_over_two, stratified
 
 HARD_SPLIT = "test_hard_negative"
+#: Digits by which id_digest deals ids out; part of what its digests mean.
+HEAD = 3
 
 
 def first_images(records: DataFrame) -> DataFrame:
@@ -76,20 +82,46 @@ def development_sets(cases: DataFrame, quotas: dict[str, int], strata: list[str]
     return out
 
 
-def id_digest(ids: DataFrame, by: list[str], id_col: str = "id", rows: int | None = None) -> DataFrame:
+def id_digest(ids: DataFrame, by: list[str], id_col: str = "id") -> DataFrame:
     """by, n, digest: distinct ids of each group and a digest that does not depend on their order or on partitions.
 
-    The ids (UTF-8, each with a line feed) are dealt to buckets by the head of their SHA-256 in hex; a bucket's digest is
+    The ids (UTF-8, each with a line feed) are dealt to buckets by the first HEAD digits of their SHA-256 in hex; a bucket's digest is
     the SHA-256 of its ids in order, and the group's that of its buckets' digests, each as 'head digest' and a line feed, in order.
     No group is one array: only the bucket digests of a group come together.
     """
-    head = F.substring(F.sha2(F.col(id_col).cast("string"), 256), 1, digits_for(rows))
+    head = F.substring(F.sha2(F.col(id_col).cast("string"), 256), 1, HEAD)
     each = ids.select(*by, F.col(id_col).cast("string").alias("_id"), head.alias("_head")).where("_id is not null").distinct()
     parts = each.groupBy(*by, "_head").agg(F.count("*").alias("_n"), F.sha2(F.concat(F.array_join(F.array_sort(F.collect_list("_id")), "\n"), F.lit("\n")), 256).alias("_digest"))
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_head", "_digest"))), lambda x: F.concat(x["_head"], F.lit(" "), x["_digest"], F.lit("\n"))), "")
     return parts.groupBy(*by).agg(F.sum("_n").alias("n"), F.sha2(lines, 256).alias("digest"))
 
 
+def registry_digest(ids: DataFrame, by: list[str], id_col: str = "id") -> DataFrame:
+    """by, n, digest: distinct ids of each group and the SHA-256 of the sorted ids, each with a line feed.
+
+    Ids are sorted where they arrive (spilling if need be) and hashed as a stream, as a SHA-256 can only be made in order: a task holds a batch of a
+    group, never the group. For groups that one task should not read, id_digest is made in parallel. Null ids are left out.
+    """
+    rows = ids.select(*(F.col(c).cast("string").alias(c) for c in by), F.col(id_col).cast("string").alias("_id")).where("_id is not null").distinct()
+    order = [F.asc_nulls_first(c) for c in by]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, n, sha = None, 0, hashlib.sha256()
+        done = lambda: pa.RecordBatch.from_pylist([dict(zip(by, group, strict=True)) | {"n": n, "digest": sha.hexdigest()}], schema=pa.schema([*((c, pa.string()) for c in by), ("n", pa.int64()), ("digest", pa.string())]))
+        for b in batches:
+            for *own, x in zip(*(b[c].to_pylist() for c in (*by, "_id")), strict=True):
+                if own != group:
+                    if n:
+                        yield done()
+                    group, n, sha = own, 0, hashlib.sha256()
+                n += 1
+                sha.update(f"{x}\n".encode())
+        if n:
+            yield done()
+
+    return rows.repartition(*by).sortWithinPartitions(*order, "_id").mapInArrow(run, ", ".join([*(f"{c} string" for c in by), "n long", "digest string"]))
+
+
 def overlap_counts(sets: dict[str, DataFrame], pairs: list[tuple[str, str]], key: str = "case_id") -> DataFrame:
     """pair, n: ids that two named sets share, 0 included."""
     long = None

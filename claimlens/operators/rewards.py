@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,10 +112,11 @@ def preference_audit(pairs: DataFrame, chosen: str = "chosen_reward", rejected:
 
 
 def batch_weights(rows: DataFrame, batch: list[str], weight: str = "final_weight", most: float = 3.0, name: str = "weight") -> DataFrame:
-    """Weights clamped to 0 and most, divided by their batch's mean."""
+    """Weights clamped to 0 and most, divided by their batch's mean; a batch may be of any size."""
     clamped = F.least(F.greatest(F.col(weight).cast("double"), F.lit(0.0)), F.lit(most))
-    mean = F.greatest(F.avg(clamped).over(Window.partitionBy(*batch)), F.lit(EPSILON))
-    return rows.withColumn(name, clamped / mean)
+    means = rows.groupBy(*(F.col(c).alias(f"_{c}") for c in batch)).agg(F.greatest(F.avg(clamped), F.lit(EPSILON)).alias("_mean"))
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in batch))
+    return rows.join(means, same).withColumn(name, clamped / F.col("_mean")).drop("_mean", *(f"_{c}" for c in batch))
 
 
 def weighted_mean(value: str | Column, weight: str | Column) -> Column:

@@ -90,7 +90,7 @@ MINED = f"""{REWARDS}, b AS (
 ), parted AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY bucket ORDER BY sha256('1045:' || case_id), case_id) <= CASE WHEN bucket = 'low_pass' THEN 6 ELSE 18 END THEN 'holdout' ELSE 'train' END AS part FROM mined)"""
 
 
-def _mined(spark, sf_dir) -> DataFrame:
+def mined(spark, sf_dir) -> DataFrame:
     """Mined pairs in parts; the pairs are few columns, which ranks and counts read again."""
     return PR.take_holdout(stored(PR.mined_pairs(completions(spark, sf_dir))), 24, 1045)
 
@@ -98,15 +98,15 @@ def _mined(spark, sf_dir) -> DataFrame:
 @query(f"{MINED} SELECT case_id, bucket AS pair_type, chosen_source, rejected_source, round(chosen_reward, 9) AS chosen_reward, round(rejected_reward, 9) AS rejected_reward, round(gap, 9) AS reward_gap, part FROM parted")
 def mined_pairs(spark, sf_dir):
     """Pairs of good and failing completions, with a small holdout."""
-    m = _mined(spark, sf_dir)
+    m = mined(spark, sf_dir)
     return m.select("case_id", "pair_type", "chosen_source", "rejected_source", *(F.round(c, 9).alias(c) for c in ("chosen_reward", "rejected_reward", "reward_gap")), "part")
 
 
 @query(f"""{MINED} SELECT count(*) FILTER (part = 'train') AS train_pairs, count(*) FILTER (part = 'holdout') AS holdout_pairs, count(*) FILTER (chosen_source = 'expert_corrected_target') AS expert_chosen, round(min(gap), 9) AS gap_min, round(max(gap), 9) AS gap_max,
-  round(avg(gap), 9) AS gap_mean, round(avg(CASE WHEN bucket = 'low_pass' THEN 1.0 ELSE 2.0 END), 9) AS weight_mean, 'PASS' AS status FROM parted""")
+  round(avg(gap), 9) AS gap_mean, round(avg(CASE WHEN bucket = 'low_pass' THEN 1.0 ELSE 2.0 END), 9) AS weight_mean, CASE WHEN count(*) FILTER (gap + 1e-9 < 0.15 OR gap - 1e-9 > 0.60) = 0 AND count(*) = count(DISTINCT case_id) THEN 'PASS' ELSE 'FAIL' END AS status FROM parted""")
 def pair_audit(spark, sf_dir):
     """Counts, ranges and the status of the mined pairs."""
-    a = PR.pair_audit(_mined(spark, sf_dir))
+    a = PR.pair_audit(mined(spark, sf_dir))
     return a.select("train_pairs", "holdout_pairs", "expert_chosen", *(F.round(c, 9).alias(c) for c in ("gap_min", "gap_max", "gap_mean", "weight_mean")), "status")
 
 
@@ -121,7 +121,7 @@ weighed AS (SELECT *, CASE kind WHEN 'high_risk_pass' THEN 3.0 WHEN 'high_risk_d
     CASE WHEN pair_type IN ('hard_rejected', 'protective') THEN 1.5 WHEN pair_type = 'high_risk_miss' THEN 1.4 ELSE 1.0 END::DOUBLE AS hardness, CASE WHEN evidence_sufficient THEN 1.0 ELSE 0.5 END::DOUBLE AS reliability FROM kinds)"""
 
 
-def _candidates(spark, sf_dir) -> DataFrame:
+def weighed_candidates(spark, sf_dir) -> DataFrame:
     c = C.claims(spark, sf_dir)
     return PR.pair_candidates(c, O.answers(c))
 
@@ -145,9 +145,8 @@ def dpo_pairs_v2(spark, sf_dir):
   round(sum(w * w) / sum(w), 6) AS weighted_mean FROM w GROUP BY 1""")
 def pair_weights(spark, sf_dir):
     """Weights of candidate pairs by type, as they are and as batches (here the types) scale them."""
-    p = _candidates(spark, sf_dir).select("pair_type", "final_weight")
-    means = p.groupBy("pair_type").agg(F.greatest(F.avg("final_weight"), F.lit(rewards.EPSILON)).alias("_mean"))
-    x = p.join(F.broadcast(means), "pair_type").withColumn("weight", F.col("final_weight") / F.col("_mean"))
+    p = weighed_candidates(spark, sf_dir).select("pair_type", "final_weight")
+    x = rewards.batch_weights(p, ["pair_type"])
     return x.groupBy("pair_type").agg(
         F.count("*").alias("n"), F.round(F.min("final_weight"), 9).alias("weight_min"), F.round(F.max("final_weight"), 9).alias("weight_max"), F.round(F.avg("final_weight"), 9).alias("weight_mean"),
         F.round(F.avg("weight"), 6).alias("mean_of_weights"), F.round(rewards.weighted_mean("final_weight", "final_weight"), 6).alias("weighted_mean"))
@@ -170,7 +169,7 @@ def _selection_sql(most: int, salt: int, cap: int) -> str:
 @query(f"{PAIRS}, {_selection_sql(1000, 901, 250)}")
 def pair_selection(spark, sf_dir):
     """1000 pairs under the quotas of their types and a cap for each anomaly; each choice depends on those before."""
-    return PR.select_pairs(_candidates(spark, sf_dir).select("pair_id", "pair_type", "label"), 1000, 901).select("pair_id", "pair_type", "label", "place")
+    return PR.select_pairs(weighed_candidates(spark, sf_dir).select("pair_id", "pair_type", "label"), 1000, 901).select("pair_id", "pair_type", "label", "place")
 
 
 KINDS = f"""{CLAIMS.replace('WITH', 'WITH RECURSIVE', 1)}, seq AS MATERIALIZED (
@@ -241,14 +240,19 @@ def repair_mix(spark, sf_dir):
     return m.select("case_id", "repair_mix_metadata.role", "repair_mix_metadata.bucket")
 
 
-@query(f"""{PACK} SELECT * FROM (VALUES ('rows', (SELECT count(*) FROM pack)), ('ids', (SELECT count(DISTINCT case_id) FROM pack)), ('repeated_ids', 0), ('invalid_answers', 0), ('in_evaluation', (SELECT count(*) FROM pack WHERE case_id IN (SELECT case_id FROM rows_of WHERE split <> 'train'))),
-  ('in_used', (SELECT count(*) FROM pack JOIN rows_of USING (case_id) WHERE {u('used', 'case_id')} % 20 = 0)), ('not_train', 0)) AS x("check", n)""")
+@query(f"""{PACK} SELECT * FROM (VALUES ('rows', (SELECT count(*) FROM pack)), ('ids', (SELECT count(DISTINCT case_id) FROM pack)), ('repeated_ids', (SELECT count(*) FROM (SELECT case_id FROM rows_of JOIN pack USING (case_id) GROUP BY 1 HAVING count(*) > 1))), ('invalid_answers', (SELECT count(*) FROM rows_of JOIN pack USING (case_id) WHERE rows_of.risk_level NOT IN ('low', 'medium', 'high') OR rows_of.audit_result NOT IN ('pass', 'manual_review', 'missing_info', 'reject_recommendation') OR length(case_id) = 0 OR len(list_distinct(anomaly_types)) < len(anomaly_types))), ('in_evaluation', (SELECT count(*) FROM pack WHERE case_id IN (SELECT case_id FROM rows_of WHERE split <> 'train'))),
+  ('in_used', (SELECT count(*) FROM pack JOIN rows_of USING (case_id) WHERE {u('used', 'case_id')} % 20 = 0)), ('not_train', (SELECT count(*) FROM pack WHERE case_id NOT IN (SELECT case_id FROM rows_of WHERE split = 'train')))) AS x("check", n)""")
 def repair_set_audit(spark, sf_dir):
     """The repair pack's checks: repeated and invalid rows, and ids that lie in other sets."""
+    return repair_sets(spark, sf_dir)[0]
+
+
+def repair_sets(spark, sf_dir) -> tuple[DataFrame, int]:
+    """The audit of the repair pack, and how many rows the pack has."""
     rows, used = _train(spark, sf_dir)
     ids = stored(repair.repair_pack(rows, used, 100).select("case_id"))
     boundaries = {n: used.where(F.col("source") == n) for n in ("evaluation", "used")}
-    return repair.repair_audit(stored(rows.join(ids, "case_id", "left_semi")), contract.answer_valid(F.col("answer")), boundaries, rows.where("source_split = 'train'"))
+    return repair.repair_audit(stored(rows.join(ids, "case_id", "left_semi")), contract.answer_valid(F.col("answer")), boundaries, rows.where("source_split = 'train'")), ids.count()
 
 
 @query(f"""{SPLITS}, l AS (SELECT case_id, label, CASE WHEN {u('kind', 'case_id')} % 3 = 0 THEN 'order_rewritten' ELSE 'as_is' END AS k FROM splits WHERE label = 'order_id_mismatch')
@@ -303,10 +307,10 @@ def _records(answers: DataFrame) -> DataFrame:
 
 STATUS = f"""files AS (
   SELECT case_id, d, 'images/' || case_id || '_' || d || '_' || k || '.png' AS path FROM (SELECT case_id, unnest(documents) AS d, '00' AS k FROM claims UNION ALL SELECT case_id, duplicate_document, '01' FROM claims WHERE duplicate_document IS NOT NULL)
-), status AS (SELECT case_id, count(*) AS image_count, count(*) FILTER ({LOST_IMAGES}) AS lost FROM files GROUP BY 1)"""
+), status AS (SELECT case_id, count(*) AS image_count, count(*) FILTER ({LOST_IMAGES}) AS lost, len(any_value(documents)) - count(DISTINCT d) AS untyped FROM files JOIN claims USING (case_id) GROUP BY 1)"""
 
 
-@query(f"{CLAIMS}, {STATUS} SELECT case_id, image_count, lost::INT AS n_missing_paths, 0 AS n_missing_types, lost = 0 AS complete FROM status")
+@query(f"{CLAIMS}, {STATUS} SELECT case_id, image_count, lost::INT AS n_missing_paths, untyped::INT AS n_missing_types, lost = 0 AND untyped = 0 AS complete FROM status")
 def image_status(spark, sf_dir):
     """Whether the images of each claim are all there; a twenty-fifth of the files is not."""
     c = C.claims(spark, sf_dir)
