@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_stored, short, stored, text_of
+from .common import drop_stored, rows_of_batches, short, stored, text_of
 from .slots import PARTS, merged, parts, slot_of, zeros
 from .wordhash import MIX, mix
 from .wordhash import words as words_of
@@ -34,6 +34,8 @@ from .wordhash import words as words_of
 LONGEST, LEAST, TOP = 5, 100, 2000
 #: Words of one language in a block; a longer text makes a longer block.
 BLOCK = 400_000
+#: Rows that a task gets at once; a block is a row of up to a few megabytes.
+BATCH = 16
 #: What parts pieces, made a line break, and what parts words, made a space; A-Z are lower-cased.
 BYTES = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
 
@@ -219,6 +221,11 @@ def phrases(documents: DataFrame, longest: int = LONGEST, least: int = LEAST, bl
 
     Also lang, n: the words of each language.
     """
+    with rows_of_batches(documents.sparkSession, BATCH):
+        return _phrases(documents, longest, least, block)
+
+
+def _phrases(documents: DataFrame, longest: int, least: int, block: int) -> tuple[DataFrame, DataFrame]:
     own = stored(blocks(documents, block), tidy=True)
     has = stored(words_in(own, least), tidy=True)
     totals = stored(own.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda s, c: s + c)).alias("n")))

@@ -116,6 +116,18 @@ def short(batches: Iterator[pa.RecordBatch], rows: int = ARROW_ROWS) -> Iterator
             yield b.slice(k, rows)
 
 
+@contextmanager
+def rows_of_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within the block, Spark sends at most so many rows to Python at once: for rows of megabytes, of which its own limit would buffer many."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 #: Rows of a key that may meet in one task; a key of more is dealt to several places.
 HOT_ROWS = 10_000
 #: Keys are known to be hot by one of so many hash buckets, which bounds what is broadcast whatever the number of hot keys.
