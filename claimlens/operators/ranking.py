@@ -79,6 +79,27 @@ def by_quota(ranked: DataFrame, quotas: DataFrame, rank: str = "rank", label: st
     return ranked.join(q, (F.col(rank) > F.col("lo")) & (F.col(rank) <= F.col("hi"))).drop("lo", "hi")
 
 
+def by_ranges(ranked: DataFrame, ranges: DataFrame, rank: str = "rank", width: int = 100_000) -> DataFrame:
+    """ranked rows with the columns of the range (lo, hi] that holds their rank, for any number of ranges that do not overlap.
+
+    Ranks are dealt to buckets of `width`; a range is cut at the bounds of buckets and joined on the bucket, so neither side is
+    broadcast for its size and no bucket has more ranks or ranges than width. Empty ranges hold nothing; ranks outside all ranges go.
+    """
+    first, last = (F.floor((c - F.lit(1)) / width) for c in (F.col("lo") + 1, F.col("hi")))
+    cut = ranges.where("hi > lo").withColumn("_bucket", F.explode(F.sequence(first, last)))
+    inside = (F.col("_at") == F.col("_bucket")) & (F.col(rank) > F.col("lo")) & (F.col(rank) <= F.col("hi"))
+    return ranked.withColumn("_at", F.floor((F.col(rank) - 1) / width)).join(cut, inside).drop("_at", "_bucket")
+
+
+def running_total(df: DataFrame, order: str, value: str, name: str = "total", width: int = 100_000) -> DataFrame:
+    """df with the sum of value up to each row in the order of a whole-number key, itself included; by buckets of keys, without a single-task sort."""
+    dealt = df.withColumn("_b", F.floor(F.col(order) / width))
+    before = Window.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy(F.col("_b").alias("_bucket")).agg(F.sum(value).alias("_n")).select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return dealt.join(sizes, F.col("_b") == F.col("_bucket")).withColumn(name, F.sum(value).over(own) + F.col("_before")).drop("_b", "_bucket", "_before")
+
+
 def stratified(df: DataFrame, key: str, strata: list[str], n: int | str, salt: int | str, within: list[str] | None = None) -> DataFrame:
     """n rows spread over the strata in proportion to their size, by largest remainder, hash-ordered.
 

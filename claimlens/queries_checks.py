@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .entry import query
 from .functions.exprs import draw, money_text
-from .operators import audits, comparison, gates, holdout, pairs, repair, rewards, splits, validation
+from .operators import audits, comparison, gates, holdout, pairs, ranking, repair, rewards, splits, validation
 from .plans import claims as C
 from .plans import outputs as O
 from .queries_pairs import MINED, PACK, PAIRS, mined, repair_sets, weighed_candidates
@@ -182,3 +182,13 @@ def customer_lineage(spark, sf_dir):
     m = C.table(spark, sf_dir, "customer").where(draw("c_custkey", "gone") % 50 != 0).select(F.col("c_custkey").alias("model_id"), F.when(F.col("c_custkey") >= 3, F.expr("c_custkey div 3")).alias("parent_model_id"))
     lost = audits.orphans(m).select("model_id", F.lit(True).alias("orphan"))
     return audits.ancestry(m).join(lost, "model_id", "left").select("model_id", F.col("depth").cast("bigint").alias("depth"), F.coalesce("orphan", F.lit(False)).alias("orphan"))
+
+
+@query("""WITH q AS (SELECT p_partkey, sum(p_size % 9) OVER (ORDER BY p_partkey) AS hi, p_size % 9 AS quota FROM part), o AS (SELECT o_orderkey, row_number() OVER (ORDER BY sha256('55:' || o_orderkey), o_orderkey) AS rank FROM orders)
+SELECT o_orderkey, p_partkey FROM o JOIN q ON rank > hi - quota AND rank <= hi""")
+def orders_by_quota(spark, sf_dir):
+    """Orders in hash order, dealt to parts that take as many as their quota says: a join of ranks with as many ranges as there are parts."""
+    parts = C.table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") % 9).cast("bigint").alias("quota"))
+    ranges = ranking.running_total(parts, "p_partkey", "quota", "hi").select("p_partkey", (F.col("hi") - F.col("quota")).alias("lo"), "hi")
+    ranked = ranking.global_rank(C.table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 55)
+    return ranking.by_ranges(ranked, ranges, width=1000).select("o_orderkey", "p_partkey")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from .entry import query
 from .functions import contract
 from .functions.exprs import draw
-from .operators import comparison, gates, repair, scoring
+from .operators import comparison, gates, repair, resampling, scoring
+from .operators.storing import stored
 from .plans import claims as C
 from .plans import outputs as O
 from .plans import predictions as P
@@ -356,12 +357,27 @@ def metric_deltas(spark, sf_dir):
     return comparison.deltas(comparison.one_metric_row(m, "cand"), m, fields)
 
 
-@query()
+BOOT = f"""{SCORES}, v AS (
+  SELECT 'audit_accuracy' AS metric, model, case_id, audit_correct::INT::DOUBLE AS v, 42 AS seed FROM scores UNION ALL SELECT 'high_risk_miss_rate', model, case_id, high_risk_miss::INT::DOUBLE, 44 FROM scores WHERE true_risk = 'high'
+), resampled AS (SELECT case_id, b, {resampling.weights_sql('case_id', 'b', 42)} AS w42, {resampling.weights_sql('case_id', 'b', 44)} AS w44 FROM (SELECT DISTINCT case_id FROM scores), range({resampling.REPLICATES}) AS t(b))"""
+
+
+@query(f"""{BOOT}, s AS (SELECT metric, model, b, sum(CASE seed WHEN 42 THEN w42 ELSE w44 END * v) / sum(CASE seed WHEN 42 THEN w42 ELSE w44 END) AS m, sum(v) / count(*) AS mean, count(*) AS n FROM v JOIN resampled USING (case_id) GROUP BY ALL)
+SELECT metric, model, max(n) AS n, round(max(mean), 9) AS mean, round(stddev_samp(m), 9) AS se FROM s GROUP BY ALL""")
 def bootstrap_se(spark, sf_dir):
     """Standard errors of both models' accuracy and miss rate."""
-    s = scores(spark, sf_dir)
-    a = comparison.bootstrap_error(s, "audit_correct", "model").withColumn("metric", F.lit("audit_accuracy"))
-    return a.unionByName(comparison.bootstrap_error(s.where("true_risk = 'high'"), "high_risk_miss", "model", seed=44).withColumn("metric", F.lit("high_risk_miss_rate")))
+    s = stored(scores(spark, sf_dir).select("case_id", "model", "true_risk", "audit_correct", "high_risk_miss"))
+    a = resampling.bootstrap(s.withColumn("v", F.col("audit_correct").cast("int")), ["model"], "case_id", "v").withColumn("metric", F.lit("audit_accuracy"))
+    b = resampling.bootstrap(s.where("true_risk = 'high'").withColumn("v", F.col("high_risk_miss").cast("int")), ["model"], "case_id", "v", seed=44).withColumn("metric", F.lit("high_risk_miss_rate"))
+    return a.unionByName(b).select("metric", "model", "n", F.round("mean", 9).alias("mean"), F.round("se", 9).alias("se"))
+
+
+@query(f"""{BOOT}, p AS (SELECT a.case_id, a.v - b.v AS d, w42 AS w, resampled.b AS k FROM v a JOIN v b USING (case_id, metric) JOIN resampled USING (case_id) WHERE metric = 'audit_accuracy' AND a.model = 'cand' AND b.model = 'base'),
+s AS (SELECT k, sum(w * d) / sum(w) AS m, sum(d) / count(*) AS mean, count(*) AS n FROM p GROUP BY 1) SELECT max(n) AS n, round(max(mean), 9) AS mean, round(stddev_samp(m), 9) AS se FROM s""")
+def bootstrap_difference(spark, sf_dir):
+    """The gain in accuracy of the second model over the first, on the same cases, and its standard error."""
+    s = scores(spark, sf_dir).select("case_id", "model", F.col("audit_correct").cast("int").alias("v"))
+    return resampling.paired_difference(s, [], "case_id", "model", "v", "cand", "base").select("n", F.round("mean", 9).alias("mean"), F.round("se", 9).alias("se"))
 
 
 SAID = "CASE WHEN mode IN ('plain', 'fenced', 'in_words') THEN 'right' ELSE mode END"
