@@ -395,16 +395,20 @@ class Labelled(Tree):
 
 
 NEUTRAL = {"#root", "html", "body"}
+#: Log odds within which neighbours of the best block are taken with it where nothing else is kept.
+CLOSE = 1.0
 
 
 def decode(tree: Tree, odds: np.ndarray) -> list[bool]:
     """Whether each element's own text is kept.
 
     A block's odds add to half of its parent's sum, and a block whose sum is negative is out; inline
-    elements go with their parent, and all below a dropped element is out.
+    elements go with their parent, and all below a dropped element is out. Text right in the body is in none of the
+    parts that are left out, so it stays. If nothing that holds text is kept, the block with the best odds of its own is, with
+    those of its parent that come within CLOSE of it.
     """
     n = len(tree.tag)
-    keep, total = [False] * n, np.zeros(n)
+    keep, total = [t in NEUTRAL for t in tree.tag], np.zeros(n)
     dropped = [False] * n
     for k in range(1, n):
         p, tag = tree.parent[k], tree.tag[k]
@@ -414,8 +418,22 @@ def decode(tree: Tree, odds: np.ndarray) -> list[bool]:
         total[k] = total[p] if inline and p and tree.tag[p] not in NEUTRAL else odds[k] + 0.5 * total[p]
         dropped[k] = dropped[p] or tag in UNSEEN or (total[k] < 0 and tag not in VOID)
         keep[k] = not dropped[k]
-    if not any(keep):  # bare text, with no element to judge
-        keep = [t in NEUTRAL for t in tree.tag]
+    told = {k for k, text in tree.parts if text is not None and text.strip()}
+    if not any(keep[k] for k in told):
+        hidden = [False] * n
+        for k in range(1, n):
+            hidden[k] = hidden[tree.parent[k]] or tree.tag[k] in UNSEEN
+        owner = {}  # the block that an element's text belongs to
+        for k in told:
+            b = k
+            while tree.tag[b] not in BLOCK and tree.parent[b] and tree.tag[tree.parent[b]] not in NEUTRAL:
+                b = tree.parent[b]
+            if not hidden[k]:
+                owner[k] = b
+        if owner:
+            best = max(owner.values(), key=lambda b: (odds[b], -b))
+            for k, b in owner.items():
+                keep[k] = b == best or (tree.parent[b] == tree.parent[best] and odds[b] >= odds[best] - CLOSE)
     return keep
 
 
