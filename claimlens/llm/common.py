@@ -155,6 +155,12 @@ def with_counted(rows: DataFrame, table: DataFrame, on: list[str], n: str = "n",
     return x.join(y, same).select(*rows.columns, *(F.col(f"_all_{c}").alias(c) for c in more))
 
 
+def repeated(df: DataFrame, copies: str, each: int = 1000) -> DataFrame:
+    """Each row as often as its column copies says, without that column; made by thousands, so no row carries an array of all its copies."""
+    whole = df.withColumn("_k", F.explode(F.sequence(F.lit(0), F.floor((F.col(copies) - 1) / each))))
+    return whole.withColumn("_j", F.explode(F.sequence(F.lit(1), F.least(F.lit(each), F.col(copies) - F.col("_k") * each)))).drop("_k", "_j", copies)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_RUN, SPACES, let, stored, text_of, trimmed, with_counted, words
+from .common import SPACES, SPACE_RUN, let, repeated, stored, text_of, trimmed, with_counted, words
 
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 20, 8, 30
 SYMBOLS = "#*$%&|<>"
@@ -130,11 +130,8 @@ def quality_rules(
     and fails the base rule; a null source is a host of its own; a null doc_id stays null. Other
     columns are dropped. An empty table gives an empty result.
     """
-    return (
-        _judged(documents, line_docs, line_share, lost_share)
-        .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_line_words", "kept", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
-        .drop("copy")
-    )
+    judged = _judged(documents, line_docs, line_share, lost_share)
+    return repeated(judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_line_words", "kept", "copies"), "copies")
 
 
 def kept_documents(

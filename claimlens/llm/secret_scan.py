@@ -47,7 +47,7 @@ def running(steps: Column, use=lambda a, b: a + b, block: int = 128) -> Column:
         values, F.struct(first.alias("sum"), F.array().cast("array<int>").alias("all")), lambda a, v: let(use(a["sum"], v), lambda s: F.struct(s.alias("sum"), F.array_append(a["all"], s).alias("all"))), lambda a: a["all"])
 
     def over(parts: Column) -> Column:
-        totals = F.transform(parts, lambda p: F.aggregate(p, F.lit(0), use))
+        totals = F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda a, b: use(a, b)))
         before = let(add(totals, F.lit(0)), lambda t: F.concat(F.array(F.lit(0)), t))
         return let(before, lambda first: F.flatten(F.transform(parts, lambda p, k: add(p, F.get(first, k)))))
 

@@ -98,13 +98,13 @@ def links(nodes: DataFrame, group: int = GROUP) -> DataFrame:
 
 
 def _roots(prints: DataFrame, group: int) -> DataFrame:
-    """fp, root (the smallest fingerprint of its component), component_id; one row for each fingerprint."""
-    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    """fp, m (its rows), root (the smallest fingerprint of its component), component_id; one row for each fingerprint."""
+    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("m")))
     roots = components(links(nodes, group))
-    joined = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    least = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of = stored(joined.join(least, "root").select("fp", "root", "component_id"))
-    drop_stored(nodes)
+    joined = stored(nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", "m", F.coalesce("root", "fp").alias("root")))
+    least = stored(joined.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n")))
+    of = stored(with_counted(joined, least, ["root"]).select("fp", "m", "root", "component_id"))
+    drop_stored(nodes, joined, least)
     return of
 
 
@@ -117,7 +117,7 @@ def near_duplicates(documents: DataFrame, size: int = SHINGLE, group: int = GROU
     repeat share their component. An empty table gives an empty result.
     """
     prints = stored(fingerprints(documents, size))
-    return prints.join(_roots(prints, group), "fp").select("doc_id", "fp", "component_id")
+    return with_counted(prints, _roots(prints, group), ["fp"], "m").select("doc_id", "fp", "component_id")
 
 
 def digest(found: DataFrame) -> DataFrame:
