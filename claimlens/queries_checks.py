@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from .entry import query
 from .functions.exprs import draw, money_text
-from .operators import audits, comparison, gates, holdout, pairs, ranking, repair, rewards, splits, validation
+from .operators import audits, comparison, gates, holdout, pairs, ranking, repair, rewards, splits, strict_joins, validation
 from .plans import claims as C
 from .plans import outputs as O
-from .queries_pairs import MINED, PACK, PAIRS, mined, repair_sets, weighed_candidates
+from .queries_pairs import MANIFEST, MINED, PACK, PAIRS, mined, repair_sets, split_claims, weighed_candidates
 from .sql import CLAIMS, SPLITS, u
 
 DAMAGES = 11
@@ -192,3 +192,11 @@ def orders_by_quota(spark, sf_dir):
     ranges = ranking.running_total(parts, "p_partkey", "quota", "hi").select("p_partkey", (F.col("hi") - F.col("quota")).alias("lo"), "hi")
     ranked = ranking.global_rank(C.table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 55)
     return ranking.by_ranges(ranked, ranges, width=1000).select("o_orderkey", "p_partkey")
+
+
+@query(f"""{MANIFEST} SELECT (row_number() OVER (PARTITION BY m.split ORDER BY m.id) - 1)::INT AS sample_index, m.split, m.case_id, c.expense_type, c.invoice_amount, len(c.documents)::INT AS n_documents FROM manifest m JOIN claims c USING (case_id)""")
+def manifest_cases(spark, sf_dir):
+    """The claims that the holdout manifest lists, in its order; one that is not there would be an error."""
+    m = holdout.stratified_manifest(split_claims(spark, sf_dir).where(F.col("split").startswith("test_")), 40, 42).select("sample_index", "split", "case_id")
+    c = C.claims(spark, sf_dir).select("case_id", "expense_type", "invoice_amount", F.size("documents").alias("n_documents"))
+    return strict_joins.in_manifest_order(m, c, "case_id", by=["split"])

@@ -276,7 +276,7 @@ manifest AS (SELECT p.split, p.case_id, p.id, p.label, p.risk_level, p.audit_res
   JOIN quotaed USING (split, label, risk_level, audit_result) WHERE pr <= take)"""
 
 
-def _tests(spark, sf_dir) -> DataFrame:
+def split_claims(spark, sf_dir) -> DataFrame:
     """Claims with their splits; stored, as holdouts read them many times."""
     c = C.claims(spark, sf_dir).select("id", "case_id", "risk_level", "audit_result", "documents", "anomaly_types")
     s = splits.assign_splits(C.labels(spark, sf_dir))
@@ -290,7 +290,7 @@ def _manifest(tests: DataFrame) -> DataFrame:
 @query(f"{MANIFEST} SELECT (row_number() OVER (PARTITION BY split ORDER BY id) - 1)::INT AS sample_index, split, case_id, label, risk_level, audit_result FROM manifest")
 def holdout_manifest(spark, sf_dir):
     """40 claims of each test split, evenly over labels and in proportion within them, in their own order."""
-    return _manifest(_tests(spark, sf_dir))
+    return _manifest(split_claims(spark, sf_dir))
 
 
 LOST_IMAGES = f"{u('image', 'path')} % 25 = 0"
@@ -335,7 +335,7 @@ def _complete(spark, sf_dir, tests: DataFrame) -> DataFrame:
 @query(f"{FINAL} SELECT split, case_id, turn FROM final")
 def final_holdout(spark, sf_dir):
     """60 unused claims with all images of each test split, drawn by turns from their strata."""
-    t = _tests(spark, sf_dir).where(F.col("split").startswith("test_") & ~((F.col("split") == "test_hard_negative") & (F.col("label") == "none")))
+    t = split_claims(spark, sf_dir).where(F.col("split").startswith("test_") & ~((F.col("split") == "test_hard_negative") & (F.col("label") == "none")))
     return holdout.final_holdout(_complete(spark, sf_dir, t), _manifest(t), 60, 43, STRATA).select("split", "case_id", F.col("turn").cast("bigint").alias("turn"))
 
 
@@ -348,14 +348,14 @@ two AS (SELECT case_id FROM turns WHERE turn <= 80 AND case_id NOT IN (SELECT ca
 @query(f"{DEV} SELECT case_id, 'val_in_template' AS split, 1 AS part FROM one UNION ALL SELECT case_id, 'val_in_template', 2 FROM two")
 def development_sets(spark, sf_dir):
     """Two disjoint development sets of 40 validation claims, drawn by turns from their strata."""
-    t = _tests(spark, sf_dir).where("split = 'val_in_template'")
+    t = split_claims(spark, sf_dir).where("split = 'val_in_template'")
     return holdout.development_sets(_complete(spark, sf_dir, t), {"val_in_template": 40}, STRATA, 46)
 
 
 @query(f"""{FINAL} SELECT 'manifest_vs_final' AS pair, (SELECT count(*) FROM manifest JOIN final USING (case_id)) AS n UNION ALL SELECT 'tests_vs_final', (SELECT count(*) FROM pool JOIN final USING (case_id)) UNION ALL SELECT 'train_vs_final', 0""")
 def holdout_overlaps(spark, sf_dir):
     """Claims that the final holdout shares with other sets."""
-    every = _tests(spark, sf_dir)
+    every = split_claims(spark, sf_dir)
     t = every.where(F.col("split").startswith("test_") & ~((F.col("split") == "test_hard_negative") & (F.col("label") == "none")))
     m = stored(_manifest(t))
     f = stored(holdout.final_holdout(_complete(spark, sf_dir, t), m, 60, 43, STRATA))
