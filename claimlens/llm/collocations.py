@@ -3,13 +3,13 @@
 Texts are read once and kept as blocks: runs of word numbers of one language, with the block's own list of words. A phrase of k
 words is a pair of overlapping phrases of k - 1 words, both of which must be frequent if it is. So level by level:
 
-1. Each block counts the pairs of neighbouring names of the level below, and gives them with their number.
+1. Each shard counts the pairs of neighbouring names of the level below, and gives them with their number.
 2. Pairs are added up over all blocks; the frequent ones get a name, and the two names they are made of stay beside
    it. Single words are the first level.
-3. Names go back to the blocks by a join of what the block has, each pair once, and replace the positions of the level below. What lies
+3. Names go back to the shards (the blocks that one task has read) by a join of what a shard has, each pair once, and replace the positions of the level below. What lies
    between runs of names is left out, so blocks shrink from level to level.
 
-No dictionary goes to all tasks, as it would grow with the input; what a block has is joined instead. Words and pairs that are certainly
+No dictionary goes to all tasks, as it would grow with the input; what a shard has is joined instead. Words and pairs that are certainly
 too rare are left out before the shuffle by counts in a fixed number of slots (`slots`), which are never below a count of their own.
 
 The two names under each name lead to all beginnings and ends of a phrase, so cuts are scored from counts passed up the levels, and a
@@ -18,11 +18,12 @@ phrase lies inside a longer one with as many occurrences exactly if it is one of
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,7 +69,7 @@ class _Block:
 
 
 def blocks(documents: DataFrame, size: int = BLOCK) -> DataFrame:
-    """block, lang, words, counts, seq: word k of a block, from 1, is k in seq; 0 is the end of a piece."""
+    """shard, lang, words, counts, seq: word k of a block, from 1, is k in seq; 0 is the end of a piece; a shard is what one task has read."""
 
     def made(rows: list[dict]) -> pa.RecordBatch:
         return pa.RecordBatch.from_pylist(rows, schema=pa.schema([("lang", pa.string()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("seq", pa.binary())]))
@@ -87,7 +88,7 @@ def blocks(documents: DataFrame, size: int = BLOCK) -> DataFrame:
             yield made([x.row(lang)])
 
     rows = documents.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), text_of("text").alias("text"))
-    return rows.mapInArrow(run, "lang string, words array<string>, counts array<long>, seq binary").withColumn("block", F.monotonically_increasing_id())
+    return rows.mapInArrow(run, "lang string, words array<string>, counts array<long>, seq binary").withColumn("shard", F.spark_partition_id())
 
 
 def _pairs(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,8 +112,8 @@ def _slots(lang: str, names: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def _level_rows(b: pa.RecordBatch) -> Iterator[tuple[int, str, np.ndarray, np.ndarray]]:
-    for block, lang, names, seq in zip(b["block"].to_pylist(), b["lang"].to_pylist(), b["names"], b["seq"].to_pylist(), strict=True):
-        yield block, lang, names.values.to_numpy(zero_copy_only=False), np.frombuffer(seq, np.int32)
+    for shard, lang, names, seq in zip(b["shard"].to_pylist(), b["lang"].to_pylist(), b["names"], b["seq"].to_pylist(), strict=True):
+        yield shard, lang, names.values.to_numpy(zero_copy_only=False), np.frombuffer(seq, np.int32)
 
 
 def _often(rows: DataFrame, counted, least: int) -> np.ndarray:
@@ -133,8 +134,8 @@ def _has(often: np.ndarray, slot: np.ndarray) -> np.ndarray:
 
 
 def words_in(own: DataFrame, least: int) -> DataFrame:
-    """block, lang, k, word, n: the words of each block with their numbers less one, but for those that are certainly too rare."""
-    rows = own.select("block", "lang", "words", "counts")
+    """shard, lang, word, n: the words of each shard, but for those that are certainly too rare; one row for each task that has them."""
+    rows = own.select("shard", "lang", "words", "counts")
 
     def slots(b: pa.RecordBatch) -> np.ndarray:
         return slot_of(mix(words_of(b["words"].flatten()).hash ^ _seed(b["lang"][0].as_py())))
@@ -142,28 +143,38 @@ def words_in(own: DataFrame, least: int) -> DataFrame:
     often = _often(rows, lambda b: [(slots(b), b["counts"].flatten().to_numpy().astype(np.uint32))], least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: defaultdict[tuple, Counter] = defaultdict(Counter)
         for b in short(batches, 1):
             k = np.flatnonzero(_has(often, slots(b)))
-            yield pa.RecordBatch.from_pydict({
-                "block": np.full(len(k), b["block"][0].as_py()), "lang": pa.array([b["lang"][0].as_py()] * len(k), pa.string()), "k": k.astype(np.int32), "word": b["words"].flatten().take(pa.array(k)),
-                "n": b["counts"].flatten().to_numpy()[k],
-            })
+            own = held[b["shard"][0].as_py(), b["lang"][0].as_py()]
+            for word, n in zip(b["words"].flatten().take(pa.array(k)).to_pylist(), b["counts"].flatten().to_numpy()[k].tolist(), strict=True):
+                own[word] += n
+        for (shard, lang), own in held.items():
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard] * len(own), pa.int32()), "lang": pa.array([lang] * len(own), pa.string()), "word": pa.array(own.keys(), pa.string()), "n": pa.array(own.values(), pa.int64())})
 
-    return rows.mapInArrow(run, "block long, lang string, k int, word string, n long")
+    return rows.mapInArrow(run, "shard int, lang string, word string, n long")
 
 
 def pairs_of(level: DataFrame, least: int) -> DataFrame:
-    """block, lang, a, b, n: the pairs of neighbouring names of each block, but for those that are certainly too rare."""
+    """shard, lang, a, b, n: the pairs of neighbouring names of each shard, but for those that are certainly too rare; one row for each task that has them."""
     often = _often(level, lambda b: [(_slots(lang, names, _pairs(seq)[1]), np.uint32(1)) for _, lang, names, seq in _level_rows(b)], least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, str], tuple[np.ndarray, np.ndarray]] = {}
         for b in short(batches, 1):
-            for block, lang, names, seq in _level_rows(b):
+            for shard, lang, names, seq in _level_rows(b):
                 keys = _pairs(seq)[1]
                 keys, n = np.unique(keys[_has(often, _slots(lang, names, keys))], return_counts=True)
-                yield pa.RecordBatch.from_pydict({"block": np.full(len(n), block), "lang": pa.array([lang] * len(n), pa.string()), "a": names[(keys >> 32) - 1], "b": names[(keys & 0xFFFFFFFF) - 1], "n": n})
+                pair = np.stack([names[(keys >> 32) - 1], names[(keys & 0xFFFFFFFF) - 1]], axis=1)
+                if (shard, lang) in held:
+                    pair, n = (np.concatenate(x) for x in zip(held[shard, lang], (pair, n), strict=True))
+                    pair, which = np.unique(pair, axis=0, return_inverse=True)
+                    n = np.bincount(which.ravel(), weights=n, minlength=len(pair)).astype(np.int64)
+                held[shard, lang] = pair, n
+        for (shard, lang), (pair, n) in held.items():
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard] * len(n), pa.int32()), "lang": pa.array([lang] * len(n), pa.string()), "a": pair[:, 0], "b": pair[:, 1], "n": n})
 
-    return level.mapInArrow(run, "block long, lang string, a long, b long, n long")
+    return level.mapInArrow(run, "shard int, lang string, a long, b long, n long")
 
 
 def named(counted: DataFrame, least: int) -> DataFrame:
@@ -172,28 +183,28 @@ def named(counted: DataFrame, least: int) -> DataFrame:
 
 
 def first_level(own: DataFrame, has: DataFrame, words: DataFrame) -> DataFrame:
-    """block, lang, names, seq of blocks and the words they have, with frequent words (lang, word, name): runs of other words become one 0."""
-    back = has.join(words.select("lang", "word", "name"), ["lang", "word"]).groupBy("block").agg(F.collect_list(F.struct("k", "name")).alias("got"))
+    """shard, lang, names, seq of blocks and the words their shards have, with frequent words (lang, word, name): runs of other words become one 0."""
+    back = has.join(words.select("lang", "word", "name"), ["lang", "word"]).groupBy("shard", "lang").agg(F.collect_set(F.struct("word", "name")).alias("got"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in short(batches, 1):
-            k, names = (b["got"].flatten().field(c).to_numpy() for c in ("k", "name"))
+            known, names = (b["got"].flatten().field(c) for c in ("word", "name"))
+            at = pc.index_in(b["words"].flatten(), value_set=known).fill_null(-1).to_numpy(zero_copy_only=False)
             seq = np.frombuffer(b["seq"][0].as_py(), np.int32)
-            new = np.zeros(max(int(seq.max(initial=0)), int(k.max(initial=0)) + 1) + 1, np.int32)
-            new[k + 1] = np.arange(1, len(k) + 1)
-            yield pa.RecordBatch.from_pydict({"block": b["block"], "lang": b["lang"], "names": pa.array([names], pa.list_(pa.int64())), "seq": [_compact(new[seq]).tobytes()]})
+            new = np.concatenate([[0], at + 1]).astype(np.int32)
+            yield pa.RecordBatch.from_pydict({"shard": b["shard"], "lang": b["lang"], "names": pa.array([names.to_numpy()], pa.list_(pa.int64())), "seq": [_compact(new[seq]).tobytes()]})
 
-    return own.select("block", "lang", "seq").join(back, "block").mapInArrow(run, "block long, lang string, names array<long>, seq binary")
+    return own.select("shard", "lang", "words", "seq").join(back, ["shard", "lang"]).mapInArrow(run, "shard int, lang string, names array<long>, seq binary")
 
 
 def next_level(level: DataFrame, pairs: DataFrame, names: DataFrame) -> DataFrame:
-    """block, lang, names, seq one level up: a position that begins a frequent pair gets its name, runs of others become one 0."""
-    back = pairs.join(names.select("lang", "a", "b", "name"), ["lang", "a", "b"]).groupBy("block").agg(F.collect_list(F.struct("a", "b", "name")).alias("got"))
+    """shard, lang, names, seq one level up: a position that begins a frequent pair gets its name, runs of others become one 0."""
+    back = pairs.join(names.select("lang", "a", "b", "name"), ["lang", "a", "b"]).groupBy("shard", "lang").agg(F.collect_set(F.struct("a", "b", "name")).alias("got"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in short(batches, 1):
             a, c, name = (b["got"].flatten().field(x).to_numpy() for x in ("a", "b", "name"))
-            for block, lang, below, seq in _level_rows(b):
+            for shard, lang, below, seq in _level_rows(b):
                 order = np.argsort(below)
                 local = lambda x: order[np.searchsorted(below, x, sorter=order)].astype(np.int64) + 1  # noqa: B023, E731
                 pair = local(a) << 32 | local(c)
@@ -202,9 +213,9 @@ def next_level(level: DataFrame, pairs: DataFrame, names: DataFrame) -> DataFram
                 k = np.minimum(np.searchsorted(pair, keys, sorter=by), len(pair) - 1)
                 new = np.zeros(max(len(seq), 1), np.int32)
                 new[at] = np.where(pair[by[k]] == keys, by[k] + 1, 0)
-                yield pa.RecordBatch.from_pydict({"block": [block], "lang": pa.array([lang], pa.string()), "names": pa.array([name], pa.list_(pa.int64())), "seq": [_compact(new).tobytes()]})
+                yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "lang": pa.array([lang], pa.string()), "names": pa.array([name], pa.list_(pa.int64())), "seq": [_compact(new).tobytes()]})
 
-    return level.join(back, "block").mapInArrow(run, "block long, lang string, names array<long>, seq binary")
+    return level.join(back, ["shard", "lang"]).mapInArrow(run, "shard int, lang string, names array<long>, seq binary")
 
 
 def _up(names: DataFrame, below: DataFrame) -> DataFrame:
