@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.strict_lines import StrictJsonl
@@ -32,8 +32,9 @@ def first_per_key(events: DataFrame, key: str = "event_id") -> DataFrame:
     """One event per key: within the watermark if it streams, the earliest one otherwise."""
     if events.isStreaming:
         return event_time(events).dropDuplicatesWithinWatermark([key])
-    order = Window.partitionBy(key).orderBy("ts", *[c for c in events.columns if c not in (key, "ts")])
-    return event_time(events).withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+    rest = [c for c in events.columns if c not in (key, "ts")]
+    first = event_time(events).groupBy(key).agg(F.min(F.struct("ts", *rest)).alias("_v"))  # summed up before anything is sent, so no key is hot
+    return first.select(*(key if c == key else F.col(f"_v.{c}").alias(c) for c in events.columns))
 
 
 def running_metrics(records: DataFrame, late: str = LATE) -> DataFrame:
