@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import rate, reasons
+from .storing import stored
 
 #: Where an answer, a decision and a risk are looked for, in this order.
 ANSWER_PATHS = ["prediction", "parsed_prediction", "output", "response", "answer", "pred"]
@@ -91,6 +92,7 @@ def decision_view(answer: Column) -> Column:
 
 def examples(rows: DataFrame, by: list[str], key: str, n: int = 10) -> DataFrame:
     """by, n, examples: the rows of each group and its first keys; only the first n of a group are gathered."""
+    rows = stored(rows.select(*by, key))
     first = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(key))).where(F.col("_r") <= n)
     return rows.groupBy(*by).agg(F.count("*").alias("n")).join(first.groupBy(*by).agg(F.array_join(F.sort_array(F.collect_list(key)), " ").alias("examples")), by)
 
@@ -181,8 +183,9 @@ def last_record(history: DataFrame, by: list[str], step: str = "global_step") ->
 
 def changed_ids(before: DataFrame, after: DataFrame, key: str = "case_id") -> DataFrame:
     """key, change: fixed is in before only, introduced in after only."""
-    a, b = before.select(key).distinct(), after.select(key).distinct()
-    return a.exceptAll(b).withColumn("change", F.lit("fixed")).unionByName(b.exceptAll(a).withColumn("change", F.lit("introduced")))
+    both = before.select(key, F.lit(True).alias("_old")).unionByName(after.select(key, F.lit(False).alias("_old")))
+    sides = both.groupBy(key).agg(F.bool_or("_old").alias("_before"), F.bool_and("_old").alias("_only"))
+    return sides.where("_only or not _before").select(key, F.when(F.col("_only"), "fixed").otherwise("introduced").alias("change"))
 
 
 def markdown(rows: list[dict], fields: list[str], digits: int = 4) -> str:
