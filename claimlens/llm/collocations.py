@@ -1,24 +1,24 @@
-"""Phrase collocations by hierarchical pair naming.
+"""Phrase collocations level by level: phrases of k words are counted where both of their parts of k - 1 words may be frequent.
 
 Texts are read once and kept as blocks: runs of word numbers of one language, with the block's own list of words. A phrase of k
-words is a pair of overlapping phrases of k - 1 words, both of which must be frequent if it is. So level by level:
+words can be frequent only if its first and its last k - 1 words are. So level by level, words being the first:
 
-1. Each shard counts the pairs of neighbouring names of the level below, and gives them with their number.
-2. Pairs are added up over all blocks; the frequent ones get a name, and the two names they are made of stay beside
-   it. Single words are the first level.
-3. Names go back to the shards (the blocks that one task has read) by a join of what a shard has, each pair once, and replace the positions of the level below. What lies
-   between runs of names is left out, so blocks shrink from level to level.
+1. Blocks tell places whose two parts are in the filter of the level below, and give the phrases there, as texts, with their number.
+2. Phrases are added up over all blocks, in Spark; what is frequent is kept, with its exact count.
+3. A Bloom filter of the frequent ones goes to all tasks. It has all of them and a few others, which only costs counting those.
 
-No dictionary goes to all tasks, as it would grow with the input; what a shard has is joined instead. Words and pairs that are certainly
-too rare are left out before the shuffle by counts in a fixed number of slots (`slots`), which are never below a count of their own.
+Counts are of texts, so hashes decide nothing but what is not counted. A task holds one block, the filter and a bounded sum of what it has
+found; nothing is sent back to blocks by a join. Phrases of two words and more that are certainly too rare are left out before the
+shuffle by counts in a fixed number of slots (`slots`), which are never below a count of their own. Words are all counted in the
+shuffle: there are few of them, and how many stay would else grow faster than the input.
 
-The two names under each name lead to all beginnings and ends of a phrase, so cuts are scored from counts passed up the levels, and a
-phrase lies inside a longer one with as many occurrences exactly if it is one of the two names under such a one of the next level.
+The first and last k - 1 words of a phrase lead to all its beginnings and ends, so cuts are scored from counts passed up the levels, and a
+phrase lies inside a longer one with as many occurrences exactly if it is one of the two parts of such a one of the next level.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,14 +29,18 @@ from pyspark.sql import functions as F
 
 from .common import drop_stored, rows_of_batches, short, stored, text_of
 from .slots import PARTS, merged, parts, slot_of, zeros
-from .wordhash import MIX, mix
+from .wordhash import mix, runs
 from .wordhash import words as words_of
 
 LONGEST, LEAST, TOP = 5, 100, 2000
 #: Words of one language in a block; a longer text makes a longer block.
 BLOCK = 400_000
 #: Rows that a task gets at once; a block is a row of up to a few megabytes.
-BATCH = 16
+BATCH = 8
+#: Bytes of phrases that a task adds up before it gives them to Spark.
+HELD = 8_000_000
+#: Bits of a filter, as powers of two (64 kB to 32 MB), its probes, and the bytes of it that are merged at once.
+LEAST_BITS, MOST_BITS, PROBES, SLICE_BYTES = 19, 28, 4, 1 << 16
 #: What parts pieces, made a line break, and what parts words, made a space; A-Z are lower-cased.
 BYTES = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
 
@@ -69,7 +73,7 @@ class _Block:
 
 
 def blocks(documents: DataFrame, size: int = BLOCK) -> DataFrame:
-    """shard, lang, words, counts, seq: word k of a block, from 1, is k in seq; 0 is the end of a piece; a shard is what one task has read."""
+    """lang, words, counts, seq: word k of a block, from 1, is k in seq; 0 is the end of a piece."""
 
     def made(rows: list[dict]) -> pa.RecordBatch:
         return pa.RecordBatch.from_pylist(rows, schema=pa.schema([("lang", pa.string()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("seq", pa.binary())]))
@@ -88,13 +92,7 @@ def blocks(documents: DataFrame, size: int = BLOCK) -> DataFrame:
             yield made([x.row(lang)])
 
     rows = documents.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), text_of("text").alias("text"))
-    return rows.mapInArrow(run, "lang string, words array<string>, counts array<long>, seq binary").withColumn("shard", F.spark_partition_id())
-
-
-def _pairs(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of neighbouring names, and the two local numbers of each place in one."""
-    at = np.flatnonzero((seq[:-1] > 0) & (seq[1:] > 0))
-    return at, seq[at].astype(np.int64) << 32 | seq[at + 1]
+    return rows.mapInArrow(run, "lang string, words array<string>, counts array<long>, seq binary")
 
 
 def _compact(seq: np.ndarray) -> np.ndarray:
@@ -106,24 +104,67 @@ def _seed(lang: str) -> np.uint64:
     return np.uint64(int.from_bytes(lang.encode()[:8], "little"))
 
 
-def _slots(lang: str, names: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    a, b = (names[k - 1].astype(np.uint64) for k in (keys >> 32, keys & 0xFFFFFFFF))
-    return slot_of(mix(mix(a ^ _seed(lang)) * MIX + b))
+class _Known:
+    """A Bloom filter of phrases of one length by their hashes: all of them are in it, and a few others."""
+
+    def __init__(self, size: int):
+        self.size, self.bits = size, np.zeros(1 << size - 3, np.uint8)
+
+    def places(self, hashes: np.ndarray) -> Iterator[np.ndarray]:
+        step = mix(hashes) | np.uint64(1)
+        for k in range(PROBES):
+            yield ((hashes + np.uint64(k) * step) >> np.uint64(64 - self.size)).astype(np.int64)
+
+    def add(self, hashes: np.ndarray) -> None:
+        for at in self.places(hashes):
+            np.bitwise_or.at(self.bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.ones(len(hashes), bool)
+        for at in self.places(hashes):
+            out &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+        return out
 
 
-def _level_rows(b: pa.RecordBatch) -> Iterator[tuple[int, str, np.ndarray, np.ndarray]]:
-    for shard, lang, names, seq in zip(b["shard"].to_pylist(), b["lang"].to_pylist(), b["names"], b["seq"].to_pylist(), strict=True):
-        yield shard, lang, names.values.to_numpy(zero_copy_only=False), np.frombuffer(seq, np.int32)
+def known(names: DataFrame, k: int) -> _Known:
+    """The filter of all phrases (lang, phrase) of k words; 16 bits for each, up to 2^MOST_BITS in all, beyond which it is less sharp."""
+    size = min(MOST_BITS, max(LEAST_BITS, (16 * names.count()).bit_length()))
+    whole = _Known(size)
+
+    def sliced(bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for first in range(0, len(bits), SLICE_BYTES):
+            if (part := bits[first : first + SLICE_BYTES]).any():
+                yield pa.RecordBatch.from_pydict({"slice": pa.array([first // SLICE_BYTES], pa.int32()), "bits": [part.tobytes()]})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _Known(size)
+        for b in short(batches, 20_000):
+            seeds = np.array([_seed(x) for x in b["lang"].to_pylist()], np.uint64)
+            hashes = words_of(b["phrase"]).hash.reshape(-1, k) ^ seeds[:, None]
+            own.add(runs(hashes.ravel(), k)[::k])
+        yield from sliced(own.bits)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            for at, bits in zip(b["slice"].to_pylist(), b["bits"].to_pylist(), strict=True):
+                held[at] = np.frombuffer(bits, np.uint8) | held.get(at, np.uint8(0))
+        for at, bits in held.items():
+            yield pa.RecordBatch.from_pydict({"slice": pa.array([at], pa.int32()), "bits": [bits.tobytes()]})
+
+    kind = "slice int, bits binary"
+    for r in names.select("lang", "phrase").mapInArrow(run, kind).repartition("slice").mapInArrow(add, kind).toLocalIterator():
+        whole.bits[r["slice"] * SLICE_BYTES :][: len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
+    return whole
 
 
 def _often(rows: DataFrame, counted, least: int) -> np.ndarray:
-    """Which slots hold `least` and more, one bit each; counted(batch) gives slots and counts (or one count for all)."""
+    """Which slots hold `least` and more, one bit each; counted(batch) gives the slot of each place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = zeros()
         for b in short(batches, 1):
-            for slot, n in counted(b):
-                np.add.at(sums, slot, n)
+            np.add.at(sums, counted(b), np.uint32(1))
         yield from parts(sums)
 
     return np.packbits(merged(rows.mapInArrow(run, PARTS)) >= least)
@@ -133,98 +174,107 @@ def _has(often: np.ndarray, slot: np.ndarray) -> np.ndarray:
     return (often[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool)
 
 
-def words_in(own: DataFrame, least: int) -> DataFrame:
-    """shard, lang, word, n: the words of each shard, but for those that are certainly too rare; one row for each task that has them."""
-    rows = own.select("shard", "lang", "words", "counts")
+def _word_hashes(b: pa.RecordBatch) -> np.ndarray:
+    return words_of(b["words"].flatten()).hash ^ _seed(b["lang"][0].as_py())
 
-    def slots(b: pa.RecordBatch) -> np.ndarray:
-        return slot_of(mix(words_of(b["words"].flatten()).hash ^ _seed(b["lang"][0].as_py())))
-
-    often = _often(rows, lambda b: [(slots(b), b["counts"].flatten().to_numpy().astype(np.uint32))], least)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: defaultdict[tuple, Counter] = defaultdict(Counter)
-        for b in short(batches, 1):
-            k = np.flatnonzero(_has(often, slots(b)))
-            own = held[b["shard"][0].as_py(), b["lang"][0].as_py()]
-            for word, n in zip(b["words"].flatten().take(pa.array(k)).to_pylist(), b["counts"].flatten().to_numpy()[k].tolist(), strict=True):
-                own[word] += n
-        for (shard, lang), own in held.items():
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard] * len(own), pa.int32()), "lang": pa.array([lang] * len(own), pa.string()), "word": pa.array(own.keys(), pa.string()), "n": pa.array(own.values(), pa.int64())})
 
-    return rows.mapInArrow(run, "shard int, lang string, word string, n long")
+def _summed(found: Iterator[tuple[str, pa.Array, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """lang, phrase, n of what blocks give, added up while it fits HELD bytes; Spark adds up the rest."""
+    held: list[pa.Table] = []
+    size = 0
+    added = lambda: pa.concat_tables(held).group_by(["lang", "phrase"]).aggregate([("n", "sum")]).rename_columns(["lang", "phrase", "n"])
+    for lang, phrase, n in found:
+        held.append(pa.table({"lang": pa.repeat(pa.scalar(lang, pa.string()), len(n)), "phrase": phrase, "n": pa.array(n, pa.int64())}))
+        size += held[-1].nbytes
+        if size > HELD:
+            held = [added()]
+            size = held[0].nbytes
+            if size > HELD // 2:
+                yield from held[0].to_batches(20_000)
+                held, size = [], 0
+    if held:
+        yield from added().to_batches(20_000)
 
 
-def pairs_of(level: DataFrame, least: int) -> DataFrame:
-    """shard, lang, a, b, n: the pairs of neighbouring names of each shard, but for those that are certainly too rare; one row for each task that has them."""
-    often = _often(level, lambda b: [(_slots(lang, names, _pairs(seq)[1]), np.uint32(1)) for _, lang, names, seq in _level_rows(b)], least)
+def words_in(own: DataFrame) -> DataFrame:
+    """lang, phrase, n: the words of blocks; a word has several rows."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, str], tuple[np.ndarray, np.ndarray]] = {}
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array, np.ndarray]]:
         for b in short(batches, 1):
-            for shard, lang, names, seq in _level_rows(b):
-                keys = _pairs(seq)[1]
-                keys, n = np.unique(keys[_has(often, _slots(lang, names, keys))], return_counts=True)
-                pair = np.stack([names[(keys >> 32) - 1], names[(keys & 0xFFFFFFFF) - 1]], axis=1)
-                if (shard, lang) in held:
-                    pair, n = (np.concatenate(x) for x in zip(held[shard, lang], (pair, n), strict=True))
-                    pair, which = np.unique(pair, axis=0, return_inverse=True)
-                    n = np.bincount(which.ravel(), weights=n, minlength=len(pair)).astype(np.int64)
-                held[shard, lang] = pair, n
-        for (shard, lang), (pair, n) in held.items():
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard] * len(n), pa.int32()), "lang": pa.array([lang] * len(n), pa.string()), "a": pair[:, 0], "b": pair[:, 1], "n": n})
-
-    return level.mapInArrow(run, "shard int, lang string, a long, b long, n long")
-
-
-def named(counted: DataFrame, least: int) -> DataFrame:
-    """The rows that are frequent, each with a name (name), which is above 0 and of no other row of the level."""
-    return stored(counted.where(F.col("f") >= least).withColumn("name", F.monotonically_increasing_id() + 1), tidy=True)
-
-
-def first_level(own: DataFrame, has: DataFrame, words: DataFrame) -> DataFrame:
-    """shard, lang, names, seq of blocks and the words their shards have, with frequent words (lang, word, name): runs of other words become one 0."""
-    back = has.join(words.select("lang", "word", "name"), ["lang", "word"]).groupBy("shard", "lang").agg(F.collect_set(F.struct("word", "name")).alias("got"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield b["lang"][0].as_py(), b["words"].flatten(), b["counts"].flatten().to_numpy()
+
+    return own.select("lang", "words", "counts").mapInArrow(lambda batches: _summed(found(batches)), "lang string, phrase string, n long")
+
+
+def _candidates(b: pa.RecordBatch, k: int, below: _Known) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """seq of a block, places where a phrase of k words begins whose first and last k - 1 words may both be frequent, and its hashes."""
+    seq = np.frombuffer(b["seq"][0].as_py(), np.int32)
+    each = np.append(np.uint64(0), _word_hashes(b))
+    if k == 2:  # words are tried once for the block instead of at each place, and rare ones part runs
+        some = np.append(False, below.has(runs(each[1:], 1)))
+        seq = _compact(np.where(some[seq], seq, 0))
+    m = max(len(seq) - k + 1, 0)
+    whole = np.ones(m, bool)
+    for j in range(k):
+        whole &= seq[j : j + m] > 0
+    at, each = np.flatnonzero(whole), each[seq]
+    if k > 2 and len(at):
+        low = np.union1d(at, at + 1)
+        fine = np.zeros(m + 1, bool)
+        fine[low] = below.has(runs(each, k - 1)[low])
+        at = at[fine[at] & fine[at + 1]]
+    return seq, at, runs(each, k)[at] if len(at) else np.zeros(0, np.uint64)
+
+
+def _different(seq: np.ndarray, at: np.ndarray, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of one phrase each, and how often it is there. Phrases of one hash are compared word by word."""
+    _, first, which, n = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+    one = at[first]
+    if all((seq[at + j] == seq[one[which] + j]).all() for j in range(k)):
+        return one, n
+    _, first, n = np.unique(np.stack([seq[at + j] for j in range(k)], axis=1), axis=0, return_index=True, return_counts=True)
+    return at[first], n
+
+
+def _texts(words: pa.Array, ids: np.ndarray) -> Iterator[tuple[slice, pa.Array]]:
+    """The phrases of rows of word numbers (from 1), in runs of about HELD bytes."""
+    length = np.append(0, pc.binary_length(words).to_numpy(zero_copy_only=False))
+    ends = np.cumsum(length[ids].sum(axis=1) + ids.shape[1])
+    begin = 0
+    while begin < len(ids):
+        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + HELD, "right")))
+        yield slice(begin, end), pc.binary_join_element_wise(*(words.take(pa.array(c - 1)) for c in ids[begin:end].T), " ")
+        begin = end
+
+
+def phrases_in(own: DataFrame, k: int, below: _Known, least: int) -> DataFrame:
+    """lang, phrase, n: phrases of k words in blocks whose two parts may be frequent, but for those that are certainly too rare; a phrase has several rows."""
+    rows = own.select("lang", "words", "seq")
+    often = _often(rows, lambda b: slot_of(_candidates(b, k, below)[2]), least)
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array, np.ndarray]]:
         for b in short(batches, 1):
-            known, names = (b["got"].flatten().field(c) for c in ("word", "name"))
-            at = pc.index_in(b["words"].flatten(), value_set=known).fill_null(-1).to_numpy(zero_copy_only=False)
-            seq = np.frombuffer(b["seq"][0].as_py(), np.int32)
-            new = np.concatenate([[0], at + 1]).astype(np.int32)
-            yield pa.RecordBatch.from_pydict({"shard": b["shard"], "lang": b["lang"], "names": pa.array([names.to_numpy()], pa.list_(pa.int64())), "seq": [_compact(new[seq]).tobytes()]})
+            seq, at, hashes = _candidates(b, k, below)
+            some = _has(often, slot_of(hashes))
+            at, n = _different(seq, at[some], hashes[some], k)
+            for part, phrase in _texts(b["words"].flatten(), np.stack([seq[at + j] for j in range(k)], axis=1)):
+                yield b["lang"][0].as_py(), phrase, n[part]
 
-    return own.select("shard", "lang", "words", "seq").join(back, ["shard", "lang"]).mapInArrow(run, "shard int, lang string, names array<long>, seq binary")
+    return rows.mapInArrow(lambda batches: _summed(found(batches)), "lang string, phrase string, n long")
 
 
-def next_level(level: DataFrame, pairs: DataFrame, names: DataFrame) -> DataFrame:
-    """shard, lang, names, seq one level up: a position that begins a frequent pair gets its name, runs of others become one 0."""
-    back = pairs.join(names.select("lang", "a", "b", "name"), ["lang", "a", "b"]).groupBy("shard", "lang").agg(F.collect_set(F.struct("a", "b", "name")).alias("got"))
+def frequent(counted: DataFrame, least: int) -> DataFrame:
+    """lang, phrase, f of the phrases that occur `least` times."""
+    return stored(counted.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least), tidy=True)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in short(batches, 1):
-            a, c, name = (b["got"].flatten().field(x).to_numpy() for x in ("a", "b", "name"))
-            for shard, lang, below, seq in _level_rows(b):
-                order = np.argsort(below)
-                local = lambda x: order[np.searchsorted(below, x, sorter=order)].astype(np.int64) + 1  # noqa: B023, E731
-                pair = local(a) << 32 | local(c)
-                by = np.argsort(pair)
-                at, keys = _pairs(seq)
-                k = np.minimum(np.searchsorted(pair, keys, sorter=by), len(pair) - 1)
-                new = np.zeros(max(len(seq), 1), np.int32)
-                new[at] = np.where(pair[by[k]] == keys, by[k] + 1, 0)
-                yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "lang": pa.array([lang], pa.string()), "names": pa.array([name], pa.list_(pa.int64())), "seq": [_compact(new).tobytes()]})
-
-    return level.join(back, ["shard", "lang"]).mapInArrow(run, "shard int, lang string, names array<long>, seq binary")
-
-
-def _up(names: DataFrame, below: DataFrame) -> DataFrame:
-    """lang, name, f, a, b, phrase, last, heads, tails: heads[k], tails[k] are the counts of the first and last k + 1 words."""
-    left = below.select("lang", F.col("name").alias("a"), F.col("phrase").alias("begin"), "heads")
-    right = below.select("lang", F.col("name").alias("b"), "last", "tails")
-    x = names.join(left, ["lang", "a"]).join(right, ["lang", "b"])
+
+def _up(names: DataFrame, below: DataFrame, k: int) -> DataFrame:
+    """lang, phrase, f, a, b, heads, tails: a, b are the first and last k - 1 words, heads[j], tails[j] the counts of the first and last j + 1."""
+    left = below.select("lang", F.col("phrase").alias("a"), "heads")
+    right = below.select("lang", F.col("phrase").alias("b"), "tails")
+    x = names.withColumns({"a": F.substring_index("phrase", " ", k - 1), "b": F.substring_index("phrase", " ", 1 - k)}).join(left, ["lang", "a"]).join(right, ["lang", "b"])
     own = F.array("f")
-    return x.select("lang", "name", "f", "a", "b", F.concat_ws(" ", "begin", "last").alias("phrase"), "last", F.concat("heads", own).alias("heads"), F.concat("tails", own).alias("tails"))
+    return x.select("lang", "phrase", "f", "a", "b", F.concat("heads", own).alias("heads"), F.concat("tails", own).alias("tails"))
 
 
 def phrases(documents: DataFrame, longest: int = LONGEST, least: int = LEAST, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
@@ -238,31 +288,24 @@ def phrases(documents: DataFrame, longest: int = LONGEST, least: int = LEAST, bl
 
 def _phrases(documents: DataFrame, longest: int, least: int, block: int) -> tuple[DataFrame, DataFrame]:
     own = stored(blocks(documents, block), tidy=True)
-    has = stored(words_in(own, least), tidy=True)
     totals = stored(own.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda s, c: s + c)).alias("n")))
-    words = named(has.groupBy("lang", "word").agg(F.sum("n").alias("f")), least)
-    level = stored(first_level(own, has, words), tidy=True)
-    drop_stored(own, has)
-    up = words.select("lang", "name", "f", F.col("word").alias("phrase"), F.col("word").alias("last"), F.array("f").alias("heads"), F.array("f").alias("tails"))
+    names = frequent(words_in(own), least)
+    up = names.select("lang", "phrase", "f", F.array("f").alias("heads"), F.array("f").alias("tails"))
     levels = []
     for k in range(2, longest + 1):
-        pairs = stored(pairs_of(level, least), tidy=True)
-        names = named(pairs.groupBy("lang", "a", "b").agg(F.sum("n").alias("f")), least)
-        up = stored(_up(names, up), tidy=True)
+        new = frequent(phrases_in(own, k, known(names, k - 1), least), least)
+        up = stored(_up(new, up, k), tidy=True)
         levels.append(up.withColumn("k", F.lit(k)))
-        if k < longest:
-            new = stored(next_level(level, pairs, names), tidy=True)
-            drop_stored(level)
-            level = new
-        drop_stored(pairs, names)
-    drop_stored(level)
+        drop_stored(names)
+        names = new
+    drop_stored(names, own)
     out = []
     for now, above in zip(levels, [*levels[1:], None], strict=True):
         if above is None:
             out.append(now.withColumn("within", F.lit(False)))
             continue
-        most = above.select("lang", F.col("a").alias("name"), F.col("f").alias("m")).union(above.select("lang", "b", "f")).groupBy("lang", "name").agg(F.max("m").alias("m"))
-        out.append(now.join(most, ["lang", "name"], "left").withColumn("within", F.coalesce(F.col("m") >= F.col("f"), F.lit(False))).drop("m"))
+        most = above.select("lang", F.col("a").alias("phrase"), F.col("f").alias("m")).union(above.select("lang", "b", "f")).groupBy("lang", "phrase").agg(F.max("m").alias("m"))
+        out.append(now.join(most, ["lang", "phrase"], "left").withColumn("within", F.coalesce(F.col("m") >= F.col("f"), F.lit(False))).drop("m"))
     whole = out[0]
     for x in out[1:]:
         whole = whole.unionByName(x)

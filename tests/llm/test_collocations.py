@@ -2,6 +2,9 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+
 from claimlens.llm import collocations
 
 from .rows import SCHEMA, awkward, crowded_frame, empty_frame
@@ -60,3 +63,33 @@ def test_empty_rare_and_clashing_names(spark):
     assert collocations.collocations(frame(spark, [("only once here", "en")])).count() == 0
     rows = [(r[1], None) for r in awkward()]
     assert sorted(map(tuple, collocations.collocations(crowded_frame(spark), least=2).collect())) == by_hand(rows, 2)
+
+
+def test_bounded_sums_filters_and_equal_hashes(monkeypatch):
+    monkeypatch.setattr(collocations, "HELD", 2000)
+    words = [f"w{k}" for k in range(300)]
+    found = [("en", pa.array(words), np.arange(300)), ("de", pa.array(words[:50]), np.ones(50, int)), ("en", pa.array(words[::-1]), np.arange(300)[::-1])]
+    batches = list(collocations._summed(iter(found)))
+    assert len(batches) > 1 and max(b.num_rows for b in batches) < 650
+    sums = Counter()
+    for row in pa.Table.from_batches(batches).to_pylist():
+        sums[row["lang"], row["phrase"]] += row["n"]
+    assert sums == Counter({("en", w): 2 * k for k, w in enumerate(words)}) + Counter({("de", w): 1 for w in words[:50]}) | Counter({("en", "w0"): 0})
+    seq = np.array([1, 2, 1, 2, 3, 0, 1, 2], np.int32)
+    at, n = collocations._different(seq, np.array([0, 1, 2, 3, 6]), np.zeros(5, np.uint64), 2)
+    assert sorted(zip(seq[at].tolist(), seq[at + 1].tolist(), n.tolist(), strict=True)) == [(1, 2, 3), (2, 1, 1), (2, 3, 1)]
+    texts_of = [(part, a.to_pylist()) for part, a in collocations._texts(pa.array(["x" * 1500, "y"]), np.array([[1, 2], [2, 2], [1, 1]]))]
+    assert [x for _, a in texts_of for x in a] == ["x" * 1500 + " y", "y y", "x" * 1500 + " " + "x" * 1500] and len(texts_of) == 2
+    some = collocations._Known(12)
+    hashes = np.random.default_rng(1).integers(0, 1 << 63, 200, dtype=np.uint64)
+    some.add(hashes[:100])
+    assert some.has(hashes[:100]).all() and some.has(hashes[100:]).sum() < 10
+
+
+def test_blocks_are_never_joined(spark):
+    own = collocations.blocks(frame(spark, [(t, "en") for t in texts(5, 50)]), 100)
+    below = collocations.known(spark.createDataFrame([("en", "new york"), ("en", "york city")], "lang string, phrase string"), 2)
+    found = collocations.phrases_in(own, 3, below, 1)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    assert {r["phrase"] for r in found.collect()} >= {"new york city"}
