@@ -140,6 +140,9 @@ def _properties(schema: dict[str, Any], whole: dict[str, Any], own: Column, v: C
 def errors(schema: dict[str, Any]) -> Callable[[Column], Column]:
     """A function of a VARIANT column: array<string> of what is wrong, by path; null for a null value (a text that is no JSON)."""
     def check(v: Column) -> Column:
+        return _let(v, found_in)  # v may be a text's parsing: the checks name it for each property, and share one value
+
+    def found_in(v: Column) -> Column:
         found = _check(schema, schema, v, F.array().cast(f"array<{PART}>"))
         placed = F.transform(found, lambda e, k: F.struct(e["at"].alias("at"), k.alias("k"), e["what"].alias("what")))
         path = lambda at: F.when(F.size(at) == 0, "<root>").otherwise(F.array_join(F.transform(at, lambda p: F.when(p["is_name"], p["name"]).otherwise(p["k"].cast("string"))), "."))

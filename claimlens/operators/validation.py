@@ -38,7 +38,12 @@ def case_errors(text: str | Column, document: dict | None = None) -> Column:
 
     A text that is no JSON (or null) has the one error `<root>: no JSON`. The rules after the schema apply only to cases that meet it.
     """
-    v = F.try_parse_json(F.col(text) if isinstance(text, str) else text)
+    once = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)
+    return once(F.try_parse_json(F.col(text) if isinstance(text, str) else text), lambda v: once(schema.errors(document or case_schema())(v), lambda found: _all_errors(v, found)))
+
+
+def _all_errors(v: Column, found: Column) -> Column:
+    """What is wrong with a parsed case, from what its schema finds; both are named many times, so they are values that are there already."""
     of = lambda name: F.try_variant_get(v, f"$.{name}", "string")
     day = {d: F.try_to_date(of(d), "yyyy-MM-dd") for d in DATES}
     normal = F.coalesce(of("primary_anomaly_type") == "none", F.lit(False))
@@ -50,7 +55,6 @@ def case_errors(text: str | Column, document: dict | None = None) -> Column:
         (normal & (F.size(F.try_variant_get(v, "$.anomaly_types", "array<string>")) > 0), "<root>: a normal case has anomalies"), (normal & ((of("risk_level") != "low") | (of("audit_result") != "pass")), "<root>: a normal case is not low and passed"),
         (normal & (of("evidence_sufficient") != "true"), "<root>: a normal case lacks evidence"),
     )
-    found = schema.errors(document or case_schema())(v)
     return F.when(v.isNull(), F.array(F.lit("<root>: no JSON"))).when(F.size(found) > 0, found).otherwise(rules)
 
 
