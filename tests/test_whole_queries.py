@@ -16,3 +16,9 @@ def same(a, b):
 
 def test_a_case_is_parsed_once(spark):
     assert str(validation.case_errors("t")).count("parse_json") == 1
+
+
+def test_keys_of_pairs_are_those_of_their_candidates(spark):
+    c = C.claims(spark, SF)
+    keys = pairs.pair_keys(c).select("pair_id", "pair_type", "label", "case_id", "rejected_error_type", "final_weight", "sft_loss_weight")
+    assert same(keys, pairs.pair_candidates(c, O.answers(c)))
