@@ -22,3 +22,8 @@ def test_keys_of_pairs_are_those_of_their_candidates(spark):
     c = C.claims(spark, SF)
     keys = pairs.pair_keys(c).select("pair_id", "pair_type", "label", "case_id", "rejected_error_type", "final_weight", "sft_loss_weight")
     assert same(keys, pairs.pair_candidates(c, O.answers(c)))
+
+
+def test_cells_within_the_row_are_those_of_records(spark):
+    c = C.claims(spark, SF)
+    assert same(O.extracted_cells(c), O.field_extraction(c, O.annotations(c)))
