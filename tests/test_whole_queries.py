@@ -27,3 +27,8 @@ def test_keys_of_pairs_are_those_of_their_candidates(spark):
 def test_cells_within_the_row_are_those_of_records(spark):
     c = C.claims(spark, SF)
     assert same(O.extracted_cells(c), O.field_extraction(c, O.annotations(c)))
+
+
+def test_images_are_those_of_answers(spark):
+    c = C.claims(spark, SF)
+    assert same(Q._records(c), O.answers(c).select("case_id", F.posexplode("images").alias("place", "i")).select("case_id", "place", "i.*"))
