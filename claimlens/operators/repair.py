@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import reasons
 from .ranking import by_bucket_quota, global_rank
+from .storing import stored
 
 #: Families in the order in which quotas go to them, and those that always score.
 FAMILIES = ["amount_abnormal", "order_id_inconsistent", "evidence_or_document_insufficient", "date_mismatch", "person_mismatch", "merchant_mismatch", "duplicate_in_batch"]
@@ -78,10 +79,10 @@ def repair_pack(rows: DataFrame, excluded: DataFrame, most: int, targets: list[s
     """
     pool = without(rows, excluded).where((F.col("source_split") == "train") & (F.col("answer.risk_level") == "high") & (F.col("answer.audit_result") != "pass") & (F.size("answer.evidence") > 0))
     pool = pool.withColumn("family", anomaly_family(F.col("answer")))
-    pool = pool.select(
+    pool = stored(pool.select(
         "case_id", "family", candidate_score(F.col("answer"), F.col("family"), targets or CORE_FAMILIES).alias("score"),
         repair_strategy(F.col("family"), F.col("answer.audit_result")).alias("repair_strategy"), F.size("answer.evidence").alias("evidence_count"),
-    )
+    ))  # a few columns, read twice below, instead of answers made twice
     own = Window.partitionBy("family").orderBy(F.desc("score"), "case_id")
     ranked = pool.withColumn("_r", F.row_number().over(own)).where(F.col("_r") <= most)
     there = pool.where(F.col("family").isin(FAMILIES)).agg(F.count_distinct("family").alias("_k"))

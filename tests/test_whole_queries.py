@@ -32,3 +32,9 @@ def test_cells_within_the_row_are_those_of_records(spark):
 def test_images_are_those_of_answers(spark):
     c = C.claims(spark, SF)
     assert same(Q._records(c), O.answers(c).select("case_id", F.posexplode("images").alias("place", "i")).select("case_id", "place", "i.*"))
+
+
+def test_claims_of_some_cases_are_the_same_as_among_all(spark):
+    c = C.claims(spark, SF)
+    some = c.select("case_id").where("crc32(case_id) % 7 = 0")
+    assert same(C.claims(spark, SF, some), c.join(some, "case_id", "left_semi"))
