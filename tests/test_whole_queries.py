@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from claimlens import entry  # noqa: F401  (registers the queries, in its order)
 from claimlens import queries_pairs as Q
 from claimlens.operators import pairs, validation
 from claimlens.plans import claims as C
