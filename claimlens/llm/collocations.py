@@ -3,14 +3,16 @@
 Texts are read once and kept as blocks: runs of word numbers of one language, with the block's own list of words. A phrase of k
 words can be frequent only if its first and its last k - 1 words are. So level by level, words being the first:
 
-1. Blocks tell places whose two parts are in the filter of the level below, and give the phrases there, as texts, with their number.
-2. Phrases are added up over all blocks, in Spark; what is frequent is kept, with its exact count.
+1. Blocks tell places whose two parts are in the filter of the level below. Their hashes' first 32 bits (heads) are added up over all
+   blocks, dealt by ranges of heads; the sum of a head is never below the count of a phrase that has it.
+2. Phrases whose head reaches the limit are given as texts, with their number, and added up over all blocks, dealt by heads as well;
+   what is frequent is kept, with its exact count.
 3. A Bloom filter of the frequent ones goes to all tasks. It has all of them and a few others, which only costs counting those.
 
-Counts are of texts, so hashes decide nothing but what is not counted. A task holds one block, the filter and a bounded sum of what it has
-found; nothing is sent back to blocks by a join. Phrases of two words and more that are certainly too rare are left out before the
-shuffle by counts in a fixed number of slots (`slots`), which are never below a count of their own. Words are all counted in the
-shuffle: there are few of them, and how many stay would else grow faster than the input.
+Counts are of texts, so hashes decide nothing but what is not counted. A task holds one block, two filters and a bounded sum of what it has
+found; nothing is sent back to blocks by a join. What tasks send of phrases are Arrow columns, one row for each run and range of
+heads. There are 2^32 heads and their sums are spread over all tasks, so a rare phrase does not come to be counted because the input is
+larger. Words are all counted in the shuffle: there are few of them, and how many stay would else grow faster than the input.
 
 The first and last k - 1 words of a phrase lead to all its beginnings and ends, so cuts are scored from counts passed up the levels, and a
 phrase lies inside a longer one with as many occurrences exactly if it is one of the two parts of such a one of the next level.
@@ -27,8 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_stored, rows_of_batches, short, stored, text_of
-from .slots import PARTS, merged, parts, slot_of, zeros
+from .common import drop_stored, partitions, rows_of_batches, short, stored, text_of
 from .wordhash import mix, runs
 from .wordhash import words as words_of
 
@@ -39,6 +40,8 @@ BLOCK = 400_000
 BATCH = 8
 #: Bytes of phrases that a task adds up before it gives them to Spark.
 HELD = 8_000_000
+#: Heads that a task adds up before it gives them to Spark.
+HEADS = 2_000_000
 #: Bits of a filter, as powers of two (64 kB to 32 MB), its probes, and the bytes of it that are merged at once.
 LEAST_BITS, MOST_BITS, PROBES, SLICE_BYTES = 19, 28, 4, 1 << 16
 #: What parts pieces, made a line break, and what parts words, made a space; A-Z are lower-cased.
@@ -126,9 +129,22 @@ class _Known:
         return out
 
 
+def _phrase_hashes(b: pa.RecordBatch, k: int) -> np.ndarray:
+    """Of phrases of k words, the same as in blocks."""
+    each = words_of(b["phrase"]).hash.reshape(-1, k)
+    langs = b["lang"].dictionary_encode()
+    seeds = np.array([_seed(x) for x in langs.dictionary.to_pylist()], np.uint64)[langs.indices.to_numpy()]
+    return runs((each ^ seeds[:, None]).ravel(), k)[::k]
+
+
+def _size(n: int) -> int:
+    """Of a filter for n hashes: 16 bits for each, up to 2^MOST_BITS in all, beyond which it is less sharp."""
+    return min(MOST_BITS, max(LEAST_BITS, (16 * n).bit_length()))
+
+
 def known(names: DataFrame, k: int) -> _Known:
-    """The filter of all phrases (lang, phrase) of k words; 16 bits for each, up to 2^MOST_BITS in all, beyond which it is less sharp."""
-    size = min(MOST_BITS, max(LEAST_BITS, (16 * names.count()).bit_length()))
+    """The filter of all phrases (lang, phrase) of k words."""
+    size = _size(names.count())
     whole = _Known(size)
 
     def sliced(bits: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -139,9 +155,7 @@ def known(names: DataFrame, k: int) -> _Known:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _Known(size)
         for b in short(batches, 20_000):
-            seeds = np.array([_seed(x) for x in b["lang"].to_pylist()], np.uint64)
-            hashes = words_of(b["phrase"]).hash.reshape(-1, k) ^ seeds[:, None]
-            own.add(runs(hashes.ravel(), k)[::k])
+            own.add(_phrase_hashes(b, k))
         yield from sliced(own.bits)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,36 +167,102 @@ def known(names: DataFrame, k: int) -> _Known:
             yield pa.RecordBatch.from_pydict({"slice": pa.array([at], pa.int32()), "bits": [bits.tobytes()]})
 
     kind = "slice int, bits binary"
-    for r in names.select("lang", "phrase").mapInArrow(run, kind).repartition("slice").mapInArrow(add, kind).toLocalIterator():
+    for r in names.select("lang", "phrase").mapInArrow(run, kind).repartition("slice").mapInArrow(add, kind).collect():  # 2^MOST_BITS bits at most
         whole.bits[r["slice"] * SLICE_BYTES :][: len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
     return whole
 
 
-def _often(rows: DataFrame, counted, least: int) -> np.ndarray:
-    """Which slots hold `least` and more, one bit each; counted(batch) gives the slot of each place."""
+def _heads(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(32)).astype(np.uint32)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = zeros()
-        for b in short(batches, 1):
-            np.add.at(sums, counted(b), np.uint32(1))
-        yield from parts(sums)
 
-    return np.packbits(merged(rows.mapInArrow(run, PARTS)) >= least)
+def _whole(heads: np.ndarray) -> np.ndarray:
+    """Heads as the hashes by which a filter has them."""
+    return heads.astype(np.uint64) << np.uint64(32)
+
+
+def _ranges(heads: np.ndarray, parts: int) -> list[int]:
+    """Where sorted heads are cut into so many ranges of equal width."""
+    return np.searchsorted(heads.astype(np.uint64) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1)).tolist()
+
 
+def _added(heads: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Each head once, in order, and the sum of its numbers, or how often it is there."""
+    order = None if n is None else np.argsort(heads, kind="stable")
+    heads = np.sort(heads) if n is None else heads[order]
+    first = np.flatnonzero(np.append(True, heads[1:] != heads[:-1])) if len(heads) else np.zeros(0, np.int64)
+    if n is None:
+        return heads[first], np.diff(np.append(first, len(heads)))
+    return heads[first], np.add.reduceat(n[order], first) if len(first) else n
+
+
+def head_sums(own: DataFrame, counted, least: int, parts: int) -> DataFrame:
+    """heads, n: the heads of all blocks that occur `least` times and how often, as arrays in bytes; counted(batch) gives the hashes of a block's places.
+
+    A task sends sums of HEADS places, one row for each range of heads. Ranges are added up where they meet, so a task holds its share of
+    the different heads, which more partitions make smaller.
+    """
+
+    def sent(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        heads, n = _added(np.concatenate(held))
+        at = _ranges(heads, parts)
+        some = [k for k in range(parts) if at[k] < at[k + 1]]
+        n = n.astype(np.uint32)
+        if some:
+            yield pa.RecordBatch.from_pydict({"part": pa.array(some, pa.int32()), "heads": [heads[at[k] : at[k + 1]].tobytes() for k in some], "n": [n[at[k] : at[k + 1]].tobytes() for k in some]})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for b in short(batches, 1):
+            held.append(_heads(counted(b)))
+            if sum(map(len, held)) > HEADS:
+                yield from sent(held)
+                held = []
+        if held:
+            yield from sent(held)
 
-def _has(often: np.ndarray, slot: np.ndarray) -> np.ndarray:
-    return (often[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool)
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, before = [(np.zeros(0, np.uint32), np.zeros(0, np.int64))], 0, 0
+        together = lambda: _added(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        for b in batches:
+            for heads, n in zip(b["heads"].to_pylist(), b["n"].to_pylist(), strict=True):
+                held.append((np.frombuffer(heads, np.uint32), np.frombuffer(n, np.uint32).astype(np.int64)))
+                size += len(held[-1][0])
+            if size > max(HEADS, 2 * before):
+                held = [together()]
+                size = before = len(held[0][0])
+        heads, n = together()
+        heads, n = heads[n >= least], n[n >= least]
+        for k in range(0, len(heads), HEADS):
+            yield pa.RecordBatch.from_pydict({"heads": [heads[k : k + HEADS].tobytes()], "n": [n[k : k + HEADS].tobytes()]})
+
+    return own.mapInArrow(run, "part int, heads binary, n binary").repartitionById(parts, "part").mapInArrow(add, "heads binary, n binary")
+
+
+def _often(rows: DataFrame, k: int, below: _Known, least: int) -> _Known:
+    """The filter of the heads that `least` places of candidates and more have."""
+    heads = stored(head_sums(rows, lambda b: _candidates(b, k, below)[2], least, partitions(rows.sparkSession)), tidy=True)
+    n = heads.agg(F.sum(F.octet_length("heads"))).first()[0] or 0
+    often = _Known(_size(n // 4))
+    for r in heads.select("heads").toLocalIterator():  # no more than a filter's slices have, and one partition at a time
+        often.add(_whole(np.frombuffer(r["heads"], np.uint32)))
+    drop_stored(heads)
+    return often
 
 
 def _word_hashes(b: pa.RecordBatch) -> np.ndarray:
     return words_of(b["words"].flatten()).hash ^ _seed(b["lang"][0].as_py())
 
 
+def _together(tables: list[pa.Table]) -> pa.Table:
+    return pa.concat_tables(tables).group_by(["lang", "phrase"]).aggregate([("n", "sum")]).rename_columns(["lang", "phrase", "n"])
+
+
 def _summed(found: Iterator[tuple[str, pa.Array, np.ndarray]]) -> Iterator[pa.RecordBatch]:
     """lang, phrase, n of what blocks give, added up while it fits HELD bytes; Spark adds up the rest."""
     held: list[pa.Table] = []
     size = 0
-    added = lambda: pa.concat_tables(held).group_by(["lang", "phrase"]).aggregate([("n", "sum")]).rename_columns(["lang", "phrase", "n"])
+    added = lambda: _together(held)
     for lang, phrase, n in found:
         held.append(pa.table({"lang": pa.repeat(pa.scalar(lang, pa.string()), len(n)), "phrase": phrase, "n": pa.array(n, pa.int64())}))
         size += held[-1].nbytes
@@ -247,20 +327,54 @@ def _texts(words: pa.Array, ids: np.ndarray) -> Iterator[tuple[slice, pa.Array]]
         begin = end
 
 
+def _found(batches: Iterator[pa.RecordBatch], k: int, below: _Known, often: _Known) -> Iterator[tuple[str, pa.Array, np.ndarray]]:
+    for b in short(batches, 1):
+        seq, at, hashes = _candidates(b, k, below)
+        some = often.has(_whole(_heads(hashes)))
+        at, n = _different(seq, at[some], hashes[some], k)
+        for part, phrase in _texts(b["words"].flatten(), np.stack([seq[at + j] for j in range(k)], axis=1)):
+            yield b["lang"][0].as_py(), phrase, n[part]
+
+
 def phrases_in(own: DataFrame, k: int, below: _Known, least: int) -> DataFrame:
     """lang, phrase, n: phrases of k words in blocks whose two parts may be frequent, but for those that are certainly too rare; a phrase has several rows."""
     rows = own.select("lang", "words", "seq")
-    often = _often(rows, lambda b: slot_of(_candidates(b, k, below)[2]), least)
+    often = _often(rows, k, below, least)
+    return rows.mapInArrow(lambda batches: _summed(_found(batches, k, below, often)), "lang string, phrase string, n long")
 
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array, np.ndarray]]:
-        for b in short(batches, 1):
-            seq, at, hashes = _candidates(b, k, below)
-            some = _has(often, slot_of(hashes))
-            at, n = _different(seq, at[some], hashes[some], k)
-            for part, phrase in _texts(b["words"].flatten(), np.stack([seq[at + j] for j in range(k)], axis=1)):
-                yield b["lang"][0].as_py(), phrase, n[part]
 
-    return rows.mapInArrow(lambda batches: _summed(found(batches)), "lang string, phrase string, n long")
+def phrase_sums(own: DataFrame, k: int, below: _Known, least: int) -> DataFrame:
+    """lang, phrase, f: phrases_in added up, those that occur `least` times.
+
+    What a task sends are sums of what it has read: arrays, one row for each range of heads, and at most one element for a block and phrase.
+    """
+    rows = own.select("lang", "words", "seq")
+    often, parts = _often(rows, k, below, least), partitions(own.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _summed(_found(batches, k, below, often)):
+            heads = _heads(_phrase_hashes(b, k))
+            order = np.argsort(heads)
+            at = _ranges(heads[order], parts)
+            some = [x for x in range(parts) if at[x] < at[x + 1]]
+            cuts = pa.array([*(at[x] for x in some), b.num_rows], pa.int32())  # what lies between is empty
+            b = b.take(pa.array(order))
+            yield pa.RecordBatch.from_pydict({"part": pa.array(some, pa.int32()), **{c: pa.ListArray.from_arrays(cuts, b[c]) for c in ("lang", "phrase", "n")}})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, before = [], 0, 0
+        for b in batches:
+            held.append(pa.table({c: b[c].flatten() for c in ("lang", "phrase", "n")}))
+            size += held[-1].nbytes
+            if size > max(HELD, 2 * before):
+                held = [_together(held)]
+                size = before = held[0].nbytes
+        if held:
+            whole = _together(held).rename_columns(["lang", "phrase", "f"])
+            yield from whole.filter(pc.field("f") >= least).to_batches(20_000)
+
+    sent = rows.mapInArrow(run, "part int, lang array<string>, phrase array<string>, n array<long>")
+    return sent.repartitionById(parts, "part").mapInArrow(add, "lang string, phrase string, f long")
 
 
 def frequent(counted: DataFrame, least: int) -> DataFrame:
@@ -293,7 +407,7 @@ def _phrases(documents: DataFrame, longest: int, least: int, block: int) -> tupl
     up = names.select("lang", "phrase", "f", F.array("f").alias("heads"), F.array("f").alias("tails"))
     levels = []
     for k in range(2, longest + 1):
-        new = frequent(phrases_in(own, k, known(names, k - 1), least), least)
+        new = stored(phrase_sums(own, k, known(names, k - 1), least), tidy=True)
         up = stored(_up(new, up, k), tidy=True)
         levels.append(up.withColumn("k", F.lit(k)))
         drop_stored(names)

@@ -93,3 +93,33 @@ def test_blocks_are_never_joined(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Exchange" not in plan
     assert {r["phrase"] for r in found.collect()} >= {"new york city"}
+
+
+def test_rare_phrases_are_not_sent_however_many_there_are(spark):
+    words = [f"w{k}" for k in range(450)]
+    pairs = [f"{a} {b}" for a in words for b in words] + ["w1 w2", "w1 w2", "w7 w7"]
+    own = collocations.stored(collocations.blocks(frame(spark, [(".".join(pairs[k::40]), "en") for k in range(40)]).repartition(4), 20_000))
+    assert own.count() > 10
+    below = collocations.known(spark.createDataFrame([("en", w) for w in words], "lang string, phrase string"), 1)
+    found = collocations.phrases_in(own, 2, below, 3)
+    assert {r["phrase"] for r in found.collect()} == {"w1 w2"}
+    assert [tuple(r) for r in collocations.phrase_sums(own, 2, below, 3).collect()] == [("en", "w1 w2", 3)]
+
+
+def test_phrases_are_added_up_from_arrays(spark):
+    own = collocations.stored(collocations.blocks(frame(spark, [(t, ("en", "de")[k % 2]) for k, t in enumerate(texts(6, 120))]), 200))
+    below = collocations.known(own.selectExpr("lang", "explode(words) AS phrase"), 1)
+    found = collocations.phrases_in(own, 2, below, 2)
+    sums = collocations.phrase_sums(own, 2, below, 2)
+    by_phrase = Counter()
+    for r in found.collect():
+        by_phrase[r["lang"], r["phrase"]] += r["n"]
+    assert {(r["lang"], r["phrase"]): r["f"] for r in sums.collect()} == {p: n for p, n in by_phrase.items() if n >= 2}
+    assert found.count() > 100 and "HashAggregate" not in sums._jdf.queryExecution().executedPlan().toString()
+
+
+def test_heads_are_added_up_exactly():
+    heads = np.array([5, 1 << 31, 5, (1 << 32) - 1, 0, 5], np.uint32)
+    assert [x.tolist() for x in collocations._added(heads)] == [[0, 5, 1 << 31, (1 << 32) - 1], [1, 3, 1, 1]]
+    assert [x.tolist() for x in collocations._added(heads, np.array([1, 2, 3, 1 << 40, 5, 6]))] == [[0, 5, 1 << 31, (1 << 32) - 1], [5, 10, 2, 1 << 40]]
+    assert collocations._ranges(np.sort(heads), 2) == [0, 4, 6] and collocations._ranges(heads[:0], 3) == [0, 0, 0, 0]
