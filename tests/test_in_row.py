@@ -28,3 +28,8 @@ def test_pairs_of_answers_in_the_row_are_those_of_joined_ones(spark):
     columns = [x for x in pairs.pair_candidates(c, O.answers(c)).columns if x in rows.columns]
     assert same(rows.select(*columns), pairs.pair_candidates(c, O.answers(c)).select(*columns))
     assert joined_before_answers(Q.dpo_pairs_v2(spark, SF))
+
+
+def test_kinds_are_joined_to_orders_not_to_answers(spark):
+    assert same(Q._kinds(C.labels(spark, SF)), Q._kinds(C.claims(spark, SF).select("case_id", "label")))
+    assert joined_before_answers(Q.dpo_pairs_v1(spark, SF))
