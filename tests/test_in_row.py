@@ -33,3 +33,9 @@ def test_pairs_of_answers_in_the_row_are_those_of_joined_ones(spark):
 def test_kinds_are_joined_to_orders_not_to_answers(spark):
     assert same(Q._kinds(C.labels(spark, SF)), Q._kinds(C.claims(spark, SF).select("case_id", "label")))
     assert joined_before_answers(Q.dpo_pairs_v1(spark, SF))
+
+
+def test_claims_without_pairs_are_left_out_before_their_answers(spark):
+    all_of, some = Q.completions(spark, SF), Q.completions(spark, SF, mined_only=True)
+    assert same(some.select("case_id", "model", "mode"), all_of.where(pairs.mining_bucket(F.col("answer")).isin(*pairs.MINED_BUCKETS)).select("case_id", "model", "mode"))
+    assert 0 < some.count() < all_of.count()
