@@ -14,6 +14,8 @@ from .storing import stored
 ANSWER_PATHS = ["prediction", "parsed_prediction", "output", "response", "answer", "pred"]
 DECISION_PATHS = ["audit_result", "decision", "audit_decision", "risk_decision", "final_decision", "parsed.audit_result", "parsed.decision", "prediction.audit_result", "prediction.decision"]
 RISK_PATHS = ["risk_type", "risk_level", "risk.type", "risk.risk_type", "parsed.risk_type", "prediction.risk_type"]
+#: The keys with which those of decisions and risks begin.
+HEADS = sorted({p.split(".")[0] for p in DECISION_PATHS + RISK_PATHS})
 
 
 def any_issue(*names: str, issues: str = "issues") -> Column:
@@ -151,6 +153,20 @@ def paired(a: DataFrame, b: DataFrame, key: str = "case_id") -> DataFrame:
     )
 
 
+def paired_models(rows: DataFrame, one: str, other: str, key: str = "case_id") -> DataFrame:
+    """paired() of two models of one table (key, model, told as contract.told() gives it): texts are read once, and digests meet in one aggregate."""
+    t = rows.select(key, "model", F.struct(F.col("told.digest").alias("digest"), at_paths(F.col("told.heads"), DECISION_PATHS).alias("decision"), at_paths(F.col("told.heads"), RISK_PATHS).alias("risk")).alias("_t"))
+    side = lambda m, name: F.max(F.when(F.col("model") == m, F.col("_t"))).alias(name)
+    x = t.where(F.col("model").isin(one, other)).groupBy(key).agg(side(one, "_a"), side(other, "_b"))
+    both = F.col("_a").isNotNull() & F.col("_b").isNotNull()
+    same = lambda c: both & F.col(f"_a.{c}").eqNullSafe(F.col(f"_b.{c}"))
+    n = F.count_if(both)
+    return x.agg(
+        n.alias("common_cases"), F.count_if(F.col("_b").isNull()).alias("only_a"), F.count_if(F.col("_a").isNull()).alias("only_b"), F.count_if(same("digest")).alias("same_answers"),
+        rate(F.count_if(same("digest")), n).alias("same_answer_rate"), rate(F.count_if(same("decision")), n).alias("same_decision_rate"), rate(F.count_if(same("risk")), n).alias("same_risk_rate"),
+    )
+
+
 def one_metric_row(metrics: DataFrame, model: str, split: str | None = None) -> DataFrame:
     """The one row of a model (and split); none or several are an error."""
     x = metrics.where(F.col("model") == model)
